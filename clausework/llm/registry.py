@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from clausework.llm.bpe import op7_bpe
 from clausework.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from clausework.llm.mixing import OP9_SQL, op9_mix_sources
+from clausework.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op7_bpe": op7_bpe,
+    "op9_mix_sources": op9_mix_sources,
 }
 SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op6_url_filter": OP6_SQL,
+    "op9_mix_sources": OP9_SQL,
 }
