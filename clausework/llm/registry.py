@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from clausework.llm.bpe import op7_bpe
 from clausework.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from clausework.llm.language_id import op10_language_id
 from clausework.llm.mixing import OP9_SQL, op9_mix_sources
 from clausework.llm.url_filter import OP6_SQL, op6_url_filter
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op9_mix_sources": op9_mix_sources,
+    "op10_language_id": op10_language_id,
 }
 SQL = {
     "op1_exact_dedup": OP1_SQL,

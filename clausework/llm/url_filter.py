@@ -91,7 +91,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS r(host, path, verdict)")
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
