@@ -7,10 +7,12 @@ from clausework.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from clausework.llm.language_id import op10_language_id
 from clausework.llm.mixing import OP9_SQL, op9_mix_sources
 from clausework.llm.quality import op5_quality_rules
+from clausework.llm.secrets import op3_secret_scan
 from clausework.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
