@@ -9,10 +9,12 @@ from clausework.llm.mixing import OP9_SQL, op9_mix_sources
 from clausework.llm.quality import op5_quality_rules
 from clausework.llm.secrets import op3_secret_scan
 from clausework.llm.url_filter import OP6_SQL, op6_url_filter
+from clausework.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_warc": OP4_SQL,
     "op6_url_filter": OP6_SQL,
     "op9_mix_sources": OP9_SQL,
 }
