@@ -6,6 +6,7 @@ from clausework.llm.bpe import op7_bpe
 from clausework.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from clausework.llm.language_id import op10_language_id
 from clausework.llm.mixing import OP9_SQL, op9_mix_sources
+from clausework.llm.near_dedup import op2_near_dedup
 from clausework.llm.quality import op5_quality_rules
 from clausework.llm.secrets import op3_secret_scan
 from clausework.llm.url_filter import OP6_SQL, op6_url_filter
@@ -13,6 +14,7 @@ from clausework.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
