@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from clausework.llm.bpe import op7_bpe
 from clausework.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from clausework.llm.html_text import op8_html_text
 from clausework.llm.language_id import op10_language_id
 from clausework.llm.mixing import OP9_SQL, op9_mix_sources
 from clausework.llm.near_dedup import op2_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
+    "op8_html_text": op8_html_text,
     "op9_mix_sources": op9_mix_sources,
     "op10_language_id": op10_language_id,
 }
