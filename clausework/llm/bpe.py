@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import json
 import re
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +54,12 @@ class Vocabulary:
         letter = _byte_letters()
         ids = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(letter[c] for c in word) for word, i in ids.items()}
-        self.first = [0] * 256
+        self.first = np.zeros(256, np.int64)
         for c, b in letter.items():
             self.first[b] = ids[c]
         self.width = 1 << 20
-        self.rank: dict[int, tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}  # of a pair
+        self.lefts, self.rights, self.news = [], [], []
         born: dict[int, int] = {}
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -64,8 +67,12 @@ class Vocabulary:
             if born.get(ids[a], -1) >= r or born.get(ids[b], -1) >= r or new in born:
                 raise ValueError("a merge of this vocabulary uses a token that a later merge makes")
             born[new] = r
-            self.rank[ids[a] * self.width + ids[b]] = (r, new)
-        self.pair = {r: (k // self.width, k % self.width, new) for k, (r, new) in self.rank.items()}
+            self.rank[ids[a] * self.width + ids[b]] = r
+            self.lefts.append(ids[a])
+            self.rights.append(ids[b])
+            self.news.append(new)
+        pairs = (self.first[:, None] * self.width + self.first).ravel().tolist()
+        self.byte_ranks = np.array([self.rank.get(k, -1) for k in pairs]).reshape(256, 256)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.splits = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -110,28 +117,30 @@ class Vocabulary:
 
 def merge_words(v: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
     """Ids of each word, by one pair occurrence index over all of them."""
-    first, rank, width = v.first, v.rank, v.width
-    symbols: list[int] = []
-    bounds = [0]
-    for w in words:
-        symbols += [first[b] for b in w]
-        symbols.append(-1)  # no pair reaches over the end of a word
-        bounds.append(len(symbols))
-    n = len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-    get = rank.get
-    for i in range(n - 1):
-        found = get(symbols[i] * width + symbols[i + 1])
-        if found is not None:
-            index.setdefault(found[0], []).append(i)
-    active = list(index)
-    heapify(active)
+    width, get, lefts, rights, news = v.width, v.rank.get, v.lefts, v.rights, v.news
+    data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    start = v.first[data]
+    start[ends] = -1  # no pair reaches over the end of a word
+    n = len(start)
+    # the index at first: positions of each pair of bytes, in order
+    ranks = np.where((start[:-1] >= 0) & (start[1:] >= 0), v.byte_ranks[data[:-1], data[1:]], -1)
+    places = np.flatnonzero(ranks >= 0)
+    order = places[np.argsort(ranks[places], kind="stable")]
+    found, at = np.unique(ranks[order], return_index=True)
+    index: list[list[int] | None] = [None] * len(news)
+    for r, part in zip(found.tolist(), np.split(order, at[1:]), strict=True) if len(found) else ():
+        index[r] = part.tolist()
+    active = found.tolist()  # sorted, so a heap
+    symbols, after, before = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
     while active:
         r = heappop(active)
-        left, right, new = v.pair[r]
-        places = index.pop(r)
+        left, right, new = lefts[r], rights[r], news[r]
+        places = index[r]
+        index[r] = None
         places.sort()
+        as_left, as_right = new * width, new
         for i in places:
             if symbols[i] != left:
                 continue
@@ -142,17 +151,23 @@ def merge_words(v: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
             symbols[i], symbols[j] = new, -2  # -2: merged away
             after[i] = k
             before[k] = i
-            for a in (before[i], i):
-                if a >= 0 and symbols[a] >= 0:
-                    found = get(symbols[a] * width + symbols[after[a]])
-                    if found is not None:
-                        at = index.get(found[0])
-                        if at is None:
-                            index[found[0]] = [a]
-                            heappush(active, found[0])
-                        else:
-                            at.append(a)
-    return [tuple(s for s in symbols[a : b - 1] if s >= 0) for a, b in zip(bounds, bounds[1:], strict=False)]
+            s = symbols[k]
+            if s >= 0 and (q := get(as_left + s)) is not None:
+                if index[q] is None:
+                    index[q] = [i]
+                    heappush(active, q)
+                else:
+                    index[q].append(i)
+            h = before[i]  # -1 before the first word: symbols[-1] is a word's end
+            s = symbols[h]
+            if s >= 0 and (q := get(s * width + as_right)) is not None:
+                if index[q] is None:
+                    index[q] = [h]
+                    heappush(active, q)
+                else:
+                    index[q].append(h)
+    stop = ends.tolist()
+    return [tuple([s for s in symbols[a:b] if s >= 0]) for a, b in zip([0, *[e + 1 for e in stop]], stop, strict=False)]
 
 
 def _vocabulary(path: str) -> Vocabulary:
@@ -194,9 +209,12 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", vocabulary:
     def run(frames):
         v = _vocabulary(path)
         for batch in frames:
-            for a in range(0, len(batch), 200):
-                part = batch.slice(a, 200)
-                texts = [None if x is None else v.decode(x) for x in part.column(ids).to_pylist()]
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                column = part.column(ids)
+                at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+                flat, null = column.flatten().to_numpy(zero_copy_only=False).tolist(), column.is_null().to_pylist()
+                texts = [None if x else v.decode(flat[b:e]) for b, e, x in zip(at.tolist(), at[1:].tolist(), null, strict=False)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, into])
 
     fields = [docs.schema[c] for c in keep]
