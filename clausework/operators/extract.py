@@ -6,10 +6,137 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
 
 def grounded(value: Column, quote: Column) -> Column:
     """The value occurs in the quote, not glued to other digits."""
     return F.rlike(quote, F.concat(F.lit("(^|[^0-9.,])"), F.regexp_replace(value, r"([.+*?|()\[\]{}^$\\])", r"\\$1"), F.lit("($|[^0-9.,]|[.,]($|[^0-9]))")))
 
 
-__all__ = ["DataFrame", "Window"]
+def _grams(text: Column, n: int) -> Column:
+    """Hashes of all runs of n words. The words are bound by an outer transform, so they are cut once and not for each run."""
+    bound = F.array(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)))
+    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
+    return F.transform(bound, runs)[0]
+
+
+def candidates(quotes: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text", n: int = 4) -> DataFrame:
+    """Pairs of quote and document that share the quote's second to fifth word in a row (edges of a quote may be glued to others): an equi-join on hashes of word
+    runs. Only the run's hash and the key are shuffled; texts join again by key."""
+    w = F.regexp_extract_all("quote", F.lit(_WORDS), F.lit(0))
+    q = quotes.select(item, "quote", F.xxhash64(F.array_join(F.slice(w, 2, n), " ")).alias("g")).where(F.size(w) >= n + 2)
+    d = docs.select(doc, F.explode(F.array_distinct(_grams(F.col(text), n))).alias("g"))
+    return d.join(q.select(item, "g"), "g").select(item, doc).distinct()
+
+
+def find_quotes(quotes: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text") -> DataFrame:
+    """``item, doc, start, end``: verbatim occurrences (the first in each document) of quotes of six words or more."""
+    pairs = candidates(quotes, docs, item, doc, text).join(quotes, item).join(docs.select(doc, text), doc)
+    found = pairs.withColumn("start", F.position(F.col("quote"), F.col(text)) - 1)
+    return found.where("start >= 0").select(item, doc, "start", (F.col("start") + F.length("quote")).alias("end"))
+
+
+def provenance_errors(citations: DataFrame, fragments: DataFrame, doc: str, text: str = "text", sha: str = "sha") -> DataFrame:
+    """``citations``: doc, start, end, quote, source_sha -> adds ``errors``: missing source, changed source, quote not at its place."""
+    j = citations.join(fragments.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), F.col(sha).alias("_sha")), F.col(doc) == F.col("_doc"), "left")
+    at = F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    errors = F.array_compact(F.array(F.when(F.col("_doc").isNull(), "source"), F.when(F.col("_sha") != F.col("source_sha"), "changed"), F.when(at != F.col("quote"), "quote")))
+    return j.withColumn("errors", errors).drop("_doc", "_text", "_sha")
+
+
+def recover_quotes(quotes: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text") -> DataFrame:
+    """``item, doc, state``: exact, or recovered if the quote occurs exactly once with other white space. Nothing but white space is repaired."""
+    flat = lambda c: F.regexp_replace(c, r"[\x20\x09-\x0D]+", " ")
+    pairs = candidates(quotes, docs, item, doc, text).join(quotes, item).join(docs.select(doc, text), doc)
+    pairs = pairs.withColumn("_t", flat(F.col(text))).withColumn("_q", F.trim(flat(F.col("quote"))))
+    times = (F.length("_t") - F.length(F.replace("_t", F.col("_q"), F.lit("")))) / F.length("_q")
+    state = F.when(F.contains(text, F.col("quote")), "exact").when(times == 1, "recovered")
+    return pairs.withColumn("state", state).where("state is not null").select(item, doc, "state")
+
+
+def inherited_modality(rows: DataFrame, key: str, order: list[str], kind: str, modality: str) -> DataFrame:
+    """Adds ``inherited``: list items take the modality of the parent before them, until a block that is neither ends the list."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(F.col(kind) != "item", F.struct(F.col(kind).alias("k"), F.col(modality).alias("m")))
+    last = F.last(mark, ignorenulls=True).over(w)
+    return rows.withColumn("_last", last).withColumn("inherited", F.when((F.col(kind) == "item") & (F.col("_last.k") == "parent"), F.col("_last.m")).when(F.col(kind) == "parent", F.col(modality))).drop("_last")
+
+
+def split_members(rules: DataFrame, key: str, text: str, mark: str = ":", between: str = ";") -> DataFrame:
+    """``key, n, unit, unit_id``: members of a list keep the introduction; a rule of one member stays whole."""
+    lead, rest = F.substring_index(text, mark, 1), F.expr(f"substring({text}, length(substring_index({text}, '{mark}', 1)) + 2)")
+    parts = F.filter(F.transform(F.split(rest, between), lambda x: F.trim(x)), lambda x: x != "")
+    units = F.when(F.size(parts) > 1, F.transform(parts, lambda p: F.concat(F.trim(lead), F.lit(": "), p))).otherwise(F.array(F.col(text)))
+    out = rules.select(key, F.posexplode(units).alias("n", "unit"))
+    return out.withColumn("unit_id", F.substring(F.sha2("unit", 256), 1, 16))
+
+
+def islands(rows: DataFrame, key: str, order: str, value: Column, size: str, limit: int) -> DataFrame:
+    """Adds ``island`` and ``page``: runs of equal value in order; a run is paged where its running size passes each multiple of the limit."""
+    w = Window.partitionBy(key).orderBy(order)
+    rows = rows.withColumn("_v", value).withColumn("_new", F.coalesce((~F.col("_v").eqNullSafe(F.lag("_v").over(w))).cast("int"), F.lit(1)))
+    rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy(key, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("page", F.floor((F.sum(size).over(inner) - 1) / limit)).drop("_v", "_new")
+
+
+def uncovered(cues: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """``cues``: key, pos; ``spans``: key, start, end (exclusive) -> cues that no span covers. Spans of a key are one sorted merge by running maximum, not a join of all pairs."""
+    events = cues.select(key, F.col("pos").alias("_at"), F.lit(1).alias("_cue"), F.lit(None).cast("long").alias("_end")).unionByName(spans.select(key, F.col("start").alias("_at"), F.lit(0).alias("_cue"), F.col("end").cast("long").alias("_end")))
+    w = Window.partitionBy(key).orderBy("_at", "_cue").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("_reach", F.max("_end").over(w)).where("_cue = 1 and (_reach is null or _reach <= _at)").select(key, F.col("_at").alias("pos"))
+
+
+def coverage_audit(fragments: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, problem``: fragments without a row of the ledger, rows without a fragment, fragments with more than one row."""
+    f = fragments.select(*keys).withColumn("_f", F.lit(1))
+    g = ledger.groupBy(*keys).agg(F.count("*").alias("_n"))
+    j = f.join(g, keys, "full")
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_f").isNull(), "unknown").when(F.col("_n") > 1, "repeated")
+    return j.withColumn("problem", problem).where("problem is not null").select(*keys, "problem")
+
+
+def screen(rows: DataFrame, key: str, digest: Column, competes: Column) -> DataFrame:
+    """Adds ``duplicate_of``: among rows that compete, the first of equal digest keeps and the others name it."""
+    w = Window.partitionBy("_d", "_c").orderBy(key)
+    marked = rows.withColumn("_d", digest).withColumn("_c", competes)
+    first = F.first(key).over(w)
+    return marked.withColumn("duplicate_of", F.when(F.col("_c") & (first != F.col(key)), first)).drop("_d", "_c")
+
+
+def matrix_problems(expected: DataFrame, got: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n``: cells of the expected matrix that don't occur exactly once, and cells outside of it."""
+    g = got.groupBy(*keys).agg(F.count("*").alias("n"))
+    j = expected.select(*keys).withColumn("_e", F.lit(1)).join(g, keys, "full")
+    return j.where("_e is null or n is null or n <> 1").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.col("_e").isNotNull().alias("expected"))
+
+
+def span_runs(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``key, first, last``: contiguous runs of numbers; repeated numbers count once."""
+    w = Window.partitionBy(key).orderBy(order)
+    r = rows.select(key, order).distinct().withColumn("_g", F.col(order) - F.row_number().over(w))
+    return r.groupBy(key, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_g")
+
+
+def expand_runs(runs: DataFrame, key: str) -> DataFrame:
+    """The numbers of runs again."""
+    return runs.select(key, F.explode(F.sequence("first", "last")).alias("n"))
+
+
+def fingerprint(rows: DataFrame, keys: list[str], order: str, digest: str) -> DataFrame:
+    """``keys, n, fingerprint``: SHA-256 over the digests in order."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(digest).alias("d"))))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(listed, lambda x: x.d), ""), 256).alias("fingerprint"))
+
+
+def repair_locators(citations: DataFrame, blocks: DataFrame, doc: str, locator: str, text: str, least: int = 12) -> DataFrame:
+    """``citations``: id, doc, locator, quote -> adds ``repaired``: the only block of the document that holds the trimmed quote; a right or unclear locator stays.
+
+    Blocks and citations meet on the document.
+    """
+    q = citations.select("id", doc, F.col(locator).alias("_given"), F.trim("quote").alias("_q"))
+    hits = q.where(F.length("_q") >= least).join(blocks.select(doc, F.col(locator).alias("_at"), F.col(text).alias("_t")), doc).where(F.contains("_t", F.col("_q")))
+    g = hits.groupBy("id", "_given").agg(F.count("*").alias("n"), F.min("_at").alias("_at"), F.bool_or(F.col("_at") == F.col("_given")).alias("right"))
+    fixed = g.select("id", F.when(F.col("right") | (F.col("n") != 1), F.col("_given")).otherwise(F.col("_at")).alias("repaired"))
+    return citations.join(fixed, "id", "left").withColumn("repaired", F.coalesce("repaired", F.col(locator)))
