@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from clausework.functions import lexicon
@@ -15,7 +16,7 @@ from clausework.functions.text import first_case, words
 LITERAL = r"(<=|>=|≤|≥|not more than |not less than |at most |at least )?([0-9]+(?:[.,][0-9]+)?)\s?(ms|min|MB|GB|days|%|s|h)?\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a type object: this module is also imported by workers, which have no session
 def nfkc_fold(s: pd.Series) -> pd.Series:
     """Unicode compatibility form, case-folded: not expressible in the JVM functions."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
