@@ -95,4 +95,4 @@ def look_alike_names(rows: DataFrame, key: list[str], name: str, siblings: list[
 def text_flags(blocks: DataFrame, key: list[str], text: str) -> DataFrame:
     """``key, open_brackets, doubled``: opening less closing brackets and the first doubled word."""
     n = lambda c: F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))
-    return blocks.select(*key, (n("(") - n(")")).alias("open_brackets"), F.nullif(F.regexp_extract(text, r"(?i)(?<![\p{L}\p{N}])(\p{L}{2,}) \1(?![\p{L}\p{N}])", 1), F.lit("")).alias("doubled"))
+    return blocks.select(*key, (n("(") - n(")")).alias("open_brackets"), F.nullif(F.regexp_extract(text, r"(?iu)(?<![\p{L}\p{N}])(\p{L}{2,}) \1(?![\p{L}\p{N}])", 1), F.lit("")).alias("doubled"))

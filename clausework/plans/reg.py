@@ -109,3 +109,10 @@ def reg12(spark, sf):
 )
 def reg13(spark, sf):
     return R.complete_sequences(table(spark, sf, "conversations").where("conv_id % 9 <> 0 or turn <> 1"), "conv_id", "turn", "text")
+
+
+@query("udf3_scorer", "SELECT event_id, CASE WHEN length(props) > 8 THEN 'long' ELSE 'short' END AS label, round((length(props) - length(replace(props, ' ', ''))) / length(props), 6) AS score, true AS valid FROM events")
+def udf3(spark, sf):
+    """The same scorer interface over another table: any callable of a batch of requests."""
+    score = lambda texts: [("long" if len(t) > 8 else "short", t.count(" ") / len(t)) for t in texts]
+    return R.score_requests(table(spark, sf, "events"), "event_id", "props", score).withColumn("score", F.round("score", 6))

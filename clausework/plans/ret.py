@@ -189,7 +189,13 @@ def ret11(spark, sf):
     return R.interleave(d, "source", "doc_id", "n", 200_000).select("doc_id", "source", "turn", "running")
 
 
-@query("ret12_experience_selection")
+@query(
+    "ret12_experience_selection",
+    """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderkey % 50 + 10 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY -round_even(o_totalprice, 0), o_orderkey) AS seq FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'),
+w AS (SELECT o_custkey, o_orderkey, seq, CASE WHEN n <= 80 THEN n ELSE 0 END AS used, CASE WHEN n <= 80 THEN 1 ELSE 0 END AS cnt, n <= 80 AS taken FROM o WHERE seq = 1
+  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.seq, CASE WHEN used + n <= 80 AND cnt < 3 THEN used + n ELSE used END, CASE WHEN used + n <= 80 AND cnt < 3 THEN cnt + 1 ELSE cnt END, used + n <= 80 AND cnt < 3 FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.seq = w.seq + 1)
+SELECT o_custkey, o_orderkey FROM w WHERE taken""",
+)
 def ret12(spark, sf):
     o = table(spark, sf, "orders").where("o_orderstatus = 'F' and o_orderpriority <> '5-LOW'").withColumn("rank", -F.bround("o_totalprice", 0)).withColumn("tokens", F.col("o_orderkey") % 50 + 10)
     return R.greedy_selection(o, "o_custkey", ["rank", "o_orderkey"], "tokens", 80, 3, "o_orderkey")

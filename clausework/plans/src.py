@@ -17,6 +17,15 @@ BLOCKS_SQL = r"""blocks AS (
   WHERE regexp_matches(text, '[^\x20\x09-\x0D]'))"""
 #: Fixed patterns of the kinds.
 KINDS = [("licence", "(?i)licen[sc]e"), ("symbols", "[#$%&*]{3}"), ("bars", r" \| "), ("shouting", "!! ")]
+
+
+def greedy_sql(rows: str, limit: int, most: int | None = None) -> str:
+    """Recursive CTE of greedy packing. ``rows`` gives key, seq (from 1 without gaps), n and chg; ``w`` has key, seq and g."""
+    new = f"r.chg IS DISTINCT FROM w.chg OR w.used + r.n > {limit}" + (f" OR w.cnt >= {most}" if most else "")
+    return f"""r AS ({rows}), w AS (SELECT key, seq, chg, 0 AS g, n AS used, 1 AS cnt FROM r WHERE seq = 1
+  UNION ALL SELECT r.key, r.seq, r.chg, CASE WHEN {new} THEN g + 1 ELSE g END, CASE WHEN {new} THEN r.n ELSE used + r.n END, CASE WHEN {new} THEN 1 ELSE cnt + 1 END FROM w JOIN r ON r.key = w.key AND r.seq = w.seq + 1)"""
+
+
 OUTLINE_SQL = """o AS (SELECT o_custkey, o_orderkey, o_orderdate, CAST(left(o_orderpriority, 1) AS INT) AS lvl,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders)"""
 
@@ -112,7 +121,15 @@ def src7(spark, sf):
     return B.outline_numbers(outline(spark, sf), "o_custkey", ["o_orderdate", "o_orderkey"], "lvl", 5).select("o_custkey", "o_orderkey", "number")
 
 
-@query("src8_clause_chunks")
+PARTS_SQL = """parts AS (SELECT doc_id, ord, length(text) > 2000 AS chg, part_offset, length(substr(text, part_offset + 1, 2000)) AS n FROM
+  (SELECT *, unnest(CASE WHEN length(text) <= 2000 THEN [0] ELSE range(0, greatest(1, length(text) - 200), 1800) END) AS part_offset FROM blocks))"""
+
+
+@query(
+    "src8_clause_chunks",
+    f"""WITH RECURSIVE {BLOCKS_SQL}, {PARTS_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, part_offset) AS seq FROM parts),
+{greedy_sql("SELECT doc_id AS key, seq, n, chg FROM s", 2000)} SELECT doc_id, ord, part_offset, n, g AS "group" FROM s JOIN w ON doc_id = key AND s.seq = w.seq""",
+)
 def src8(spark, sf):
     parts = B.split_oversized(blocks(spark, sf)).withColumn("n", F.length("part"))
     parts = parts.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "part_offset")))
@@ -124,7 +141,11 @@ def src9(spark, sf):
     return lossless_chunks(table(spark, sf, "documents"), "doc_id", "text", limit=200).select("doc_id", "start", "end", "n_tokens", F.sha2("chunk", 256).alias("sha"))
 
 
-@query("src10_section_packing")
+@query(
+    "src10_section_packing",
+    f"""WITH RECURSIVE {BLOCKS_SQL}, c AS (SELECT doc_id, ord // 8 AS section, sum(length(text) + 90)::BIGINT AS n FROM blocks GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS seq FROM c),
+{greedy_sql("SELECT doc_id AS key, seq, n, 0 AS chg FROM s", 3000)} SELECT b.doc_id, b.ord, s.section, g AS "group" FROM blocks b JOIN s ON b.doc_id = s.doc_id AND b.ord // 8 = s.section JOIN w ON s.doc_id = key AND s.seq = w.seq""",
+)
 def src10(spark, sf):
     sized = blocks(spark, sf).withColumn("cost", F.length("text") + 90)
     section = F.floor(F.col("ord") / 8)  # sections of eight lines stand in for headings, which the table has not
@@ -134,14 +155,24 @@ def src10(spark, sf):
     return sized.join(packed.select("doc_id", "section", "group"), ["doc_id", "section"]).select("doc_id", "ord", "section", "group")
 
 
-@query("src11_context_packets")
+@query(
+    "src11_context_packets",
+    f"""WITH RECURSIVE {BLOCKS_SQL}, s AS (SELECT doc_id, ord, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS seq FROM blocks),
+{greedy_sql("SELECT doc_id AS key, seq, n, 0 AS chg FROM s", 7000, 12)}, b AS (SELECT doc_id, min(ord) AS lo, max(ord) AS hi FROM s GROUP BY doc_id)
+SELECT s.doc_id, g AS "group", min(ord) AS first, max(ord) AS last, count(*) AS blocks, greatest(any_value(lo), min(ord) - 2) AS "from", least(any_value(hi), max(ord) + 2) AS "to" FROM s JOIN w ON s.doc_id = key AND s.seq = w.seq JOIN b ON b.doc_id = s.doc_id GROUP BY s.doc_id, g""",
+)
 def src11(spark, sf):
     b = blocks(spark, sf).withColumn("n", F.length("text"))
     owned = B.greedy_groups(b.select("doc_id", "ord", "n"), ["doc_id"], "ord", "n", 7000, most=12)
     return context_ranges(owned, "doc_id", "ord", "group", 2)
 
 
-@query("src12_sentence_spans")
+@query(
+    "src12_sentence_spans",
+    r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.;!?])(\s+[\p{Lu}–—-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents),
+u AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS n FROM p), e AS (SELECT *, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)::INT AS stop, regexp_replace(raw, '^\s+', '') AS t FROM u)
+SELECT doc_id, n, stop - length(t) AS start, stop AS "end", sha256(t) AS sha FROM e""",
+)
 def src12(spark, sf):
     return B.sentence_spans(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "n", "start", "end", F.sha2("sentence", 256).alias("sha"))
 
@@ -191,7 +222,11 @@ def src15(spark, sf):
     return B.continued_tables(t, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "continues")
 
 
-@query("src16_row_bundles")
+@query(
+    "src16_row_bundles",
+    f"""WITH RECURSIVE s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, length(concat_ws('|', l_partkey, l_suppkey, l_quantity, l_extendedprice)) + 30 AS n FROM lineitem),
+{greedy_sql("SELECT l_orderkey AS key, seq, n, 0 AS chg FROM s", 200)} SELECT l_orderkey, s.seq, n, g AS "group" FROM s JOIN w ON l_orderkey = key AND s.seq = w.seq""",
+)
 def src16(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     rows = rows.withColumn("n", F.length(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")])) + 30)

@@ -180,7 +180,12 @@ def txt14(spark, sf):
     return X.look_alike_names(table(spark, sf, "part").select("p_partkey", "p_brand", shown.alias("shown")), ["p_partkey"], "shown", ["p_brand"])
 
 
-@query("txt15_text_flags")
+@query(
+    "txt15_text_flags",
+    f"""WITH {BLOCKS_SQL}, t AS (SELECT doc_id, ord, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS w FROM blocks),
+d AS (SELECT *, list_filter(range(1, len(w) - 1), lambda i: w[i + 1] = ' ' AND lower(w[i]) = lower(w[i + 2]) AND regexp_matches(w[i], '^\\p{{L}}{{2,}}$')) AS hits FROM t)
+SELECT doc_id, ord, (length(text) - length(replace(text, '(', ''))) - (length(text) - length(replace(text, ')', ''))) AS open_brackets, w[hits[1]] AS doubled FROM d""",
+)
 def txt15(spark, sf):
     return X.text_flags(blocks(spark, sf), ["doc_id", "ord"], "text")
 
@@ -247,8 +252,8 @@ def hashing_encoder(size: int = 64):
     return encode
 
 
-@query("udf3_text_encoder")
-def udf3(spark, sf):
+@query("udf1_text_encoder")
+def udf1_text(spark, sf):
     from clausework.functions.encoder import checked_encoder
 
     v = table(spark, sf, "documents").select("doc_id", checked_encoder(hashing_encoder(), size=64)("text").alias("v"))

@@ -147,3 +147,47 @@ def test_partitioning_does_not_matter(spark, sf, name):
         assert sorted(map(str, QUERIES[name](spark, sf).collect())) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def test_duplicate_groups_by_hand(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    kept, want = defaultdict(list), {}
+    for p in sorted(parts, key=lambda p: p.p_partkey):
+        text = f"{p.p_name} {p.p_type} {p.p_size}"
+        group = kept[p.p_brand, p.p_type]
+        hit = next((k for k, t in group if 1 - edit_distance(t, text) / max(len(t), len(text)) >= 0.9), None)
+        want[p.p_partkey] = hit
+        if hit is None:
+            group.append((p.p_partkey, text))
+    assert {r.p_partkey: r.duplicate_of for r in QUERIES["dup2_duplicate_groups"](spark, sf).collect()} == want
+
+
+def test_degradation_by_hand(spark):
+    import math
+    from statistics import median
+
+    from clausework.plans.stream import samples
+
+    sf = "/root/testdata/sf0.01"
+    rows = samples(spark.read.parquet(f"{sf}/events.parquet")).collect()
+    seen, alarm, want = defaultdict(list), {}, set()
+    for r in sorted(rows, key=lambda r: (r.ended, r.id)):
+        if r.prompt < 200 or r.predicted < 96:
+            continue
+        k = (r.stage, math.floor(math.log(r.prompt) / math.log(1.25)))
+        seen[k].append(r)
+        own = seen[k]
+        low = all(median([getattr(x, c) for x in own[-4:]]) < 0.85 * median([getattr(x, c) for x in own[:5]]) for c in ("prefill", "generation"))
+        if len(own) >= 9 and low and (k not in alarm or math.floor(r.ended.timestamp()) - alarm[k] >= 3600):
+            alarm[k] = math.floor(r.ended.timestamp())
+            want.add((*k, len(own)))
+    assert {(r.stage, r.bucket, r.n) for r in QUERIES["str4_throughput_degradation"](spark, sf).collect()} == want
