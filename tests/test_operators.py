@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers the queries
 from clausework.functions import text as T
 from clausework.operators import blocks as B
 from clausework.operators import dedup as D
