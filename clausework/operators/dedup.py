@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausework.sources.scratch import written
+
 
 def finding_key(*parts: Column, evidence: Column) -> Column:
     """SHA-256 of the parts and the sorted evidence."""
@@ -91,7 +93,7 @@ def revision_roots(edges: DataFrame, node: str, before: str, rounds: int = 40) -
     for _ in range(rounds):
         up = now.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         nxt = now.join(up, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"), (F.coalesce("_r", "root") != F.col("root")).alias("_moved"))
-        nxt = nxt.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else nxt
+        nxt = written(nxt, "roots")
         moved = nxt.where("_moved").limit(1).count()
         now = nxt.drop("_moved")
         if not moved:

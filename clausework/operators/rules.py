@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausework.sources.scratch import written
+
 DEPTH, OPERANDS = 12, 100
 
 
@@ -64,13 +66,16 @@ def fact_predicate(values: Column, complete: Column, evidence: Column, wanted: l
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = DEPTH) -> DataFrame:
     """``node, ancestor, distance, cycle``: every node with itself and all its ancestors. A step joins the frontier with the edges; paths carry their nodes, so a
     cycle ends where it closes and is marked. Deeper chains than ``depth`` are an error of the caller's data and end there."""
-    e = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p"))
+    e = written(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")), "edges")
     nodes = e.select("_c").union(e.select("_p")).distinct().where("_c is not null")
     level = nodes.select(F.col("_c").alias("node"), F.col("_c").alias("ancestor"), F.lit(0).alias("distance"), F.array("_c").alias("path"), F.lit(False).alias("cycle"))
     out = level
     for k in range(1, depth + 1):
         nxt = level.where("not cycle").join(e, F.col("ancestor") == F.col("_c")).where("_p is not null")
-        level = nxt.select("node", F.col("_p").alias("ancestor"), F.lit(k).alias("distance"), F.array_append("path", F.col("_p")).alias("path"), F.array_contains("path", F.col("_p")).alias("cycle"))
+        nxt = nxt.select("node", F.col("_p").alias("ancestor"), F.lit(k).alias("distance"), F.array_append("path", F.col("_p")).alias("path"), F.array_contains("path", F.col("_p")).alias("cycle"))
+        level = written(nxt, "level")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"), F.bool_or("cycle").alias("cycle"))
 

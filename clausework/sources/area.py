@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REQUIREMENT = "id string, source string, locator string, start int, end int"
-
+from clausework.sources.scratch import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where ``spark.checkpoint.dir`` is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="clausework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+REQUIREMENT = "id string, source string, locator string, start int, end int"
 
 
 def export_area(spark: SparkSession, sources: DataFrame, requirements: DataFrame, path: str | None = None) -> str:
