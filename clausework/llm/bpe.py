@@ -3,8 +3,8 @@
 Texts are cut into words by the vocabulary's pattern. The distinct new words of a batch form one array of symbols; an index maps each pair's
 rank to all positions where the pair stands, a heap holds the active ranks. Ranks are applied in ascending order, each at all its positions
 from left to right, and the lists of the pairs that a merge makes or breaks are updated. A merge only makes pairs of higher rank (checked when
-the vocabulary is loaded), so ascending ranks give the library's result. Encoded words are kept in a per-worker dictionary of at most
-``KEPT_WORDS`` entries, which starts anew when full.
+the vocabulary is loaded), so ascending ranks give the library's result. Encoded words are kept in a dictionary of the
+task; beyond ``KEPT_WORDS`` entries it becomes the older of two generations, from which words in use are taken over.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from clausework.llm.words import batches
 
-KEPT_WORDS = 300_000
+KEPT_WORDS, CHUNK = 80_000, 1_000_000
 VOCABULARY = "byte_bpe_50k.json"
 _loaded: dict[str, Vocabulary] = {}
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this family.
@@ -78,6 +78,7 @@ class Vocabulary:
         self.splits = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.wide, self.narrow = regex.compile(PATTERN), re.compile(_NARROW)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def words(self, text: str) -> list[str]:
         return (self.wide if _SLOW.search(text) else self.narrow).findall(text)
@@ -98,11 +99,16 @@ class Vocabulary:
         cut = [self.pieces(t) for t in texts]
         distinct = {w for ws in cut for w in ws if isinstance(w, str)} if self.special else set(chain.from_iterable(cut))
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for w in distinct:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         if new:
-            self.known.update(zip(new, merge_words(self, [w.encode() for w in new]), strict=True))
-        known = self.known
+            known.update(zip(new, merge_words(self, [w.encode() for w in new]), strict=True))
         out = []
         for ws in cut:
             try:
@@ -192,9 +198,10 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
 
     def run(frames):
         v = _vocabulary(path)
-        for batch, column in batches(frames, "_text_to_encode"):
+        for batch, column in batches(frames, "_text_to_encode", CHUNK):
             ids = pa.array(v.encode(column.to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, into])
+        v.known, v.older = {}, {}  # idle workers stay; their memory shouldn't
 
     fields = [source.schema[c] for c in keep]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], f"`{into}` array<int>"])
@@ -222,10 +229,29 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", vocabulary:
     return docs.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``ids`` and ``decoded``, the text decoded from those ids, in one pass of one worker a task."""
+    path = vocabulary or default_vocabulary()
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
+    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text_to_encode"))
+
+    def run(frames):
+        v = _vocabulary(path)
+        for batch, column in batches(frames, "_text_to_encode", CHUNK):
+            ids = v.encode(column.to_pylist())
+            new = [pa.array(ids, pa.list_(pa.int32())), pa.array([v.decode(x) for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new], [*keep, "ids", "decoded"])
+        v.known, v.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
+    fields = [source.schema[c] for c in keep]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "ids array<int>, decoded string"])
+    return source.mapInArrow(run, schema)
+
+
 def encoding_digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, from the real ids and the text decoded from them."""
-    ids = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", vocabulary=vocabulary, spark_keep=["doc_id"])
-    back = decode(ids, vocabulary=vocabulary)
+    back = round_trip(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"], vocabulary=vocabulary)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -110,9 +110,9 @@ def words(column: pa.Array) -> Words:
     return Words(buf, docs, start, end, prefix)
 
 
-def batches(frames: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batches of about CHUNK_BYTES of text, each with its text column."""
+def batches(frames: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches of about ``most`` bytes of text, each with its text column."""
     for batch in frames:
         column = text_column(batch.column(text))
-        for a, b in chunks(column):
+        for a, b in chunks(column, most):
             yield batch.slice(a, b - a), column.slice(a, b - a)
