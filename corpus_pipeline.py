@@ -7,6 +7,7 @@ return the columns of ``documents``. Every stage works on all rows that its pred
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clausework.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from clausework.llm.util import materialise
@@ -15,7 +16,10 @@ from clausework.llm.util import materialise
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and whose words stand mostly on lines labelled content."""
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, weights).where("kept").select(*docs.columns)
+    names = docs.columns  # numbered meanwhile, so that columns named like the verdicts come out unchanged
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    judged = quality.judge(numbered, weights, text=f"_{names.index('text')}").where("kept")
+    return judged.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

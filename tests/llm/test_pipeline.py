@@ -98,3 +98,20 @@ def test_empty(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_and_columns(spark):
+    """Nulls in any column, repeated rows, a very long text, and extra columns named like the stages' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    text = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(None, text, None, None, None), (None, text, None, None, None), (5, None, "en", "src0", 1), (5, "", None, "src0", 0), (6, text[:900], "en", None, 9)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for c in ("kept", "digest", "size", "taken", "ids", "n_words", "position", "target"):
+        docs = docs.withColumn(c, docs.text)
+    columns = docs.columns
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        docs = materialise(f(spark, docs, SF), "odd")
+        if k < 4:
+            assert docs.columns == columns
+            assert docs.where("not (kept <=> text) or not (size <=> text)").count() == 0
+    assert docs.count() > 0
