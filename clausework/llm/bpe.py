@@ -4,7 +4,7 @@ Texts are cut into words by the vocabulary's pattern. The distinct new words of
 rank to all positions where the pair stands, a heap holds the active ranks. Ranks are applied in ascending order, each at all its positions
 from left to right, and the lists of the pairs that a merge makes or breaks are updated. A merge only makes pairs of higher rank (checked when
 the vocabulary is loaded), so ascending ranks give the library's result. Encoded words are kept in a dictionary of the
-task; beyond ``KEPT_WORDS`` entries it becomes the older of two generations, from which words in use are taken over.
+worker; beyond ``KEPT_WORDS`` entries it becomes the older of two generations, from which words in use are taken over.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from clausework.llm.words import batches
 
-KEPT_WORDS, CHUNK = 80_000, 1_000_000
+KEPT_WORDS, CHUNK = 200_000, 2_000_000
 VOCABULARY = "byte_bpe_50k.json"
 _loaded: dict[str, Vocabulary] = {}
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this family.
@@ -201,7 +201,6 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
         for batch, column in batches(frames, "_text_to_encode", CHUNK):
             ids = pa.array(v.encode(column.to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, into])
-        v.known, v.older = {}, {}  # idle workers stay; their memory shouldn't
 
     fields = [source.schema[c] for c in keep]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], f"`{into}` array<int>"])
@@ -241,7 +240,7 @@ def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
             ids = v.encode(column.to_pylist())
             new = [pa.array(ids, pa.list_(pa.int32())), pa.array([v.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new], [*keep, "ids", "decoded"])
-        v.known, v.older = {}, {}
+        v.older = {}  # idle workers stay; half of their memory is enough
         pa.default_memory_pool().release_unused()
 
     fields = [source.schema[c] for c in keep]
