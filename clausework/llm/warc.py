@@ -10,14 +10,13 @@ of their own, and a join on the digest restores each original record.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm.util import materialise, new_path
+from clausework.llm.util import new_path
 
 #: Payloads below this many bytes always stand in a response of their own.
 LEAST = 100
@@ -156,17 +155,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
+def responses(records: DataFrame) -> DataFrame:
+    """``digest, block`` of every response. A record whose bytes don't match their claimed digest is an error, not a row."""
+    good = F.when(F.col("verified"), F.col("digest")).otherwise(F.raise_error(F.lit("a payload doesn't match its digest")))
+    return records.where(F.col("record_type") == "response").select(good.alias("digest"), "block")
+
+
 def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(payloads, headers): payload bytes once per verified digest, and every record's exact header apart from them.
 
-    A record whose bytes don't match their claimed digest is an error, not a row.
+    Payloads are dealt by digest, which is how ``restore`` joins them, so the bytes move once.
     """
-    good = F.when(F.col("verified"), F.col("digest")).otherwise(F.raise_error(F.lit("a payload doesn't match its digest")))
-    bytes_ = records.where(F.col("record_type") == "response").select(good.alias("digest"), "block")
-    # Equal payloads below LEAST stand in several responses; the rest are single already. any_value keeps one, map-side first.
-    small = bytes_.where(F.length("block") < LEAST).groupBy("digest").agg(F.any_value("block").alias("block"))
-    payloads = bytes_.where(F.length("block") >= LEAST).unionByName(small)
-    return payloads, records.drop("block", "verified")
+    return responses(records).dropDuplicates(["digest"]), records.drop("block", "verified")
 
 
 def restore(payloads: DataFrame, headers: DataFrame) -> DataFrame:
@@ -179,8 +179,9 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = new_path(spark, "warc")
     write_archives(pages, path)
-    payloads, headers = store(materialise(read_archives(spark, path), f"records-{uuid.uuid4().hex[:6]}"))
-    facts = payloads.select("digest", F.length("block").cast("long").alias("payload_bytes"), F.sha2("block", 256).alias("payload_digest"))
+    records = read_archives(spark, path)  # the archives are the written copy; each side reads them
+    facts = responses(records).select("digest", F.length("block").cast("long").alias("payload_bytes"), F.sha2("block", 256).alias("payload_digest")).distinct()
+    headers = records.drop("block", "verified")  # the digests of the bytes read, not the bytes, meet the headers: what is reported needs no more
     kind = pages.schema["page_id"].dataType
     joined = headers.join(facts, "digest", "left")
     return joined.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
