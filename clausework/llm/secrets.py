@@ -145,15 +145,15 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
     schema = ", ".join([*[f"{c} {source.schema[c].dataType.simpleString()}" for c in names], "base array<struct<kind:string,start:int,end:int>>", "candidates array<struct<start:int,end:int,stratum:string,bin:int>>"])
     found = materialise(source.mapInArrow(run, schema), "secrets")
-    least = thresholds(found, rate).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))).alias("least"))
-    judged = found.join(F.broadcast(least))  # one row: a join with a map of at most 27 entries
+    least = thresholds(found, rate).collect()  # at most 27 rows
+    bound = F.create_map(*[F.lit(x) for r in least for x in (r.stratum, r.least)]) if least else F.create_map().cast("map<string,int>")
     outside = lambda c: ~F.exists("base", lambda b: (b.start <= c.start) & (b.end >= c.end))
-    taken = F.filter("candidates", lambda c: outside(c) & (c.bin >= F.coalesce(F.col("least")[c.stratum], F.lit(LOWEST + 1))))
+    taken = F.filter("candidates", lambda c: outside(c) & (c.bin >= F.coalesce(F.try_element_at(bound, c.stratum), F.lit(LOWEST + 1))))
     random = F.transform(taken, lambda c: F.struct(F.lit("random").alias("kind"), c.start.alias("start"), c.end.alias("end")))
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s.kind)
     order = lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise((rank(a) - rank(b)).cast("int"))
     spans = F.array_sort(F.concat("base", random), order)
-    return judged.select(*[F.col(a).alias(c) for c, a in zip(keep, names, strict=True)], "base", spans.alias("spans"))
+    return found.select(*[F.col(a).alias(c) for c, a in zip(keep, names, strict=True)], "base", spans.alias("spans"))
 
 
 def _joined(spans: str):
