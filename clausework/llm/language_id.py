@@ -4,7 +4,9 @@ Per language, raw-content zstandard dictionaries are cut from labelled documents
 compresses it to the fewest bytes. Texts and dictionaries are lower-cased and reduced to letters and single spaces, and a dictionary's
 words stand in hash order: what it knows is the words of a language, not passages that its sample shares with other languages. Texts are
 compressed in pieces, so that every part of a long one is measured against the dictionary rather than against its own beginning; short
-texts are summed over ``DICTIONARIES`` disjoint dictionaries for a finer scale. The margin between the two best languages, relative to
+texts are summed over ``DICTIONARIES`` disjoint dictionaries for a finer scale. Each language keeps all that its own sample gives, up to the
+fixed room. A smaller sample is repeated to the size of the largest, and as it knows fewer words by chance, its sizes are divided by what
+such a small dictionary costs on texts of other languages (``handicaps``). The margin between the two best languages, relative to
 the best, gives the score; below ``MARGIN`` the answer is rejected (``rejected``), while ``lang_pred`` still names the smaller one.
 """
 
@@ -25,6 +27,8 @@ from clausework.llm.words import batches
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 4000
 DICTIONARIES, DICTIONARY_BYTES = 4, 24_000
 PIECE_BYTES, LEVELS, MARGIN = 4096, (12, 6), 0.02
+#: Lengths of the texts on which small dictionaries are calibrated; at most so many languages give the texts, and as many the dictionaries.
+LENGTHS, JUDGES = (16, 64, 256, 1024, 4096), 3
 #: Spaces before each piece: without anything that compresses, zstandard would store a short text as it is.
 CARRIER = b" " * 64
 #: Texts up to this many bytes are measured against all dictionaries of a language at the first level, longer ones against all of it as one at the second.
@@ -41,9 +45,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     """Dictionaries of each language of ``docs``.
 
     The sample is bounded: the ``SAMPLE_DOCS`` documents a language first in the order of xxhash64 of their id, of those with 1 to
-    ``SAMPLE_CHARS`` characters (all lengths where a language has no such text), cut to the dictionaries' bytes: at most 1.6 MB a language, for up to a few hundred languages. Rows with a null language or id are left out.
+    ``SAMPLE_CHARS`` characters (all lengths where a language has no such text), cut to the dictionaries' bytes: at most 1.6 MB a language, for up to a few hundred languages. Rows with a null language or id
+    and texts without a letter are left out. A language whose sample gives fewer bytes than the dictionaries hold keeps all of them, whatever the others have.
     """
-    usable = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & (F.length(text) > 0)).select(
+    usable = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.rlike(text, F.lit(r"\p{L}"))).select(
         F.col(lang).alias("lang"), (F.length(text) > SAMPLE_CHARS).alias("long"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.length(text).alias("chars")
     )
     order = Window.partitionBy("lang").orderBy("long", "h", "id", "chars")
@@ -55,17 +60,67 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     for r in sorted(sample.collect(), key=lambda r: (r.lang, r.n, r.text)):
         texts.setdefault(r.lang, []).append(letters(r.text))
     room = DICTIONARIES * DICTIONARY_BYTES
-    size = min([room, *(len("\n".join(t).encode()) for t in texts.values())])  # as much of each language, or the larger dictionary wins
     often = {r[0]: r[1] for r in docs.where(F.col(lang).isin(list(texts))).groupBy(lang).count().collect()}
     out = {}
     for name, own in sorted(texts.items(), key=lambda x: (-often.get(x[0], 0), x[0])):  # of equal sizes, the more frequent language
         words = [w for t in own for w in t.split()]
         words = [w for _, w in sorted((md5(f"{i} {w}".encode()).digest(), w) for i, w in enumerate(words))]
-        data = " ".join(words).encode()[:size]
-        out[name] = [data[k * len(data) // DICTIONARIES : (k + 1) * len(data) // DICTIONARIES].ljust(8) for k in range(DICTIONARIES)]
+        data = " ".join(words).encode()[:room]
+        out[name] = _parts(data)
     return out
 
 
+def _parts(data: bytes) -> list[bytes]:
+    return [data[k * len(data) // DICTIONARIES : (k + 1) * len(data) // DICTIONARIES] for k in range(DICTIONARIES)]
+
+
+def _filled(data: bytes, size: int) -> list[bytes]:
+    """The dictionaries of a sample, which is repeated to ``size`` bytes."""
+    if len(data) < size:
+        data = ((data + b" ") * (size // (len(data) + 1) + 1))[:size]
+    return [d.ljust(8) for d in _parts(data)]
+
+
+def _compressors(parts: list[bytes], level: int) -> list:
+    import zstandard
+
+    def one(d: bytes):
+        made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False).compress
+
+    return [one(d) for d in parts]
+
+
+def handicaps(models: dict[str, list[bytes]]) -> dict[str, list[float]]:
+    """Per language and length of ``LENGTHS``: how many times the bytes a sample of its size needs, on texts of a language that isn't the dictionary's, of those that the largest size needs.
+
+    Measured on the ``JUDGES`` largest samples: each is cut to the size in question, and words of other samples are the texts. 1 where all samples are equally large.
+    """
+    data = {name: b"".join(parts) for name, parts in models.items()}
+    largest = sorted(data, key=lambda name: -len(data[name]))[:JUDGES + 1]
+    most = max(map(len, data.values()), default=0)
+    judges = [m for m in largest if len(data[m]) == most or m == largest[0]][:JUDGES]
+    known: dict[int, list[float]] = {most: [1.0] * len(LENGTHS)}
+
+    def bytes_of(own: bytes, foreign: list[bytes]) -> list[int]:
+        parts = _filled(own, most)
+        tools = _compressors(parts, LEVELS[0]), _compressors([b"".join(parts)], LEVELS[1])
+        return [sum(len(f(CARRIER + t)) * DICTIONARIES // len(kinds) for t in _texts(foreign, n) for f in kinds) for n in LENGTHS for kinds in [tools[n > SHORT_BYTES]]]
+
+    others = {m: [data[n] for n in largest if n != m] for m in judges}
+    full = {m: bytes_of(data[m], others[m]) for m in judges} if any(len(d) < most for d in data.values()) else {}
+    for size in {len(d) for d in data.values()} - {most}:
+        small = [bytes_of(data[m][:size], others[m]) for m in judges]
+        known[size] = [max(1.0, sum(x) / max(1, sum(y))) for x, y in zip(zip(*small), zip(*full.values()))]
+    return {name: known[len(d)] for name, d in data.items()}
+
+
+def _texts(samples: list[bytes], n: int, times: int = 8) -> list[bytes]:
+    """Up to ``times`` pieces of n bytes of each sample (the whole of a smaller one)."""
+    return [d[k * (len(d) - n) // times :][:n] for d in samples for k in range(times if len(d) > n else 1)]
+
+
 def classify(docs: DataFrame, models: dict[str, list[bytes]], text: str = "text", margin: float = MARGIN) -> DataFrame:
     """``docs`` with ``lang_pred, score, rejected, letters`` appended (columns of these names are replaced).
 
@@ -75,19 +130,15 @@ def classify(docs: DataFrame, models: dict[str, list[bytes]], text: str = "text"
     added = ["lang_pred", "score", "rejected"]
     keep = [c for c in docs.columns if c not in added]
     source = docs.select(*keep, F.col(text).alias("_text_to_classify"))
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    most = max((len(b"".join(parts)) for parts in models.values()), default=0)
+    held = docs.sparkSession.sparkContext.broadcast(({name: _filled(b"".join(parts), most) for name, parts in models.items()}, handicaps(models)))
 
     def run(frames):
-        import zstandard
-
-        names = list(held.value)
-        def compressor(d: bytes, level: int):
-            made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            made.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False).compress
-
-        short = [[compressor(d, LEVELS[0]) for d in held.value[name]] for name in names]
-        long = [[compressor(b"".join(held.value[name]), LEVELS[1])] for name in names]
+        names = list(held.value[0])
+        short = [_compressors(held.value[0][name], LEVELS[0]) for name in names]
+        long = [_compressors([b"".join(held.value[0][name])], LEVELS[1]) for name in names]
+        costs = [held.value[1][name] for name in names]
+        uneven = any(c != 1 for own in costs for c in own)
 
         def one(t: str) -> tuple[str, float, bool]:
             if not names or not any(map(str.isalpha, t[:200])) and not any(map(str.isalpha, t)):
@@ -96,6 +147,9 @@ def classify(docs: DataFrame, models: dict[str, list[bytes]], text: str = "text"
             tools = short if len(data) <= SHORT_BYTES else long
             pieces = [CARRIER + data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
             sizes = [sum(len(f(p)) for f in kinds for p in pieces) for kinds in tools]
+            if uneven:
+                near = min(range(len(LENGTHS)), key=lambda k: abs(math.log(max(1, min(len(data), PIECE_BYTES)) / LENGTHS[k])))
+                sizes = [size / own[near] for size, own in zip(sizes, costs)]
             order = sorted(range(len(names)), key=lambda i: (sizes[i], i))
             best = sizes[order[0]]
             gap = (sizes[order[1]] - best) / best if len(order) > 1 else 1.0

@@ -26,3 +26,17 @@ def test_edges(spark):
     assert {r.lang_pred for r in classify(asked, learn(docs.where("false"))).collect()} == {"und"}
     clash = classify(docs, models)
     assert clash.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
+
+
+def test_rare_language_leaves_the_others_whole(spark):
+    """A language of two words, and one of digits only, beside the large ones: each is still told, and the others keep their dictionaries."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    rare = spark.createDataFrame([(-1, "zorbix quanuu", "xx"), (-2, "12 345 6789", "digits")], "doc_id long, text string, lang string").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    alone, both = learn(docs.where(fold != 2)), learn(docs.where(fold != 2).unionByName(rare))
+    assert set(both) == {*alone, "xx"}
+    assert all(both[name] == alone[name] for name in alone)
+    asked = docs.where(fold == 2).unionByName(spark.createDataFrame([("-3", "quanuu zorbix", "xx"), ("-4", "zorbix zorbix quanuu", "xx")], "doc_id string, text string, lang string").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    rows = classify(asked, both).select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+    assert all(r.lang_pred == "xx" for r in rows if r.lang == "xx")
