@@ -4,7 +4,8 @@ Every page is cut into tokens: structural ones (the path of open elements) and t
 occurrence vector, its count on each page. Tokens of equal vectors (up to a constant factor) form an equivalence class; a class is valid if it is found on
 most of the host's pages, holds structural tokens, and lies within one gap of every larger class or leaves room for it within one gap of
 its own (nesting). Valid classes make the host's template. Its texts are menus, notices, footers and the like; what remains in the slots is page
-content, of which elements that by tag, role or class aren't the article are left out.
+content, of which elements that by tag, role or class aren't the article are left out. Copies of a page are one page here, or they would make each
+other's text a template, and blocks within article or main elements stay even if they stand on every page.
 
 Vectors are never gathered: sums of page hashes times counts stand for them, so a host of any size is one partial aggregate per token. A template holds tokens that
 are found on most pages of a host, so it is bounded by the size of its pages.
@@ -26,11 +27,13 @@ from clausework.llm.url_filter import host_of
 from clausework.llm.util import materialise
 from clausework.llm.words import batches
 
-#: A template needs this many pages of the host; its tokens stand on at least this share of them.
+#: A template needs this many different pages of the host; its tokens stand on at least this share of them.
 LEAST_PAGES, SUPPORT = 5, 0.8
 LEAST_CLASS = 3
 #: Templates of up to this many tokens in all are broadcast (about 50 bytes each); more are joined by a shuffle on the host.
 BROADCAST_TOKENS = 500_000
+#: Hashes of repeated pages up to this many are broadcast (8 bytes each); with more, all pages are dealt by their digest.
+BROADCAST_COPIES = 2_000_000
 
 #: Elements whose content is never text of the article, those that are left out as a region, those that don't end a block, and those without content.
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "xmp", "math", "object", "canvas")
@@ -154,6 +157,21 @@ def _tokens(blocks: list[Block], tags: list[tuple[str, int]]) -> dict[int, tuple
     return {t: (n, *first[t]) for t, n in counts.items()}
 
 
+def distinct_pages(pages: DataFrame, host: str, source: str, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
+    """``host, source``: each different page of a host once. Only pages whose hash occurs again are shuffled."""
+    rows = pages.select(host, F.coalesce(F.col(source), F.lit("")).alias(source))
+    key = F.xxhash64(host, source)
+    again = materialise(rows.groupBy(key.alias("_again")).count().where("count > 1").select("_again"), "copies")
+
+    def once(df):
+        return df.withColumn("_digest", F.sha2(source, 256)).dropDuplicates([host, "_digest"]).drop("_digest")
+
+    if again.count() > broadcast_copies:
+        return once(rows)
+    met = F.broadcast(again)
+    return rows.join(met, key == F.col("_again"), "left_anti").unionByName(once(rows.join(met, key == F.col("_again"), "left_semi")))
+
+
 def token_vectors(pages: DataFrame, host: str, source: str) -> DataFrame:
     """``host, token, tag, n_pages, total, v1, v2, place`` over all pages; v1 and v2 stand for the occurrence vector."""
     rows = pages.select(F.col(host).alias("host"), F.col(source).alias("_html"))
@@ -211,9 +229,9 @@ def nested(classes: list) -> set[int]:
 
 
 def main_text(source: str, template: set[int]) -> str:
-    """Text of the article of one page. With article or main elements in the page, only they count; without any, everything that no region or template holds."""
+    """Text of the article of one page. With article or main elements in the page, only they count, whole but for regions; without any, everything that no region or template holds."""
     blocks, _ = parse(source)
-    kept = [b for b in blocks if not b.outside and (not template or _hash(b.path, b.text) not in template)]
+    kept = [b for b in blocks if not b.outside and (b.article or not template or _hash(b.path, b.text) not in template)]
     if any(b.article for b in kept):
         kept = [b for b in kept if b.article]
     return " ".join(b.text for b in kept)
@@ -222,13 +240,13 @@ def main_text(source: str, template: set[int]) -> str:
 def extract(pages: DataFrame, source: str = "html", url: str = "url", keep: list[str] | None = None, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """``pages`` (or its columns ``keep``) with ``text`` appended (a column of that name is replaced).
 
-    Null or empty html gives an empty text; null URLs share the empty host. Pages of hosts with fewer than ``LEAST_PAGES`` pages are judged by their elements
-    alone. Ids play no part; repeated rows count as pages of their own and get equal texts; an empty table gives no rows.
+    Null or empty html gives an empty text; null URLs share the empty host. Pages of hosts with fewer than ``LEAST_PAGES`` different pages are judged by their elements
+    alone. Ids play no part; repeated rows count as one page and get equal texts; an empty table gives no rows.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c != "text"]
     names = [f"_{i}" for i in range(len(keep))]
     rows = pages.select(*[F.col(c).alias(a) for c, a in zip(keep, names, strict=True)], host_of(F.col(url)).alias("_host"), F.col(source).alias("_html"))
-    made = materialise(templates(token_vectors(rows, "_host", "_html")), "templates")
+    made = materialise(templates(token_vectors(distinct_pages(rows, "_host", "_html"), "_host", "_html")), "templates")
     size = made.agg(F.coalesce(F.sum("tokens"), F.lit(0))).head()[0]
     made = made.select(F.col("host").alias("_of"), "classes")
     joined = rows.join(F.broadcast(made) if size <= broadcast_tokens else made, F.col("_host") == F.col("_of"), "left").drop("_of")

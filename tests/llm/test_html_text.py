@@ -1,7 +1,7 @@
 import html
 import re
 
-from clausework.llm.html_text import extract, main_text, op8_html_text, parse
+from clausework.llm.html_text import distinct_pages, extract, main_text, op8_html_text, parse
 
 
 def plain(page):
@@ -68,3 +68,23 @@ def test_edges(spark):
     assert extract(df.where("false")).count() == 0
     by_shuffle = extract(df, broadcast_tokens=-1)
     assert by_shuffle.count() == 4
+
+
+def test_only_copies_make_no_template(spark):
+    """Hosts of 5 equal pages in 5 and of 9 in 10 lose nothing, and a paragraph of the article on every page stays."""
+    bare = lambda i: f"<html><body><div><h1>Story {i}</h1><p>First {i}</p><p>Second {i}</p></div></body></html>"
+    rows = [(i, "http://five.example/", page(7)) for i in range(5)] + [(10 + i, "http://bare.example/", bare(7)) for i in range(5)]
+    rows += [(20 + i, None, bare(7 if i < 9 else i)) for i in range(10)] + [(40 + i, "http://same.example/", page(i).replace("</h1>", "</h1><p>On every page</p>")) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert all(got[i] == want(7) for i in range(5))
+    assert all(got[10 + i] == "Story 7 First 7 Second 7" for i in range(5))
+    assert all(got[20 + i] == "Story {0} First {0} Second {0}".format(7 if i < 9 else i) for i in range(10))
+    assert all(got[40 + i] == want(i).replace("more ", "more On every page ", 1) for i in range(8))
+
+
+def test_distinct_pages(spark):
+    df = spark.createDataFrame([("h", "a"), ("h", "a"), ("g", "a"), ("h", "b"), ("h", None), ("h", "")], "host string, html string")
+    for most in (100, -1):
+        got = distinct_pages(df, "host", "html", broadcast_copies=most).collect()
+        assert sorted((r.host, r.html) for r in got) == [("g", "a"), ("h", ""), ("h", "a"), ("h", "b")]
