@@ -122,7 +122,10 @@ def training_order(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return training_plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    """The plan in training order: rows are range-sorted by the position of the document's first pass, those without a target last. Columns are those of the SQL, which has no position."""
+    plan = training_plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("_position", position(F.col("start"), F.col("target"), F.col("tilt")))
+    order = [F.col("_position").asc_nulls_last(), F.col("doc_id").asc()]
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = r"""

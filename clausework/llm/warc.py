@@ -164,27 +164,37 @@ def responses(records: DataFrame) -> DataFrame:
 def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(payloads, headers): payload bytes once per verified digest, and every record's exact header apart from them.
 
-    Payloads are dealt by digest, which is how ``restore`` joins them, so the bytes move once.
+    Payloads are dealt by digest, which is how ``restore`` joins them, so the bytes move once, and each is compressed (``zlib``) for the way.
     """
-    return responses(records).dropDuplicates(["digest"]), records.drop("block", "verified")
+    return _each(responses(records), "block", zlib.compress).dropDuplicates(["digest"]), records.drop("block", "verified")
+
+
+def _each(df: DataFrame, name: str, f) -> DataFrame:
+    """``df`` with ``f`` applied to each of the bytes of column ``name``; null stays null."""
+
+    def run(frames):
+        for batch in (whole.slice(i, 500) for whole in frames for i in range(0, whole.num_rows, 500)):
+            k = batch.schema.get_field_index(name)
+            made = pa.array([None if x is None else f(x) for x in batch.column(k).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([made if i == k else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def restore(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     """The original records: every header with its payload, by a join on the digest. A revisit whose response is missing has a null payload."""
     kept = payloads.select(F.col("digest").alias("_digest"), F.col("block").alias("payload"))
-    return headers.join(kept, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    return _each(headers.join(kept, F.col("digest") == F.col("_digest"), "left").drop("_digest"), "payload", zlib.decompress)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = new_path(spark, "warc")
     write_archives(pages, path)
-    records = read_archives(spark, path)  # the archives are the written copy; each side reads them
-    facts = responses(records).select("digest", F.length("block").cast("long").alias("payload_bytes"), F.sha2("block", 256).alias("payload_digest")).distinct()
-    headers = records.drop("block", "verified")  # the digests of the bytes read, not the bytes, meet the headers: what is reported needs no more
+    restored = restore(*store(read_archives(spark, path)))  # the archives are the written copy; each side reads them
     kind = pages.schema["page_id"].dataType
-    joined = headers.join(facts, "digest", "left")
-    return joined.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    size, digest = F.length("payload").cast("long"), F.sha2("payload", 256)
+    return restored.select(F.col("id").cast(kind).alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 OP4_SQL = """

@@ -45,3 +45,20 @@ def test_order_is_by_position(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     a = [r.doc_id for r in M.training_order(df).collect()]
     assert a == [r.doc_id for r in M.training_order(df.repartition(7)).collect()]  # reruns agree
+
+
+def test_query_stands_in_training_order(spark, sf):
+    """Rows of op9 follow the time at which the source's integrated schedule reaches each document, found here by bisection."""
+    plan = {r.doc_id: r for r in M.training_plan(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert len({r.tilt for r in plan.values()}) > 1
+
+    def time(r):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            t = (low + high) / 2
+            low, high = (t, high) if r.target * (t + r.tilt * t * (1 - t)) < r.start else (low, t)
+        return high
+
+    times = [time(plan[r.doc_id]) for r in M.op9_mix_sources(spark, sf).collect()]
+    assert len(times) == len(plan)
+    assert all(a <= b + 1e-9 for a, b in zip(times, times[1:]))

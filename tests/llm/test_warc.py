@@ -1,5 +1,9 @@
+import zlib
+from hashlib import sha256
+
 from pyspark.sql import functions as F
 
+from clausework.llm import warc
 from clausework.llm.util import new_path
 from clausework.llm.warc import OP4_SQL, op4_warc, read_archives, restore, store, write_archives
 
@@ -43,3 +47,15 @@ def test_whole_table(spark, sf):
     got = op4_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
     assert F is not None
+
+
+def test_query_takes_its_rows_from_the_restored_records(spark, monkeypatch):
+    """What op4 reports is hashed from payloads that went through the store: a changed or lost one shows."""
+    df = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "a" * 200), (3, "u", "b" * 200)], "page_id long, url string, html string")
+
+    def spoiled(payloads, headers):
+        kept = payloads.where(F.col("digest") != sha256(b"b" * 200).hexdigest())
+        return restore(kept.withColumn("block", F.lit(zlib.compress(b"a" * 200 + b"!"))), headers)
+
+    monkeypatch.setattr(warc, "restore", spoiled)
+    assert sorted((r.page_id, r.payload_bytes) for r in op4_rows(spark, df)) == [(1, 201), (2, 201), (3, None)]
