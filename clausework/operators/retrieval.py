@@ -74,7 +74,7 @@ def dense_top(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: i
     """``query, key, score``: the k nearest by cosine of each query, exact. Columns ``allowed`` must be equal on both sides and are checked before ranking.
 
     Queries and corpus are packed into blocks of ``block`` vectors; every pair of a query block and a corpus block is one matrix product, which passes on
-    its k best a query.
+    its k best a query by rounded score, then key: all that reach the k-th score but for rounding are ranked.
     """
     allowed = allowed or []
     number = lambda df, name: df.withColumn(name, F.floor(F.monotonically_increasing_id() % (1 << 33) / block) + F.spark_partition_id().cast("long") * (1 << 24))
@@ -90,11 +90,13 @@ def dense_top(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: i
             for qs, cs in zip(pdf.queries, pdf["items"]):
                 a, b = (np.array([list(x["v"]) for x in part], np.float64) for part in (qs, cs))
                 s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+                s[np.isnan(s)] = -np.inf  # a vector without a direction is near to none
                 for name in allowed:
                     s[np.array([x[name] for x in qs])[:, None] != np.array([x[name] for x in cs])[None, :]] = -np.inf
                 rows = []
                 for i, x in enumerate(qs):
-                    ranked = sorted(((-round(s[i, j], 6), cs[j]["key"], s[i, j]) for j in np.argpartition(-s[i], min(k + 8, s.shape[1] - 1))[: k + 8] if np.isfinite(s[i, j])))
+                    least = np.partition(s[i], -k)[-k] - 2e-6 if k < s.shape[1] else -np.inf  # rounding moves a score by less
+                    ranked = sorted(((-round(s[i, j], 6), cs[j]["key"], s[i, j]) for j in np.flatnonzero(s[i] >= least) if np.isfinite(s[i, j])))
                     rows += [(x["key"], key_, float(score)) for _, key_, score in ranked[:k]]
                 yield pd.DataFrame(rows, columns=["query", "key", "score"])
 

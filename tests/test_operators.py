@@ -192,3 +192,14 @@ def test_degradation_by_hand(spark):
             alarm[k] = math.floor(r.ended.timestamp())
             want.add((*k, len(own)))
     assert {(r.stage, r.bucket, r.n) for r in QUERIES["str4_throughput_degradation"](spark, sf).collect()} == want
+
+
+def test_dense_top_ranks_all_equal_vectors(spark):
+    """Of 100 equal vectors those with the smallest keys come out, wherever they stand in a block and however blocks are cut; a zero vector spoils nothing."""
+    from clausework.operators.retrieval import dense_top
+
+    rows = [((i * 37) % 100, [1.0, 2.0, 3.0]) for i in range(100)] + [(100 + i, [3.0, 1.0 + i, -2.0]) for i in range(20)] + [(500, [0.0, 0.0, 0.0])]
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    for block in (512, 40):
+        got = dense_top(e.where("id = 60"), e.coalesce(1), "id", "v", 10, block=block).collect()
+        assert [r.key for r in sorted(got, key=lambda r: r["rank"])] == list(range(10))
