@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Short quotes up to this many are broadcast.
+BROADCAST_QUOTES = 100_000
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,16 +24,36 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def candidates(quotes: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text", n: int = 4) -> DataFrame:
-    """Pairs of quote and document that share the quote's second to fifth word in a row (edges of a quote may be glued to others): an equi-join on hashes of word
-    runs. Only the run's hash and the key are shuffled; texts join again by key."""
+    """Pairs of quote and document that may hold it; none that does is left out. Edges of a quote may be glued to others, so its inner words meet the document:
+    the second to fifth in a row, or all inner ones of a quote of three to five words, by an equi-join on hashes of word runs. Only the run's hash and the key are shuffled;
+    texts join again by key. Quotes of one or two words have no inner word and are looked for in each document (``_short_candidates``)."""
     w = F.regexp_extract_all("quote", F.lit(_WORDS), F.lit(0))
-    q = quotes.select(item, "quote", F.xxhash64(F.array_join(F.slice(w, 2, n), " ")).alias("g")).where(F.size(w) >= n + 2)
-    d = docs.select(doc, F.explode(F.array_distinct(_grams(F.col(text), n))).alias("g"))
-    return d.join(q.select(item, "g"), "g").select(item, doc).distinct()
+    q = quotes.select(item, "quote", F.least(F.size(w) - 2, F.lit(n)).alias("run"), w.alias("w"))
+    sizes = [r.run for r in q.where("run >= 1").select("run").distinct().collect()]  # at most n
+    keyed = q.where("run >= 1").select(item, "run", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("run")), " ")).alias("g"))
+    pairs = _short_candidates(quotes.where(F.size(w) < 3), docs, item, doc, text)
+    for k in sizes:
+        d = docs.select(doc, F.explode(F.array_distinct(_grams(F.col(text), k))).alias("g"))
+        pairs = pairs.unionByName(d.join(keyed.where(F.col("run") == k).select(item, "g"), "g").select(item, doc))
+    return pairs.distinct()
+
+
+def _short_candidates(quotes: DataFrame, docs: DataFrame, item: str, doc: str, text: str, block: int = 1000) -> DataFrame:
+    """Pairs of quotes of one or two words and documents that hold their words apart from white space. The quotes are counted; blocks of ``block`` meet each
+    document in turn, so no more than a block stands in a row. Up to ``BROADCAST_QUOTES`` quotes are broadcast."""
+    flat = F.trim(F.regexp_replace("quote", r"[\x20\x09-\x0D]+", " "))
+    q = quotes.select(F.col(item), flat.alias("_q")).where("_q <> ''")
+    count = q.count()
+    if not count:
+        return docs.select(doc).crossJoin(q.select(item)).where("false").select(item, doc)
+    held = q.groupBy(F.pmod(F.xxhash64("_q", item), F.lit(-(-count // block))).alias("_b")).agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col("_q").alias("q"))).alias("_quotes"))
+    flat_text = F.array(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " "))  # bound by a transform, so it is made once a row
+    met = F.transform(flat_text, lambda t: F.transform(F.filter("_quotes", lambda x: F.contains(t, x.q)), lambda x: x.i))[0]
+    return docs.select(doc, text).where(F.col(text).isNotNull()).crossJoin(F.broadcast(held) if count <= BROADCAST_QUOTES else held).select(doc, F.explode(met).alias(item)).select(item, doc)
 
 
 def find_quotes(quotes: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text") -> DataFrame:
-    """``item, doc, start, end``: verbatim occurrences (the first in each document) of quotes of six words or more."""
+    """``item, doc, start, end``: verbatim occurrences (the first in each document) of quotes of one word or more."""
     pairs = candidates(quotes, docs, item, doc, text).join(quotes, item).join(docs.select(doc, text), doc)
     found = pairs.withColumn("start", F.position(F.col("quote"), F.col(text)) - 1)
     return found.where("start >= 0").select(item, doc, "start", (F.col("start") + F.length("quote")).alias("end"))

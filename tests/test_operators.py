@@ -203,3 +203,19 @@ def test_dense_top_ranks_all_equal_vectors(spark):
     for block in (512, 40):
         got = dense_top(e.where("id = 60"), e.coalesce(1), "id", "v", 10, block=block).collect()
         assert [r.key for r in sorted(got, key=lambda r: r["rank"])] == list(range(10))
+
+
+def test_short_quotes_are_found_and_recovered(spark):
+    """Quotes of 1 to 6 words, glued to others at their edges and with other white space, against brute force."""
+    from clausework.operators.extract import find_quotes, recover_quotes
+
+    docs = {1: "alpha beta gamma delta epsilon zeta eta theta", 2: "xalpha  beta\tgammas delta (epsilon)", 3: "beta beta gamma", 4: None, 5: ""}
+    quotes = {i: q for i, q in enumerate(["alpha", "beta gamma", "pha beta gam", "beta gamma delta eps", "alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon zeta", "alpha  beta", "beta  beta gamma", "missing", "a"])}
+    d = spark.createDataFrame(list(docs.items()), "doc long, text string")
+    q = spark.createDataFrame(list(quotes.items()), "item long, quote string")
+    got = {(r.item, r.doc, r.start, r.end) for r in find_quotes(q, d, "item", "doc").collect()}
+    assert got == {(i, k, t.find(x), t.find(x) + len(x)) for i, x in quotes.items() for k, t in docs.items() if t and x in t}
+    flat = lambda t: " ".join(t.split())
+    want = {(i, k, "exact" if x in t else "recovered") for i, x in quotes.items() for k, t in docs.items() if t and (x in t or flat(t).count(flat(x)) == 1)}
+    assert {tuple(r) for r in recover_quotes(q, d, "item", "doc").collect()} == want
+    assert {(1, 2, "recovered"), (6, 1, "recovered"), (7, 3, "recovered")} <= want
