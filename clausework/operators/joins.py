@@ -57,6 +57,7 @@ def row_differences(rows: DataFrame, match: list[str], document: str, values: li
     """Pairs of documents (a < b) that hold the same matched row with different sets of values.
 
     Documents of one key with equal value sets are one group first, so pairs are emitted between differing groups only: a group's least document stands for it.
+    ``row_difference_members`` tells which documents each one stands for.
     """
     sets = rows.groupBy(*match, document).agg(F.array_sort(F.collect_set(F.struct(*values))).alias("data"))
     groups = sets.groupBy(*match, "data").agg(F.min(document).alias("doc"), F.count("*").alias("documents"))
@@ -65,6 +66,17 @@ def row_differences(rows: DataFrame, match: list[str], document: str, values: li
     return a.join(b, match).where("a < b")
 
 
+def row_difference_members(rows: DataFrame, match: list[str], document: str, values: list[str]) -> DataFrame:
+    """``match, document, representative``: every document of the keys on which documents differ, with the least of those of equal values, which ``row_differences`` pairs.
+
+    Two documents of a key differ if their representatives do, so the pairs of all documents are there without being written out.
+    """
+    sets = rows.groupBy(*match, document).agg(F.array_sort(F.collect_set(F.struct(*values))).alias("data"))
+    groups = sets.groupBy(*match, "data").agg(F.min(document).alias("representative"))
+    differ = groups.groupBy(*match).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return sets.join(groups.join(differ, match, "left_semi"), [*match, "data"]).select(*match, document, "representative")
+
+
 def relationship_groups(keys: DataFrame, doc: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(groups of two or more documents that share a key: key, first, documents; documents without such a group)."""
     distinct = keys.select(doc, key).distinct()

@@ -82,6 +82,17 @@ def jn5(spark, sf):
     return J.row_differences(table(spark, sf, "lineitem"), ["l_suppkey", "l_partkey"], "l_orderkey", ["l_returnflag", "l_linestatus"])
 
 
+@query(
+    "jn5_row_difference_members",
+    """WITH s AS (SELECT l_suppkey, l_partkey, l_orderkey, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS data FROM lineitem GROUP BY ALL),
+m AS (SELECT l_suppkey, l_partkey, l_orderkey, min(l_orderkey) OVER (PARTITION BY l_suppkey, l_partkey, data) AS representative FROM s)
+SELECT * FROM m QUALIFY min(representative) OVER (PARTITION BY l_suppkey, l_partkey) <> max(representative) OVER (PARTITION BY l_suppkey, l_partkey)""",
+)
+def jn5_members(spark, sf):
+    """The documents for which the representatives of jn5_row_differences stand."""
+    return J.row_difference_members(table(spark, sf, "lineitem"), ["l_suppkey", "l_partkey"], "l_orderkey", ["l_returnflag", "l_linestatus"])
+
+
 @query(
     "jn6_parameter_pairs",
     f"""WITH {BLOCKS_SQL}, l AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_matches(w, '^[A-Z]{{6,}}$'))) AS label FROM blocks),

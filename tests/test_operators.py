@@ -219,3 +219,21 @@ def test_short_quotes_are_found_and_recovered(spark):
     want = {(i, k, "exact" if x in t else "recovered") for i, x in quotes.items() for k, t in docs.items() if t and (x in t or flat(t).count(flat(x)) == 1)}
     assert {tuple(r) for r in recover_quotes(q, d, "item", "doc").collect()} == want
     assert {(1, 2, "recovered"), (6, 1, "recovered"), (7, 3, "recovered")} <= want
+
+
+def test_row_differences_name_every_document(spark):
+    """Pairs of representatives and the membership give all differing pairs of documents back."""
+    from itertools import combinations
+
+    from clausework.operators.joins import row_difference_members, row_differences
+
+    data = {("k", 1): "a", ("k", 2): "a", ("k", 3): "b", ("k", 4): "a", ("k", 5): "b", ("k", 6): "c", ("same", 1): "a", ("same", 2): "a"}
+    rows = spark.createDataFrame([(k, d, v) for (k, d), v in data.items()], "key string, doc long, v string")
+    members = {}
+    for r in row_difference_members(rows, ["key"], "doc", ["v"]).collect():
+        members.setdefault((r.key, r.representative), []).append(r.doc)
+    pairs = row_differences(rows, ["key"], "doc", ["v"]).collect()
+    got = {(r.key, *sorted((a, b))) for r in pairs for a in members[r.key, r.a] for b in members[r.key, r.b]}
+    assert got == {(x[0], x[1], y[1]) for x, y in combinations(sorted(data), 2) if x[0] == y[0] and data[x] != data[y]}
+    assert all(len(members[r.key, r.a]) == r.of_a and len(members[r.key, r.b]) == r.of_b for r in pairs)
+    assert {k for k, _ in members} == {"k"}
