@@ -6,14 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``; a new temporary one only where unset."""
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``. Where it is unset, a new temporary one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="clausework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,3 +36,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def least_rows(df: DataFrame, key: str, order: list[str], k: int, groups: int = 64) -> DataFrame:
+    """The ``k`` rows of each key that come first by ``order``, in two steps: within ``groups`` groups of tasks, then among at most ``groups * k`` rows, so that no key is gathered whole."""
+    salted = df.withColumn("_salt", F.spark_partition_id() % groups)
+    for by in ([key, "_salt"], [key]):
+        salted = salted.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+    return salted.drop("_salt")
+
+
+def only_columns(names: list[str], prefix: str = "_c") -> list[str]:
+    """Stand-ins for column names, numbered, so that no column of a table clashes with those that a stage adds."""
+    return [f"{prefix}{i}" for i in range(len(names))]
