@@ -15,7 +15,7 @@ def test_whole_table(spark, sf, monkeypatch, rows):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
     total = {}
     for r in got:
-        assert 0 <= r.taken <= 2 * r.size
+        assert 0 <= r.taken <= 2 * r.size and r.doc_id is not None
         total.setdefault((r.source_size, r.target), []).append(r.taken)
     assert all(abs(sum(v) - k[1]) <= 1 for k, v in total.items())
 
@@ -47,18 +47,42 @@ def test_order_is_by_position(spark, sf):
     assert a == [r.doc_id for r in M.training_order(df.repartition(7)).collect()]  # reruns agree
 
 
-def test_query_stands_in_training_order(spark, sf):
-    """Rows of op9 follow the time at which the source's integrated schedule reaches each document, found here by bisection."""
-    plan = {r.doc_id: r for r in M.training_plan(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    assert len({r.tilt for r in plan.values()}) > 1
-
-    def time(r):
+def times(r, target, tilt):
+    """Training times of the copies of a document, found by bisection in the integrated schedule of its source."""
+    out = []
+    for begin in range(r.start, round(target), r.source_size):
         low, high = 0.0, 1.0
         for _ in range(60):
             t = (low + high) / 2
-            low, high = (t, high) if r.target * (t + r.tilt * t * (1 - t)) < r.start else (low, t)
-        return high
+            low, high = (t, high) if target * (t + tilt * t * (1 - t)) < begin else (low, t)
+        out.append((high, min(r.size, round(target) - begin)))
+    return out
 
-    times = [time(plan[r.doc_id]) for r in M.op9_mix_sources(spark, sf).collect()]
-    assert len(times) == len(plan)
-    assert all(a <= b + 1e-9 for a, b in zip(times, times[1:]))
+
+def test_query_goes_through_the_curriculum(spark, sf):
+    """Positions, words and order of op9 against the schedule: what a document gives is what its copies have before the run ends."""
+    plan = {r.doc_id: r for r in M.training_plan(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert len({r.tilt for r in plan.values()}) > 1
+    got = M.op9_mix_sources(spark, sf).collect()
+    assert len(got) == len(plan)
+    for r in got:
+        want = times(plan[r.doc_id], r.target, plan[r.doc_id].tilt) if r.size else []
+        assert r.taken == sum(w for _, w in want)
+        assert not want or abs(want[0][0] - r.first_position) < 1e-9 and abs(want[-1][0] - r.last_position) < 1e-9
+        assert want or r.first_position is None
+    order = [1 if r.first_position is None else r.first_position for r in got]
+    assert order == sorted(order)
+
+
+@pytest.mark.parametrize("broadcast", [100, -1])
+def test_one_id_in_a_third_of_the_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(M, "ROWS_PER_BUCKET", 5)
+    monkeypatch.setattr(M, "BROADCAST_GROUPS", broadcast)
+    rows = [(i, "w " * (i % 7), f"s{i % 2}") for i in range(60)] + [(7, "a b c", "s0")] * 40 + [(None, "x y", "s1")] * 30 + [(None, None, "s1")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    sf = M.materialise(df, "tables")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = sorted((str(r[0]), r[1], r[4], r[5] or 0) for r in con.execute(M.OP9_SQL).fetchall())
+    got = sorted((str(r.doc_id), r.size, r.taken, r.copies[0].position if r.copies else 0) for r in M.training_plan(sf).collect())
+    assert got == want
