@@ -2,26 +2,31 @@
 
 Writing: of pages with equal payloads of at least ``LEAST`` bytes, the one with the smallest id is a ``response`` record and holds the bytes; the others
 are ``revisit`` records of headers only, which name the response and the payload's SHA-256. Archives are WARC/1.0 files that Spark's own text
-writer produces in the shared folder: a record's blank lines are the writer's line separator, so executors need no common disk. Reading: the
-files are cut into records by their Content-Length, payloads are kept once per digest, which is computed again from the bytes, record headers stay in a table
-of their own, and a join on the digest restores each original record.
+writer produces in the shared folder: a record's blank lines are the writer's line separator, so executors need no common disk. Reading: Spark's
+text reader streams each file in pieces between blank lines, which are put together into records by their Content-Length, so a task holds one record and one
+batch of pieces, whatever the size of an archive. Payloads are kept once per digest, which is computed again from the bytes, record headers
+stay in a table of their own, and a join on the digest restores each original record. Digests that hold at least one ``SHARE``-th of
+the rows (so fewer than ``SHARE`` of them) are broadcast when planning and dealt over ``SALTS`` keys when restoring.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm.util import new_path
+from clausework.llm.util import materialise, new_path
 
 #: Payloads below this many bytes always stand in a response of their own.
 LEAST = 100
-#: Records of one archive file at most; a file is parsed in a stream by one task.
+#: Records of one archive file at most.
 RECORDS_PER_FILE = 20_000
+#: A digest with more than this share of the rows is hot; its rows are dealt over so many keys.
+SHARE, SALTS = 1000, 64
 _END = "\r\n\r\n"
 FIELDS = ("WARC-Record-ID", "WARC-Type", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "Content-Length")
 
@@ -30,13 +35,18 @@ def plan_records(pages: DataFrame, payload: str = "html", id_col: str = "page_id
     """``pages`` as records: ``id, url, payload, digest, bytes, record_type, refers_to``.
 
     A null payload counts as empty. Null ids rank after all others. Of repeated rows with the winning id each is a response: which of them is
-    the original can't be told, and nothing is lost.
+    the original can't be told, and nothing is lost. An empty table gives no rows; other columns are not read, so they can't clash.
     """
-    digest = F.sha2(F.coalesce(F.col(payload), F.lit("")), 256)
-    named = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    hashed = pages.select(F.col(id_col).alias("id"), digest.alias("digest"), F.octet_length(F.coalesce(F.col(payload), F.lit(""))).alias("bytes")).where(F.col("bytes") >= LEAST)
-    groups = hashed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("first"), F.count("*").alias("n"))
-    later = hashed.join(groups.where("n > 1").select("digest", F.col("first.id").alias("refers_to")), "digest").where(~F.col("id").eqNullSafe(F.col("refers_to")))
+    body = F.coalesce(F.col(payload), F.lit(""))
+    named = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), body.alias("payload"))
+    hashed = pages.select(F.col(id_col).alias("id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes")).where(F.col("bytes") >= LEAST).drop("bytes")
+    groups = materialise(hashed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
+    rows = groups.agg(F.sum("n")).head()[0] or 0
+    hot, other = (groups.where(c).select("digest", F.col("first.id").alias("refers_to")) for c in (F.col("n") > rows / SHARE, F.col("n") <= rows / SHARE))
+    met = F.broadcast(hot.withColumnRenamed("digest", "_hot").withColumnRenamed("refers_to", "_to"))
+    told = hashed.join(met, F.col("digest") == F.col("_hot"), "left")
+    rest = told.where("_hot is null").select("id", "digest").join(other, "digest")
+    later = told.where("_hot is not null").select("id", "digest", F.col("_to").alias("refers_to")).unionByName(rest).where(~F.col("id").eqNullSafe(F.col("refers_to")))
     later = later.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
     keyed = named.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
     joined = keyed.join(later, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
@@ -46,7 +56,7 @@ def plan_records(pages: DataFrame, payload: str = "html", id_col: str = "page_id
 
 def record_text() -> F.Column:
     """A WARC record without its closing blank lines."""
-    clean = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]", " ")
+    clean = lambda c: F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "), F.col("record_type"),
@@ -61,57 +71,59 @@ def record_text() -> F.Column:
 
 
 def write_archives(pages: DataFrame, path: str, payload: str = "html", id_col: str = "page_id", url: str = "url") -> None:
-    """Write ``pages`` as gzip-compressed WARC files under ``path``."""
+    """Write ``pages`` as gzip-compressed WARC files under ``path``.
+
+    Nulls, ties and repeated rows as in ``plan_records``; line ends within ids and URLs are percent-encoded in headers. An empty table gives no
+    archive; columns other than the three named are left out.
+    """
     records = plan_records(pages, payload, id_col, url).select(record_text().alias("value"))
     records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 class _Stream:
-    """Bytes of a gzip file, decompressed as they are asked for."""
+    """Bytes of archives, asked for piece by piece; each piece was followed by blank lines."""
 
-    def __init__(self, data: bytes, step: int = 1 << 16):
-        self.data, self.at, self.step, self.held = data, 0, step, bytearray()
-        self.gz = data[:2] == b"\x1f\x8b"
-        self.tool = zlib.decompressobj(31)
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
 
     def _more(self) -> bool:
-        if self.at >= len(self.data):
+        piece = next(self.pieces, None)
+        if piece is None:
             return False
-        part = self.data[self.at : self.at + self.step]
-        self.at += self.step
-        while part:
-            self.held += self.tool.decompress(part) if self.gz else part
-            part = self.tool.unused_data if self.gz else b""
-            if part:
-                self.tool = zlib.decompressobj(31)
+        if self.at:
+            del self.held[: self.at]
+            self.at = 0
+        self.held += piece
+        self.held += b"\r\n\r\n"
         return True
 
-    def until(self, mark: bytes) -> bytes | None:
-        seen = 0
-        while (k := self.held.find(mark, seen)) < 0:
-            seen = max(0, len(self.held) - len(mark))
+    def head(self) -> bytes | None:
+        """Up to the next blank lines."""
+        seen = self.at
+        while (k := self.held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(self.held) - self.at - 4)
             if not self._more():
                 return None
-        out = bytes(self.held[:k])
-        del self.held[: k + len(mark)]
+        out = bytes(self.held[self.at : k])
+        self.at = k + 4
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n:
+        while len(self.held) - self.at < n:
             if not self._more():
                 raise ValueError("an archive ends within a record")
-        out = bytes(self.held[:n])
-        del self.held[:n]
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += n
         return out
 
 
 _HEADER = re.compile(r"([^:\r\n]+):[ \t]*([^\r\n]*)")
 
 
-def parse(data: bytes):
-    """Records of one archive: (header fields by name, exact header text, block)."""
-    stream = _Stream(data)
-    while (head := stream.until(b"\r\n\r\n")) is not None:
+def parse(pieces: Iterator[bytes]):
+    """Records of archives, given in pieces between blank lines: (header fields by name, exact header text, block)."""
+    stream = _Stream(pieces)
+    while (head := stream.head()) is not None:
         text = head.decode()
         version, _, rest = text.partition("\r\n")
         if not version.startswith("WARC/"):
@@ -120,16 +132,17 @@ def parse(data: bytes):
         block = stream.take(int(fields["Content-Length"]))
         stream.take(4)
         yield fields, text, block
-    if stream.held:
+    if len(stream.held) > stream.at:
         raise ValueError("an archive ends within a header")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records under ``path``: ``id, record_type, url, digest, refers_to, header, block, verified``.
+    """All records of the gzip-compressed archives under ``path``: ``id, record_type, url, digest, refers_to, header, block, verified``.
 
-    Ids come as text. ``verified``: the block's own SHA-256 equals the digest that the header claims (null for revisits).
+    Ids come as text, null where a page had none. ``verified``: the block's own SHA-256 equals the digest that the header claims (null for
+    revisits). A folder without an archive gives no rows; records keep no other columns of their pages.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    pieces = spark.read.option("lineSep", _END).option("pathGlobFilter", "part-*.gz").schema("value string").text(path).select(F.col("value").cast("binary"))
     names = ["id", "record_type", "url", "digest", "refers_to", "header", "block", "verified"]
     kinds = [*[pa.string()] * 6, pa.binary(), pa.bool_()]
 
@@ -137,22 +150,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         from hashlib import sha256
 
         bare = lambda s: None if s is None or s == "<urn:page>" else s.removeprefix("<urn:page:").removesuffix(">")
-        for batch in frames:
-            for data in batch.column(0):
+        rows, size = [], 0
+        for f, text, block in parse(piece.as_py() for batch in frames for piece in batch.column(0)):
+            digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
+            response = f["WARC-Type"] == "response"
+            rows.append((bare(f.get("WARC-Record-ID")), f["WARC-Type"], f.get("WARC-Target-URI"), digest, bare(f.get("WARC-Refers-To")), text, block if response else None, sha256(block).hexdigest() == digest if response else None))
+            size += len(block)
+            if size > 4_000_000 or len(rows) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
                 rows, size = [], 0
-                for f, text, block in parse(data.as_py()):
-                    digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
-                    response = f["WARC-Type"] == "response"
-                    rows.append((bare(f.get("WARC-Record-ID")), f["WARC-Type"], f.get("WARC-Target-URI"), digest, bare(f.get("WARC-Refers-To")), text, block if response else None, sha256(block).hexdigest() == digest if response else None))
-                    size += len(block)
-                    if size > 4_000_000 or len(rows) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
 
     schema = "id string, record_type string, url string, digest string, refers_to string, header string, block binary, verified boolean"
-    return files.mapInArrow(run, schema)
+    return pieces.mapInArrow(run, schema)
 
 
 def responses(records: DataFrame) -> DataFrame:
@@ -166,7 +177,7 @@ def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Payloads are dealt by digest, which is how ``restore`` joins them, so the bytes move once, and each is compressed (``zlib``) for the way.
     """
-    return _each(responses(records), "block", zlib.compress).dropDuplicates(["digest"]), records.drop("block", "verified")
+    return _each(responses(records), "block", zlib.compress).dropDuplicates(["digest"]), materialise(records.drop("block", "verified"), "headers")
 
 
 def _each(df: DataFrame, name: str, f) -> DataFrame:
@@ -183,8 +194,13 @@ def _each(df: DataFrame, name: str, f) -> DataFrame:
 
 def restore(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     """The original records: every header with its payload, by a join on the digest. A revisit whose response is missing has a null payload."""
-    kept = payloads.select(F.col("digest").alias("_digest"), F.col("block").alias("payload"))
-    return _each(headers.join(kept, F.col("digest") == F.col("_digest"), "left").drop("_digest"), "payload", zlib.decompress)
+    counts = headers.groupBy("digest").agg(F.count("*").alias("n"))
+    hot = F.broadcast(materialise(counts.where(F.col("n") > max(1, headers.count() / SHARE)).select(F.col("digest").alias("_hot")), "hot"))
+    salted = headers.join(hot, F.col("digest") == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("header", F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    kept = payloads.select(F.col("digest").alias("_digest"), F.col("block").alias("payload")).join(hot, F.col("_digest") == F.col("_hot"), "left")
+    kept = kept.select("_digest", "payload", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_s"))
+    joined = salted.join(kept, (F.col("digest") == F.col("_digest")) & (F.col("_salt") == F.col("_s")), "left").drop("_digest", "_salt", "_s")
+    return _each(joined, "payload", zlib.decompress)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,31 @@ def test_round_trip(spark):
     assert kinds == [("", "revisit", "3"), ("1", "response", None), ("2", "revisit", "1"), ("3", "response", None), ("3", "response", None), ("4", "revisit", "3"), *[(str(i), "response", None) for i in (5, 6, 7, 8)]]
 
 
+def test_long_archive_and_hot_payload(spark, monkeypatch):
+    """One file of many records, with records longer than a batch of pieces, and payloads that hold most rows."""
+    monkeypatch.setattr(warc, "SHARE", 4)
+    rows = [(i, f"http://a/{i}\r\n", "<p>" + f"row {i % 3}\r\n\r\n" * (60_000 if i % 50 == 0 else 60)) for i in range(400)] + [(1000 + i, None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "test")
+    write_archives(df, path)
+    records = read_archives(spark, path)
+    assert records.select(F.input_file_name()).distinct().count() <= 1
+    got = {r.id: (bytes(r.payload).decode(), r.url) for r in restore(*store(records)).collect()}
+    assert got == {str(i): (h or "", u and u.replace("\r\n", "%0D%0A")) for i, u, h in rows}
+
+
+def test_broken_archives(spark):
+    import pytest
+
+    whole = [b"WARC/1.0\r\nContent-Length: 9", b"ab", b"cd"]  # 2 + 4 + 2 bytes are 8 of 9
+    with pytest.raises(ValueError):
+        list(warc.parse(iter([whole[0]])))
+    with pytest.raises(ValueError):
+        list(warc.parse(iter([b"HTTP/1.1 200", b""])))
+    fields, head, block = next(warc.parse(iter([b"WARC/1.0\r\nContent-Length: 8", b"ab", b"cd", b""])))
+    assert block == b"ab\r\n\r\ncd" and fields["Content-Length"] == "8"
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     path = new_path(spark, "test")
