@@ -16,7 +16,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -35,9 +36,9 @@ BROADCAST_TOKENS = 500_000
 #: Hashes of repeated pages up to this many are broadcast (8 bytes each); with more, all pages are dealt by their digest.
 BROADCAST_COPIES = 2_000_000
 
-#: Elements whose content is never text of the article, those that are left out as a region, those that don't end a block, and those without content.
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "xmp", "math", "object", "canvas")
-REGIONS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "head"}
+#: Elements whose content is no markup and never text of the article, those that are left out as a region, those that don't end a block, and those without content.
+RAW = ("script", "style", "title", "textarea", "iframe")
+REGIONS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "head", "noscript", "template", "svg", "canvas"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An opening tag of the key ends open elements of the value, up to the nearest element that is neither.
@@ -48,41 +49,82 @@ NAMES = re.compile(
     re.I,
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|"
-    r"<(?P<open>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_REST = re.compile(r"(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>")  # of a tag; quotes count after an equals sign
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
-def _hash(*parts: str) -> int:
-    return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _hash(*parts: str | int) -> int:
+    named = "\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")
+    return int.from_bytes(blake2b(named, digest_size=8).digest(), "little", signed=True)
+
+
+def markup(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of the page's texts, opening and closing tags, in time linear in the page.
+
+    Comments, declarations and the content of ``RAW`` elements are left out; where they don't end, they take the rest of the page. A ``<`` that no
+    ``>`` follows is text, as is one that starts no tag. A tag whose quotes swallow the rest of the page ends at its first ``>``, and
+    quotes don't count from there on.
+    """
+    at, last, quotes = 0, source.rfind(">"), True
+    while at < len(source):
+        i = source.find("<", at)
+        if i < 0 or i > last:
+            yield "text", source[at:], ""
+            return
+        if i > at:
+            yield "text", source[at:i], ""
+        if source.startswith("<!--", i) or source.startswith("<![CDATA[", i):
+            mark = "-->" if source[i + 2] == "-" else "]]>"
+            end = source.find(mark, i + 2)
+            if end < 0:
+                return
+            at = end + 3
+        elif source[i + 1] in "!?" or source[i + 1] == "/":
+            at = source.find(">", i) + 1
+            if source[i + 1] == "/" and (m := _NAME.match(source, i + 2)):
+                yield "close", m[0].lower(), ""
+        elif m := _NAME.match(source, i + 1):
+            tag = m[0].lower()
+            rest = _REST.match(source, m.end()) if quotes else None
+            if not rest:
+                quotes = False
+            at = rest.end() if rest else source.find(">", i) + 1
+            yield "open", tag, source[m.end() : at - 1]
+            if tag in _RAW_END:
+                end = _RAW_END[tag].search(source, at)
+                at = source.find(">", end.end()) + 1 if end else 0
+                if not at:
+                    return
+        else:
+            yield "text", "<", ""
+            at = i + 1
 
 
 @dataclass
 class Block:
-    path: str
+    path: int  # hash of the path of open elements
     text: str
     place: int  # among the page's tokens
     outside: bool  # in an element that isn't article text by its tag, role or name
     article: int  # depth of article or main elements around it
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
-    path: str
+    path: int
     outside: bool
     article: int
-    blocks: list = field(default_factory=list)
 
 
-def parse(source: str) -> tuple[list[Block], list[tuple[str, int]]]:
-    """Text blocks of a page in order, and its structural tokens (path, place). Character references are decoded after tags are cut."""
-    stack = [_Open("", "", False, 0)]
+def parse(source: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """Text blocks of a page in order, and its structural tokens (path, place). Character references are decoded after tags are cut; a path is hashed from its parent's."""
+    stack = [_Open("", 0, False, 0)]
+    depth: Counter[str] = Counter()  # of open elements by tag
     blocks: list[Block] = []
-    tags: list[tuple[str, int]] = []
+    tags: list[tuple[int, int]] = []
     pending: list[str] = []
     place = 0
 
@@ -96,12 +138,10 @@ def parse(source: str) -> tuple[list[Block], list[tuple[str, int]]]:
                 top = stack[-1]
                 blocks.append(Block(top.path, text, place, top.outside, top.article))
 
-    for m in _TOKEN.finditer(source):
-        kind = m.lastgroup
+    for kind, tag, attributes in markup(source):
         if kind == "text":
-            pending.append(m["text"])
-        elif m["open"]:
-            tag, attributes = m["open"].lower(), m["attributes"]
+            pending.append(tag)
+        elif kind == "open":
             if tag in ("br", "hr"):
                 pending.append(" ")
             if tag in INLINE or tag in VOID:
@@ -110,7 +150,7 @@ def parse(source: str) -> tuple[list[Block], list[tuple[str, int]]]:
             ends = ENDS.get(tag)
             if ends:
                 while len(stack) > 1 and stack[-1].tag in ends:
-                    stack.pop()
+                    depth[stack.pop().tag] -= 1
             names, hidden, role = "", False, ""
             if attributes.strip(" /"):
                 for k, v in _ATTRIBUTE.findall(attributes):
@@ -124,30 +164,29 @@ def parse(source: str) -> tuple[list[Block], list[tuple[str, int]]]:
             top = stack[-1]
             outside = top.outside or hidden or tag in REGIONS or role in ROLES or tag not in ("body", "html", "main") and bool(names and NAMES.search(names)) or tag == "header" and not top.article
             deep = top.article + (tag in ("article", "main") or role in ("article", "main"))
-            path = f"{top.path}/{tag}" + (f".{names.strip()}" if names else "")
+            path = _hash(top.path, tag, names)
             place += 1
             tags.append((path, place))
-            if not attributes.endswith("/") or tag not in ("p", "div"):
+            if tag not in RAW and (not attributes.endswith("/") or tag not in ("p", "div")):
                 stack.append(_Open(tag, path, outside, deep))
-        elif m["close"]:
-            tag = m["close"].lower()
+                depth[tag] += 1
+        else:
             if tag in INLINE or tag in VOID:
                 continue
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if depth[tag]:
+                while (top := stack.pop()).tag != tag:
+                    depth[top.tag] -= 1
+                depth[tag] -= 1
     flush()
     return blocks, tags
 
 
-def _tokens(blocks: list[Block], tags: list[tuple[str, int]]) -> dict[int, tuple[int, int, bool]]:
+def _tokens(blocks: list[Block], tags: list[tuple[int, int]]) -> dict[int, tuple[int, int, bool]]:
     """Token -> (count, first place, structural)."""
     counts: Counter[int] = Counter()
     first: dict[int, tuple[int, bool]] = {}
-    for path, place in tags:
-        t = _hash(path)
+    for t, place in tags:
         counts[t] += 1
         first.setdefault(t, (place, True))
     for b in blocks:
@@ -203,7 +242,8 @@ def token_vectors(pages: DataFrame, host: str, source: str) -> DataFrame:
 def templates(vectors: DataFrame) -> DataFrame:
     """``host, tokens``: struct(token, tag, class, place) of the valid equivalence classes, before the nesting check. One row per host that has one."""
     pages = vectors.where("token = 0").select("host", F.col("n_pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    found = vectors.where("token != 0").join(pages, "host").where(F.col("n_pages") >= SUPPORT * F.col("pages"))
+    likely = vectors.where((F.col("token") != 0) & (F.col("n_pages") >= SUPPORT * LEAST_PAGES))  # what stands on single pages stays out of the join
+    found = likely.join(pages, "host").where(F.col("n_pages") >= SUPPORT * F.col("pages"))
     k = F.when((F.col("total") % F.col("n_pages") == 0), (F.col("total") / F.col("n_pages")).cast("long")).otherwise(1)
     k = F.when((F.col("v1") % k == 0) & (F.col("v2") % k == 0), k).otherwise(1)
     found = found.withColumn("k", k).withColumn("class", F.xxhash64("n_pages", F.expr("v1 div k"), F.expr("v2 div k"))).withColumn("place", F.col("place") / F.col("n_pages"))

@@ -88,3 +88,44 @@ def test_distinct_pages(spark):
     for most in (100, -1):
         got = distinct_pages(df, "host", "html", broadcast_copies=most).collect()
         assert sorted((r.host, r.html) for r in got) == [("g", "a"), ("h", ""), ("h", "a"), ("h", "b")]
+
+
+def test_long_odd_pages():
+    """Unclosed tags, raw elements and very deep pages take time and memory in proportion to their length."""
+    from time import process_time
+
+    began = process_time()
+    assert main_text("<a " * 300_000, set()) == ("<a " * 300_000).strip()
+    assert main_text("<script " * 100_000, set()) == ("<script " * 100_000).strip()
+    assert main_text("<p>kept" + "<a x=\">\"" * 50_000, set()).startswith("kept")
+    assert main_text("x<script>" + "</script " * 100_000, set()) == "x"
+    assert main_text("<div>" * 100_000 + "deep" + "</div>" * 50_000 + "</span></section>" * 50_000 + "more", set()) == "deep more"
+    assert main_text("<!-- " * 100_000, set()) == ("<!-- " * 100_000).strip() and main_text("a<!-- " * 100_000 + ">", set()) == "a"
+    assert process_time() - began < 20
+
+
+def test_odd_markup():
+    assert main_text("<p title=it's>one</p><p>don't</p>", set()) == "one don't"
+    assert main_text("<p title=\"a>b\" class='c>d'>x</p><img alt=\"never closed>y<p>z", set()) == "x y z"
+    assert main_text("<article><p>E = <math><mi>m</mi></math> <object>plan</object></p><noscript><p>Turn it on</p></noscript></article>", set()) == "E = m plan"
+
+
+def test_template_decides_on_pages_without_telling_elements(spark):
+    """Divisions only, names that tell nothing: what stands at the same place of most different pages of a host is its template, found here by counting."""
+    from collections import Counter
+
+    bits = ["Start", "About us", "Write to us", "Weather: fair", "All rights reserved", "Made with care"]
+
+    def bare(i, host):
+        top = "".join(f"<div class=b><span>{b} {host}</span></div>" for b in bits[:3])
+        story = "".join(f"<div class=c>Part {k} of story {i} at {host}</div>" for k in range(i % 5 + 2))
+        return f"<html><body><div class=a>{top}</div><div class=a>{story}</div><div class=a>" + "".join(f"<div class=d>{b} {host}</div>" for b in bits[3:]) + "</div></body></html>"
+
+    rows = [(h * 100 + i, f"http://h{h}.example/{i}", bare(i, h)) for h in range(3) for i in range(20)]
+    rows += [(h * 100 + 50 + i, f"http://h{h}.example/copy", bare(1, h)) for h in range(3) for i in range(30)]
+    texts = {i: [re.sub(r"<[^>]*>", "", t) for t in re.findall(r"<div class=[bcd]>(.*?)</div>", page)] for i, _, page in rows}
+    found = {h: Counter(t for page in {page for i, _, page in rows if i // 100 == h} for t in set(re.findall(r">([^<>]+)<", page))) for h in range(3)}
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        assert got[i] == " ".join(t for t in texts[i] if found[i // 100][t] < 16)
+        assert got[i] != main_text(page, set())  # every page changes without the template
