@@ -2,8 +2,10 @@
 
 Every line with a word gets a set of binary features. A linear-chain conditional random field over a text's lines (states: boilerplate 0, content 1) is
 fitted here on a bounded sample of labelled documents; Viterbi decoding marks each line, and the share of words on content lines decides
-whether the document is kept. Lines carry the label of their document while fitting, which is noisy for single lines but not
-for what a feature says on average. Without labelled documents ``DEFAULT`` weights are used.
+whether the document is kept. Labels are given to documents, so line labels are derived first: weights without transitions are fitted on lines that
+carry their document's label, and then lines of bad documents that these weights take for content, and lines of good ones that equal an earlier line,
+change sides. What is left mixes both kinds within documents, and the field learns from it how they follow each other. Without labelled
+documents ``DEFAULT`` weights are used.
 """
 
 from __future__ import annotations
@@ -15,15 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausework.llm.util import least_rows, only_columns
 from clausework.llm.words import Words, batches, words
 
-#: The fitting sample: at most so many labelled documents of each label, first by xxhash64 of their id.
-SAMPLE_DOCS = 600
+#: The fitting sample: at most so many labelled documents of each label, first by xxhash64 of their id, and of all chains of lines of their whole texts at most so many of each label, first by a hash of id and place.
+SAMPLE_DOCS, SAMPLE_CHAINS = 600, 2000
 #: Least share of words on content lines.
 CONTENT_SHARE = 0.5
-#: Share of the fitted transition scores that is kept: a document's lines all carry its label while fitting, so the fit alone would say that labels never change.
-STAY = 0.2
-#: Lines of a sampled document that are used for fitting: all, in chains of at most so many.
+#: Lines of a chain at most; a document's lines are cut into such chains for fitting.
 CHAIN = 64
 
 FEATURES = (
@@ -166,55 +167,63 @@ def viterbi(scores: np.ndarray, lines: np.ndarray, transitions: np.ndarray) -> n
     return label
 
 
-def fit_crf(chains: list[tuple[list[int], int]], steps: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> tuple[list[float], list[list[float]]]:
-    """Maximum-likelihood weights of the field by gradient ascent; ``chains``: (features of the lines, label of the document).
+def line_labels(chains: list[tuple[list[int], int, float]]) -> list[list[int]]:
+    """Labels of the lines of ``chains`` (features, label of the document, weight): the document's, but for lines that look like the other kind."""
+    weights = np.array(fit_crf([(f, [y] * len(f), s) for f, y, s in chains], transitions=False)[0])
+    later = 1 << FEATURES.index("equals an earlier line")
+    out = []
+    for f, y, _ in chains:
+        x = np.array(f)
+        out.append(np.where(x & later, 0, 1).tolist() if y else (emissions(x, weights) > 0).astype(int).tolist())
+    return out
+
 
-    Documents of the two labels weigh the same in sum, and so do documents of different length within a label.
+def fit_crf(chains: list[tuple[list[int], list[int], float]], transitions: bool = True, steps: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> tuple[list[float], list[list[float]]]:
+    """Maximum-likelihood weights of the field by gradient ascent; ``chains``: (features of the lines, their labels, weight).
+
+    Lines of the two labels weigh the same in sum. With one label only, ``DEFAULT``.
     """
-    cut = [(f[i : i + CHAIN], y, 1 / -(-len(f) // CHAIN)) for f, y in chains for i in range(0, len(f), CHAIN)]
-    if len({y for _, y, _ in cut}) < 2:
+    if len({y for _, labels, _ in chains for y in labels}) < 2:
         return DEFAULT
-    size = max(len(f) for f, _, _ in cut)
-    x = np.zeros((len(cut), size, len(FEATURES)))
-    mask = np.zeros((len(cut), size), bool)
-    for i, (f, _, _) in enumerate(cut):
+    size = max(len(f) for f, _, _ in chains)
+    x = np.zeros((len(chains), size, len(FEATURES)))
+    mask, truth = np.zeros((len(chains), size), bool), np.zeros((len(chains), size))
+    for i, (f, y, _) in enumerate(chains):
         x[i, : len(f)] = (np.array(f)[:, None] >> np.arange(len(FEATURES))) & 1
         mask[i, : len(f)] = True
-    y = np.array([k for _, k, _ in cut])
-    share = np.array([s for *_, s in cut]) / mask.sum(1)
-    for k in (0, 1):
-        share[y == k] /= share[y == k].sum() * 2
-    per = share / share.sum() * len(cut)
+        truth[i, : len(f)] = y
+    share = np.array([s for *_, s in chains])
+    ones = (truth.sum(1) / mask.sum(1) * share).sum() / share.sum()
+    per = share / mask.sum(1)
+    per = per * (truth.sum(1) / ones + (mask.sum(1) - truth.sum(1)) / max(1e-9, 1 - ones)) / mask.sum(1)
+    per = per / per.sum() * len(chains)
     pairs = mask[:, 1:] & mask[:, :-1]
-    truth = y[:, None] * mask
     w, t = np.zeros(len(FEATURES)), np.zeros((2, 2))
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = (pairs[y == k].sum(1) * per[y == k]).sum()
+    seen = np.array([[(((truth[:, :-1] == i) & (truth[:, 1:] == j) & pairs).sum(1) * per).sum() for j in (0, 1)] for i in (0, 1)])
     scale = (mask.sum(1) * per).sum()
     for _ in range(steps):
         score = x @ w
-        alpha, beta = np.zeros((len(cut), size, 2)), np.zeros((len(cut), size, 2))
+        alpha, beta = np.zeros((len(chains), size, 2)), np.zeros((len(chains), size, 2))
         alpha[:, 0, 1] = score[:, 0]
         for i in range(1, size):
             a = np.logaddexp(alpha[:, i - 1, 0, None] + t[0], alpha[:, i - 1, 1, None] + t[1])
             a[:, 1] += score[:, i]
             alpha[:, i] = np.where(mask[:, i, None], a, alpha[:, i - 1])
         for i in range(size - 2, -1, -1):
-            right = beta[:, i + 1] + np.stack([np.zeros(len(cut)), score[:, i + 1]], 1)
+            right = beta[:, i + 1] + np.stack([np.zeros(len(chains)), score[:, i + 1]], 1)
             b = np.logaddexp(t[:, 0] + right[:, 0, None], t[:, 1] + right[:, 1, None])
             beta[:, i] = np.where(mask[:, i + 1, None], b, beta[:, i + 1])
         total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         content = np.exp(alpha[..., 1] + beta[..., 1] - total[:, None]) * mask
-        gradient = ((truth - content) * per[:, None])[..., None] * x
-        joint = np.zeros((2, 2))
-        for i in (0, 1):
-            for j in (0, 1):
-                p = alpha[:, :-1, i] + t[i, j] + j * score[:, 1:] + beta[:, 1:, j] - total[:, None]
-                joint[i, j] = ((np.exp(np.minimum(p, 0)) * pairs).sum(1) * per).sum()
-        w += rate * (gradient.sum((0, 1)) / scale * 4 - ridge * w)
-        t += rate * ((seen - joint) / scale - ridge * t)
-    return w.tolist(), (STAY * t).tolist()
+        w += rate * (np.einsum("il,ilf->f", (truth * mask - content) * per[:, None], x) / scale * 4 - ridge * w)
+        if transitions:
+            joint = np.zeros((2, 2))
+            for i in (0, 1):
+                for j in (0, 1):
+                    p = alpha[:, :-1, i] + t[i, j] + j * score[:, 1:] + beta[:, 1:, j] - total[:, None]
+                    joint[i, j] = ((np.exp(np.minimum(p, 0)) * pairs).sum(1) * per).sum()
+            t += rate * ((seen - joint) / scale - ridge * t)
+    return w.tolist(), t.tolist()
 
 
 def line_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -231,15 +240,23 @@ def line_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality") -> tuple[list[float], list[list[float]]]:
-    """Weights from at most ``SAMPLE_DOCS`` labelled documents of each label, first by xxhash64 of the id; only their line features reach the driver."""
-    from pyspark.sql.window import Window
+    """Weights from a bounded sample of labelled documents (``SAMPLE_DOCS``, ``SAMPLE_CHAINS``); only features of its chains of lines reach the driver.
 
+    Labels other than 0 and 1 and null ids are left out; of several labels of one id the larger counts; repeated documents are each a document. Without a
+    labelled document of either kind the weights are ``DEFAULT``.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_DOCS).select("_id", "_y")
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", "_y", F.col(text).alias("_text"))
-    rows = line_features(sample, "_text", ["_id", "_y"]).collect()
-    return fit_crf([(r.features, r._y) for r in sorted(rows, key=lambda r: (r._id, r.features)) if r.features])
+    chosen = least_rows(known.withColumn("_h", F.xxhash64("_id")), "_y", ["_h", "_id"], SAMPLE_DOCS).select("_id", "_y")
+    sample = docs.select(F.col(id_col).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("_id", "_y", "_text")
+    lines = line_features(sample, "_text", ["_id", "_y"]).where(F.size("features") > 0)
+    starts = F.sequence(F.lit(0), F.expr(f"(size(features) - 1) div {CHAIN}"))
+    chains = lines.select("_id", "_y", "features", F.posexplode(starts).alias("place", "n")).withColumn("chains", F.expr(f"(size(features) - 1) div {CHAIN} + 1"))
+    chains = chains.select("_y", F.xxhash64("_id", "place").alias("h"), F.slice("features", F.col("place") * CHAIN + 1, CHAIN).alias("features"), (1 / F.col("chains")).alias("share"))
+    rows = sorted(least_rows(chains, "_y", ["h", "features", "share"], SAMPLE_CHAINS).collect(), key=lambda r: (r._y, r.h, r.features, r.share))
+    if len({r._y for r in rows}) < 2:
+        return DEFAULT
+    labelled = line_labels([(r.features, r._y, r.share) for r in rows])
+    return fit_crf([(r.features, y, r.share) for r, y in zip(rows, labelled, strict=True)])
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, content_lines array<boolean>, base_failed boolean, kept boolean"
@@ -252,8 +269,9 @@ def judge(docs: DataFrame, weights, text: str = "text", keep: list[str] | None =
     repeated rows get equal verdicts; an empty table gives no rows.
     """
     added = [c.split()[0] for c in COLUMNS.split(", ")]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    source = docs.select(*keep, F.col(text).alias("_text_to_judge"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    keep = only_columns(kept)
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, keep, strict=True)], F.col(text).alias("_text_to_judge"))
     emission, transitions = np.array(weights[0]), np.array(weights[1])
 
     def run(frames):
@@ -268,7 +286,7 @@ def judge(docs: DataFrame, weights, text: str = "text", keep: list[str] | None =
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new], [*keep, *added])
 
     schema = ", ".join([*[f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep], COLUMNS])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(kept, keep, strict=True)], *added)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

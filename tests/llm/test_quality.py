@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 import pyarrow as pa
 
+from clausework.llm import quality
 from clausework.llm.quality import DEFAULT, fit, fit_crf, judge, measure, op5_quality_rules, viterbi
 from clausework.llm.words import words
 
@@ -74,4 +75,52 @@ def test_edges(spark):
     assert judge(docs.where("false"), DEFAULT).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert fit(docs, none) == DEFAULT
-    assert fit_crf([([1], 1)]) == DEFAULT
+    assert fit_crf([([1], [1], 1.0)]) == DEFAULT
+
+
+def test_fit_is_the_likeliest_and_transitions_count():
+    """The gradient vanishes where the likelihood, summed over all labellings, is largest; labels that come in runs give transitions that stay."""
+    rng = np.random.default_rng(7)
+    chains = [([1 | 2 * int(x) for x in rng.integers(0, 2, 5)], rng.integers(0, 2, 5).tolist(), 1.0) for _ in range(12)]
+    weights, t = fit_crf(chains, steps=3000, ridge=0.0)
+
+    def likelihood(w, t):
+        total, size = 0.0, [len(f) for f, _, _ in chains]
+        ones = np.mean([sum(y) / len(y) for _, y, _ in chains])
+        for f, y, _ in chains:
+            score = lambda p: sum(k * sum(w[b] for b in range(len(w)) if x >> b & 1) for x, k in zip(f, p)) + sum(t[a][b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            every = np.logaddexp.reduce([score(p) for p in product((0, 1), repeat=len(f))])
+            total += (score(y) - every) * (sum(y) / ones + (len(y) - sum(y)) / (1 - ones)) / len(y) ** 2
+        return total
+
+    best = likelihood(weights, t)
+    for k in (0, 1):
+        for d in (-0.05, 0.05):
+            moved = list(weights)
+            moved[k] += d
+            assert likelihood(moved, t) < best + 1e-4
+    runs = fit_crf([([1] * 12, [1] * 6 + [0] * 6, 1.0)] * 5)[1]
+    assert runs[0][0] + runs[1][1] > runs[0][1] + runs[1][0] + 1
+
+
+def test_transitions_decide(spark):
+    """Lines and documents of the given table whose label or verdict differs when the fitted transitions are left out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    emission, t = fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert t[0][0] + t[1][1] > t[0][1] + t[1][0]
+    with_t = {r.doc_id: r for r in judge(docs, (emission, t)).collect()}
+    without = {r.doc_id: r for r in judge(docs, (emission, [[0, 0], [0, 0]])).collect()}
+    lines = sum(a != b for k, r in with_t.items() for a, b in zip(r.content_lines, without[k].content_lines))
+    verdicts = sum(r.kept != without[k].kept for k, r in with_t.items())
+    print("lines", lines, "verdicts", verdicts, "kept", sum(r.kept for r in with_t.values()))
+    assert lines >= 20
+
+
+def test_one_label_each_and_very_long_texts(spark, monkeypatch):
+    """The sample is bounded in chains whatever the length of the labelled texts."""
+    monkeypatch.setattr(quality, "SAMPLE_CHAINS", 3)
+    docs = spark.createDataFrame([(i, "\n".join(f"{'GET IT NOW!! $$' if i % 2 else 'Some plain words of a line.'} {k}" for k in range(3000))) for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(4)], "doc_id long, quality int")
+    weights = fit(docs, labels)
+    assert weights != DEFAULT
+    assert [r.content_share > 0.5 for r in judge(docs, weights).orderBy("doc_id").collect()] == [True, False, True, False]
