@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausework.llm.util import WHITE, materialise
+from clausework.llm.util import WHITE, materialise, only_columns
 
 TRACKED = 1024
 SHARE = 1000
@@ -73,23 +73,25 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sh
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns unchanged.
+    """The rows of ``docs`` that stay, all their columns unchanged, whatever their names.
 
     The kept rows are found on digests alone; the documents are then read once more and reduced by an anti-join with the
     dropped (id, digest, length) keys. Rows that equal the kept one in all three are told apart by a row number over
     just those rows.
     """
-    names = docs.columns
-    groups = materialise(exact_groups(docs, text, id_col), "groups")
+    names = only_columns(docs.columns)
+    numbered = docs.toDF(*names)
+    text, id_col = (names[docs.columns.index(c)] for c in (text, id_col))
+    groups = materialise(exact_groups(numbered, text, id_col), "groups")
     multiple = groups.where("group_size > 1")
     keys = multiple.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("same"), F.max("kept").alias("kept"))
     keys = keys.where("not kept or same > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), "kept")
-    keyed = docs.withColumn("_digest_of_row", F.sha2(normalised(F.col(text)), 256))
+    keyed = numbered.withColumn("_digest_of_row", F.sha2(normalised(F.col(text)), 256))
     joined = keyed.join(keys.withColumnRenamed("kept", "_kept"), (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_digest_of_row") == F.col("_digest")), "left")
     plain = joined.where(F.col("_kept").isNull()).select(*names)
     order = Window.partitionBy("_digest_of_row").orderBy(F.length(text).desc(), F.col(text))
     tied = joined.where("_kept").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*names)
-    return plain.unionByName(tied)
+    return plain.unionByName(tied).toDF(*docs.columns)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausework.llm.util import only_columns
+
 #: Rules are broadcast up to this count (rules of at most 4 KB: under 200 MB); more are joined by a shuffle.
 BROADCAST_RULES = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,10 +85,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     The verdict depends on the URL alone, so repeated rows and repeated or null ids don't matter. A null URL has an empty host and path.
     """
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    split = pages.withColumn("_url", F.col(url)).drop("host", "path", "rule", "verdict").select(*[c for c in names], host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
+    added = ["host", "path", "rule", "verdict"]
+    kept = [c for c in pages.columns if c not in added]
+    names = only_columns(kept)
+    split = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = judge_urls(split, rules, default)
-    return split.join(judged, ["host", "path"], "left").select(*names, "host", "path", "rule", "verdict")
+    return split.join(judged, ["host", "path"], "left").select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], *added)
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
