@@ -3,18 +3,21 @@
 A text is the weighted set of its shingles of five words. Every shingle sends a Poisson process of arrivals, of a rate equal to its weight, into
 ``BANDS * ROWS`` registers; a register keeps its earliest arrival and the shingle it came from. The processes advance in turns and stop
 as soon as an arrival is later than the latest register, so a text costs little more than one arrival a shingle. Two texts agree in a
-register with the probability of their probability Jaccard similarity. With weight 1 for each distinct shingle (the default, ``weights="set"``) that
-is the plain Jaccard similarity; ``weights="count"`` takes multiplicities.
+register with the probability of their probability Jaccard similarity. A shingle that stands n times in a text weighs ``1 + ln n`` (``weights="damped"``, the
+default): repeats count, but a line that is repeated a hundred times doesn't outweigh a page. ``"count"`` takes plain multiplicities, ``"set"`` weighs all shingles
+alike. Candidates are then verified by the exact Jaccard similarity of their sets of shingles (by probability Jaccard for ``"count"``).
 
 1. Texts of equal word sequences are one node from the start (SHA-based digest of the words).
 2. Nodes that agree in all registers of a band are linked to the band's least node; the connected components of these links are clusters of candidates.
-   A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.9999.
-3. Within each cluster every pair is verified exactly: shingle sets meet in blocks of bounded size, intersections of all pairs of two blocks come from a
+   A pair of probability Jaccard similarity 0.8 shares a band with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.9999.
+3. Within each cluster pairs are verified exactly: shingle sets meet in blocks of bounded size, intersections of all pairs of two blocks come from a
    product of two incidence matrices, and only the links of a spanning forest leave a task. Blocks hold sets of like size, because sets whose sizes
-   differ by more than the least similarity can't be similar.
+   differ by more than the least similarity can't be similar. A cluster that fits one block is one task. Of a larger one, each text is first compared
+   with the heads of its bands, which is linear; only bands that these links leave in several components go on, and there only blocks
+   of different components meet.
 4. The connected components of the verified links are the classes.
 
-The work of step 3 grows with the square of a cluster's number of different texts; a group of equal texts is one of them, whatever its size.
+The work of step 3 grows with the square of a cluster only in texts that share bands and aren't similar, directly or through others, to their heads.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausework.llm.components import components
-from clausework.llm.util import materialise
+from clausework.llm.util import materialise, only_columns
 from clausework.llm.words import batches, mix, words
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
 #: Shingles of one block, and texts of one block, at most (a larger text stands alone).
 BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 512
+#: Facts about large clusters and their blocks up to this many rows are broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_FACTS = 200_000
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
 _PRIMES = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -95,7 +100,7 @@ def word_digest(text: Column) -> Column:
     return F.substring(F.sha2(F.trim(spaced), 256), 1, 32)
 
 
-def sketch(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketch(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: str = "damped", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, digest`` (16 bytes of the SHA-256 of the word sequence), ``shingles`` (number) and ``bands`` (hashes) of every row."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
 
@@ -103,7 +108,8 @@ def sketch(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights:
         for batch, column in batches(frames, "text"):
             doc, value, count, _ = shingles(column)
             n = len(column)
-            r = registers(doc, value, np.ones(len(doc)) if weights == "set" else count.astype(float), n, bands * rows).reshape(n, bands, rows)
+            weight = {"set": np.ones_like, "count": np.array, "damped": lambda c: 1 + np.log(c)}[weights](count.astype(float))
+            r = registers(doc, value, weight, n, bands * rows).reshape(n, bands, rows)
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _FIRST, (n, bands))
             for k in range(rows):
                 key = mix((key + r[:, :, k]) * _PRIMES[k % 5])
@@ -197,37 +203,96 @@ def forest(rows: list[tuple[bytes, np.ndarray, np.ndarray]], side: list[int], we
     return [(items[i][0], items[r][0]) for i in range(len(items)) if (r := find(i)) != i]
 
 
-def verified_links(members: DataFrame, weights: str = "set", least: float = SIMILARITY) -> DataFrame:
-    """``members``: cluster, digest, shingles, hashes, counts -> links ``u, v`` that join all similar pairs of each cluster.
+def _met(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with written ``facts``, which are broadcast when they are counted to be few: a hot key of ``rows`` then stays where it is."""
+    return rows.join(F.broadcast(facts) if facts.count() <= BROADCAST_FACTS else facts, on, how)
 
-    A cluster that fits one block is one task's group. Larger ones are cut by size class (sizes within a factor of the least similarity) and hash into
-    blocks; a group is a block by itself or a pair of blocks of the same or neighbouring classes.
+
+def _deal(items: DataFrame, key: list[str]) -> DataFrame:
+    """``key, n``: the number of blocks that the shingles and texts of each key need."""
+    need = F.greatest(F.sum("shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)
+    return materialise(items.groupBy(*key).agg(F.ceil(need).cast("int").alias("n")), "blocks")
+
+
+def star_tasks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs``: digest, head -> tasks in which each head (side 0) meets a block of the texts of its bands (side 1)."""
+    sized = pairs.join(sets.select("digest", "shingles", "hashes", "counts"), "digest")
+    dealt = _deal(pairs.join(sets.select("digest", "shingles"), "digest"), ["head"])
+    name = F.sha2(F.concat_ws(":", F.hex("head"), "block"), 256).cast("binary").alias("task")
+    others = _met(sized, dealt, ["head"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n")).cast("int"))
+    heads = dealt.join(sets.select(F.col("digest").alias("head"), "hashes", "counts"), "head").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return others.select(name, F.lit(1).alias("side"), "digest", "hashes", "counts").unionByName(heads.select(name, F.lit(0).alias("side"), F.col("head").alias("digest"), "hashes", "counts"))
+
+
+def block_tasks(members: DataFrame) -> DataFrame:
+    """``members``: cluster, part, digest, shingles, hashes, counts -> tasks of two blocks of a cluster, or of one with itself.
+
+    Blocks are cut by size class (sizes within a factor of the least similarity), ``part`` and hash. Texts of one part, unless it is null, are known to be
+    of one class, so they don't meet each other.
     """
-    width = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / F.lit(-np.log(least))).cast("int")
-    sums = members.groupBy("cluster").agg(F.sum("shingles").alias("_sum"), F.count("*").alias("_n"))
-    large = sums.where((F.col("_sum") > BLOCK_SHINGLES) | (F.col("_n") > BLOCK_TEXTS)).select("cluster")
-    small = members.join(large, "cluster", "left_anti").select(F.col("cluster").alias("task"), F.lit(0).alias("side"), "digest", "hashes", "counts")
-    classed = members.withColumn("k", width).join(large, "cluster", "left_semi")
-    blocks = classed.groupBy("cluster", "k").agg(F.ceil(F.greatest(F.sum("shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).cast("int").alias("n"))
+    width = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / F.lit(-np.log(SIMILARITY))).cast("int")
+    classed = members.withColumn("k", width).withColumn("part", F.coalesce("part", F.lit(b"")))
+    blocks = _deal(classed, ["cluster", "k", "part"])
     near = blocks.alias("a").join(blocks.alias("b"), (F.col("a.cluster") == F.col("b.cluster")) & (F.col("b.k") - F.col("a.k")).between(0, 1))
-    near = near.select(F.col("a.cluster").alias("cluster"), F.col("a.k").alias("ka"), F.col("a.n").alias("na"), F.col("b.k").alias("kb"), F.col("b.n").alias("nb"))
+    near = near.select(F.col("a.cluster").alias("cluster"), *[F.col(f"{t}.{c}").alias(f"{c}{t}") for t in "ab" for c in ("k", "part", "n")])
+    near = near.where("not (parta = partb and parta != X'') and (ka < kb or parta <= partb)")
     near = near.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    near = near.where("ka < kb or i <= j").withColumn("task", F.sha2(F.concat_ws(":", F.hex("cluster"), "ka", "i", "kb", "j"), 256).cast("binary"))
-    sides = near.select("cluster", "task", F.col("ka").alias("k"), F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(
-        near.where("ka < kb or i < j").select("cluster", "task", F.col("kb").alias("k"), F.col("j").alias("block"), F.lit(1).alias("side"))
-    )
-    placed = classed.join(blocks, ["cluster", "k"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n")).cast("int"))
-    spread = placed.join(sides, ["cluster", "k", "block"]).select("task", "side", "digest", "hashes", "counts")
+    near = near.where("ka < kb or parta < partb or i <= j")
+    near = near.withColumn("task", F.sha2(F.concat_ws(":", F.hex("cluster"), "ka", F.hex("parta"), "i", "kb", F.hex("partb"), "j"), 256).cast("binary"))
+    same = (F.col("ka") == F.col("kb")) & (F.col("parta") == F.col("partb")) & (F.col("i") == F.col("j"))
+    side = lambda t, block, n: [F.col("cluster"), "task", F.col(f"k{t}").alias("k"), F.col(f"part{t}").alias("part"), F.col(block).alias("block"), F.lit(n).alias("side")]
+    sides = near.select(*side("a", "i", 0)).unionByName(near.where(~same).select(*side("b", "j", 1)))
+    placed = _met(classed, blocks, ["cluster", "k", "part"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n")).cast("int"))
+    return placed.join(sides, ["cluster", "k", "part", "block"]).select("task", "side", "digest", "hashes", "counts")
+
+
+def compare(tasks: DataFrame, weights: str, least: float) -> DataFrame:
+    """Links ``u, v`` that join all similar pairs of each task."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = [(d, np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)) for d, h, c in zip(*(group.column(c).to_pylist() for c in ("digest", "hashes", "counts")), strict=True)]
         links = forest(rows, group.column("side").to_pylist(), weights, least)
         return pa.table({"u": pa.array([a for a, _ in links], pa.binary()), "v": pa.array([b for _, b in links], pa.binary())})
 
-    return small.unionByName(spread).groupBy("task").applyInArrow(run, "u binary, v binary")
+    return tasks.groupBy("task").applyInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: str = "set", least: float = SIMILARITY) -> DataFrame:
+def head_links(banded: DataFrame) -> DataFrame:
+    """``banded``: digest, key -> distinct ``digest, head``: each digest with the least one of each of its keys, but not with itself."""
+    heads = banded.groupBy("key").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    return banded.join(heads, "key").select("digest", "head").where("digest != head").distinct()
+
+
+def _linked(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("digest").alias("u"), F.col("head").alias("v"))
+
+
+def verified_links(members: DataFrame, banded: DataFrame, weights: str = "damped", least: float = SIMILARITY) -> DataFrame:
+    """``members``: cluster, digest, shingles, hashes, counts; ``banded``: digest, key -> links ``u, v`` that join all similar pairs that share a key."""
+    sums = members.groupBy("cluster").agg(F.sum("shingles").alias("_sum"), F.count("*").alias("_n"))
+    large = materialise(sums.where((F.col("_sum") > BLOCK_SHINGLES) | (F.col("_n") > BLOCK_TEXTS)).select("cluster"), "large")
+    small = _met(members, large, ["cluster"], "left_anti").select(F.col("cluster").alias("task"), F.lit(0).alias("side"), "digest", "hashes", "counts")
+    links = compare(small, weights, least)
+    if large.isEmpty():
+        return links
+    sets = materialise(_met(members, large, ["cluster"], "left_semi"), "large-members")
+    keys = banded.join(sets.select("digest"), "digest")
+    star = materialise(compare(star_tasks(materialise(head_links(keys), "stars"), sets), weights, least), "star-links")
+    found = components(star).select(F.col("node").alias("digest"), "root")
+    rooted = keys.join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
+    rooted = materialise(rooted.join(open_keys, "key", "left_semi"), "open")
+    links = links.unionByName(star)
+    if rooted.isEmpty():
+        return links
+    clusters = components(_linked(head_links(rooted.select("digest", "key"))))
+    rest = rooted.select("digest", "root").distinct().join(clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")), "digest")
+    whole = materialise(rest.groupBy("cluster", "root").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK_TEXTS).select("cluster", "root", F.col("root").alias("part")), "parts")
+    rest = _met(rest, whole, ["cluster", "root"], "left").join(sets.drop("cluster"), "digest")
+    return links.unionByName(compare(block_tasks(rest), weights, least))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: str = "damped", least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, class_size, class_texts, kept, digest``.
 
     ``class_id``: least id of the class (null if all its ids are); ``class_size``: its rows; ``class_texts``: its different word sequences; ``kept``: the
@@ -240,9 +305,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     nodes = materialise(nodes, "nodes")
 
     banded = nodes.where("shingles > 0").select("digest", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    links = banded.join(heads, "key").select(F.col("digest").alias("u"), F.col("head").alias("v"))
-    clusters = materialise(components(links), "clusters")
+    clusters = materialise(components(_linked(head_links(banded))), "clusters")
 
     chosen = clusters.join(nodes.select(F.col("digest").alias("node"), "first", "shingles"), "node")
     chosen = chosen.select(F.col("node").alias("_node"), F.col("root").alias("cluster"), "shingles", F.col("first.doc_id").alias("_id"))
@@ -251,7 +314,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     sets = shingle_sets(texts, "_text_of", ["_node", "cluster", "shingles"]).where(F.col("digest") == F.col("_node")).drop("_node")
     members = materialise(sets.dropDuplicates(["digest"]), "members")
 
-    classes = materialise(components(verified_links(members, weights, least)), "classes")
+    classes = materialise(components(verified_links(members, banded, weights, least)), "classes")
     labelled = nodes.select("digest", "first", "n").join(classes.withColumnsRenamed({"node": "digest"}), "digest", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "digest"))
     facts = labelled.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"), F.count("*").alias("class_texts"))
@@ -261,15 +324,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, all their columns unchanged. Rows that agree in id and words are told apart by a row number."""
-    names = docs.columns
-    found = materialise(near_duplicates(docs, text, id_col, **how), "near")
+    """The rows of ``docs`` that stand for their class, all their columns unchanged, whatever their names. Rows that agree in id and words are told apart by a row number.
+
+    Null and empty texts are one class, of which one row stays; a null id ranks last. An empty table gives no rows.
+    """
+    names = only_columns(docs.columns)
+    numbered = docs.toDF(*names)
+    text, id_col = (names[docs.columns.index(c)] for c in (text, id_col))
+    found = materialise(near_duplicates(numbered, text, id_col, **how), "near")
     keys = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("_kept"), F.count("*").alias("_same")).where("not _kept or _same > 1")
     keys = keys.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_kept")
-    joined = docs.withColumn("_digest_of_row", word_digest(F.col(text))).join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest_of_row") == F.col("_digest")), "left")
+    joined = numbered.withColumn("_digest_of_row", word_digest(F.col(text))).join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest_of_row") == F.col("_digest")), "left")
     plain = joined.where(F.col("_kept").isNull()).select(*names)
     tied = joined.where("_kept").withColumn("_n", F.row_number().over(Window.partitionBy("_digest_of_row").orderBy(text))).where("_n = 1").select(*names)
-    return plain.unionByName(tied)
+    return plain.unionByName(tied).toDF(*docs.columns)
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -69,9 +69,10 @@ def test_probability_jaccard():
     assert abs(nd.similarities(side(u), side(v), "count")[0, 0] - want) < 1e-12
 
 
-@pytest.mark.parametrize("block", [nd.BLOCK_TEXTS, 4])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "facts"), [(nd.BLOCK_TEXTS, nd.BROADCAST_FACTS), (4, nd.BROADCAST_FACTS), (4, -1)])
+def test_against_brute_force(spark, monkeypatch, block, facts):
     monkeypatch.setattr(nd, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(nd, "BROADCAST_FACTS", facts)
     rng = random.Random(block)
     word = lambda: f"w{rng.randrange(5000)}"
     texts = [None, "", " \n", "one two", "one  two", "one"]
@@ -95,6 +96,37 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_chains_of_a_large_cluster(spark, monkeypatch):
+    """A chain of texts, each similar to the next only, and a group of copies of one of its links: heads settle a part, blocks of different components the rest."""
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 5)
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(words[i * 6 : i * 6 + 120]) for i in range(40)]
+    texts += [" ".join(words[60:180] + [f"end{i}"]) for i in range(30)]
+    rng = random.Random(3)
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_force(texts)
+
+
+def test_weights(spark):
+    """Repeats count in the sketch: the share of equal registers follows the probability Jaccard similarity of the damped multiplicities."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base + base[:30] * 6)]
+    doc, value, count, at = nd.shingles(pa.array(texts, pa.large_string()))
+    weight = 1 + np.log(count)
+    assert weight.max() > 1
+    r = nd.registers(doc, value, weight, 2, 8192)
+    sides = [(value[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]) for i in (0, 1)]
+    want = nd.similarities(sides[:1], sides[1:], "count")[0, 0]
+    assert abs((r[0] == r[1]).mean() - want) < 0.03
+    flat = nd.registers(doc, value, np.ones(len(doc)), 2, 8192)
+    assert abs((flat[0] == flat[1]).mean() - want) > 0.03
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands = {w: nd.sketch(df, weights=w).orderBy("doc_id").select("bands").collect() for w in ("set", "damped", "count")}
+    assert bands["set"][0] == bands["damped"][0] == bands["count"][0] and len({str(b[1]) for b in bands.values()}) == 3
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (7, "other words stand here"), (9, "long " * 30_000)], "doc_id long, text string")
     rows = nd.near_duplicates(df).collect()

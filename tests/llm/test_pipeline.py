@@ -106,8 +106,8 @@ def test_odd_rows_and_columns(spark):
     text = " ".join(f"word{i}" for i in range(60_000))
     rows = [(None, text, None, None, None), (None, text, None, None, None), (5, None, "en", "src0", 1), (5, "", None, "src0", 0), (6, text[:900], "en", None, 9)]
     docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
-    for c in ("kept", "digest", "size", "taken", "ids", "n_words", "position", "target"):
-        docs = docs.withColumn(c, docs.text)
+    for c in ("kept", "digest", "size", "taken", "ids", "n_words", "position", "target", "_id", "_kept", "_n", "_digest", "_digest_of_row", "_source", "_size", "_position", "_url", "_c0", "a.b"):
+        docs = docs.select("*", docs.text.alias(c))
     columns = docs.columns
     for k, (_, f) in enumerate(corpus_pipeline.STAGES):
         docs = materialise(f(spark, docs, SF), "odd")
