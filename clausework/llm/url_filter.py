@@ -2,8 +2,9 @@
 
 Each distinct (host, path) is expanded into every host suffix joined with every path prefix whose length some rule has. Expressions
 meet rules in an equi-join on a short hash prefix (four bytes of SHA-256); full digests confirm the match, and of the confirmed rules
-the longest wins. Rules are broadcast only when counted to be at most ``BROADCAST_RULES``; beyond that the join shuffles, on
-expressions that are first made distinct, so a suffix shared by many URLs is one row.
+the longest wins. Suffixes have no more labels than the longest host of a rule, so a host of any length has few. Rules are broadcast only when they are measured
+to hold at most ``BROADCAST_BYTES``; beyond that the join shuffles, on expressions that are first made distinct, so a suffix shared by many URLs is
+one row. Verdicts come back to the rows in a join on the URL; those of the ``FREQUENT`` most frequent URLs, found by a Misra-Gries summary, are broadcast.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.util import only_columns
+from clausework.llm.util import materialise, only_columns
 
-#: Rules are broadcast up to this count (rules of at most 4 KB: under 200 MB); more are joined by a shuffle.
-BROADCAST_RULES = 50_000
+#: Rules are broadcast up to so many bytes of hosts and paths (100 are added for each rule's digest and verdict); more are joined by a shuffle.
+BROADCAST_BYTES = 100_000_000
+#: URLs whose verdicts are broadcast to their rows (their hosts and paths are cut to hashes there).
+FREQUENT = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values of the query: host, path, verdict.
 RULES = [
@@ -44,7 +47,7 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\x00"), path), 256)
 
 
-def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``urls`` (host, path) -> distinct ``host, path, rule, verdict``.
 
     ``rules``: host, path, verdict. A rule fits its host and all subdomains when the path starts with the rule's path. The
@@ -53,13 +56,14 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", broadc
     """
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).dropna().distinct()
     rules = rules.withColumn("rule_digest", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", _short(F.col("rule_digest")))
-    said = rules.agg(F.count("*"), F.array_sort(F.collect_set(F.length("rule_path")))).head()  # a length occurs once: at most the longest path's length of them
-    n_rules, lengths = said[0], said[1] or [0]
+    held = F.sum(F.octet_length("rule_host") + F.octet_length("rule_path") + 100)
+    said = rules.agg(F.coalesce(held, F.lit(0)), F.array_sort(F.collect_set(F.length("rule_path"))), F.max(F.size(F.split("rule_host", r"\.")))).head()  # a length occurs once: at most the longest path's length of them
+    n_bytes, lengths, most_labels = said[0], said[1] or [0], said[2] or 1
 
     places = urls.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most_labels - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     )
     fitting = F.filter(F.array(*[F.lit(int(n)) for n in lengths]), lambda n: n <= F.length("path"))
     prefixes = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
@@ -69,7 +73,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", broadc
         .withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
         .withColumn("short", _short(F.col("digest")))
     )
-    if n_rules <= broadcast_rules:
+    if n_bytes <= broadcast_bytes:
         met = expressions.join(F.broadcast(rules), "short").where(F.col("digest") == F.col("rule_digest"))
     else:
         hit = expressions.select("short", "digest", "suffix", "prefix").distinct().join(rules, "short").where(F.col("digest") == F.col("rule_digest"))
@@ -89,8 +93,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     kept = [c for c in pages.columns if c not in added]
     names = only_columns(kept)
     split = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    judged = judge_urls(split, rules, default)
-    return split.join(judged, ["host", "path"], "left").select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], *added)
+    key = F.xxhash64("host", "path")
+    often = split.agg(F.expr(f"approx_top_k(xxhash64(host, path), {FREQUENT}, {2 * FREQUENT})").alias("top")).select(F.explode("top.item").alias("_often"))
+    often = F.broadcast(materialise(often.distinct(), "often"))
+    judged = materialise(judge_urls(split, rules, default).withColumn("_key", key), "judged")
+    ruled = judged.join(often, F.col("_key") == F.col("_often")).select("_key", F.col("host").alias("_host"), F.sha2(F.col("path"), 256).alias("_path"), "rule", "verdict")  # at most FREQUENT, but for equal hashes
+    marked = split.withColumn("_key", key).join(often, F.col("_key") == F.col("_often"), "left")
+    frequent = marked.where("_often is not null").join(F.broadcast(ruled), "_key").where((F.col("host") == F.col("_host")) & (F.sha2(F.col("path"), 256) == F.col("_path")))
+    rest = marked.where("_often is null").join(judged.drop("_key"), ["host", "path"])
+    columns = [*names, *added]
+    return frequent.select(*columns).unionByName(rest.select(*columns)).select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], *added)
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:

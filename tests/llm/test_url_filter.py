@@ -20,14 +20,14 @@ def plain(url, rules, default="allow"):
     return host, path, best and best[3], best[2] if best else default
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
+@pytest.mark.parametrize("limit", [100_000_000, 0])
 def test_urls(spark, limit):
     from clausework.llm import url_filter
 
     rules = spark.createDataFrame([*RULES, (None, "/", "block"), ("h.com", "/p/p/p", "block")], "host string, path string, verdict string")
     df = spark.createDataFrame([(i % 7, u, "x") for i, u in enumerate(URLS * 2)], "page_id long, url string, rule string")
     split = df.select(url_filter.host_of(df.url).alias("host"), url_filter.path_of(df.url).alias("path"))
-    judged = {(r.host, r.path): (r.rule, r.verdict) for r in url_filter.judge_urls(split, rules, broadcast_rules=limit).collect()}
+    judged = {(r.host, r.path): (r.rule, r.verdict) for r in url_filter.judge_urls(split, rules, broadcast_bytes=limit).collect()}
     known = [r for r in RULES] + [("h.com", "/p/p/p", "block")]
     for u in URLS:
         host, path, rule, verdict = plain(u, known)
@@ -46,3 +46,16 @@ def test_any_urls(spark, urls):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://" + u for u in urls] + urls)], "page_id long, url string")
     for r in filter_urls(df, table).collect():
         assert (r.host, r.path, r.rule, r.verdict) == plain(r.url, rules)
+
+
+def test_hot_urls_and_long_hosts(spark, monkeypatch):
+    """A URL and nulls in a third of the rows each, hosts of many thousand labels, and columns named like the operator's own."""
+    from clausework.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "FREQUENT", 2)
+    urls = ["http://www.example.com/en/x"] * 60 + [None] * 60 + [f"http://h{i % 20}.net/{'es' if i % 3 else 'de'}/{i % 9}" for i in range(60)] + ["http://" + "a." * 60_000 + "net/fr/"]
+    df = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)], "_key long, url string, _host string, _often int")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = filter_urls(df, rules).collect()
+    assert sorted(r._key for r in got) == list(range(len(urls)))
+    assert all((r.host, r.path, r.rule, r.verdict) == plain(urls[r._key], RULES) and (r._host, r._often) == ("h", 1) for r in got)
