@@ -1,15 +1,29 @@
-"""Ranked retrieval of many queries at once: all routes are joins, ranks are windows."""
+"""Ranked retrieval of many queries at once.
+
+A set of queries that is counted to be small is broadcast: the corpus is then read once, each task scores its documents against all queries by matrix
+products of bounded blocks and passes on its k best a query. Larger sets of queries go through joins.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from clausework.sources.scratch import written
+
 #: Query terms are broadcast up to this count; more are joined by a shuffle on the term.
 BROADCAST_TERMS = 200_000
+#: Numbers in the query vectors that are broadcast at most (8 bytes each); more meet the corpus in a join of blocks.
+BROADCAST_NUMBERS = 8_000_000
+#: Documents and queries of one matrix product.
+DOCS, QUERIES = 512, 128
 
 
 def top(rows: DataFrame, key: str, score: str, tie: list[str], k: int) -> DataFrame:
@@ -40,7 +54,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query: str, doc: str, terms: str =
     Only postings of query terms are counted; the corpus' size and mean length are one row of aggregates.
     """
     q, n_terms = _query_terms(queries, query, terms, most, cap)
-    sized = docs.select(F.col(doc).alias("doc"), F.size(terms).alias("len"), F.col(terms).alias("terms"))
+    sized = docs.select(F.col(doc).alias("doc"), F.coalesce(F.size(terms), F.lit(0)).alias("len"), F.col(terms).alias("terms"))
     n, mean = sized.agg(F.count("*"), F.avg("len")).head()
     wanted = _small(q.select("term").distinct(), n_terms)
     tf = sized.select("doc", "len", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
@@ -62,6 +76,118 @@ def tf_idf(queries: DataFrame, docs: DataFrame, query: str, doc: str, terms: str
     return tf.join(weighted, "term").groupBy("query", "doc").agg(F.sum(F.col("idf") * F.col("tf") / (1 + F.col("len") / 60)).alias("score"))
 
 
+def _best(scores: np.ndarray, ranks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best rows of each column by score rounded to six places, then rank; minus infinity is out."""
+    enough = scores > -np.inf
+    if len(scores) > k:
+        enough &= scores >= np.partition(scores, -k, axis=0)[-k] - 2e-6  # rounding moves a score by less
+    at, of = np.nonzero(enough)
+    order = np.lexsort((ranks[at], -np.round(scores[at, of], 6), of))
+    at, of = at[order], of[order]
+    first = np.searchsorted(of, np.arange(scores.shape[1]))
+    keep = np.arange(len(of)) - first[of] < k
+    return at[keep], of[keep]
+
+
+def _ranks(keys: pa.Array) -> np.ndarray:
+    out = np.empty(len(keys), np.int64)
+    out[pc.array_sort_indices(keys).to_numpy()] = np.arange(len(keys))
+    return out
+
+
+def _slices(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, DOCS) for batch in frames for i in range(0, batch.num_rows, DOCS))
+
+
+def postings(docs: DataFrame, doc: str, terms: str, vocabulary: list[str]) -> DataFrame:
+    """``doc, len, ids, tfs``: of each document its length and the counts of the terms of ``vocabulary`` it holds, by their place there. No shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(terms, F.array().cast("array<string>")).alias("terms"))
+
+    def run(frames):
+        known = pa.array(held.value, pa.string())
+        for batch in _slices(frames):
+            lists = batch.column("terms")
+            length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(pc.index_in(lists.flatten(), known), -1).to_numpy()
+            at = np.repeat(np.arange(len(length)), length)
+            key, tf = np.unique((at * len(known) + ids)[ids >= 0], return_counts=True)
+            bounds = pa.array(np.searchsorted(key, np.arange(len(length) + 1) * len(known)).astype(np.int32))
+            own = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (key % max(1, len(known)), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(length.astype(np.int32)), *own], ["doc", "len", "ids", "tfs"])
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, len int, ids array<int>, tfs array<int>")
+
+
+def _scored_top(q: DataFrame, docs: DataFrame, doc: str, terms: str, k: int, idf: Callable, part: Callable, term_weight: Callable | None) -> DataFrame:
+    """``query, doc, score, rank`` of the k best documents of each query. ``q``: query, term, qtf, counted to be few; ``idf(n, df)``; ``part(tf, len, mean)``."""
+    asked: dict = {}
+    for r in q.collect():
+        asked.setdefault(r.query, []).append((r.term, r.qtf))
+    vocabulary = sorted({t for own in asked.values() for t, _ in own if t is not None})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    found = written(postings(docs, doc, terms, vocabulary), "postings")
+    n, mean = found.agg(F.count("*"), F.avg("len")).head()
+    df = np.zeros(len(vocabulary))
+    for r in found.select(F.explode("ids").alias("i")).groupBy("i").count().collect():  # at most one row a term
+        df[r.i] = r["count"]
+    weight = idf(n, df) * np.array([term_weight(t) if term_weight else 1.0 for t in vocabulary])
+    blocks = []  # of queries: names, their terms' places, weights (term, query)
+    names = sorted(asked)
+    for i in range(0, len(names), QUERIES):
+        part_of = names[i : i + QUERIES]
+        own = np.array(sorted({place[t] for name in part_of for t, _ in asked[name] if t in place}), np.int64)
+        w = np.zeros((len(own), len(part_of)))
+        for j, name in enumerate(part_of):
+            for t, qtf in asked[name]:
+                if t in place:
+                    w[np.searchsorted(own, place[t]), j] = qtf * weight[place[t]]
+        blocks.append((part_of, own, w))
+    held = docs.sparkSession.sparkContext.broadcast(blocks)
+    kinds = q.schema["query"].dataType, found.schema["doc"].dataType
+
+    def run(frames):
+        for batch in _slices(frames):
+            keys, length = batch.column("doc"), batch.column("len").to_numpy()
+            at = np.repeat(np.arange(len(length)), pc.list_value_length(batch.column("ids")).to_numpy())
+            ids, tf = (batch.column(c).flatten().to_numpy() for c in ("ids", "tfs"))
+            value, ranks = part(tf, length[at], mean or 1.0), _ranks(keys)
+            for part_of, own, w in held.value:
+                column = np.searchsorted(own, ids)
+                hit = (column < len(own)) & (own[np.minimum(column, max(0, len(own) - 1))] == ids) if len(own) else np.zeros(len(ids), bool)
+                counts = np.zeros((len(length), len(own)))
+                counts[at[hit], column[hit]] = value[hit]
+                scores = counts @ w
+                scores[(counts != 0).astype(float) @ (w != 0) == 0] = -np.inf  # shares no term
+                rows, of = _best(scores, ranks, k)
+                yield pa.RecordBatch.from_arrays([pa.array([part_of[j] for j in of], to_arrow_type(kinds[0])), keys.take(pa.array(rows)), pa.array(scores[rows, of])], ["query", "doc", "score"])
+
+    best = found.mapInArrow(run, f"query {kinds[0].simpleString()}, doc {kinds[1].simpleString()}, score double")
+    return top(best, "query", "score", ["doc"], k)
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int, terms: str = "terms", k1: float = 1.5, b: float = 0.75, most: int = 100, cap: int = 2, term_weight: Callable[[str], float] | None = None) -> DataFrame:
+    """``query, doc, score, rank``: the k best documents of each query by ``bm25``, ties by document. ``term_weight`` gives a term's factor, as for fields.
+
+    Nulls and empty term arrays share no term; a query without a term has no rows; an empty corpus gives none.
+    """
+    q, n_terms = _query_terms(queries, query, terms, most, cap)
+    if n_terms > BROADCAST_TERMS:
+        weight = F.udf(term_weight, "double")("term") if term_weight else None
+        return top(bm25(queries, docs, query, doc, terms, k1, b, most, cap, weight), "query", "score", ["doc"], k)
+    idf = lambda n, df: np.log(1 + (n - df + 0.5) / (df + 0.5))
+    part = lambda tf, length, mean: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+    return _scored_top(q, docs, doc, terms, k, idf, part, term_weight)
+
+
+def tf_idf_top(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int, terms: str = "terms") -> DataFrame:
+    """``query, doc, score, rank``: the k best documents of each query by ``tf_idf``, ties by document."""
+    q, n_terms = _query_terms(queries, query, terms, None, 1)
+    if n_terms > BROADCAST_TERMS:
+        return top(tf_idf(queries, docs, query, doc, terms), "query", "score", ["doc"], k)
+    return _scored_top(q, docs, doc, terms, k, lambda n, df: np.log(1 + n / (1 + df)), lambda tf, length, mean: tf / (1 + length / 60), None)
+
+
 def neighbours(hits: DataFrame, blocks: DataFrame, doc: str, order: str, reach: int, section: Column | None = None) -> DataFrame:
     """Blocks within ``reach`` of a hit in the same section, with ``anchor`` true for hits. An equi-join on the neighbours' numbers, not a range join."""
     sec = section if section is not None else F.lit(0)
@@ -70,37 +196,65 @@ def neighbours(hits: DataFrame, blocks: DataFrame, doc: str, order: str, reach:
     return near.groupBy(doc, order).agg(F.bool_or(F.col("_hit") == F.col(order)).alias("anchor"))
 
 
-def dense_top(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, allowed: list[str] | None = None, block: int = 512) -> DataFrame:
-    """``query, key, score``: the k nearest by cosine of each query, exact. Columns ``allowed`` must be equal on both sides and are checked before ranking.
+def dense_top(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, allowed: list[str] | None = None, salts: int = 64) -> DataFrame:
+    """``query, key, score, rank``: the k nearest by cosine of each query, exact, ties by key. Columns ``allowed`` must be equal on both sides and are checked before ranking (null equals nothing).
 
-    Queries and corpus are packed into blocks of ``block`` vectors; every pair of a query block and a corpus block is one matrix product, which passes on
-    its k best a query by rounded score, then key: all that reach the k-th score but for rounding are ranked.
+    Rows with a null key or vector, and vectors of length zero or with a null or infinite number, are near to none and left out on both sides. Query vectors are broadcast when
+    they are counted to be at most ``BROADCAST_NUMBERS`` numbers; else blocks of them meet blocks of the corpus on (block, salt), so that no
+    block of queries gathers the corpus in one task. Each matrix product passes on its k best a query.
     """
     allowed = allowed or []
-    number = lambda df, name: df.withColumn(name, F.floor(F.monotonically_increasing_id() % (1 << 33) / block) + F.spark_partition_id().cast("long") * (1 << 24))
-    item = F.struct(F.col(key).alias("key"), *[F.col(c) for c in allowed], F.col(vector).alias("v"))
-    q = number(queries, "qb").groupBy("qb").agg(F.collect_list(item).alias("queries"))
-    c = number(corpus, "cb").groupBy("cb").agg(F.collect_list(item).alias("items"))
-    ids = q.select("qb").agg(F.collect_list("qb")).head()[0] or []  # one number a block of queries
-    pairs = c.withColumn("qb", F.explode(F.array(*[F.lit(i) for i in ids]).cast("array<bigint>"))).join(q, "qb")
-    kind = corpus.schema[key].dataType.simpleString()
-
-    def run(frames):
-        for pdf in frames:
-            for qs, cs in zip(pdf.queries, pdf["items"]):
-                a, b = (np.array([list(x["v"]) for x in part], np.float64) for part in (qs, cs))
-                s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-                s[np.isnan(s)] = -np.inf  # a vector without a direction is near to none
-                for name in allowed:
-                    s[np.array([x[name] for x in qs])[:, None] != np.array([x[name] for x in cs])[None, :]] = -np.inf
-                rows = []
-                for i, x in enumerate(qs):
-                    least = np.partition(s[i], -k)[-k] - 2e-6 if k < s.shape[1] else -np.inf  # rounding moves a score by less
-                    ranked = sorted(((-round(s[i, j], 6), cs[j]["key"], s[i, j]) for j in np.flatnonzero(s[i] >= least) if np.isfinite(s[i, j])))
-                    rows += [(x["key"], key_, float(score)) for _, key_, score in ranked[:k]]
-                yield pd.DataFrame(rows, columns=["query", "key", "score"])
-
-    return top(pairs.mapInPandas(run, f"query {kind}, key {kind}, score double"), "query", "score", ["key"], k)
+    names = ["key", *allowed, "v"]
+    clean = lambda df: df.select(F.col(key).alias("key"), *allowed, F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null and not exists(v, x -> x is null)")
+    q, c = clean(queries), clean(corpus)
+    kind, query_kind = (df.schema["key"].dataType.simpleString() for df in (c, q))
+    shape = f"query {query_kind}, key {kind}, score double"
+    arrow = to_arrow_type(q.schema["key"].dataType)
+
+    def unit(lists: pa.Array) -> np.ndarray:
+        v = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+        with np.errstate(all="ignore"):
+            return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def product(table_q, table_c) -> pa.RecordBatch:
+        with np.errstate(all="ignore"):
+            s = unit(table_c["v"]) @ unit(table_q["v"]).T
+        s[~np.isfinite(s)] = -np.inf
+        for name in allowed:
+            a, b = (np.array(t[name].to_pylist(), object) for t in (table_c, table_q))
+            s[(a[:, None] != b[None, :]) | np.equal(a, None)[:, None]] = -np.inf
+        rows, of = _best(s, _ranks(table_c["key"]), k)
+        return pa.RecordBatch.from_arrays([pa.array(table_q["key"].take(pa.array(of)), arrow), table_c["key"].take(pa.array(rows)), pa.array(s[rows, of])], ["query", "key", "score"])
+
+    if q.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).head()[0] <= BROADCAST_NUMBERS:
+        asked = q.toArrow().combine_chunks()
+        blocks = [{n: part[n].combine_chunks() for n in names} for i in range(0, asked.num_rows, QUERIES) for part in [asked.slice(i, QUERIES)]]
+        held = queries.sparkSession.sparkContext.broadcast(blocks)
+
+        def run(frames):
+            for batch in _slices(frames):
+                for block in held.value:
+                    yield product(block, {n: batch.column(n) for n in names})
+
+        return top(c.mapInArrow(run, shape), "query", "score", ["key"], k)
+
+    item = F.struct(*names)
+    number = lambda n: F.spark_partition_id().cast("long") * (1 << 20) + F.floor(F.monotonically_increasing_id() % (1 << 33) / n)
+    packed = lambda df, n: df.withColumn("block", number(n)).groupBy("block").agg(F.collect_list(item).alias("items"))
+    qs = written(packed(q, QUERIES), "query-blocks")
+    places = qs.select(F.col("block").alias("_b"), F.row_number().over(Window.orderBy("block")).alias("place"))  # numbers only
+    qs = qs.join(places, F.col("block") == F.col("_b")).select(F.col("place").alias("block"), "items")
+    n_blocks = qs.count()
+    cs = packed(c, DOCS).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).select("salt", F.col("items").alias("cs"), F.explode(F.sequence(F.lit(1), F.lit(n_blocks))).alias("block"))
+    pairs = cs.join(qs.select("block", F.col("items").alias("qs"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), ["block", "salt"]).select("qs", "cs")
+
+    def meet(frames):
+        for batch in frames:
+            for i in range(batch.num_rows):
+                sides = [pa.RecordBatch.from_struct_array(batch.column(n).slice(i, 1).flatten()) for n in ("qs", "cs")]
+                yield product(*[{n: side.column(n) for n in names} for side in sides])
+
+    return top(pairs.mapInArrow(meet, shape), "query", "score", ["key"], k)
 
 
 def fuse(routes: list[DataFrame], exact: DataFrame | None = None, k: int = 60) -> DataFrame:
@@ -114,6 +268,113 @@ def fuse(routes: list[DataFrame], exact: DataFrame | None = None, k: int = 60) -
     return out.join(exact.select("query", "doc", F.lit(True).alias("exact")).distinct(), ["query", "doc"], "full").select("query", "doc", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
+def context_relevance(j: DataFrame, short_clause: str, note: str) -> Column:
+    """Relevance of a candidate: cover of the query's distinct ``terms`` by body, title and heading, the wanted template, the record's kind, penalties for bare clause
+    numbers, notes and near-empty bodies, the lexical place ``lexical`` and the dense place ``dense`` (from 0, null where a route missed it).
+
+    ``j``: terms, body_terms, title_terms, heading_terms, body, template, wanted (null: any), card (whether it is a requirement or a definition), lexical, dense.
+    """
+    den = F.greatest(F.size("terms"), F.lit(1))
+    met = lambda field: F.size(F.array_intersect("terms", field))
+    score = 4 * met("body_terms") / den + 1.3 * met("title_terms") / den + 0.6 * met("heading_terms") / den
+    score += F.when(F.col("wanted").isNull(), 0.0).when(F.col("template") == F.col("wanted"), 2.5).when(F.col("template").isNotNull(), -0.9).otherwise(-0.15)
+    score += F.when(F.col("card"), 0.15).otherwise(0.0)
+    score -= F.when((F.length("body") < 100) & F.rlike("body", F.lit(short_clause)), 1.4).otherwise(0.0)
+    score -= F.when(F.startswith("body", F.lit(note)) & (met("body_terms") < 2), 1.0).otherwise(0.0)
+    score -= F.when(F.length(F.trim("body")) < 8, 1.0).otherwise(0.0)
+    return score + F.coalesce(1 / (F.col("lexical") + 1), F.lit(0.0)) + F.coalesce(0.45 / (F.col("dense") + 1), F.lit(0.0))
+
+
+def context_candidates(lexical: DataFrame, exact: DataFrame, dense: DataFrame) -> DataFrame:
+    """``query, doc, lexical, dense, exact`` of three routes (query, doc, place from 0). Exact hits stand behind all lexical ones of their query, also where both found them."""
+    n = lexical.groupBy(F.col("query").alias("_q")).agg(F.count("*").alias("_n"))
+    behind = exact.join(n, F.col("query") == F.col("_q"), "left").select("query", "doc", (F.coalesce("_n", F.lit(0)) + F.col("place")).alias("_behind"))
+    both = lexical.join(behind, ["query", "doc"], "full").select("query", "doc", F.coalesce("_behind", "place").alias("lexical"), F.col("_behind").isNotNull().alias("exact"))
+    every = both.join(dense.withColumnRenamed("place", "dense"), ["query", "doc"], "full")
+    return every.select("query", "doc", "lexical", "dense", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+def context_bundle(hits: DataFrame, lines: DataFrame, doc: str, order: str, list_item: str, cue: str, most: int = 16, size: int = 10_000) -> DataFrame:
+    """``doc, hit, items, chars, truncated, complete, lines``: what belongs to a hit.
+
+    ``hits``: doc, hit, roots (terms of the query); ``lines``: doc, order, heading, text, terms. Lines within two places under the same heading belong to it if they share a term with the
+    query or begin with a cue. A hit that is a list item or ends with a colon brings its list: back over up to 13 list items to a lead-in that ends with a
+    colon, from there on up to 18 lines, as long as they are list items or begin with a cue; a longer list makes the bundle incomplete. At most ``most`` lines
+    and ``size`` characters in the order of the text; a bundle that passes either is truncated.
+    """
+    item = lambda c: F.coalesce(F.rlike(c, F.lit(list_item)), F.lit(False))
+    cued = lambda c: F.coalesce(F.rlike(c, F.lit(cue)), F.lit(False))
+    colon = lambda c: F.coalesce(F.rlike(c, F.lit(r":\s*$")), F.lit(False))
+    own = hits.join(lines.select(doc, F.col(order).alias("hit"), F.col("heading").alias("_heading"), F.col("text").alias("_text")), [doc, "hit"])
+    near = own.withColumn(order, F.explode(F.sequence(F.col("hit") - 13, F.col("hit") + 18))).join(lines, [doc, order], "left")
+    w = Window.partitionBy(doc, "hit")
+    n = F.col(order) - F.col("hit")
+    near = near.withColumn("_stop", F.coalesce(F.min(F.when((n < 0) & ~(item("text") & ~colon("text")), -n)).over(w), F.lit(14)))
+    near = near.withColumn("_lead", F.coalesce(F.max(F.when((n == -F.col("_stop")) & colon("text"), F.col(order))).over(w), F.col("hit") - F.col("_stop") + 1))
+    after = F.col(order) > F.col("_lead")
+    near = near.withColumn("_break", F.min(F.when(after & ~(item("text") | cued("text")), F.col(order))).over(w))
+    walks = item("_text") | colon("_text")
+    last = F.col("_lead") + 18
+    near = near.withColumn("_cut", walks & (F.coalesce("_break", last + 1) > last))
+    end = F.least(F.coalesce("_break", last), last)
+    listed = walks & (F.col(order) >= F.col("_lead")) & (F.col(order) < end)
+    beside = (F.abs(n) <= 2) & (F.col("heading") == F.col("_heading")) & (F.arrays_overlap("roots", "terms") | cued("text"))
+    near = near.withColumn("_in", F.coalesce(F.col("text").isNotNull() & (n != 0) & (listed | beside), F.lit(False)))
+    running = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_k", F.count_if("_in").over(running)).withColumn("_run", F.sum(F.when(F.col("_in"), F.length("text")).otherwise(0)).over(running))
+    kept = F.col("_in") & (F.col("_k") <= most) & (F.col("_run") <= size)
+    places = F.array_join(F.array_sort(F.collect_list(F.when(kept, F.col(order)))), ",")
+    out = near.groupBy(doc, "hit").agg(F.count_if(kept).alias("items"), F.coalesce(F.sum(F.when(kept, F.length("text"))), F.lit(0)).alias("chars"), (F.count_if("_in") > F.count_if(kept)).alias("truncated"), F.bool_or("_cut").alias("_cut"), places.alias("lines"))
+    return out.select(doc, "hit", "items", "chars", "truncated", (~F.col("_cut") & ~F.col("truncated")).alias("complete"), "lines")
+
+
+def row_context(hits: DataFrame, cells: DataFrame, table: str, most: int = 24) -> DataFrame:
+    """``table, row, column, peers, complete``: of each hit cell the other cells of its row and the header cell of its column, at most ``most`` in the order of the table. ``cells``: table, row, column."""
+    h = hits.select(table, F.col("row").alias("r"), F.col("column").alias("c"))
+    peers = h.join(cells, table).where((F.col("row") == F.col("r")) | (F.col("row") == 1) & (F.col("column") == F.col("c"))).where("not (row = r and column = c)")
+    numbered = peers.distinct().withColumn("_n", F.row_number().over(Window.partitionBy(table, "r", "c").orderBy("row", "column")))
+    g = numbered.groupBy(table, "r", "c").agg(F.count_if(F.col("_n") <= most).alias("peers"), (F.count("*") <= most).alias("complete"))
+    return h.join(g, [table, "r", "c"], "left").select(table, F.col("r").alias("row"), F.col("c").alias("column"), F.coalesce("peers", F.lit(0)).alias("peers"), F.coalesce("complete", F.lit(True)).alias("complete"))
+
+
+def route_rules(rules: DataFrame, blocks: DataFrame, front: str, stop: str, definitions: str, acronym: str, quoted: Column, least: float = 0.7, first: int = 120, k: int = 8, reach: int = 1) -> DataFrame:
+    """``doc, rule, ord, via``: the blocks of its document that a rule is checked on, and the sorted ways that led there.
+
+    ``rules``: doc, rule, number (null: none), expected (text), terms (distinct, of the expected text); ``blocks``: doc, ord, section, text, terms. A section's first block is its title, its
+    number the section's place from 1. ``section``: all blocks of sections of the rule's number or whose title holds at least ``least`` of its terms. ``front``: the first ``first`` blocks up to one
+    that matches ``stop``, for rules without a number whose text matches ``front``. ``definition``: blocks of sections titled like ``definitions`` that hold an acronym of a ``quoted`` block.
+    ``index``: the k best blocks of the document by TF-IDF, with neighbours within ``reach`` in their section.
+    """
+    tokens = lambda c: F.filter(F.regexp_extract_all(c, F.lit("[A-Za-z0-9_-]+"), F.lit(0)), lambda x: x.rlike(acronym))
+    b = blocks.withColumn("_quoted", quoted)
+    titles = b.groupBy("doc", "section").agg(F.min_by("text", "ord").alias("title"), F.min_by("terms", "ord").alias("title_terms"))
+    cover = F.size(F.array_intersect("terms", "title_terms")) / F.greatest(F.size("terms"), F.lit(1))
+    same = (F.col("section") + 1 == F.col("number")) | (cover >= least)
+    chosen = rules.join(titles, "doc").where(same).select("doc", "rule", "section").distinct()
+    by_section = chosen.join(b, ["doc", "section"]).select("doc", "rule", "ord", F.lit("section").alias("via"))
+
+    ends = b.where((F.col("ord") < first) & F.rlike("text", F.lit(stop))).groupBy("doc").agg(F.min("ord").alias("_end"))
+    early = rules.where(F.col("number").isNull() & F.rlike("expected", F.lit(front))).select("doc", "rule").join(b.where(F.col("ord") < first).select("doc", "ord"), "doc")
+    by_front = early.join(ends, "doc", "left").where(F.col("ord") < F.coalesce("_end", F.lit(first))).select("doc", "rule", "ord", F.lit("front").alias("via"))
+
+    asked = b.where("_quoted").select("doc", F.explode(tokens("text")).alias("token")).distinct()
+    named = titles.where(F.rlike("title", F.lit(definitions))).select("doc", "section")
+    held = b.where("not _quoted").join(named, ["doc", "section"]).select("doc", "ord", F.explode(F.array_distinct(tokens("text"))).alias("token"))
+    by_definition = held.join(asked, ["doc", "token"]).select("doc", "ord").distinct().join(rules.select("doc", "rule"), "doc").select("doc", "rule", "ord", F.lit("definition").alias("via"))
+
+    sizes = b.groupBy("doc").agg(F.count("*").alias("_blocks"))
+    hit = b.join(rules.select("doc", "rule", F.col("terms").alias("_asked")), "doc").select("doc", "rule", "ord", F.size("terms").alias("_len"), F.explode(F.filter("terms", lambda x: F.array_contains("_asked", x))).alias("term"))
+    tf = hit.groupBy("doc", "rule", "ord", "_len", "term").agg(F.count("*").alias("tf"))
+    df = F.count("*").over(Window.partitionBy("doc", "rule", "term"))
+    part = F.log(1 + F.col("_blocks") / (1 + F.col("df"))) * F.col("tf") / (1 + F.col("_len") / 60)
+    scored = tf.withColumn("df", df).join(sizes, "doc").groupBy("doc", "rule", "ord").agg(F.sum(part).alias("score"))
+    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("doc", "rule").orderBy(F.round("score", 6).desc(), "ord"))).where(F.col("_n") <= k)
+    around = best.join(b.select("doc", "ord", F.col("section").alias("_section")), ["doc", "ord"]).select("doc", "rule", "_section", F.explode(F.sequence(F.col("ord") - reach, F.col("ord") + reach)).alias("ord"))
+    by_index = around.join(b.select("doc", "ord", "section"), ["doc", "ord"]).where("section = _section").select("doc", "rule", "ord", F.lit("index").alias("via"))
+    every = by_section.unionByName(by_front).unionByName(by_definition).unionByName(by_index)
+    return every.groupBy("doc", "rule", "ord").agg(F.array_join(F.array_sort(F.collect_set("via")), ",").alias("via"))
+
+
 def covering_titles(rules: DataFrame, sections: DataFrame, least: float = 0.7) -> DataFrame:
     """``rules``: rule, terms; ``sections``: section, terms -> pairs in which the section holds at least ``least`` of the rule's distinct terms.
 
