@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausework.functions.text import normalised
 from clausework.sources.scratch import written
 
 
@@ -20,23 +21,49 @@ def first_of(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return rows.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
-def duplicate_groups(findings: DataFrame, block: Column, order: str, text: str, least: float = 0.9) -> DataFrame:
-    """Adds ``duplicate_of``: in order, a finding is a duplicate of the first kept one of its block whose text is similar enough (1 - edit distance / longer length).
+def duplicate_groups(findings: DataFrame, least: float = 0.9, substantive: int = 24, rounds: int = 60) -> DataFrame:
+    """``id, duplicate_of``: in the order of ids, a finding is a duplicate of the first kept one that it agrees with, else it is kept (null).
 
-    Later findings are compared with kept ones only, as an ordered fold inside the block; similarity isn't taken transitively. Equal texts are folded as one.
+    ``findings``: id, requirement, category, evidence (array of struct(document, locator, quote)), defect_key, suggestion, issue. Two agree when requirement, category and the set of
+    (document, locator) are equal and so is the defect key, or the suggestion while issues are similar (1 - edit distance / longer length >= ``least``); failing
+    that, when requirement, quoted evidence and a suggestion of more than ``substantive`` characters are equal. Similarity isn't taken transitively: only kept ones count.
+
+    Agreement is membership in shared keys, and different issues meet only where all else is equal, so no block is gathered. The order is settled in rounds of joins: a finding is a
+    duplicate once a kept earlier one shares a key, and kept once no earlier one that shares a key is open. Findings that are equal in all keys are one node. Null texts count as empty.
     """
-    marked = findings.withColumn("_b", block)
-    distinct = marked.groupBy("_b", text).agg(F.min(order).alias("_o"))
-    items = distinct.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col(text).alias("t")))).alias("_l"))
-    kind = f"array<struct<o:{findings.schema[order].dataType.simpleString()},t:string,k:{findings.schema[order].dataType.simpleString()}>>"
-    like = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)) >= least
-
-    def step(acc, x):
-        hit = F.get(F.filter(acc, lambda y: (y.o == y.k) & like(y.t, x.t)), F.lit(0))
-        return F.array_append(acc, F.struct(x.o.alias("o"), x.t.alias("t"), F.coalesce(hit.o, x.o).alias("k")))
-
-    kept = items.select("_b", F.inline(F.aggregate("_l", F.array().cast(kind), step))).select("_b", F.col("t").alias(text), F.col("k").alias("_k"))
-    return marked.join(kept, ["_b", text]).withColumn("duplicate_of", F.when(F.col("_k") != F.col(order), F.col("_k"))).drop("_b", "_k")
+    sha = lambda *parts: F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    listed = lambda f: F.array_join(F.array_sort(F.array_distinct(F.transform("evidence", f))), "\x1e")
+    places, quotes = listed(lambda e: F.concat_ws("\x1f", e.document, e.locator)), listed(lambda e: F.concat_ws("\x1f", e.document, e.locator, e.quote))
+    n = findings.select("id", sha(F.col("requirement"), F.col("category"), places).alias("block"), sha(F.col("requirement"), quotes).alias("cited"), "defect_key", F.coalesce(normalised("suggestion"), F.lit("")).alias("s"), F.coalesce(normalised("issue"), F.lit("")).alias("issue"))
+    keys = n.select(
+        "id", "issue", sha(F.col("block"), F.col("s")).alias("text"), sha(F.lit("s"), F.col("block"), F.col("s"), F.col("issue")).alias("same"),
+        F.when(F.coalesce("defect_key", F.lit("")) != "", sha(F.lit("d"), F.col("block"), F.col("defect_key"))).alias("defect"), F.when(F.length("s") > substantive, sha(F.lit("q"), F.col("cited"), F.col("s"))).alias("cited"),
+    )
+    keys = written(keys, "findings")
+    nodes = written(keys.groupBy("same", "defect", "cited").agg(F.min("id").alias("id"), F.any_value("text").alias("text"), F.any_value("issue").alias("issue")), "nodes")
+    own = nodes.select("id", F.explode(F.array_compact(F.array("same", "defect", "cited"))).alias("key"))
+    texts = nodes.groupBy("text", "same").agg(F.any_value("issue").alias("issue"))
+    other = texts.select("text", F.col("same").alias("near"), F.col("issue").alias("_i"))
+    like = 1 - F.levenshtein("issue", "_i") / F.greatest(F.length("issue"), F.length("_i"), F.lit(1)) >= least
+    near = texts.join(other, "text").where((F.col("same") != F.col("near")) & like).select("same", "near")
+    first = nodes.select("id", F.explode(F.array_compact(F.array("same", "defect"))).alias("key")).unionByName(nodes.join(near, "same").select("id", F.col("near").alias("key"))).withColumn("rule", F.lit(1))
+    looks = written(first.unionByName(nodes.where("cited is not null").select("id", F.col("cited").alias("key"), F.lit(2).alias("rule"))), "keys")
+    state = nodes.select("id", F.lit(None).cast("boolean").alias("kept"))
+    for _ in range(rounds):
+        mins = own.join(state, "id").groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("_kept"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("_open"))
+        seen = looks.join(mins, "key").groupBy("id").agg(F.min("_kept").alias("_kept"), F.min("_open").alias("_open"))
+        decided = F.when(F.col("_kept") < F.col("id"), False).when(F.coalesce(F.col("_open") >= F.col("id"), F.lit(True)), True)
+        state = written(state.join(seen, "id").select("id", F.coalesce("kept", decided).alias("kept")), "state")
+        if state.where("kept is null").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"duplicates did not settle in {rounds} rounds")
+    kept = own.join(state.where("kept"), "id").groupBy("key").agg(F.min("id").alias("_kept"))
+    best = looks.join(kept, "key").groupBy(F.col("id").alias("_node")).agg(F.min(F.when(F.col("rule") == 1, F.col("_kept"))).alias("_first"), F.min(F.when(F.col("rule") == 2, F.col("_kept"))).alias("_second"))
+    names = nodes.select("same", F.coalesce("defect", F.lit("")).alias("_d"), F.coalesce("cited", F.lit("")).alias("_c"), F.col("id").alias("_node")).join(best, "_node")
+    rows = keys.select("id", "same", F.coalesce("defect", F.lit("")).alias("_d"), F.coalesce("cited", F.lit("")).alias("_c")).join(names, ["same", "_d", "_c"])
+    match = F.when(F.col("_first") < F.col("id"), F.col("_first")).when(F.col("_second") < F.col("id"), F.col("_second"))
+    return rows.select("id", match.alias("duplicate_of"))
 
 
 def coalesce_findings(rows: DataFrame, keys: list[str], text: str, evidence: str, question: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausework.operators.register import ordered_folds
+
 #: Short quotes up to this many are broadcast.
 BROADCAST_QUOTES = 100_000
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -94,13 +96,39 @@ def split_members(rules: DataFrame, key: str, text: str, mark: str = ":", betwee
     return out.withColumn("unit_id", F.substring(F.sha2("unit", 256), 1, 16))
 
 
-def islands(rows: DataFrame, key: str, order: str, value: Column, size: str, limit: int) -> DataFrame:
-    """Adds ``island`` and ``page``: runs of equal value in order; a run is paged where its running size passes each multiple of the limit."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = rows.withColumn("_v", value).withColumn("_new", F.coalesce((~F.col("_v").eqNullSafe(F.lag("_v").over(w))).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy(key, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("page", F.floor((F.sum(size).over(inner) - 1) / limit)).drop("_v", "_new")
+def catalogue_groups(blocks: DataFrame, document: str, order: str, key: list[str], example: str, one_line: str, ends: str, limit: int = 5000) -> DataFrame:
+    """``document, order, group, segment, example``: consecutive blocks of one ``key`` (appendix, clause, heading), in groups that close once they hold more than ``limit`` characters.
+
+    A block that matches ``example`` begins an example segment; it lasts until a block that matches ``ends``, or the key changes. One that matches ``one_line`` is an example by itself. Segments number
+    the runs within a group, so that examples can be left out. Blocks: document, order, text and the key's columns; nulls in a key are a value; a null text is no example and has size 0.
+    One ordered walk over each document's keys and sizes.
+    """
+    is_ = lambda p: F.coalesce(F.rlike("text", F.lit(p)), F.lit(False))
+    facts = blocks.select(
+        document, order, F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("_key"), F.coalesce(F.length("text"), F.lit(0)).alias("_n"), is_(example).alias("_starts"),
+        (is_(example) & is_(one_line)).alias("_alone"), is_(ends).alias("_ends"),
+    )
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        out, before, group, used, segment, inside, last = [], None, -1, 0, 0, False, None
+        for doc, at, name, n, starts, alone, stops in rows:
+            if name != before:
+                inside = False
+            if name != before or used > limit:
+                group, used, segment, last = group + 1, 0, 0, None
+            if inside and not starts and stops:
+                inside = False
+            flag = starts or inside
+            if last is not None and (starts or flag != last[0] or last[1]):
+                segment += 1
+            out.append((doc, at, group, segment, flag))
+            last = flag, alone
+            inside = flag and not alone
+            before, used = name, used + n
+        return out
+
+    kind = lambda c: blocks.schema[c].dataType.simpleString()
+    return ordered_folds(facts, document, order, ["_key", "_n", "_starts", "_alone", "_ends"], fold, f"{document} {kind(document)}, {order} {kind(order)}, group int, segment int, example boolean")
 
 
 def uncovered(cues: DataFrame, spans: DataFrame, key: str) -> DataFrame:

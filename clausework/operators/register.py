@@ -38,7 +38,7 @@ def lessons(feedback: DataFrame, key: str, kind: str) -> DataFrame:
     return g.select(key, F.when(F.col("_k") == 1, F.col("_one")).otherwise("general").alias("scope"), "evidence")
 
 
-def _by_key(df: DataFrame, key: str, order: str, columns: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+def ordered_folds(df: DataFrame, key: str, order: str, columns: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """Ordered folds of keys: rows of a key stand together and in order in one partition, which is walked key by key; memory holds one key's rows.
 
     Many small keys cost no group overhead. A key is one document here, whose rows are keys and sizes, not texts.
@@ -92,33 +92,63 @@ def pack_by_overlap(rules: DataFrame, document: str, rule: str, blocks: str, mos
         return [(rows[0][0], name, i) for i, (names, _) in enumerate(packs) for name in names]
 
     kind = lambda c: rules.schema[c].dataType.simpleString()
-    return _by_key(rules, document, rule, [blocks], fold, f"{document} {kind(document)}, {rule} {kind(rule)}, pack int")
+    return ordered_folds(rules, document, rule, [blocks], fold, f"{document} {kind(document)}, {rule} {kind(rule)}, pack int")
 
 
-def budgeted_batches(blocks: DataFrame, document: str, order: str, size: str, heading: str, budget: int) -> DataFrame:
-    """``document, order, batch, fits``: contiguous batches within the budget, cut before the last heading where there is one; a block over the budget is reported, never cut."""
+def budgeted_batches(rules: DataFrame, blocks: DataFrame, document: str, budget: int, most: int = 16) -> DataFrame:
+    """``document, first_rule, last_rule, rules, part, first, last, size, fits``: every rule of a document meets every block of it exactly once, within the budget.
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        sizes, heads = [r[2] for r in rows], [r[3] for r in rows]
-        out, start, batch = [], 0, 0
-        while start < len(rows):
-            end, used = start, 0
-            while end < len(rows) and (end == start or used + sizes[end] <= budget):
-                used += sizes[end]
-                end += 1
-            if end < len(rows):
-                end = next((k for k in range(end, start, -1) if heads[k]), end)
-            out += [(*rows[k][:2], batch, sizes[k] <= budget) for k in range(start, end)]
-            start, batch = end, batch + 1
+    ``rules``: document, rule, cost; ``blocks``: document, ord, n, head (begins a section). Rules go in contiguous groups of at most ``most``; a group's parts are contiguous blocks that fill what its
+    costs leave of the budget, cut before the last heading if that lies in a part's second half. A group that doesn't fit a block is halved; a single rule that
+    doesn't is reported (``fits`` false, no part), never cut, and so are the rules of a document without blocks. Documents without a rule have no rows.
+    """
+    place = lambda kind, order: (F.lit(kind << 40) + F.col(order)).alias("place")
+    kind = blocks.schema[document].dataType.simpleString()
+    rows = rules.select(document, place(0, "rule"), F.lit(0).alias("kind"), F.col("rule").cast("long").alias("item"), F.col("cost").cast("long").alias("size"), F.lit(False).alias("head"))
+    rows = rows.unionByName(blocks.select(document, place(1, "ord"), F.lit(1).alias("kind"), F.col("ord").cast("long").alias("item"), F.col("n").cast("long").alias("size"), "head"))
+
+    def fold(held: list[tuple]) -> list[tuple]:
+        asked = [(r[3], r[4]) for r in held if r[2] == 0]
+        given = [(r[3], r[4], r[5]) for r in held if r[2] == 1]
+        out = []
+
+        def parts(room: int) -> list[tuple[int, int]] | None:
+            cuts, start = [], 0
+            while start < len(given):
+                end, used = start, 0
+                while end < len(given) and used + given[end][1] <= room:
+                    used += given[end][1]
+                    end += 1
+                if end == start:
+                    return None
+                if end < len(given):
+                    edge = next((k for k in range(end - 1, start + (end - start) // 2, -1) if given[k][2]), end)
+                    end = edge
+                cuts.append((start, end))
+                start = end
+            return cuts or None
+
+        todo = [asked[i : i + most] for i in range(0, len(asked), most)][::-1]
+        while todo:
+            group = todo.pop()
+            cost = sum(c for _, c in group)
+            cuts = parts(budget - cost)
+            if cuts:
+                out += [(held[0][0], group[0][0], group[-1][0], len(group), k, given[a][0], given[b - 1][0], cost + sum(g[1] for g in given[a:b]), True) for k, (a, b) in enumerate(cuts)]
+            elif len(group) == 1:
+                out.append((held[0][0], group[0][0], group[0][0], 1, None, None, None, cost, False))
+            else:
+                half = len(group) // 2
+                todo += [group[half:], group[:half]]
         return out
 
-    kind = lambda c: blocks.schema[c].dataType.simpleString()
-    return _by_key(blocks, document, order, [size, heading], fold, f"{document} {kind(document)}, {order} {kind(order)}, batch int, fits boolean")
+    schema = f"{document} {kind}, first_rule long, last_rule long, rules int, part int, first long, last long, size long, fits boolean"
+    return ordered_folds(rows, document, "place", ["kind", "item", "size", "head"], fold, schema)
 
 
 def topic_clusters(facts: DataFrame, terms: Column, source: str, item: str, most: int = 8, least_sources: int = 2) -> DataFrame:
-    """``topic, item, page``: facts by their sorted distinct terms, from at least ``least_sources`` sources, in pages of ``most``."""
-    t = facts.withColumn("topic", F.array_join(F.array_sort(F.array_distinct(terms)), " "))
+    """``topic, item, page``: facts by the SHA-256 of their sorted distinct terms, from at least ``least_sources`` sources, in pages of ``most``."""
+    t = facts.withColumn("topic", F.sha2(F.array_join(F.array_sort(F.array_distinct(terms)), " "), 256))
     wide = t.groupBy("topic").agg(F.count_distinct(source).alias("_s")).where(F.col("_s") >= least_sources).select("topic")
     return page_numbers(t.join(wide, "topic").select("topic", item), [item], most, ["topic"])
 

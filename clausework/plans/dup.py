@@ -24,12 +24,26 @@ def dup1(spark, sf):
     return D.first_of(k, F.col("key"), ["id"]).join(n, "key")
 
 
-@query("dup2_duplicate_groups")
+@query(
+    "dup2_duplicate_groups",
+    """WITH RECURSIVE f AS (SELECT event_id AS id, event_type AS req, event_id % 2 AS cat, user_id AS doc, CAST(floor(value / 60) AS BIGINT) AS place, CAST(floor(value / 20) AS BIGINT) AS quote, CASE WHEN event_id % 5 = 0 THEN event_id % 3 END AS dk,
+  ['replace it by the value of the contract', 'fix', 'fix it'][(event_id % 3 + 1)::INT] AS sug, 'the value ' || CAST(floor(value) AS BIGINT) || ' of user ' || user_id || [' differs from the contract', ' is missing there', ' contradicts the contract'][(event_id % 7 % 3 + 1)::INT] AS iss,
+  row_number() OVER (PARTITION BY event_type, user_id, floor(value / 60) ORDER BY event_id) AS seq FROM events),
+w AS (SELECT req, doc, place, id, seq, [{'id': id, 'cat': cat, 'dk': dk, 'sug': sug, 'iss': iss, 'quote': quote}] AS keep, NULL::BIGINT AS m FROM f WHERE seq = 1
+  UNION ALL SELECT req, doc, place, id, seq, CASE WHEN m IS NULL THEN list_append(keep, {'id': id, 'cat': cat, 'dk': dk, 'sug': sug, 'iss': iss, 'quote': quote}) ELSE keep END, m
+  FROM (SELECT f.*, keep, coalesce(list_filter(keep, lambda x: x.cat = f.cat AND (coalesce(x.dk = f.dk, false) OR x.sug = f.sug AND 1 - levenshtein(x.iss, f.iss) / greatest(length(x.iss), length(f.iss)) >= 0.9))[1].id,
+     CASE WHEN length(f.sug) > 24 THEN list_filter(keep, lambda x: x.sug = f.sug AND x.quote = f.quote)[1].id END) AS m FROM w JOIN f ON f.req = w.req AND f.doc = w.doc AND f.place = w.place AND f.seq = w.seq + 1))
+SELECT id, m AS duplicate_of FROM w""",
+)
 def dup2(spark, sf):
-    """Blocks of findings: part names of one brand and type; near-equal ones follow the first kept one."""
-    text = F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))
-    f = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", text.alias("t"))
-    return D.duplicate_groups(f, F.sha2(F.concat_ws("|", "p_brand", "p_type"), 256), "p_partkey", "t").select("p_partkey", "duplicate_of")
+    """Findings from events: requirement by type, evidence in the user's document, a defect key for every fifth."""
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (n + 1).cast("int"))
+    e = table(spark, sf, "events")
+    text = lambda c: c.cast("long").cast("string")
+    evidence = F.array(F.struct(F.col("user_id").cast("string").alias("document"), text(F.floor(F.col("value") / 60)).alias("locator"), text(F.floor(F.col("value") / 20)).alias("quote")))
+    issue = F.concat(F.lit("the value "), text(F.floor("value")), F.lit(" of user "), F.col("user_id").cast("string"), pick(F.col("event_id") % 7 % 3, " differs from the contract", " is missing there", " contradicts the contract"))
+    f = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("requirement"), (F.col("event_id") % 2).alias("category"), evidence.alias("evidence"), F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 3).cast("string")).alias("defect_key"), pick(F.col("event_id") % 3, "Replace it by the value of the contract", "Fix", "Fix it").alias("suggestion"), issue.alias("issue"))
+    return D.duplicate_groups(f)
 
 
 @query(

@@ -41,15 +41,23 @@ def ext2(spark, sf):
     return X.split_members(r, "l_orderkey", "rule")
 
 
+EXAMPLE, ONE_LINE, ENDS = "^(The|Der|La) ", r"^(The|Der|La) [\p{L}]+ [\p{L}]+[.]?$", "[$]{3}"
+
+
 @query(
     "ext3_catalogue_groups",
-    f"""WITH {BLOCKS_SQL}, v AS (SELECT doc_id, ord, length(text) AS n, contains(text, '!!') AS k, lag(contains(text, '!!')) OVER (PARTITION BY doc_id ORDER BY ord) AS k0 FROM blocks),
-i AS (SELECT *, sum(CASE WHEN k0 IS NULL OR k0 <> k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM v)
-SELECT doc_id, ord, island, floor((sum(n) OVER (PARTITION BY doc_id, island ORDER BY ord ROWS UNBOUNDED PRECEDING) - 1) / 5000)::BIGINT AS page FROM i""",
+    rf"""WITH RECURSIVE {BLOCKS_SQL}, v AS (SELECT doc_id, ord, length(text) AS n, {{'a': contains(text, '!!'), 'c': ord // 40, 'h': nullif(contains(text, ' | '), false)}} AS k, regexp_matches(text, '{EXAMPLE}') AS st, regexp_matches(text, '{ONE_LINE}') AS alone,
+  regexp_matches(text, '{ENDS}') AS en, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS seq FROM blocks),
+w AS (SELECT doc_id, ord, seq, k, 0 AS grp, n AS used, 0 AS segment, st AS example, st AND alone AS only_, st AND NOT alone AS inside FROM v WHERE seq = 1
+  UNION ALL SELECT doc_id, ord, seq, k, CASE WHEN fresh THEN grp + 1 ELSE grp END, CASE WHEN fresh THEN n ELSE used + n END, CASE WHEN fresh THEN 0 WHEN st OR flag <> example OR only_ THEN segment + 1 ELSE segment END, flag, st AND alone, flag AND NOT (st AND alone)
+  FROM (SELECT v.doc_id, v.ord, v.seq, v.k, v.n, v.st, v.alone, w.grp, w.used, w.segment, w.example, w.only_, v.k IS DISTINCT FROM w.k OR w.used > 5000 AS fresh, v.st OR (w.inside AND v.k IS NOT DISTINCT FROM w.k AND NOT v.en) AS flag
+    FROM w JOIN v ON v.doc_id = w.doc_id AND v.seq = w.seq + 1))
+SELECT doc_id, ord, grp AS "group", segment, example FROM w""",
 )
 def ext3(spark, sf):
-    b = blocks(spark, sf).withColumn("n", F.length("text"))
-    return X.islands(b, "doc_id", "ord", F.contains("text", F.lit("!!")), "n", 5000).select("doc_id", "ord", "island", "page")
+    """Appendix: a shouting block; clause: forty blocks; heading: a table row or none."""
+    b = blocks(spark, sf).select("doc_id", "ord", "text", F.contains("text", F.lit("!!")).alias("appendix"), F.floor(F.col("ord") / 40).alias("clause"), F.when(F.contains("text", F.lit(" | ")), True).alias("heading"))
+    return X.catalogue_groups(b, "doc_id", "ord", ["appendix", "clause", "heading"], EXAMPLE, ONE_LINE, ENDS)
 
 
 CITED_SQL = """c AS (SELECT item_id, doc_id, (strpos(d.text, b.text) - 1)::INT AS s, (strpos(d.text, b.text) - 1 + length(b.text))::INT AS e, CASE WHEN doc_id % 4 = 0 THEN 'x' || b.text ELSE b.text END AS quote,

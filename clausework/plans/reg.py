@@ -64,7 +64,16 @@ def reg7(spark, sf):
     return R.page_numbers(table(spark, sf, "part"), ["p_partkey"], 6, ["p_brand", "p_type"]).select("p_partkey", "p_brand", "p_type", "page")
 
 
-@query("reg8_overlap_packs")
+@query(
+    "reg8_overlap_packs",
+    """WITH RECURSIVE g AS (SELECT l_orderkey, l_linenumber, list_sort(list_distinct(list((l_suppkey % 8)::INT))) AS b FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS seq FROM g),
+w AS (SELECT l_orderkey, l_linenumber, seq, [{'n': 1, 'b': b}] AS packs, 1 AS spot FROM r WHERE seq = 1
+  UNION ALL SELECT l_orderkey, l_linenumber, seq, CASE WHEN spot IS NULL THEN list_append(packs, {'n': 1, 'b': b}) ELSE list_transform(packs, lambda p, i: CASE WHEN i = spot THEN {'n': p.n + 1, 'b': list_distinct(list_concat(p.b, b))} ELSE p END) END, coalesce(spot, len(packs) + 1)
+  FROM (SELECT *, CASE WHEN list_max(gain) > 0 THEN list_position(gain, list_max(gain)) END AS spot
+    FROM (SELECT r.*, packs, list_transform(packs, lambda p: CASE WHEN p.n < 3 AND list_sum(list_transform(list_distinct(list_concat(p.b, r.b)), lambda x: 100 + x)) <= 400 THEN coalesce(list_sum(list_transform(list_intersect(p.b, r.b), lambda x: 100 + x)), 0)::INT ELSE 0 END) AS gain
+      FROM w JOIN r ON r.l_orderkey = w.l_orderkey AND r.seq = w.seq + 1)))
+SELECT l_orderkey, l_linenumber, (spot - 1)::INT AS pack FROM w""",
+)
 def reg8(spark, sf):
     b = F.array_sort(F.collect_set(F.struct((F.col("l_suppkey") % 8).alias("id"), (100 + F.col("l_suppkey") % 8).alias("n"))))
     rules = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(b.alias("blocks"))
@@ -73,17 +82,20 @@ def reg8(spark, sf):
 
 @query("reg9_budgeted_batches")
 def reg9(spark, sf):
+    """Every document is checked against a tenth of the benchmark's items; a block's cost is its length."""
     b = blocks(spark, sf).select("doc_id", "ord", F.length("text").alias("n"), (F.col("ord") % 8 == 0).alias("head"))
-    return R.budgeted_batches(b, "doc_id", "ord", "n", "head", 3000)
+    items = table(spark, sf, "benchmark").select((F.col("item_id") % 10).alias("_k"), F.col("item_id").alias("rule"), F.length("text").alias("cost"))
+    rules = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 10).alias("_k")).join(items, "_k").drop("_k")
+    return R.budgeted_batches(rules, b, "doc_id", 3000)
 
 
 @query(
     "reg10_topic_clusters",
-    f"""WITH f AS (SELECT doc_id, source, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(left(text, 40)), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({STOPS}, w) AND length(w) >= 3), lambda w: left(w, 7)))), ' ') AS topic FROM documents),
+    f"""WITH f AS (SELECT doc_id, source, sha256(array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({STOPS}, w) AND length(w) >= 3), lambda w: left(w, 7)))), ' ')) AS topic FROM documents),
 w AS (SELECT topic FROM f GROUP BY topic HAVING count(DISTINCT source) >= 2) SELECT topic, doc_id, ((row_number() OVER (PARTITION BY topic ORDER BY doc_id) - 1) // 8)::BIGINT AS page FROM f JOIN w USING (topic)""",
 )
 def reg10(spark, sf):
-    return R.topic_clusters(table(spark, sf, "documents"), prefix_terms(F.substring("text", 1, 40)), "source", "doc_id")
+    return R.topic_clusters(table(spark, sf, "documents"), prefix_terms("text"), "source", "doc_id")
 
 
 @query("reg11_cache_reuse", "WITH c AS (SELECT sha256(text) AS d, min(n_chars) AS answer FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT doc_id, n_chars AS answer, sha256(text) IN (SELECT d FROM c) AS cached FROM documents")
