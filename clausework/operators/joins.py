@@ -39,6 +39,19 @@ def compatible(op_a: Column, a: Column, op_b: Column, b: Column) -> Column:
     )
 
 
+def implies(op_a: Column, a: Column, op_b: Column, b: Column) -> Column:
+    """Whether all values that the second bound allows are allowed by the first one too; unknown for an unknown operator."""
+    case = None
+    for side, loose, tight in ((1, ">=", ">"), (-1, "<=", "<")):
+        at_least = (b * side) >= (a * side)
+        beyond = (b * side) > (a * side)
+        for op, strict in ((loose, False), (tight, True)):
+            inner = F.when(op_b == tight, at_least).when(op_b == loose, beyond if strict else at_least).when(op_b == "=", beyond if strict else at_least).otherwise(False)
+            case = F.when(op_a == op, inner) if case is None else case.when(op_a == op, inner)
+    known = ("=", "<", "<=", ">", ">=")
+    return F.when(op_a.isin(*known) & op_b.isin(*known), case.otherwise((op_b == "=") & (a == b)))
+
+
 def amount_mismatches(cells: DataFrame, keys: list[str], tolerance: str = "0.01") -> DataFrame:
     """``cells``: keys, role (quantity, price, amount), value (decimal), factor -> rows where quantity x price differs from amount by more than the tolerance.
 

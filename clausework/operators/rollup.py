@@ -66,3 +66,25 @@ def remaining_seconds(done: DataFrame, pending: DataFrame, stage: str, seconds:
     """Median seconds of a stage times its pending tasks; null for stages that have none done."""
     m = done.groupBy(stage).agg(F.median(seconds).alias("median"))
     return pending.groupBy(stage).agg(F.count("*").alias("pending")).join(m, stage, "left").withColumn("remaining", F.round(F.col("pending") * F.col("median"), 4))
+
+
+def analysis_summary(cards: DataFrame, dimensions: list[str], dependencies: DataFrame, queue: DataFrame) -> DataFrame:
+    """``dimension, value, n``: cards by each dimension and in all, dependencies of the cards that are unresolved, and the length of the review queue.
+
+    ``dependencies``: id (of a card), unresolved. All dimensions come from one pass of grouping sets; a null value of a dimension is a value.
+    """
+    g = cards.groupingSets([[d] for d in dimensions] + [[]], *dimensions).agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
+    own = [(1 << len(dimensions)) - 1 - (1 << (len(dimensions) - 1 - i)) for i in range(len(dimensions))]
+    name, value = F.lit("cards"), F.lit(None).cast("string")
+    for d, bit in zip(dimensions, own, strict=True):
+        name, value = F.when(F.col("_g") == bit, d).otherwise(name), F.when(F.col("_g") == bit, F.col(d).cast("string")).otherwise(value)
+    open_ = dependencies.where("unresolved").join(cards.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("n"))
+    counted = lambda df, label: df.select(F.lit(label).alias("dimension"), F.lit(None).cast("string").alias("value"), "n")
+    return g.select(name.alias("dimension"), value.alias("value"), "n").unionByName(counted(open_, "unresolved dependencies")).unionByName(counted(queue.agg(F.count("*").alias("n")), "review queue"))
+
+
+def review_queue(cards: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``locator, candidate, reason``: cards and fragments without a card that need review. ``cards``: locator, id, state, reason; ``ledger``: locator, state, reason."""
+    need = F.col("state") == "needs_review"
+    kind = cards.schema["id"].dataType
+    return cards.where(need).select("locator", F.col("id").alias("candidate"), "reason").unionByName(ledger.where(need).select("locator", F.lit(None).cast(kind).alias("candidate"), "reason"))

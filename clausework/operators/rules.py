@@ -103,11 +103,22 @@ def refine(parents: DataFrame, children: DataFrame) -> DataFrame:
     return j.select("id", F.when(F.coalesce("off", F.lit(False)) & ~changed, False).otherwise(F.col("state")).alias("state"), changed.alias("parent_changed"))
 
 
-def accessible(users: DataFrame, scopes: DataFrame, ancestors: DataFrame, roles: DataFrame) -> DataFrame:
-    """``user, scope, permission``: roles granted on a scope hold for all scopes below it. ``users``: user, scope, role; ``roles``: role, permission; ``ancestors``: node, ancestor."""
-    down = ancestors.select(F.col("ancestor").alias("scope"), F.col("node").alias("below"))
-    granted = users.join(down, "scope").join(roles, "role")
-    return granted.join(scopes.select(F.col("scope").alias("below")), "below", "left_semi").select("user", F.col("below").alias("scope"), "permission").distinct()
+def accessible(asked: DataFrame, users: DataFrame, grants: DataFrame, ancestors: DataFrame, roles: DataFrame, everything: list[str]) -> DataFrame:
+    """``user, node, permissions, visible``: what a user may do on each asked node, as a sorted list, and whether they may see its row.
+
+    ``asked``: user, node, owner (user or null); ``users``: user, kind (staff, expert or plain); ``grants``: user, scope, role; ``roles``: role, permission; ``ancestors``: node, ancestor. A role that
+    is granted on a scope holds for the scope and all below it; staff may do ``everything``, experts may read whatever they are asked about. Rows of others are visible to staff and to
+    those who may edit only. Asked pairs meet their node's ancestors, then grants by (user, scope): nothing is expanded to all nodes below a scope.
+    """
+    up = ancestors.select(F.col("node").alias("_n"), F.col("ancestor").alias("scope"))
+    by_role = grants.join(roles, "role").groupBy("user", "scope").agg(F.collect_set("permission").alias("_p"))
+    met = asked.select("user", "node").distinct().join(up, F.col("node") == F.col("_n")).join(by_role, ["user", "scope"])
+    own = met.groupBy("user", "node").agg(F.array_distinct(F.flatten(F.collect_list("_p"))).alias("_own"))
+    j = asked.join(users, "user", "left").join(own, ["user", "node"], "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
+    given = F.when(F.col("kind") == "staff", F.array(*map(F.lit, everything))).when(F.col("kind") == "expert", F.array_union("_own", F.array(F.lit("read")))).otherwise(F.col("_own"))
+    j = j.withColumn("_all", F.array_sort(given))
+    visible = (F.col("kind") == "staff") | F.array_contains("_all", "edit") | F.coalesce(F.col("owner") == F.col("user"), F.lit(False))
+    return j.select("user", "node", F.array_join("_all", ",").alias("permissions"), F.coalesce(visible, F.lit(False)).alias("visible"))
 
 
 def without_disabled(items: DataFrame, key: str, disabled: DataFrame, ancestors: DataFrame) -> DataFrame:

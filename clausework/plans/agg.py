@@ -156,17 +156,38 @@ def agg15(spark, sf):
     return table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("oldest"))
 
 
+CARDS_SQL = """c AS (SELECT p_partkey AS id, p_brand AS provenance, CASE WHEN p_size < 5 THEN 'needs_review' WHEN p_size % 7 = 0 THEN 'rejected' ELSE 'confirmed' END AS state, p_type AS modality, (p_size % 3)::VARCHAR AS scope, split_part(p_name, ' ', 2) AS category, p_size FROM part),
+l AS (SELECT l_orderkey || '/' || l_linenumber AS locator, l_partkey, l_discount = 0 AND l_tax = 0 AS review, l_returnflag AS reason FROM lineitem)"""
+
+
+def cards(spark, sf):
+    state = F.when(F.col("p_size") < 5, "needs_review").when(F.col("p_size") % 7 == 0, "rejected").otherwise("confirmed")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("provenance"), state.alias("state"), F.col("p_type").alias("modality"), (F.col("p_size") % 3).cast("string").alias("scope"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("category"), "p_size")
+
+
 @query(
     "agg16_analysis_summary",
-    """WITH g AS (SELECT p_brand, p_type, p_size % 3 AS scope, count(*) AS n, grouping(p_brand, p_type, p_size % 3) AS w FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_size % 3)))
-SELECT CASE w WHEN 3 THEN 'brand' WHEN 5 THEN 'type' ELSE 'scope' END AS dimension, coalesce(p_brand, p_type, scope::VARCHAR) AS value, n FROM g
-UNION ALL SELECT 'queue', p_type, count(*) FROM part WHERE p_size < 5 OR p_name LIKE 'red%' GROUP BY p_type""",
+    f"""WITH {CARDS_SQL}, g AS (SELECT provenance, state, modality, scope, category, count(*) AS n, grouping(provenance, state, modality, scope, category) AS w FROM c GROUP BY GROUPING SETS ((provenance), (state), (modality), (scope), (category), ()))
+SELECT CASE w WHEN 15 THEN 'provenance' WHEN 23 THEN 'state' WHEN 27 THEN 'modality' WHEN 29 THEN 'scope' WHEN 30 THEN 'category' ELSE 'cards' END AS dimension, coalesce(provenance, state, modality, scope, category) AS value, n FROM g
+UNION ALL SELECT 'unresolved dependencies', NULL, count(*) FROM lineitem WHERE l_suppkey % 9 = 0 AND l_partkey IN (SELECT id FROM c)
+UNION ALL SELECT 'review queue', NULL, (SELECT count(*) FROM c WHERE state = 'needs_review') + (SELECT count(*) FROM l WHERE review)""",
 )
 def agg16(spark, sf):
-    p = table(spark, sf, "part").select("p_brand", "p_type", (F.col("p_size") % 3).cast("string").alias("scope"), "p_size", "p_name")
-    g = p.groupingSets([["p_brand"], ["p_type"], ["scope"]], "p_brand", "p_type", "scope").agg(F.count("*").alias("n"))
-    dim = F.when(F.col("p_brand").isNotNull(), "brand").when(F.col("p_type").isNotNull(), "type").otherwise("scope")
-    queue = p.where("p_size < 5 or p_name like 'red%'").groupBy(F.lit("queue").alias("dimension"), F.col("p_type").alias("value")).agg(F.count("*").alias("n"))
-    return g.select(dim.alias("dimension"), F.coalesce("p_brand", "p_type", "scope").alias("value"), "n").unionByName(queue)
+    c, lines = cards(spark, sf), table(spark, sf, "lineitem")
+    dependencies = lines.select(F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 9 == 0).alias("unresolved"))
+    return R.analysis_summary(c, ["provenance", "state", "modality", "scope", "category"], dependencies, review_queue(spark, sf))
 
 
+def review_queue(spark, sf):
+    c = cards(spark, sf).select(F.col("id").cast("string").alias("locator"), "id", "state", F.when(F.col("p_size") < 3, "size").otherwise("small").alias("reason"))
+    ledger = table(spark, sf, "lineitem").select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("locator"), F.when((F.col("l_discount") == 0) & (F.col("l_tax") == 0), "needs_review").otherwise("closed").alias("state"), F.col("l_returnflag").alias("reason"))
+    return R.review_queue(c, ledger)
+
+
+@query(
+    "agg16_review_queue",
+    f"""WITH {CARDS_SQL} SELECT id::VARCHAR AS locator, id AS candidate, CASE WHEN p_size < 3 THEN 'size' ELSE 'small' END AS reason FROM c WHERE state = 'needs_review'
+UNION ALL SELECT locator, NULL, reason FROM l WHERE review""",
+)
+def agg16_queue(spark, sf):
+    return review_queue(spark, sf)

@@ -137,17 +137,22 @@ def app9(spark, sf):
 
 @query(
     "app10_hierarchical_access",
-    f"""WITH RECURSIVE {TREE_SQL}, u AS (SELECT s_suppkey AS usr, CASE WHEN s_suppkey % 3 = 0 THEN 'r' || (s_suppkey % 5) ELSE 'n' || s_nationkey END AS scope, ['owner', 'expert', 'reader'][(s_suppkey % 3 + 1)::INT] AS role FROM supplier),
-r(role, permission) AS (VALUES ('owner', 'edit'), ('owner', 'read'), ('expert', 'comment'), ('expert', 'read'), ('reader', 'read'))
-SELECT DISTINCT u.usr AS user, node AS scope, permission FROM u JOIN closure ON ancestor = u.scope JOIN r USING (role) WHERE node LIKE 'c%'""",
+    f"""WITH RECURSIVE {TREE_SQL}, u AS (SELECT s_suppkey AS usr, CASE s_suppkey % 11 WHEN 0 THEN 'staff' WHEN 1 THEN 'expert' ELSE 'plain' END AS kind, CASE WHEN s_suppkey % 3 = 0 THEN 'r' || (s_suppkey % 5) ELSE 'n' || s_nationkey END AS scope, ['owner', 'editor', 'reader'][(s_suppkey % 3 + 1)::INT] AS role FROM supplier),
+r(role, permission) AS (VALUES ('owner', 'edit'), ('owner', 'read'), ('editor', 'comment'), ('editor', 'read'), ('reader', 'read')),
+a AS (SELECT DISTINCT l_suppkey AS usr, 'c' || o_custkey AS node, CASE WHEN o_custkey % 2 = 0 THEN l_suppkey END AS owner FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+p AS (SELECT a.usr, a.node, a.owner, any_value(kind) AS kind, CASE any_value(kind) WHEN 'staff' THEN ['comment', 'edit', 'read'] ELSE list_sort(list_distinct(list_concat(coalesce(list(permission) FILTER (permission IS NOT NULL), []), CASE any_value(kind) WHEN 'expert' THEN ['read'] ELSE [] END))) END AS p
+  FROM a LEFT JOIN u ON a.usr = u.usr LEFT JOIN closure ON closure.node = a.node AND closure.ancestor = u.scope LEFT JOIN r ON closure.node IS NOT NULL AND r.role = u.role GROUP BY ALL)
+SELECT usr AS "user", node, array_to_string(p, ',') AS permissions, coalesce(kind = 'staff' OR list_contains(p, 'edit') OR coalesce(owner = usr, false), false) AS visible FROM p""",
 )
 def app10(spark, sf):
-    pick = F.element_at(F.array(F.lit("owner"), F.lit("expert"), F.lit("reader")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    """Suppliers ask for the customers they deliver to; roles are granted on nations and regions."""
+    pick = F.element_at(F.array(F.lit("owner"), F.lit("editor"), F.lit("reader")), (F.col("s_suppkey") % 3 + 1).cast("int"))
     scope = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("r"), (F.col("s_suppkey") % 5).cast("string"))).otherwise(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
-    users = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user"), scope.alias("scope"), pick.alias("role"))
-    roles = spark.sql("SELECT * FROM VALUES ('owner', 'edit'), ('owner', 'read'), ('expert', 'comment'), ('expert', 'read'), ('reader', 'read') AS r(role, permission)")
-    ancestors = R.closure(tree(spark, sf))
-    return R.accessible(users, ancestors.where("node like 'c%'").select(F.col("node").alias("scope")).distinct(), ancestors, roles)
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user"), scope.alias("scope"), pick.alias("role"), F.when(F.col("s_suppkey") % 11 == 0, "staff").when(F.col("s_suppkey") % 11 == 1, "expert").otherwise("plain").alias("kind"))
+    roles = spark.sql("SELECT * FROM VALUES ('owner', 'edit'), ('owner', 'read'), ('editor', 'comment'), ('editor', 'read'), ('reader', 'read') AS r(role, permission)")
+    pairs = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("user"), "o_custkey").distinct()
+    asked = pairs.select("user", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.when(F.col("o_custkey") % 2 == 0, F.col("user")).alias("owner"))
+    return R.accessible(asked, s.select("user", "kind"), s.select("user", "scope", "role"), R.closure(tree(spark, sf)), roles, ["comment", "edit", "read"])
 
 
 @query(

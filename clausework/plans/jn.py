@@ -30,20 +30,24 @@ def jn1(spark, sf):
 
 @query(
     "jn2_bound_pairs",
-    """WITH b AS (SELECT o_custkey, o_orderkey, ['>=', '<=', '=', '<', '>', '~'][(o_orderkey % 6 + 1)::INT] AS op, o_totalprice::DECIMAL(18,2) AS v FROM orders),
-p AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b, a.op AS oa, b.op AS ob, a.v AS va, b.v AS vb FROM b a JOIN b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey),
+    """WITH b AS (SELECT o_custkey, o_orderkey, ['>=', '<=', '=', '<', '>', '~'][(o_orderkey % 6 + 1)::INT] AS op, floor(o_totalprice / 20000)::DECIMAL(18,2) AS v, o_orderdate FROM orders),
+p AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, op AS oa, lead(op) OVER w AS ob, v AS va, lead(v) OVER w AS vb FROM b WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 c AS (SELECT *, CASE WHEN oa = '~' OR ob = '~' THEN NULL WHEN oa = '=' AND ob = '=' THEN va = vb
  WHEN oa IN ('>', '>=') AND ob IN ('>', '>=') OR oa IN ('<', '<=') AND ob IN ('<', '<=') THEN true
  WHEN oa IN ('=', '>', '>=') AND ob IN ('=', '<', '<=') AND NOT (oa = '=' AND ob IN ('>', '>=')) THEN CASE WHEN oa = '>' OR ob = '<' THEN va < vb ELSE va <= vb END
- ELSE CASE WHEN oa = '<' OR ob = '>' THEN vb < va ELSE vb <= va END END AS ok FROM p)
-SELECT a, b, ok FROM c""",
+ ELSE CASE WHEN oa = '<' OR ob = '>' THEN vb < va ELSE vb <= va END END AS ok,
+ CASE WHEN oa = '~' OR ob = '~' THEN NULL WHEN oa = '=' THEN ob = '=' AND va = vb WHEN oa IN ('>', '>=') THEN ob IN ('=', '>', '>=') AND (vb > va OR vb = va AND NOT (oa = '>' AND ob <> '>'))
+ ELSE ob IN ('=', '<', '<=') AND (vb < va OR vb = va AND NOT (oa = '<' AND ob <> '<')) END AS implied FROM p WHERE b IS NOT NULL)
+SELECT a, b, ok, implied FROM c""",
 )
 def jn2(spark, sf):
+    """Each order's bound against that of the customer's next order: whether both can hold, and whether the second implies the first."""
     op = F.element_at(F.array(*map(F.lit, (">=", "<=", "=", "<", ">", "~"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    b = table(spark, sf, "orders").select("o_custkey", "o_orderkey", op.alias("op"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
-    x, y = b.alias("x"), b.alias("y")
-    p = x.join(y, (F.col("x.o_custkey") == F.col("y.o_custkey")) & (F.col("x.o_orderkey") < F.col("y.o_orderkey")))
-    return p.select(F.col("x.o_orderkey").alias("a"), F.col("y.o_orderkey").alias("b"), J.compatible(F.col("x.op"), F.col("x.v"), F.col("y.op"), F.col("y.v")).alias("ok"))
+    b = table(spark, sf, "orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("a"), op.alias("oa"), F.floor(F.col("o_totalprice") / 20000).cast("decimal(18,2)").alias("va"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "a")
+    p = b.select("a", "oa", "va", *[F.lead(c).over(w).alias(d) for c, d in (("a", "b"), ("oa", "ob"), ("va", "vb"))]).where("b is not null")
+    sides = [F.col(c) for c in ("oa", "va", "ob", "vb")]
+    return p.select("a", "b", J.compatible(*sides).alias("ok"), J.implies(*sides).alias("implied"))
 
 
 @query(
@@ -147,14 +151,14 @@ def jn9(spark, sf):
 
 @query(
     "jn10_section_inventory",
-    """WITH h AS (SELECT page_id AS doc, regexp_extract(html, '<h1>([^<]*)', 1) AS heading, regexp_extract(html, '<p>([^<]{1,200})', 1) AS body FROM pages),
+    """WITH h AS (SELECT page_id AS doc, regexp_extract(html, '<h1>([^<]*)', 1) AS heading, array_to_string(regexp_extract_all(html, '<p>([^<]*)', 1), ' ') AS body FROM pages),
 e AS (SELECT doc, CASE doc % 3 WHEN 0 THEN lower(heading) WHEN 1 THEN left(body, 30) ELSE left(heading, length(heading) - 3) || 'xyz' END AS title FROM h),
 c AS (SELECT e.doc, title, heading, body, 1 - levenshtein(lower(title), lower(heading)) / greatest(length(title), length(heading)) AS near FROM e JOIN h USING (doc)),
 s AS (SELECT *, CASE WHEN lower(heading) = lower(title) THEN 'heading' WHEN contains(lower(body), lower(title)) THEN 'body' ELSE 'missing' END AS state FROM c)
 SELECT doc, title, state, CASE WHEN state = 'missing' AND round(near, 6) >= 0.58 THEN heading END AS closest FROM s""",
 )
 def jn10(spark, sf):
-    h = table(spark, sf, "pages").select(F.col("page_id").alias("doc"), F.regexp_extract("html", "<h1>([^<]*)", 1).alias("heading"), F.regexp_extract("html", "<p>([^<]{1,200})", 1).alias("body"))
+    h = table(spark, sf, "pages").select(F.col("page_id").alias("doc"), F.regexp_extract("html", "<h1>([^<]*)", 1).alias("heading"), F.array_join(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1)), " ").alias("body"))
     title = F.when(F.col("doc") % 3 == 0, F.lower("heading")).when(F.col("doc") % 3 == 1, F.substring("body", 1, 30)).otherwise(F.concat(F.substring(F.col("heading"), F.lit(1), F.length("heading") - 3), F.lit("xyz")))
     return J.section_inventory(h.select("doc", title.alias("title")), h.select("doc", "heading"), h.select("doc", "body"))
 
@@ -200,14 +204,15 @@ def jn12(spark, sf):
 
 @query(
     "jn13_dependencies",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS s, l_suppkey * 13 % 2100 AS t FROM lineitem WHERE l_linenumber = 1), w(root, node, depth) AS (SELECT DISTINCT s, s, 0 FROM e UNION SELECT root, t, depth + 1 FROM w JOIN e ON node = s WHERE depth < 3),
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS s, t FROM (SELECT o_orderkey, unnest([o_orderkey // 2, o_orderkey * 7 % 20011]) AS t FROM orders)), w(root, node, depth) AS (SELECT DISTINCT s, s, 0 FROM e UNION SELECT root, t, depth + 1 FROM w JOIN e ON node = s WHERE depth < 3),
 n AS (SELECT root, node, min(depth) AS depth FROM w WHERE node <> root GROUP BY ALL)
-SELECT root, node, depth, sum(coalesce(p_size, 0)) OVER (PARTITION BY root ORDER BY depth, node ROWS UNBOUNDED PRECEDING) <= 120 AS included, p_size IS NOT NULL AS resolved FROM n LEFT JOIN part ON node = p_partkey""",
+SELECT root, node, depth, sum(coalesce(o_orderkey % 50, 0)) OVER (PARTITION BY root ORDER BY depth, node ROWS UNBOUNDED PRECEDING) <= 120 AS included, o_orderkey IS NOT NULL AS resolved FROM n LEFT JOIN orders ON node = o_orderkey""",
 )
 def jn13(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("source"), (F.col("l_suppkey") * 13 % 2100).alias("target"))
-    sizes = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
-    return J.transitive_dependencies(e, sizes, budget=120)
+    """Every order depends on two others, some of which don't exist."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    e = o.select(F.col("o_orderkey").alias("source"), F.explode(F.array(F.expr("o_orderkey div 2"), F.col("o_orderkey") * 7 % 20011)).alias("target"))
+    return J.transitive_dependencies(e, o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 50).alias("size")), budget=120)
 
 
 @query(
