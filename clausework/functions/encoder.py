@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 
-def checked_encoder(encode: Callable[[list], list[list[float]]], size: int):
+def checked_encoder(encode: Callable[[list], Sequence[Sequence[float]]], size: int):
     """A column function that encodes batches; a vector of another size is an error."""
 
     @F.pandas_udf("array<double>")
@@ -17,6 +18,6 @@ def checked_encoder(encode: Callable[[list], list[list[float]]], size: int):
         for v in vectors:
             if len(v) != size:
                 raise ValueError(f"the encoder gave {len(v)} dimensions; {size} are expected")
-        return pd.Series([[float(x) for x in v] for v in vectors], dtype=object)
+        return pd.Series([np.asarray(v, float) for v in vectors], dtype=object)
 
     return run

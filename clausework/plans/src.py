@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,7 +139,17 @@ def src8(spark, sf):
     return B.greedy_groups(parts, ["doc_id"], "seq", "n", 2000, change=F.length("text") > 2000).select("doc_id", "ord", "part_offset", "n", "group")
 
 
-@query("src9_lossless_chunks")
+@query(
+    "src9_lossless_chunks",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS s, 0 AS e FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, e, least(CASE WHEN ea = len THEN len WHEN a1 >= 0 THEN a1 + 1 WHEN a2 >= 0 THEN a2 + 2 WHEN a3 >= 0 THEN a3 + 2 WHEN a4 >= 0 THEN a4 + 1 ELSE ea END, len)
+  FROM (SELECT *, CASE WHEN strpos(rs, chr(10)) > 0 THEN ea - strpos(rs, chr(10)) ELSE -1 END AS a1, CASE WHEN strpos(rs, ' .') > 0 THEN ea - strpos(rs, ' .') - 1 ELSE -1 END AS a2,
+      CASE WHEN strpos(rs, ' ;') > 0 THEN ea - strpos(rs, ' ;') - 1 ELSE -1 END AS a3, CASE WHEN strpos(rs, ' ') > 0 THEN ea - strpos(rs, ' ') ELSE -1 END AS a4
+    FROM (SELECT *, reverse(substr(text, fl + 1, ea - fl)) AS rs
+      FROM (SELECT *, e + CAST(floor(0.7 * (ea - e)) AS INT) AS fl
+        FROM (SELECT doc_id, text, s, e, length(text) AS len, CASE WHEN length(regexp_extract(substr(text, e + 1), '^(?:\s*\S+){200}\s*')) > 0 THEN e + length(regexp_extract(substr(text, e + 1), '^(?:\s*\S+){200}\s*')) ELSE length(text) END AS ea FROM w WHERE e < length(text))))))
+SELECT doc_id, s AS start, e AS "end", len(regexp_extract_all(substr(text, s + 1, e - s), '\S+'))::INT AS n_tokens, sha256(substr(text, s + 1, e - s)) AS sha FROM w WHERE e > 0""",
+)
 def src9(spark, sf):
     return lossless_chunks(table(spark, sf, "documents"), "doc_id", "text", limit=200).select("doc_id", "start", "end", "n_tokens", F.sha2("chunk", 256).alias("sha"))
 
@@ -276,22 +289,99 @@ def src20(spark, sf):
     return out.withColumn("usable", (F.col("altered") == 0) & (F.col("outside") == 0))
 
 
-@query("src18_report_rows", "SELECT event_type AS category, count(*) AS findings, string_agg(event_id::VARCHAR || ' (' || user_id::VARCHAR || ')', chr(10) ORDER BY event_id) AS report FROM events WHERE value > 100 GROUP BY event_type")
+FINDINGS_SQL = "f AS (SELECT event_type AS category, event_id AS id, 'User ' || user_id || ' <' || event_type || '>' AS issue, 'Value & unit' AS explanation, CASE WHEN event_id % 3 <> 0 THEN 'Check it' END AS suggestion, CASE WHEN event_id % 2 = 0 THEN [props] ELSE [] END AS quotes FROM events)"
+
+
+@query(
+    "src18_report_rows",
+    f"""WITH {FINDINGS_SQL}, t AS (SELECT category, 'finding' AS kind, issue AS text FROM f UNION ALL SELECT category, 'text', explanation FROM f UNION ALL SELECT category, 'text', 'Suggestion: ' || coalesce(suggestion, '') FROM f
+  UNION ALL SELECT category, 'quote', unnest(quotes) FROM f UNION ALL SELECT DISTINCT category, 'category', category FROM f),
+h AS (SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS e, CASE kind WHEN 'category' THEN 'h2' WHEN 'finding' THEN 'h3' WHEN 'text' THEN 'p' ELSE 'blockquote' END AS tag FROM t)
+SELECT category, 'markdown' AS form, CASE kind WHEN 'category' THEN '## ' WHEN 'finding' THEN '### ' WHEN 'text' THEN '' ELSE '> ' END || text AS line FROM h UNION ALL SELECT category, 'html', '<' || tag || '>' || e || '</' || tag || '>' FROM h""",
+)
 def src18(spark, sf):
-    from clausework.sources.area import text_report
+    """Both text reports as they stand in their files, a folder a category."""
+    from clausework.sources.area import report_lines, write_report
+    from clausework.sources.scratch import new_folder
+
+    quotes = F.when(F.col("event_id") % 2 == 0, F.array("props")).otherwise(F.array().cast("array<string>"))
+    issue = F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" <"), "event_type", F.lit(">"))
+    lines = report_lines(table(spark, sf, "events").select(F.col("event_type").alias("category"), F.col("event_id").alias("id"), issue.alias("issue"), F.lit("Value & unit").alias("explanation"), F.when(F.col("event_id") % 3 != 0, "Check it").alias("suggestion"), quotes.alias("quotes")))
+    read = []
+    for form in ("markdown", "html"):
+        path = new_folder(spark, "report")
+        write_report(lines, path, form)
+        read.append(spark.read.schema("value string, category string").text(path).select("category", F.lit(form).alias("form"), F.col("value").alias("line")))
+    return read[0].unionByName(read[1])
+
+
+def area(spark, sf):
+    """An area from the tables: nations are sources, regions profiles, suppliers requirements, parts glossary entries; some records are broken on purpose."""
+    text = lambda c: F.col(c).cast("string")
+    named = lambda mark, c: F.concat(F.lit(mark), text(c))
+    none = F.lit(None).cast("string")
+    cite = lambda start, end, quote: F.array(F.struct(F.lit("p1").alias("locator"), quote.alias("quote"), F.lit(start).alias("start"), F.lit(end).alias("end")))
+    nation, region, supplier, part = (table(spark, sf, t) for t in ("nation", "region", "supplier", "part"))
+    s = supplier.join(nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
+    requirement = s.select(named("q", "s_suppkey").alias("id"), named("n", "s_nationkey").alias("source_id"), F.when(F.col("s_suppkey") % 13 == 0, "definition").otherwise("requirement").alias("entity_type"), none.alias("term"), F.col("s_name").alias("description"),
+        F.when(F.col("s_suppkey") % 3 == 0, named("r", "s_nationkey")).alias("local_profile"), cite(0, 6, F.when(F.col("s_suppkey") % 7 == 0, "NATIVE").otherwise(F.substring("n_name", 1, 6))).alias("citations"))
+    glossary = part.select(named("g", "p_partkey").alias("id"), F.concat(F.lit("n"), (F.col("p_size") % 30).cast("string")).alias("source_id"), F.lit("definition").alias("entity_type"), F.upper("p_name").alias("term"), F.col("p_type").alias("description"), none.alias("local_profile"), cite(0, 7, F.lit("NATION_")).alias("citations"))
+    choice = part.groupBy(F.lower("p_name").alias("key")).agg(F.min("p_partkey").alias("p")).select("key", F.concat(F.lit("g"), (F.col("p") + F.when(F.col("p") % 5 == 0, 1).otherwise(0)).cast("string")).alias("active_entry_id"))
+    link = supplier.select(named("k", "s_suppkey").alias("id"), named("q", "s_suppkey").alias("source"), F.concat(F.lit("q"), (F.col("s_suppkey") + 1).cast("string")).alias("target"), named("g", "s_nationkey").alias("basis"))
+    control = supplier.select(F.when(F.col("s_suppkey") % 2 == 0, "card").otherwise("profile").alias("kind"), F.when(F.col("s_suppkey") % 2 == 0, named("q", "s_suppkey")).otherwise(named("r", "s_suppkey")).alias("id"), (F.col("s_suppkey") % 3 == 0).alias("enabled"), (F.col("s_suppkey") % 4 == 0).alias("deleted"))
+    profile = region.select(named("r", "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.array(F.concat(F.lit("r"), (F.col("r_regionkey") + 1).cast("string"))).alias("parents"), F.array(named("n", "r_regionkey")).alias("sources"))
+    return {"source": nation.select(named("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_name").alias("text")), "profile": profile, "requirement": requirement, "glossary": glossary, "choice": choice, "link": link, "control": control}
+
+
+AREA_SQL = """src AS (SELECT 'n' || n_nationkey AS id, n_name AS text FROM nation),
+pro AS (SELECT 'r' || r_regionkey AS id, 'r' || (r_regionkey + 1) AS parent, 'n' || r_regionkey AS source FROM region),
+req AS (SELECT 'q' || s_suppkey AS id, 'n' || s_nationkey AS source_id, CASE WHEN s_suppkey % 13 = 0 THEN 'definition' ELSE 'requirement' END AS entity_type, CASE WHEN s_suppkey % 3 = 0 THEN 'r' || s_nationkey END AS local_profile, CASE WHEN s_suppkey % 7 = 0 THEN 'NATIVE' ELSE substr(n_name, 1, 6) END AS quote, 6 AS e FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+glo AS (SELECT 'g' || p_partkey AS id, 'n' || (p_size % 30) AS source_id, upper(p_name) AS term, 'NATION_' AS quote, 7 AS e FROM part),
+cho AS (SELECT lower(p_name) AS key, 'g' || (min(p_partkey) + CASE WHEN min(p_partkey) % 5 = 0 THEN 1 ELSE 0 END) AS entry FROM part GROUP BY lower(p_name)),
+lnk AS (SELECT 'k' || s_suppkey AS id, 'q' || s_suppkey AS source, 'q' || (s_suppkey + 1) AS target, 'g' || s_nationkey AS basis FROM supplier),
+ctl AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'card' ELSE 'profile' END AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'q' ELSE 'r' END || s_suppkey AS id, s_suppkey % 3 = 0 AS enabled, s_suppkey % 4 = 0 AS deleted FROM supplier),
+crd AS (SELECT id FROM req UNION ALL SELECT id FROM glo)"""
 
-    return text_report(table(spark, sf, "events").where("value > 100"), "event_type", "event_id", F.concat(F.col("event_id").cast("string"), F.lit(" ("), F.col("user_id").cast("string"), F.lit(")")))
 
+@query(
+    "src17_area_problems",
+    f"""WITH {AREA_SQL}
+SELECT 'profile' AS kind, id, 'parent absent' AS problem FROM pro WHERE parent NOT IN (SELECT id FROM pro) UNION ALL SELECT 'profile', id, 'source absent' FROM pro WHERE source NOT IN (SELECT id FROM src)
+UNION ALL SELECT 'requirement', id, 'source absent' FROM req WHERE source_id NOT IN (SELECT id FROM src) UNION ALL SELECT 'glossary', id, 'source absent' FROM glo WHERE source_id NOT IN (SELECT id FROM src)
+UNION ALL SELECT 'requirement', id, 'profile absent' FROM req WHERE local_profile NOT IN (SELECT id FROM pro) UNION ALL SELECT 'requirement', id, 'wrong type' FROM req WHERE entity_type = 'definition'
+UNION ALL SELECT 'requirement', req.id, 'citation not in its source' FROM req JOIN src ON source_id = src.id WHERE substr(text, 1, e) <> quote OR length(text) < e
+UNION ALL SELECT 'glossary', glo.id, 'citation not in its source' FROM glo JOIN src ON source_id = src.id WHERE substr(text, 1, e) <> quote OR length(text) < e
+UNION ALL SELECT 'choice', key, 'entry of another term' FROM cho LEFT JOIN glo ON entry = glo.id WHERE lower(term) IS DISTINCT FROM key
+UNION ALL SELECT 'link', id, 'source absent' FROM lnk WHERE source NOT IN (SELECT id FROM crd) UNION ALL SELECT 'link', id, 'target absent' FROM lnk WHERE target NOT IN (SELECT id FROM crd) UNION ALL SELECT 'link', id, 'basis absent' FROM lnk WHERE basis NOT IN (SELECT id FROM crd)
+UNION ALL SELECT 'control', id, 'object absent' FROM ctl WHERE NOT CASE kind WHEN 'card' THEN id IN (SELECT id FROM crd) ELSE id IN (SELECT id FROM pro) END UNION ALL SELECT 'control', id, 'deleted and enabled' FROM ctl WHERE enabled AND deleted""",
+)
+def src17_problems(spark, sf):
+    from clausework.sources.area import area_problems, export_area, read_area
+
+    return area_problems(read_area(spark, export_area(spark, area(spark, sf))))
 
-@query("src17_area_import", "SELECT 'n' || n_nationkey AS source, 'req-' || s_suppkey AS requirement, 'n' || n_nationkey || '/p1' AS citation, substr(n_name, 1, 6) AS quote FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-def src17(spark, sf):
-    from clausework.sources.area import export_area, import_area
 
-    nations, suppliers = table(spark, sf, "nation"), table(spark, sf, "supplier")
-    sources = nations.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("text"))
-    requirements = suppliers.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").cast("string").alias("source"), F.lit("p1").alias("locator"), F.lit(0).alias("start"), F.lit(6).alias("end"))
-    found = import_area(spark, export_area(spark, sources, requirements), prefix=("n", "req-"))
-    return found.select("source", F.col("id").alias("requirement"), "citation", "quote")
+@query(
+    "src17_area_import",
+    f"""WITH {AREA_SQL}, m AS (
+SELECT 'source' AS kind, left(sha256('area|source|' || id), 32) AS id, text AS refers FROM src
+UNION ALL SELECT 'profile', left(sha256('area|profile|' || id), 32), left(sha256('area|profile|' || parent), 32) || ',' || left(sha256('area|source|' || source), 32) FROM pro
+UNION ALL SELECT 'requirement', left(sha256('area|card|' || id), 32), left(sha256('area|source|' || source_id), 32) || ',' || coalesce(left(sha256('area|profile|' || local_profile), 32), '') || ',' || sha256(left(sha256('area|source|' || source_id), 32) || '|p1|0|' || quote) FROM req
+UNION ALL SELECT 'glossary', left(sha256('area|card|' || id), 32), left(sha256('area|source|' || source_id), 32) || ',,' || sha256(left(sha256('area|source|' || source_id), 32) || '|p1|0|' || quote) FROM glo
+UNION ALL SELECT 'choice', key, left(sha256('area|card|' || entry), 32) FROM cho
+UNION ALL SELECT 'link', left(sha256('area|link|' || id), 32), left(sha256('area|card|' || source), 32) || ',' || left(sha256('area|card|' || target), 32) || ',' || left(sha256('area|card|' || basis), 32) FROM lnk
+UNION ALL SELECT 'control', left(sha256('area|' || kind || '|' || id), 32), CASE WHEN deleted THEN 'deleted' WHEN enabled THEN 'enabled' ELSE 'disabled' END FROM ctl)
+SELECT * FROM m""",
+)
+def src17(spark, sf):
+    """Every record of the imported area with what it refers to under the new ids."""
+    from clausework.sources.area import export_area, import_area, read_area
+
+    got = import_area(read_area(spark, export_area(spark, area(spark, sf))), "area")
+    card = F.concat_ws(",", "source_id", F.coalesce("local_profile", F.lit("")), F.col("citations")[0]["context"])
+    refers = {"source": F.col("text"), "profile": F.concat_ws(",", F.array_join("parents", ","), F.array_join("sources", ",")), "requirement": card, "glossary": card, "choice": F.col("active_entry_id"), "link": F.concat_ws(",", "source", "target", "basis"), "control": F.when(F.col("deleted"), "deleted").when(F.col("enabled"), "enabled").otherwise("disabled")}
+    rows = [got[k].select(F.lit(k).alias("kind"), F.col("key" if k == "choice" else "id").alias("id"), r.alias("refers")) for k, r in refers.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 __all__ = ["blocks", "content_id", "outline"]

@@ -53,7 +53,18 @@ def samples(df):
     return df.select(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), (200 + F.pmod(F.col("event_id"), F.lit(3)) * 100).cast("double").alias("prompt"), (90 + F.col("event_id") % 50).cast("double").alias("predicted"), (slow * (100 + v % 7)).alias("prefill"), (slow * (60 + v % 5)).alias("generation"), F.col("ts").alias("ended"))
 
 
-@query("str4_throughput_degradation")
+@query(
+    "str4_throughput_degradation",
+    """WITH RECURSIVE s AS (SELECT event_id AS id, event_type AS stage, floor(ln((200 + event_id % 3 * 100)::DOUBLE) / ln(1.25))::INT AS bucket, CASE WHEN event_id % 1000 > 700 THEN 0.5 ELSE 1.0 END::DOUBLE * (100 + value % 7) AS prefill, CASE WHEN event_id % 1000 > 700 THEN 0.5 ELSE 1.0 END::DOUBLE * (60 + value % 5) AS generation, ts AS ended
+  FROM events WHERE 90 + event_id % 50 >= 96),
+r AS (SELECT *, row_number() OVER (PARTITION BY stage, bucket ORDER BY ended, id) AS n FROM s),
+m AS (SELECT stage, bucket, n, ended, median(prefill) OVER w / median(CASE WHEN n <= 5 THEN prefill END) OVER k AS p, median(generation) OVER w / median(CASE WHEN n <= 5 THEN generation END) OVER k AS g FROM r
+  WINDOW k AS (PARTITION BY stage, bucket), w AS (PARTITION BY stage, bucket ORDER BY n ROWS 3 PRECEDING)),
+l AS (SELECT *, floor(epoch(ended))::BIGINT AS t, row_number() OVER (PARTITION BY stage, bucket ORDER BY floor(epoch(ended)), n) AS seq FROM m WHERE n >= 9 AND p < 0.85 AND g < 0.85),
+w AS (SELECT stage, bucket, n, ended, seq, t AS last, true AS fires FROM l WHERE seq = 1
+  UNION ALL SELECT l.stage, l.bucket, l.n, l.ended, l.seq, CASE WHEN t - last >= 3600 THEN t ELSE last END, t - last >= 3600 FROM w JOIN l ON l.stage = w.stage AND l.bucket = w.bucket AND l.seq = w.seq + 1)
+SELECT stage, bucket, n, ended FROM w WHERE fires""",
+)
 def str4(spark, sf):
     return S.degradations(samples(table(spark, sf, "events")), "stage", ["ended", "id"])
 

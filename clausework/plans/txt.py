@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clausework.functions import lexicon
@@ -231,7 +232,7 @@ def txt18(spark, sf):
 def udf1(spark, sf):
     from clausework.functions.encoder import checked_encoder
 
-    encode = checked_encoder(lambda vectors: [[x / (sum(y * y for y in v) ** 0.5) for x in v] for v in vectors], size=64)
+    encode = checked_encoder(lambda vectors: (x := np.array([*vectors], float)) / np.linalg.norm(x, axis=1, keepdims=True), size=64)
     v = table(spark, sf, "embeddings").select("vec_id", encode("embedding").alias("v"))
     return v.select("vec_id", (F.size("v") == 64).alias("same_size"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 

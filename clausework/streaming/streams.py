@@ -100,29 +100,38 @@ def bucket_of(prompt: Column) -> Column:
     return F.floor(F.log(prompt) / math.log(1.25)).cast("int")
 
 
-def degradations(samples: DataFrame, stage: str, order: list[str]) -> DataFrame:
+def degradations(samples: DataFrame, stage: str, order: list[str], slice_seconds: int = 3600) -> DataFrame:
     """``samples``: stage, prompt, predicted, prefill, generation (rates), ended -> samples at which both recent medians fall below 85 % of the baseline.
 
     A bucket is a stage and a prompt size on a scale of 1.25. The first five samples are its baseline; recent are the last four. An alarm
-    silences its bucket for an hour, which is a fold over the candidate alarms of the bucket.
+    silences its bucket for an hour, which is a fold over the times of the candidate alarms of the bucket. Buckets are few, so their samples are dealt over slices of time: places and recent samples
+    are found within slices, and across them over the at most six samples at a slice's edges. Nulls in a rate or a time leave a sample out.
     """
-    s = samples.where((F.col("prompt") >= LEAST_PROMPT) & (F.col("predicted") >= LEAST_PREDICTED)).withColumn("bucket", bucket_of(F.col("prompt")))
-    w = Window.partitionBy(stage, "bucket").orderBy(*order)
-    ranked = s.withColumn("n", F.row_number().over(w))
-    recent = w.rowsBetween(1 - LAST, 0)
-    both = []
-    for c in ("prefill", "generation"):
-        base = F.median(F.when(F.col("n") <= FIRST, F.col(c))).over(Window.partitionBy(stage, "bucket"))
-        middle = F.array_sort(F.collect_list(c).over(recent))
-        now = (F.get(middle, F.lit((LAST - 1) // 2)) + F.get(middle, F.lit(LAST // 2))) / 2
-        ranked = ranked.withColumn(f"_{c}", now / base)
-        both.append(F.col(f"_{c}") < DROP)
-    low = ranked.where((F.col("n") >= FIRST + LAST) & both[0] & both[1]).withColumn("_t", F.unix_seconds(F.col("ended").cast("timestamp")))
-    listed = low.groupBy(stage, "bucket").agg(F.array_sort(F.collect_list(F.struct("_t", "n"))).alias("l"))
+    s = samples.where((F.col("prompt") >= LEAST_PROMPT) & (F.col("predicted") >= LEAST_PREDICTED) & F.col("prefill").isNotNull() & F.col("generation").isNotNull() & F.col("ended").isNotNull())
+    s = s.withColumn("bucket", bucket_of(F.col("prompt"))).withColumn("_t", F.unix_seconds(F.col("ended").cast("timestamp"))).withColumn("_slice", F.floor(F.col("_t") / slice_seconds))
+    key, own = [stage, "bucket"], [stage, "bucket", "_slice"]
+    inner = Window.partitionBy(*own).orderBy(*order)
+    placed = s.withColumn("_r", F.row_number().over(inner)).withColumn("_m", F.count("*").over(Window.partitionBy(*own)))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = s.groupBy(*own).agg(F.count("*").alias("_c")).select(*own, before.alias("_before"))
+    ranked = placed.join(offsets, own).withColumn("n", (F.col("_r") + F.col("_before")).cast("int"))
+    rates = F.struct("prefill", "generation")
+    inside = ranked.withColumn("_last", F.collect_list(rates).over(inner.rowsBetween(1 - LAST, 0))).where(F.col("_r") >= LAST)
+    edges = ranked.where((F.col("_r") < LAST) | (F.col("_m") - F.col("_r") < LAST - 1))
+    edges = edges.withColumn("_last", F.collect_list(rates).over(Window.partitionBy(*key).orderBy("n").rowsBetween(1 - LAST, 0))).where(F.col("_r") < LAST)
+    first = ranked.where(F.col("n") <= FIRST).groupBy(*key).agg(F.median("prefill").alias("_prefill"), F.median("generation").alias("_generation"))
+    every = inside.unionByName(edges).where(F.col("n") >= FIRST + LAST).join(F.broadcast(first), key)  # one row a bucket: stages times sizes on a logarithmic scale
+
+    def middle(c):
+        own_ = F.array_sort(F.col(f"_last.{c}"))
+        return (F.get(own_, F.lit((LAST - 1) // 2)) + F.get(own_, F.lit(LAST // 2))) / 2
+
+    low = every.where((middle("prefill") / F.col("_prefill") < DROP) & (middle("generation") / F.col("_generation") < DROP))
+    listed = low.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_t", "n"))).alias("l"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<int>").alias("out"))
     step = lambda a, x: F.when(a.last.isNull() | (x["_t"] - a.last >= COOLDOWN), F.struct(x["_t"].alias("last"), F.array_append(a.out, x.n).alias("out"))).otherwise(a)
-    alarms = listed.select(stage, "bucket", F.explode(F.aggregate("l", start, step, lambda a: a.out)).alias("n"))
-    return low.join(alarms, [stage, "bucket", "n"]).select(stage, "bucket", "n", F.col("ended"))
+    alarms = listed.select(*key, F.explode(F.aggregate("l", start, step, lambda a: a.out)).alias("n"))
+    return low.join(alarms, [*key, "n"]).select(*key, "n", "ended")
 
 
 def degradation_stream(samples: DataFrame, stage: str) -> DataFrame:
