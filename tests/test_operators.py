@@ -83,10 +83,34 @@ def test_packets_own_each_block_once(spark, sf):
 
 
 def test_budgeted_batches(spark, sf):
-    for own in by(QUERIES["reg9_budgeted_batches"](spark, sf).collect(), "doc_id").values():
-        own.sort(key=lambda r: r.ord)
-        batches = [r.batch for r in own]
-        assert batches == sorted(batches) and set(batches) == set(range(batches[-1] + 1))
+    """Every rule of a document meets every block of it once, within the budget, in contiguous groups of at most 16; the rest is reported."""
+    from clausework.operators.register import budgeted_batches
+
+    blocks = by(B.build_blocks(spark.read.parquet(f"{sf}/documents.parquet")).collect(), "doc_id")
+    items = {r.item_id: len(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = by(QUERIES["reg9_budgeted_batches"](spark, sf).collect(), "doc_id")
+    assert sum(len(rows) for rows in got.values()) > len(got)
+    for (doc,), own in blocks.items():
+        size = {b.ord: len(b.text) for b in own}
+        asked = sorted(i for i in items if i % 10 == doc % 10)
+        met = defaultdict(list)
+        for r in got[(doc,)]:
+            group = [i for i in asked if r.first_rule <= i <= r.last_rule]
+            assert len(group) == r.rules <= 16
+            if r.fits:
+                held = [o for o in size if r.first <= o <= r.last]
+                assert r.size == sum(items[i] for i in group) + sum(size[o] for o in held) <= 3000
+                for i in group:
+                    met[i] += held
+            else:
+                assert r.rules == 1 and items[r.first_rule] + max(size.values()) > 3000
+                met[r.first_rule] = None
+        assert sorted(met) == asked
+        assert all(v is None or sorted(v) == sorted(size) for v in met.values())
+    rules = spark.createDataFrame([("d", i, 10) for i in range(20)] + [("e", 1, 5)], "doc string, rule long, cost long")
+    parts = spark.createDataFrame([("d", i, 30, i == 3) for i in range(5)] + [("f", 0, 1, True)], "doc string, ord long, n long, head boolean")
+    rows = [tuple(r) for r in budgeted_batches(rules, parts, "doc", 300).orderBy("doc", "first_rule", "part").collect()]
+    assert rows == [("d", 0, 15, 16, 0, 0, 2, 250, True), ("d", 0, 15, 16, 1, 3, 4, 220, True), ("d", 16, 19, 4, 0, 0, 4, 190, True), ("e", 1, 1, 1, None, None, None, 5, False)]
 
 
 def test_overlap_packs(spark, sf):
@@ -109,12 +133,31 @@ def test_bounds(spark):
     assert [r[0] for r in df.select(J.compatible(F.col("a"), F.col("x"), F.col("b"), F.col("y"))).collect()] == [False, True, False, True, False, None]
 
 
+def finding(i, issue, suggestion="", key=None, place="p", quote="q", category="c"):
+    return (i, "r", category, [("d", place, quote)], key, suggestion, issue)
+
+
+FINDING = "id int, requirement string, category string, evidence array<struct<document:string,locator:string,quote:string>>, defect_key string, suggestion string, issue string"
+
+
 def test_first_keep_is_not_transitive(spark):
-    df = spark.createDataFrame([(1, "k", "aaaaaaaaaa"), (2, "k", "aaaaaaaaab"), (3, "k", "aaaaaaaabb"), (4, "z", "aaaaaaaaaa")], "id int, b string, t string")
-    got = {r.id: r.duplicate_of for r in D.duplicate_groups(df, F.col("b"), "id", "t", 0.9).collect()}
+    rows = [finding(1, "aaaaaaaaaa"), finding(2, "aaaaaaaaab"), finding(3, "aaaaaaaabb"), finding(4, "aaaaaaaaaa", place="z")]
+    got = {r.id: r.duplicate_of for r in D.duplicate_groups(spark.createDataFrame(rows, FINDING), 0.9).collect()}
     assert got == {1: None, 2: 1, 3: None, 4: None}
 
 
+def test_duplicate_rules(spark):
+    """Defect keys, equal suggestions across categories with the same quotes, and a hot key that holds a third of the rows."""
+    long = "replace it by what the contract says"
+    rows = [finding(1, "x", key="k"), finding(2, "quite different", key="k"), finding(3, "y", long), finding(4, "zzz", long, category="other"), finding(5, "zzz", long, category="other", quote="else"), finding(6, "w", "fix", category="other"), finding(7, "w", "fix")]
+    rows += [finding(100 + i, "same words", "ok", place="hot") for i in range(40)] + [(200, None, None, None, None, None, None), (201, None, None, None, None, None, None)]
+    got = {r.id: r.duplicate_of for r in D.duplicate_groups(spark.createDataFrame(rows, FINDING)).collect()}
+    assert {i: got[i] for i in range(1, 8)} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: None, 7: None}
+    assert got[100] is None and all(got[100 + i] == 100 for i in range(1, 40))
+    assert got[200] is None and got[201] == 200
+    assert D.duplicate_groups(spark.createDataFrame([], FINDING)).count() == 0
+
+
 def test_revision_cycle(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (9, 3)], "id long, before long")
     assert {r.node: r.root for r in D.revision_roots(df, "id", "before").collect()} == {1: 1, 2: 1, 3: 1, 9: 1}
@@ -150,28 +193,6 @@ def test_partitioning_does_not_matter(spark, sf, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
-
-
-def test_duplicate_groups_by_hand(spark, sf):
-    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
-    kept, want = defaultdict(list), {}
-    for p in sorted(parts, key=lambda p: p.p_partkey):
-        text = f"{p.p_name} {p.p_type} {p.p_size}"
-        group = kept[p.p_brand, p.p_type]
-        hit = next((k for k, t in group if 1 - edit_distance(t, text) / max(len(t), len(text)) >= 0.9), None)
-        want[p.p_partkey] = hit
-        if hit is None:
-            group.append((p.p_partkey, text))
-    assert {r.p_partkey: r.duplicate_of for r in QUERIES["dup2_duplicate_groups"](spark, sf).collect()} == want
-
-
 def test_degradation_by_hand(spark):
     import math
     from statistics import median
@@ -194,15 +215,44 @@ def test_degradation_by_hand(spark):
     assert {(r.stage, r.bucket, r.n) for r in QUERIES["str4_throughput_degradation"](spark, sf).collect()} == want
 
 
-def test_dense_top_ranks_all_equal_vectors(spark):
+def test_dense_top_ranks_all_equal_vectors(spark, monkeypatch):
     """Of 100 equal vectors those with the smallest keys come out, wherever they stand in a block and however blocks are cut; a zero vector spoils nothing."""
     from clausework.operators.retrieval import dense_top
 
     rows = [((i * 37) % 100, [1.0, 2.0, 3.0]) for i in range(100)] + [(100 + i, [3.0, 1.0 + i, -2.0]) for i in range(20)] + [(500, [0.0, 0.0, 0.0])]
     e = spark.createDataFrame(rows, "id long, v array<double>")
-    for block in (512, 40):
-        got = dense_top(e.where("id = 60"), e.coalesce(1), "id", "v", 10, block=block).collect()
-        assert [r.key for r in sorted(got, key=lambda r: r["rank"])] == list(range(10))
+    for numbers in (R.BROADCAST_NUMBERS, -1):  # by broadcast, and by a join of blocks
+        monkeypatch.setattr(R, "BROADCAST_NUMBERS", numbers)
+        got = dense_top(e.where("id in (60, 110)"), e.coalesce(1), "id", "v", 10, salts=3).collect()
+        assert [r.key for r in sorted(got, key=lambda r: (r.query, r["rank"]))[:10]] == list(range(10))
+        assert len(got) == 20
+
+
+def test_dense_top_leaves_null_and_zero_vectors_out(spark, monkeypatch):
+    rows = [(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "a"), (3, None, "a"), (4, [0.0, 0.0], "a"), (5, [None, 1.0], "a"), (None, [1.0, 0.0], "a"), (7, [1.0, 0.0], None), (8, [1.0, 0.0], "b"), (9, [float("nan"), 1.0], "a")]
+    e = spark.createDataFrame(rows, "id long, v array<double>, area string")
+    for numbers in (R.BROADCAST_NUMBERS, -1):
+        monkeypatch.setattr(R, "BROADCAST_NUMBERS", numbers)
+        got = {(r.query, r.key) for r in R.dense_top(e, e, "id", "v", 5, ["area"]).collect()}
+        assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (8, 8)}
+        assert R.dense_top(e.where("false"), e, "id", "v", 5).count() == 0 == R.dense_top(e, e.where("false"), "id", "v", 5).count()
+
+
+@pytest.mark.parametrize("most", [R.BROADCAST_TERMS, -1])
+def test_ranked_terms_with_ties_and_nulls(spark, monkeypatch, most):
+    """Both ways of ranking agree: blocks of products, and joins for large sets of queries."""
+    monkeypatch.setattr(R, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(R, "DOCS", 7)
+    monkeypatch.setattr(R, "QUERIES", 2)
+    docs = [(i, ["a"] * (i % 3 + 1) + ["b"] * (i % 2) + [f"x{i % 5}"]) for i in range(60)] + [(100, None), (101, []), (102, ["zz"])]
+    queries = [(f"q{i}", t) for i, t in enumerate((["a"], ["b", "b", "b", "x1"], ["a", "x2", "zz"], [], None, ["nowhere"]))]
+    d, q = spark.createDataFrame(docs, "doc long, terms array<string>"), spark.createDataFrame(queries, "q string, terms array<string>")
+    for f, g in ((R.bm25_top, R.bm25), (R.tf_idf_top, R.tf_idf)):
+        want = R.top(g(q, d, "q", "doc"), "query", "score", ["doc"], 9).collect()
+        got = f(q, d, "q", "doc", 9).collect()
+        assert sorted((r.query, r.doc, r["rank"], round(r.score, 6)) for r in got) == sorted((r.query, r.doc, r["rank"], round(r.score, 6)) for r in want)
+        assert len(got) == 27
+        assert f(q.where("false"), d, "q", "doc", 9).count() == 0 == f(q, d.where("false"), "q", "doc", 9).count()
 
 
 def test_short_quotes_are_found_and_recovered(spark):
@@ -237,3 +287,61 @@ def test_row_differences_name_every_document(spark):
     assert got == {(x[0], x[1], y[1]) for x, y in combinations(sorted(data), 2) if x[0] == y[0] and data[x] != data[y]}
     assert all(len(members[r.key, r.a]) == r.of_a and len(members[r.key, r.b]) == r.of_b for r in pairs)
     assert {k for k, _ in members} == {"k"}
+
+
+def test_implied_bounds(spark):
+    """Against the integers that two bounds allow in a small range."""
+    from itertools import product
+
+    ops = {"<": lambda x, v: x < v, "<=": lambda x, v: x <= v, "=": lambda x, v: x == v, ">": lambda x, v: x > v, ">=": lambda x, v: x >= v}
+    df = spark.createDataFrame(list(product(ops, (3, 4), ops, (3, 4))) + [("~", 3, "=", 3)], "a string, x int, b string, y int")
+    halves = [k / 2 for k in range(-10, 30)]
+    for r in df.withColumn("got", J.implies(F.col("a"), F.col("x"), F.col("b"), F.col("y"))).collect():
+        want = None if r.a == "~" else all(ops[r.a](v, r.x) for v in halves if ops[r.b](v, r.y))
+        assert r.got == want, r
+
+
+def test_area_round_trip(spark):
+    """An area in order has no problem, and all its references stand under the new ids; absent types are empty."""
+    from clausework.sources.area import AREA, area_problems, export_area, import_area, read_area
+
+    def rows(kind, *values):
+        return {kind: spark.createDataFrame(list(values), AREA[kind])}
+
+    card = lambda i, kind, term, quote: (i, "s", kind, term, "text", "p", [("p1", quote, 0, len(quote))])
+    area = rows("source", ("s", "n", "quoted words")) | rows("profile", ("p", "n", [], ["s"])) | rows("requirement", card("r", "rule", None, "quoted")) | rows("glossary", card("g", "definition", " Term", "quoted words"))
+    area |= rows("choice", ("term", "g")) | rows("link", ("l", "r", "g", "r")) | rows("control", ("card", "r", True, False), ("link", "l", False, True))
+    back = read_area(spark, export_area(spark, area))
+    assert area_problems(back).count() == 0
+    new = {k: df.collect() for k, df in import_area(back, "here").items()}
+    assert new["requirement"][0].source_id == new["source"][0].id != "s"
+    controls = {r.kind: r.id for r in new["control"]}
+    assert controls["link"] == new["link"][0].id
+    assert new["link"][0].source == new["requirement"][0].id == controls["card"] and new["link"][0].target == new["glossary"][0].id == new["choice"][0].active_entry_id
+    assert new["profile"][0].sources == [new["source"][0].id]
+    assert area_problems(read_area(spark, export_area(spark, {}))).count() == 0
+
+
+def test_access_without_roles(spark):
+    asked = spark.createDataFrame([("u", "n", "u"), ("v", "n", None), ("w", "n", "u"), ("x", None, None), (None, "n", None)], "user string, node string, owner string")
+    users = spark.createDataFrame([("u", "plain"), ("v", "staff"), ("w", "expert")], "user string, kind string")
+    grants, roles = spark.createDataFrame([("w", "top", "editor")], "user string, scope string, role string"), spark.createDataFrame([("editor", "edit")], "role string, permission string")
+    up = U.closure(spark.createDataFrame([("n", "top")], "child string, parent string"))
+    got = {(r.user, r.node): (r.permissions, r.visible) for r in U.accessible(asked, users, grants, up, roles, ["edit", "read"]).collect()}
+    assert got == {("u", "n"): ("", True), ("v", "n"): ("edit,read", True), ("w", "n"): ("edit,read", True), ("x", None): ("", False), (None, "n"): ("", False)}
+
+
+def test_report_files(spark):
+    """Files hold the lines in the order of the report, a folder a category."""
+    from clausework.sources.area import report_lines, write_report
+    from clausework.sources.scratch import new_folder
+
+    rows = [("b", i, f"issue {i}", None, "s & t", [f"one\ntwo {i}"]) for i in range(40)] + [("a", 1, "<i>", "why", None, None)]
+    lines = report_lines(spark.createDataFrame(rows, "category string, id int, issue string, explanation string, suggestion string, quotes array<string>"))
+    path = new_folder(spark, "report")
+    write_report(lines, path)
+    read = lambda c: [r.value for r in spark.read.text(f"{path}/category={c}").orderBy(F.input_file_name()).collect()]
+    assert read("a") == ["## a", "### <i>", "why", "Suggestion: "]
+    assert read("b")[:6] == ["## b", "### issue 0", "", "Suggestion: s & t", "> one", "> two 0"] and len(read("b")) == 201
+    assert {r.html for r in lines.where("category = 'a'").collect()} >= {"<h2>a</h2>", "<h3>&lt;i&gt;</h3>"}
+    write_report(lines, new_folder(spark, "report"), "csv")

@@ -15,3 +15,6 @@ def test_imports_without_llm(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=to, env=os.environ | {"PYTHONPATH": str(to)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-800:]
     assert int(done.stdout.split()[-1]) > 140
+    some = ["tests/test_operators.py", "-k", "truth_table or implied_bounds or area_round_trip", "-x", "-q", "-p", "no:cacheprovider"]
+    done = subprocess.run([sys.executable, "-m", "pytest", *some], cwd=to, env=os.environ | {"PYTHONPATH": str(to)}, capture_output=True, text=True)
+    assert done.returncode == 0 and "3 passed" in done.stdout, done.stdout[-800:]
