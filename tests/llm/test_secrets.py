@@ -53,3 +53,21 @@ def test_edges(spark):
     assert [s.kind for s in got[4].base] == ["assign"]
     assert find_secrets(df.where("false")).count() == 0
     assert find_secrets(df).columns == ["doc_id", "text", "base", "spans"]
+
+
+def test_thresholds_follow_benjamini_and_hochberg(spark):
+    """Per stratum the discoveries are those up to the last ordered p-value that lies under its rank's share of the rate."""
+    from clausework.llm.secrets import BINS, RATE, thresholds
+
+    rng = random.Random(11)
+    bins = {f"s{k}": [min(120, int(rng.expovariate(1 / (4 + 6 * k)))) for _ in range(40 + 25 * k)] for k in range(6)} | {"none": [0] * 30}
+    rows = [([(name, b)],) for name, own in bins.items() for b in own] + [([],), (None,)]
+    df = spark.createDataFrame(rows, "candidates array<struct<stratum:string,bin:int>>")
+    want = {}
+    for name, own in bins.items():
+        p = sorted(10 ** (-b / BINS) for b in own)
+        last = max((k for k in range(1, len(p) + 1) if p[k - 1] <= RATE * k / len(p)), default=0)
+        if last:
+            want[name] = min(b for b in own if 10 ** (-b / BINS) <= p[last - 1] + 1e-15)
+    assert len(want) > 2 and "none" not in want
+    assert {r.stratum: r.least for r in thresholds(df).collect()} == want
