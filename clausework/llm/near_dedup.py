@@ -13,11 +13,11 @@ alike. Candidates are then verified by the exact Jaccard similarity of their set
 3. Within each cluster pairs are verified exactly: shingle sets meet in blocks of bounded size, intersections of all pairs of two blocks come from a
    product of two incidence matrices, and only the links of a spanning forest leave a task. Blocks hold sets of like size, because sets whose sizes
    differ by more than the least similarity can't be similar. A cluster that fits one block is one task. Of a larger one, each text is first compared
-   with the heads of its bands, which is linear; only bands that these links leave in several components go on, and there only blocks
-   of different components meet.
+   with the ``HEADS`` heads that it shares most bands with, which is linear; only components that these links leave in a band with others go on, and there only
+   blocks of different components meet.
 4. The connected components of the verified links are the classes.
 
-The work of step 3 grows with the square of a cluster only in texts that share bands and aren't similar, directly or through others, to their heads.
+The work of step 3 grows with the square of a cluster only in components that share a band and that their heads don't join.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
 #: Shingles of one block, and texts of one block, at most (a larger text stands alone).
 BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 512
+#: Heads that each text of a large cluster is compared with first.
+HEADS = 3
 #: Facts about large clusters and their blocks up to this many rows are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_FACTS = 200_000
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
@@ -215,11 +217,11 @@ def _deal(items: DataFrame, key: list[str]) -> DataFrame:
 
 
 def star_tasks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs``: digest, head -> tasks in which each head (side 0) meets a block of the texts of its bands (side 1)."""
-    sized = pairs.join(sets.select("digest", "shingles", "hashes", "counts"), "digest")
+    """``pairs``: digest, head -> tasks in which each head (side 0) meets a block of its texts (side 1)."""
     dealt = _deal(pairs.join(sets.select("digest", "shingles"), "digest"), ["head"])
     name = F.sha2(F.concat_ws(":", F.hex("head"), "block"), 256).cast("binary").alias("task")
-    others = _met(sized, dealt, ["head"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n")).cast("int"))
+    placed = _met(pairs, dealt, ["head"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n")).cast("int"))
+    others = placed.join(sets.select("digest", "hashes", "counts"), "digest")
     heads = dealt.join(sets.select(F.col("digest").alias("head"), "hashes", "counts"), "head").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return others.select(name, F.lit(1).alias("side"), "digest", "hashes", "counts").unionByName(heads.select(name, F.lit(0).alias("side"), F.col("head").alias("digest"), "hashes", "counts"))
 
@@ -258,17 +260,17 @@ def compare(tasks: DataFrame, weights: str, least: float) -> DataFrame:
 
 
 def head_links(banded: DataFrame) -> DataFrame:
-    """``banded``: digest, key -> distinct ``digest, head``: each digest with the least one of each of its keys, but not with itself."""
+    """``banded``: digest, key -> ``digest, head, n``: each digest with the least ones of its keys, but not with itself, and the number of keys they share."""
     heads = banded.groupBy("key").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    return banded.join(heads, "key").select("digest", "head").where("digest != head").distinct()
+    return banded.join(heads, "key").where("digest != head").groupBy("digest", "head").agg(F.count("*").alias("n"))
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("digest").alias("u"), F.col("head").alias("v"))
 
 
-def verified_links(members: DataFrame, banded: DataFrame, weights: str = "damped", least: float = SIMILARITY) -> DataFrame:
-    """``members``: cluster, digest, shingles, hashes, counts; ``banded``: digest, key -> links ``u, v`` that join all similar pairs that share a key."""
+def verified_links(members: DataFrame, pairs: DataFrame, weights: str = "damped", least: float = SIMILARITY) -> DataFrame:
+    """``members``: cluster, digest, shingles, bands, hashes, counts; ``pairs``: ``head_links`` of all of them -> links ``u, v`` that join all similar pairs that share a band."""
     sums = members.groupBy("cluster").agg(F.sum("shingles").alias("_sum"), F.count("*").alias("_n"))
     large = materialise(sums.where((F.col("_sum") > BLOCK_SHINGLES) | (F.col("_n") > BLOCK_TEXTS)).select("cluster"), "large")
     small = _met(members, large, ["cluster"], "left_anti").select(F.col("cluster").alias("task"), F.lit(0).alias("side"), "digest", "hashes", "counts")
@@ -276,20 +278,18 @@ def verified_links(members: DataFrame, banded: DataFrame, weights: str = "damped
     if large.isEmpty():
         return links
     sets = materialise(_met(members, large, ["cluster"], "left_semi"), "large-members")
-    keys = banded.join(sets.select("digest"), "digest")
-    star = materialise(compare(star_tasks(materialise(head_links(keys), "stars"), sets), weights, least), "star-links")
-    found = components(star).select(F.col("node").alias("digest"), "root")
-    rooted = keys.join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    rooted = materialise(rooted.join(open_keys, "key", "left_semi"), "open")
+    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("digest").orderBy(F.col("n").desc(), "head"))).where(F.col("_n") <= HEADS)
+    best = materialise(best.select("digest", "head").join(sets.select("digest"), "digest", "left_semi"), "stars")
+    star = materialise(compare(star_tasks(best, sets), weights, least), "star-links")
     links = links.unionByName(star)
-    if rooted.isEmpty():
-        return links
-    clusters = components(_linked(head_links(rooted.select("digest", "key"))))
-    rest = rooted.select("digest", "root").distinct().join(clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")), "digest")
-    whole = materialise(rest.groupBy("cluster", "root").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK_TEXTS).select("cluster", "root", F.col("root").alias("part")), "parts")
-    rest = _met(rest, whole, ["cluster", "root"], "left").join(sets.drop("cluster"), "digest")
-    return links.unionByName(compare(block_tasks(rest), weights, least))
+    found = components(star).select(F.col("node").alias("digest"), "root")
+    rooted = materialise(sets.drop("cluster").join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted")
+    # components that share a band, as one row each: from here on a settled component is a node
+    met = head_links(rooted.select(F.col("root").alias("digest"), F.explode("bands").alias("key")).distinct())
+    clusters = components(_linked(met)).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    rest = _met(rooted.drop("bands"), materialise(clusters, "open"), ["root"])
+    whole = materialise(rest.groupBy("cluster", "root").agg(F.count("*").alias("_k")).where(F.col("_k") >= BLOCK_TEXTS).select("cluster", "root", F.col("root").alias("part")), "parts")
+    return links.unionByName(compare(block_tasks(_met(rest, whole, ["cluster", "root"], "left")), weights, least))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: str = "damped", least: float = SIMILARITY) -> DataFrame:
@@ -305,16 +305,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     nodes = materialise(nodes, "nodes")
 
     banded = nodes.where("shingles > 0").select("digest", F.explode("bands").alias("key"))
-    clusters = materialise(components(_linked(head_links(banded))), "clusters")
+    pairs = materialise(head_links(banded), "pairs")
+    clusters = materialise(components(_linked(pairs)), "clusters")
 
-    chosen = clusters.join(nodes.select(F.col("digest").alias("node"), "first", "shingles"), "node")
-    chosen = chosen.select(F.col("node").alias("_node"), F.col("root").alias("cluster"), "shingles", F.col("first.doc_id").alias("_id"))
+    chosen = clusters.join(nodes.select(F.col("digest").alias("node"), "first", "shingles", "bands"), "node")
+    chosen = chosen.select(F.col("node").alias("_node"), F.col("root").alias("cluster"), "shingles", "bands", F.col("first.doc_id").alias("_id"))
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text_of"))
-    texts = texts.join(chosen, F.col("_doc").eqNullSafe(F.col("_id"))).select("_node", "cluster", "shingles", "_text_of")
-    sets = shingle_sets(texts, "_text_of", ["_node", "cluster", "shingles"]).where(F.col("digest") == F.col("_node")).drop("_node")
+    texts = texts.join(chosen, F.col("_doc").eqNullSafe(F.col("_id"))).select("_node", "cluster", "shingles", "bands", "_text_of")
+    sets = shingle_sets(texts, "_text_of", ["_node", "cluster", "shingles", "bands"]).where(F.col("digest") == F.col("_node")).drop("_node")
     members = materialise(sets.dropDuplicates(["digest"]), "members")
 
-    classes = materialise(components(verified_links(members, banded, weights, least)), "classes")
+    classes = materialise(components(verified_links(members, pairs, weights, least)), "classes")
     labelled = nodes.select("digest", "first", "n").join(classes.withColumnsRenamed({"node": "digest"}), "digest", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "digest"))
     facts = labelled.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"), F.count("*").alias("class_texts"))
