@@ -190,3 +190,41 @@ def repair_locators(citations: DataFrame, blocks: DataFrame, doc: str, locator:
     g = hits.groupBy("id", "_given").agg(F.count("*").alias("n"), F.min("_at").alias("_at"), F.bool_or(F.col("_at") == F.col("_given")).alias("right"))
     fixed = g.select("id", F.when(F.col("right") | (F.col("n") != 1), F.col("_given")).otherwise(F.col("_at")).alias("repaired"))
     return citations.join(fixed, "id", "left").withColumn("repaired", F.coalesce("repaired", F.col(locator)))
+
+
+def identity_fields(values: DataFrame, citations: DataFrame, blocks: DataFrame, required: tuple[str, ...] = ("full_title", "short_title")) -> DataFrame:
+    """``source, field, value, state, status``: what a source says about itself, each value held against its own quotes.
+
+    ``values``: source, field, value; ``citations``: source, field, n (their order), locator, quote; ``blocks``: source, locator, text. An empty or null value is ``empty``. A value is ``identified`` if
+    it has quotes, all of them stand in their blocks, and it occurs in them, joined by a space, apart from case and white space; else it is ``unverified`` and left out. A source is
+    ``identified`` if no field is unverified and the ``required`` ones have a value, else it ``needs_review``.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    held = citations.join(blocks.select("source", "locator", F.col("text").alias("_text")), ["source", "locator"], "left")
+    held = held.withColumn("_exact", F.coalesce(F.contains("_text", F.col("quote")) & (F.col("quote") != ""), F.lit(False)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "quote"))), lambda x: x.quote), " ")
+    quoted = held.groupBy("source", "field").agg(F.bool_and("_exact").alias("_all"), joined.alias("_quotes"))
+    j = values.join(quoted, ["source", "field"], "left").withColumn("_v", F.coalesce(flat(F.col("value")), F.lit("")))
+    good = F.coalesce(F.col("_all") & F.contains(F.lower(flat(F.col("_quotes"))), F.lower("_v")), F.lit(False))
+    j = j.withColumn("state", F.when(F.col("_v") == "", "empty").when(good, "identified").otherwise("unverified")).withColumn("value", F.when(F.col("state") == "identified", F.col("_v")).otherwise(""))
+    named = F.count_if(F.col("field").isin(*required) & (F.col("state") == "identified"))
+    whole = j.groupBy(F.col("source").alias("_s")).agg(((named == len(required)) & (F.count_if(F.col("state") == "unverified") == 0)).alias("_ok"))
+    return j.join(whole, F.col("source") == F.col("_s")).select("source", "field", "value", "state", F.when(F.col("_ok"), "identified").otherwise("needs_review").alias("status"))
+
+
+def contextual_decisions(cards: DataFrame, decisions: DataFrame, evidence: DataFrame, blocks: DataFrame, reach: int = 2) -> DataFrame:
+    """``id, status, reason``: decisions on ready cards, demoted to ``candidate`` where the context doesn't bear them out.
+
+    ``cards``: id, batch, doc, ord (of a cited block; a row for each); ``decisions``: batch, id, status; ``evidence``: id, doc, ord, quote; ``blocks``: doc, ord, text. The decisions of a batch must name its
+    cards exactly once each, else all are ``incomplete``. A ready decision needs evidence, each quote of it verbatim in a block within ``reach`` of one that the card cites.
+    """
+    own = cards.select("batch", "id").distinct()
+    told = decisions.groupBy("batch", "id").agg(F.count("*").alias("_n"), F.min("status").alias("_status"))
+    both = own.withColumn("_card", F.lit(True)).join(told, ["batch", "id"], "full")
+    whole = both.groupBy("batch").agg(F.bool_and(F.col("_card").isNotNull() & (F.coalesce("_n", F.lit(0)) == 1)).alias("_whole"))
+    near = cards.select("id", "doc", F.explode(F.sequence(F.col("ord") - reach, F.col("ord") + reach)).alias("ord")).distinct()
+    met = evidence.join(near.withColumn("_near", F.lit(True)), ["id", "doc", "ord"], "left").join(blocks.select("doc", "ord", F.col("text").alias("_text")), ["doc", "ord"], "left")
+    good = met.groupBy("id").agg(F.bool_and(F.col("_near").isNotNull() & (F.col("quote") != "") & F.coalesce(F.contains("_text", F.col("quote")), F.lit(False))).alias("_good"))
+    j = both.where("_card").join(whole, "batch").join(good, "id", "left")
+    reason = F.when(~F.col("_whole"), "incomplete").when(~F.coalesce(F.col("_status").isin("ready", "candidate"), F.lit(False)), "status").when((F.col("_status") == "ready") & ~F.coalesce("_good", F.lit(False)), "unsupported")
+    return j.select("id", F.when(reason.isNull(), F.col("_status")).otherwise("candidate").alias("status"), reason.alias("reason"))

@@ -258,3 +258,45 @@ def ext18(spark, sf):
     return mark(b).join(got, "doc_id", "left").select("doc_id", "n", F.coalesce(F.col("fingerprint") == F.col("got"), F.lit(False)).alias("reusable"))
 
 
+@query(
+    "ext19_source_identity",
+    rf"""WITH {BLOCKS_SQL}, f AS (SELECT doc_id, min(ord) AS ord, arg_min(text, ord) AS text FROM blocks GROUP BY doc_id),
+v AS (SELECT doc_id, 'short_title' AS field, lower(split_part(trim(text), ' ', 1)) AS value, text AS quote, ord FROM f UNION ALL SELECT doc_id, 'full_title', '  ' || text || '  ', CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END, ord FROM f
+  UNION ALL SELECT doc_id, 'approved_by', CASE WHEN doc_id % 2 = 0 THEN 'nobody else' ELSE '' END, text, CASE WHEN doc_id % 3 = 0 THEN ord - 1 ELSE ord END FROM f WHERE doc_id % 7 <> 0),
+j AS (SELECT v.doc_id AS source, field, trim(regexp_replace(value, '\s+', ' ', 'g')) AS value, coalesce(contains(b.text, quote) AND contains(lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))), lower(trim(regexp_replace(value, '\s+', ' ', 'g')))), false) AS good
+  FROM v LEFT JOIN blocks b ON b.doc_id = v.doc_id AND b.ord = v.ord),
+s AS (SELECT *, CASE WHEN value = '' THEN 'empty' WHEN good THEN 'identified' ELSE 'unverified' END AS state FROM j)
+SELECT source, field, CASE WHEN state = 'identified' THEN value ELSE '' END AS value, state,
+  CASE WHEN count(*) FILTER (field <> 'approved_by' AND state = 'identified') OVER w = 2 AND count(*) FILTER (state = 'unverified') OVER w = 0 THEN 'identified' ELSE 'needs_review' END AS status FROM s WINDOW w AS (PARTITION BY source)""",
+)
+def ext19(spark, sf):
+    """Titles of documents from their first block; some quotes are altered, some locators wrong."""
+    b = blocks(spark, sf).select(F.col("doc_id").alias("source"), F.col("ord").alias("locator"), "text")
+    first = b.groupBy("source").agg(F.min("locator").alias("locator"), F.min_by("text", "locator").alias("text"))
+    short = first.select("source", F.lit("short_title").alias("field"), F.lower(F.split_part(F.trim("text"), F.lit(" "), F.lit(1))).alias("value"), "locator", F.col("text").alias("quote"))
+    full = first.select("source", F.lit("full_title").alias("field"), F.concat(F.lit("  "), "text", F.lit("  ")).alias("value"), "locator", F.when(F.col("source") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("quote"))
+    by = first.where("source % 7 <> 0").select("source", F.lit("approved_by").alias("field"), F.when(F.col("source") % 2 == 0, "nobody else").otherwise("").alias("value"), (F.col("locator") - F.when(F.col("source") % 3 == 0, 1).otherwise(0)).alias("locator"), F.col("text").alias("quote"))
+    every = short.unionByName(full).unionByName(by)
+    return X.identity_fields(every.select("source", "field", "value"), every.select("source", "field", F.lit(1).alias("n"), "locator", "quote"), b)
+
+
+@query(
+    "ext20_context_demotion",
+    f"""WITH {BLOCKS_SQL}, c AS (SELECT doc_id AS id, doc_id // 8 AS batch, doc_id % 5 AS ord FROM documents),
+d AS (SELECT id, batch, CASE WHEN id % 31 = 0 THEN 'odd' WHEN id % 4 < 3 THEN 'ready' ELSE 'candidate' END AS status FROM c WHERE id % 97 <> 0 UNION ALL SELECT id, batch, 'ready' FROM c WHERE id % 101 = 0),
+e AS (SELECT id, c.ord + id % 4 AS ord, CASE WHEN id % 6 = 0 THEN 'zzz' ELSE left(text, 9) END AS quote FROM c JOIN blocks b ON b.doc_id = id AND b.ord = c.ord + id % 4 WHERE id % 9 <> 0),
+w AS (SELECT c.batch, count(d.id) = count(DISTINCT c.id) AND count(DISTINCT d.id) = count(DISTINCT c.id) AS whole FROM c LEFT JOIN d ON d.id = c.id GROUP BY c.batch),
+g AS (SELECT c.id, bool_and(abs(e.ord - c.ord) <= 2 AND coalesce(contains(b.text, e.quote), false)) AS good FROM e JOIN c USING (id) LEFT JOIN blocks b ON b.doc_id = e.id AND b.ord = e.ord GROUP BY c.id),
+s AS (SELECT c.id, d.status, CASE WHEN NOT whole THEN 'incomplete' WHEN coalesce(d.status NOT IN ('ready', 'candidate'), true) THEN 'status' WHEN d.status = 'ready' AND NOT coalesce(good, false) THEN 'unsupported' END AS reason
+  FROM c JOIN w USING (batch) LEFT JOIN (SELECT id, min(status) AS status FROM d GROUP BY id) d ON d.id = c.id LEFT JOIN g ON g.id = c.id)
+SELECT id, CASE WHEN reason IS NULL THEN status ELSE 'candidate' END AS status, reason FROM s""",
+)
+def ext20(spark, sf):
+    """One card a document, decided in batches of eight; some decisions are missing, doubled or odd, some quotes too far off or altered."""
+    cards = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 8).alias("batch"), F.col("doc_id").alias("doc"), (F.col("doc_id") % 5).cast("int").alias("ord"))
+    status = F.when(F.col("id") % 31 == 0, "odd").when(F.col("id") % 4 < 3, "ready").otherwise("candidate")
+    decisions = cards.where("id % 97 <> 0").select("batch", "id", status.alias("status")).unionByName(cards.where("id % 101 = 0").select("batch", "id", F.lit("ready").alias("status")))
+    b = blocks(spark, sf).select(F.col("doc_id").alias("doc"), F.col("ord").cast("int").alias("ord"), "text")
+    far = cards.where("id % 9 <> 0").select("id", "doc", (F.col("ord") + F.col("id") % 4).cast("int").alias("ord"))
+    evidence = far.join(b, ["doc", "ord"]).select("id", "doc", "ord", F.when(F.col("id") % 6 == 0, "zzz").otherwise(F.substring("text", 1, 9)).alias("quote"))
+    return X.contextual_decisions(cards, decisions, evidence, b)
