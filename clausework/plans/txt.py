@@ -253,12 +253,18 @@ def hashing_encoder(size: int = 64):
     return encode
 
 
-@query("udf1_text_encoder")
+@query(
+    "udf1_text_encoder",
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word FROM documents), s AS (SELECT doc_id, ('0x' || left(md5(word), 2))::INT % 64 AS slot, count(*) AS c FROM w GROUP BY ALL),
+m AS (SELECT doc_id, sqrt(sum(c * c)) AS norm, arg_min(slot, (-c, slot)) AS slot, max(c) AS c FROM s GROUP BY doc_id)
+SELECT doc_id, 64 AS n, coalesce(slot, 0)::BIGINT AS slot, coalesce(round(c / norm, 6), 0) AS share FROM documents LEFT JOIN m USING (doc_id)""",
+)
 def udf1_text(spark, sf):
+    """A text encoder plugged in: the dimension of each vector, its first largest slot and that slot's value."""
     from clausework.functions.encoder import checked_encoder
 
     v = table(spark, sf, "documents").select("doc_id", checked_encoder(hashing_encoder(), size=64)("text").alias("v"))
-    return v.select("doc_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return v.select("doc_id", F.size("v").alias("n"), (F.array_position("v", F.array_max("v")) - 1).alias("slot"), F.round(F.array_max("v"), 6).alias("share"))
 
 
 __all__ = ["lines"]
