@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from clausework.functions.text import prefix_terms
 from clausework.operators import register as R
 from clausework.plans.registry import query
-from clausework.plans.src import blocks
+from clausework.plans.src import BLOCKS_SQL, blocks
 from clausework.plans.txt import STOPS
 from clausework.sources.tables import table
 
@@ -80,7 +80,20 @@ def reg8(spark, sf):
     return R.pack_by_overlap(rules, "l_orderkey", "l_linenumber", "blocks", 3, 400)
 
 
-@query("reg9_budgeted_batches")
+@query(
+    "reg9_budgeted_batches",
+    f"""WITH RECURSIVE {BLOCKS_SQL}, b AS (SELECT doc_id, list(ord ORDER BY ord) AS ords, list(ord % 8 = 0 ORDER BY ord) AS heads, list(c ORDER BY ord) AS cum, max(n) AS most, count(*) AS n FROM (SELECT doc_id, ord, length(text) AS n, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord) AS c FROM blocks) GROUP BY doc_id),
+r AS (SELECT doc_id, list(item_id ORDER BY item_id) AS items, list(length(bm.text) ORDER BY item_id) AS costs, count(*) AS m FROM documents JOIN benchmark bm ON item_id % 10 = doc_id % 10 GROUP BY doc_id),
+g(doc_id, lo, hi) AS (SELECT doc_id, lo, least(lo + 15, m - 1) FROM (SELECT doc_id, m, unnest(range(0, m, 16)) AS lo FROM r)
+  UNION ALL SELECT doc_id, CASE h WHEN 0 THEN lo ELSE lo + (hi - lo + 1) // 2 END, CASE h WHEN 0 THEN lo + (hi - lo + 1) // 2 - 1 ELSE hi END FROM g JOIN r USING (doc_id) LEFT JOIN b USING (doc_id), (VALUES (0), (1)) AS v(h)
+  WHERE hi > lo AND NOT coalesce(list_sum(costs[lo + 1:hi + 1]) + most <= 3000, false)),
+f AS (SELECT g.*, items[lo + 1] AS first_rule, items[hi + 1] AS last_rule, hi - lo + 1 AS rules, list_sum(costs[lo + 1:hi + 1]) AS cost, coalesce(list_sum(costs[lo + 1:hi + 1]) + most <= 3000, false) AS fits FROM g JOIN r USING (doc_id) LEFT JOIN b USING (doc_id)),
+p(doc_id, lo, part, s, e) AS (SELECT doc_id, lo, -1, 0::BIGINT, 0::BIGINT FROM f WHERE fits
+  UNION ALL SELECT doc_id, lo, part + 1, e, CASE WHEN e0 < n THEN coalesce(list_max(list_filter(range(e + (e0 - e) // 2 + 1, e0), lambda k: heads[k + 1])), e0) ELSE e0 END
+  FROM (SELECT p.*, b.n, heads, p.e + len(list_filter(cum[p.e + 1:], lambda x: x - coalesce(cum[p.e], 0) <= 3000 - cost)) AS e0 FROM p JOIN f ON f.doc_id = p.doc_id AND f.lo = p.lo AND fits JOIN b ON b.doc_id = p.doc_id WHERE p.e < b.n))
+SELECT f.doc_id, first_rule::BIGINT AS first_rule, last_rule::BIGINT AS last_rule, rules::INT AS rules, part::INT AS part, ords[s + 1]::BIGINT AS first, ords[e]::BIGINT AS last, (cost + cum[e] - coalesce(cum[s], 0))::BIGINT AS size, true AS fits FROM p JOIN f ON f.doc_id = p.doc_id AND f.lo = p.lo AND fits JOIN b ON b.doc_id = p.doc_id WHERE part >= 0
+UNION ALL SELECT doc_id, first_rule, last_rule, rules, NULL, NULL, NULL, cost, false FROM f WHERE NOT fits AND (hi = lo)""",
+)
 def reg9(spark, sf):
     """Every document is checked against a tenth of the benchmark's items; a block's cost is its length."""
     b = blocks(spark, sf).select("doc_id", "ord", F.length("text").alias("n"), (F.col("ord") % 8 == 0).alias("head"))
