@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from clausework.operators.register import ordered_folds
 
 #: Short quotes up to this many are broadcast.
 BROADCAST_QUOTES = 100_000
+#: Quotes whose runs of words are broadcast at most (about 100 bytes each); more meet the documents in a join on hashes of runs.
+BROADCAST_RUNS = 500_000
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,12 +42,58 @@ def candidates(quotes: DataFrame, docs: DataFrame, item: str, doc: str, text: st
     sizes = [r.run for r in q.where("run >= 1").select("run").distinct().collect()]  # at most n
     keyed = q.where("run >= 1").select(item, "run", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("run")), " ")).alias("g"))
     pairs = _short_candidates(quotes.where(F.size(w) < 3), docs, item, doc, text)
+    if sizes and keyed.count() <= BROADCAST_RUNS:
+        return pairs.unionByName(_run_candidates(q.where("run >= 1").select(item, F.slice("w", F.lit(2), F.col("run")).alias("words")), docs, item, doc, text)).distinct()
     for k in sizes:
         d = docs.select(doc, F.explode(F.array_distinct(_grams(F.col(text), k))).alias("g"))
         pairs = pairs.unionByName(d.join(keyed.where(F.col("run") == k).select(item, "g"), "g").select(item, doc))
     return pairs.distinct()
 
 
+def _run_candidates(runs: DataFrame, docs: DataFrame, item: str, doc: str, text: str) -> DataFrame:
+    """Pairs of quotes and documents that hold their run of words. ``runs``: item, words, counted to be few: they are broadcast, and each task looks for all of them in
+    its documents at once, over the places of the runs' words. Equal 64-bit codes of different runs give a pair too many, which the caller's comparison of texts drops."""
+    held: dict[int, dict] = {}
+    words: dict[str, int] = {}
+    for r in runs.collect():
+        ids = tuple(words.setdefault(w, len(words)) for w in r.words)
+        held.setdefault(len(ids), {}).setdefault(ids, []).append(r[item])
+    code = lambda parts: reduce(lambda a, b: (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(1)), parts)
+    sizes = []
+    for k, found in held.items():
+        codes = code([np.array([ids[j] for ids in found], np.uint64) for j in range(k)])
+        of_code: dict[int, list] = {}
+        for c, items in zip(codes.tolist(), found.values()):
+            of_code.setdefault(c, []).extend(items)
+        sizes.append((k, np.array(sorted(of_code), np.uint64), [of_code[c] for c in sorted(of_code)]))
+    known = docs.sparkSession.sparkContext.broadcast((list(words), sizes))
+    rows = docs.select(F.col(doc), F.coalesce(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), F.array().cast("array<string>")).alias("_w"))
+    kind = to_arrow_type(runs.schema[item].dataType)
+
+    def run(frames):
+        names, asked = known.value
+        vocabulary = pa.array(names, pa.string())
+        for batch in frames:
+            lists = batch.column("_w")
+            ids = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy().astype(np.int64)
+            of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            which, items = [], []
+            for k, codes, own in asked:
+                n = len(ids) - k + 1
+                if n < 1:
+                    continue
+                at = np.flatnonzero((np.minimum.reduce([ids[j : j + n] for j in range(k)]) >= 0) & (of[:n] == of[k - 1 :]))
+                here = code([ids[at + j].astype(np.uint64) for j in range(k)])
+                place = np.minimum(np.searchsorted(codes, here), len(codes) - 1)
+                hit = codes[place] == here
+                for d, i in set(zip(of[at[hit]].tolist(), place[hit].tolist())):
+                    which += [d] * len(own[i])
+                    items += own[i]
+            yield pa.RecordBatch.from_arrays([pa.array(items, kind), batch.column(doc).take(pa.array(which, pa.int64()))], [item, doc])
+
+    return rows.mapInArrow(run, f"`{item}` {runs.schema[item].dataType.simpleString()}, `{doc}` {docs.schema[doc].dataType.simpleString()}")
+
+
 def _short_candidates(quotes: DataFrame, docs: DataFrame, item: str, doc: str, text: str, block: int = 1000) -> DataFrame:
     """Pairs of quotes of one or two words and documents that hold their words apart from white space. The quotes are counted; blocks of ``block`` meet each
     document in turn, so no more than a block stands in a row. Up to ``BROADCAST_QUOTES`` quotes are broadcast."""

@@ -255,10 +255,14 @@ def test_ranked_terms_with_ties_and_nulls(spark, monkeypatch, most):
         assert f(q.where("false"), d, "q", "doc", 9).count() == 0 == f(q, d.where("false"), "q", "doc", 9).count()
 
 
-def test_short_quotes_are_found_and_recovered(spark):
-    """Quotes of 1 to 6 words, glued to others at their edges and with other white space, against brute force."""
+@pytest.mark.parametrize("runs", [500_000, -1])
+def test_short_quotes_are_found_and_recovered(spark, monkeypatch, runs):
+    """Quotes of 1 to 6 words, glued to others at their edges and with other white space, against brute force; by broadcast and by a join."""
+    from clausework.operators import extract
     from clausework.operators.extract import find_quotes, recover_quotes
 
+    monkeypatch.setattr(extract, "BROADCAST_RUNS", runs)
+
     docs = {1: "alpha beta gamma delta epsilon zeta eta theta", 2: "xalpha  beta\tgammas delta (epsilon)", 3: "beta beta gamma", 4: None, 5: ""}
     quotes = {i: q for i, q in enumerate(["alpha", "beta gamma", "pha beta gam", "beta gamma delta eps", "alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon zeta", "alpha  beta", "beta  beta gamma", "missing", "a"])}
     d = spark.createDataFrame(list(docs.items()), "doc long, text string")
