@@ -240,7 +240,7 @@ def token_vectors(pages: DataFrame, host: str, source: str) -> DataFrame:
 
 
 def templates(vectors: DataFrame) -> DataFrame:
-    """``host, tokens``: struct(token, tag, class, place) of the valid equivalence classes, before the nesting check. One row per host that has one."""
+    """``host, tokens``: struct(token, tag, class, place) of the valid equivalence classes, before the nesting check. One row per host that has one; a null host has none, and no vectors give no rows."""
     pages = vectors.where("token = 0").select("host", F.col("n_pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     likely = vectors.where((F.col("token") != 0) & (F.col("n_pages") >= SUPPORT * LEAST_PAGES))  # what stands on single pages stays out of the join
     found = likely.join(pages, "host").where(F.col("n_pages") >= SUPPORT * F.col("pages"))
