@@ -49,3 +49,24 @@ def least_rows(df: DataFrame, key: str, order: list[str], k: int, groups: int =
 def only_columns(names: list[str], prefix: str = "_c") -> list[str]:
     """Stand-ins for column names, numbered, so that no column of a table clashes with those that a stage adds."""
     return [f"{prefix}{i}" for i in range(len(names))]
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``pos`` (place in its group, from 0, null first) and ``n`` (rows of the group).
+
+    Rows are range-sorted, counted by (group, range) and numbered from the sums of the ranges before, so no group is gathered in one task.
+    """
+    by = [*group, *order]
+    spread = materialise(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)), "ranked")
+    counts = spread.groupBy(*group, "_range").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*group)
+    starts = counts.select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+        F.col("_range").alias("_r"),
+        (F.sum("_rows").over(before.orderBy("_range")) - F.col("_rows") - F.col("_first")).alias("_shift"),
+        F.sum("_rows").over(before).alias("n"),
+    )
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return spread.join(starts, same).withColumn("pos", F.col("_at") + F.col("_shift")).select(*df.columns, "pos", "n")
