@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausework.functions.text import INK, content_id
+from clausework.operators.intervals import overlapping
 
 
 def build_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,6 +142,38 @@ def grid_audit(cells: DataFrame, table: list[str]) -> DataFrame:
     )
 
 
+def header_bindings(cells: DataFrame, table: list[str], least: float = 0.15, repeated: str | None = None) -> DataFrame:
+    """``table, id, headers, slivers, groups, labels``: the header cells above each cell that overlap at least ``least`` of its width, those that overlap less, the last full-width cell
+    above it (a row group), and the cells to its left in its rows (row labels); arrays of ids in order of row and left edge.
+
+    ``cells``: table columns, id, row, rowspan, left and right edge (whole numbers, in any unit of width; right is exclusive), header (its row is a header row) and width (of the table). ``repeated`` names a
+    column of tables that repeat their header: there only the last header row above a cell counts. A header of any level binds by its own width, so merged headers bind to all cells below
+    them. A cell that no header overlaps has an empty array: it is an orphan. Header cells bind to the headers above them. Null edges, or none to the right of the left one, bind nothing.
+    """
+    rows = cells.select(*table, "row", "header").groupBy(*table, "row").agg(F.bool_or("header").alias("_is"))
+    before = F.max(F.when(F.col("_is"), F.col("row"))).over(Window.partitionBy(*table).orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    c = cells.join(rows.select(*table, "row", before.alias("_last")), [*table, "row"])
+    bounds = (F.col("left"), F.col("right") - 1)
+    heads = cells.where("header").select(*table, "id", "row", "left", "right")
+    met = overlapping(c.select(*table, "id", "row", "left", "right", "_last", *([repeated] if repeated else [])), heads, table, bounds, bounds)
+    above = met.where(F.col("r.row") < F.col("l.row"))
+    if repeated:
+        above = above.where(~F.coalesce(F.col(f"l.{repeated}"), F.lit(False)) | (F.col("r.row") == F.col("l._last")))
+    shared = F.least("l.right", "r.right") - F.greatest("l.left", "r.left")
+    share = F.round(shared / F.greatest(F.lit(1), F.col("l.right") - F.col("l.left")), 5)
+    place = F.struct("r.row", "r.left", "r.id")
+    ids = lambda found: F.transform(F.array_sort(found), lambda x: x.id)
+    bound = above.groupBy(*table, F.col("l.id").alias("id")).agg(ids(F.collect_list(F.when(share >= least, place))).alias("headers"), ids(F.collect_list(F.when(share < least, place))).alias("slivers"))
+    full = (F.col("left") == 0) & (F.col("right") == F.col("width")) & ~F.col("header")
+    span = Window.partitionBy(*table).orderBy("row").rangeBetween(Window.unboundedPreceding, -1)
+    groups = cells.select(*table, "id", F.max(F.when(full, F.struct("row", F.col("id").alias("_g")))).over(span).getField("_g").alias("group"))
+    taken = cells.where(~F.col("header")).select(*table, "id", "row", "left", F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1)).alias("_at"))
+    left = c.select(*table, F.col("id").alias("_id"), F.col("row").alias("_at"), F.col("left").alias("_left")).join(taken, [*table, "_at"]).where("left < _left")
+    labels = left.groupBy(*table, F.col("_id").alias("id")).agg(ids(F.collect_list(F.struct("row", "left", "id"))).alias("labels"))
+    none = lambda name: F.coalesce(name, F.array().cast(bound.schema["headers"].dataType)).alias(name)
+    return cells.select(*table, "id").join(bound, [*table, "id"], "left").join(groups, [*table, "id"]).join(labels, [*table, "id"], "left").select(*table, "id", none("headers"), none("slivers"), "group", none("labels"))
+
+
 def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Cell diff of two parses by anchor: added, removed, changed; critical if digits, signs or blankness differ."""
     x, y = a.select(*keys, F.col(value).alias("a")), b.select(*keys, F.col(value).alias("b"))

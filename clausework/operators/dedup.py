@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausework.functions.text import normalised
+from clausework.operators.graphs import components
 from clausework.sources.scratch import written
 
 
@@ -21,15 +23,78 @@ def first_of(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return rows.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
-def duplicate_groups(findings: DataFrame, least: float = 0.9, substantive: int = 24, rounds: int = 60) -> DataFrame:
+def similar_texts(texts: DataFrame, group: str, identity: str, text: str, least: float = 0.9) -> DataFrame:
+    """``a, b``: pairs of different identities (both orders) of one group whose texts have 1 - edit distance / longer length >= ``least``.
+
+    Texts that are so similar share one of their first 3 d + 1 grams of three characters in the order of their hashes, where d is the number of edits that a partner may differ by, as d edits touch 3 d grams at
+    most. Only texts of one group that share such a gram and have close lengths are compared. ``least`` is at least 0.85, below which short texts may share no gram. Null texts meet nothing.
+    """
+    if not 0.85 <= least <= 1:
+        raise ValueError("least must lie between 0.85 and 1")
+    t = texts.select(F.col(group).alias("_g"), F.col(identity).alias("_id"), F.col(text).alias("_t"), F.length(text).alias("_n")).where("_n >= 3")
+    edits = F.floor(F.col("_n") * ((1 - least) / least) + 1e-6)
+    grams = t.where(edits > 0).select("_g", "_id", "_t", "_n", (3 * edits + 1).alias("_first"), F.explode(F.sequence(F.lit(1), F.col("_n") - 2)).alias("_at")).withColumn("_gram", F.expr("substring(_t, _at, 3)"))
+    counted = grams.withColumn("_occ", F.row_number().over(Window.partitionBy("_g", "_id", "_gram").orderBy("_at"))).withColumn("_h", F.xxhash64("_gram", "_occ"))
+    first = counted.withColumn("_rank", F.row_number().over(Window.partitionBy("_g", "_id").orderBy("_h"))).where(F.col("_rank") <= F.col("_first")).select("_g", "_id", "_t", "_n", "_h")
+    other = first.select("_g", "_h", F.col("_id").alias("_id2"), F.col("_t").alias("_t2"), F.col("_n").alias("_n2"))
+    longer = F.greatest("_n", "_n2")
+    close = first.join(other, ["_g", "_h"]).where((F.col("_id") < F.col("_id2")) & (F.abs(F.col("_n") - F.col("_n2")) <= longer * (1 - least) + 1e-6)).dropDuplicates(["_id", "_id2"])
+    met = written(close.where(1 - F.levenshtein("_t", "_t2") / longer >= least).select(F.col("_id").alias("a"), F.col("_id2").alias("b")), "similar")
+    return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def first_kept(own: DataFrame, looks: DataFrame, peel: int = 4, most: int = 100_000) -> DataFrame:
+    """``id, kept`` of a sequential rule: in the order of ids, an id is dropped if an earlier kept one owns a key that it looks for, else it is kept.
+
+    ``own``, ``looks``: id, key. Rounds of joins settle what they can: an id whose kept earlier partner is known, and an id without an open earlier one. What chains leave open is cut into
+    connected components; each is settled in one task, in order, up to its first ``most`` ids, on which later ones have no influence. So a chain of n ids takes about n / ``most`` turns.
+    """
+    own, looks = written(own.distinct(), "own"), written(looks.distinct(), "looks")
+    state = written(own.select("id").union(looks.select("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "state")
+    while True:
+        for k in range(peel):
+            keys = own.join(state, "id").groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("_kept"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("_open"))
+            seen = looks.join(keys, "key").groupBy("id").agg(F.min("_kept").alias("_kept"), F.min("_open").alias("_open"))
+            none = F.lit(True) if k < peel - 1 else F.lit(None)  # the last round only drops, so that open ids have no kept earlier partner
+            decided = F.when(F.col("_kept") < F.col("id"), False).when(F.coalesce(F.col("_open") >= F.col("id"), F.lit(True)), none)
+            state = written(state.join(seen, "id", "left").select("id", F.coalesce("kept", decided).alias("kept")), "state")
+        waiting = state.where("kept is null").select("id")
+        if waiting.isEmpty():
+            return state
+        mine, asked = own.join(waiting, "id", "left_semi"), looks.join(waiting, "id", "left_semi")
+        least = mine.groupBy("key").agg(F.min("id").alias("_least"))
+        links = mine.unionByName(asked).join(least, "key").select(F.col("id").alias("a"), F.col("_least").alias("b"))
+        rooted = waiting.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        salted = rooted.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+        for by in (["root", "_salt"], ["root"]):
+            salted = salted.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("_n") <= most)
+        part = written(salted.select("id", "root"), "part")
+        rows = mine.withColumn("own", F.lit(True)).unionByName(asked.withColumn("own", F.lit(False))).groupBy("id").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own"), F.collect_set(F.when(~F.col("own"), F.col("key"))).alias("looks"))
+        settled = part.join(rows, "id").groupBy("root").applyInPandas(_in_order, f"id {own.schema['id'].dataType.simpleString()}, kept boolean").withColumnRenamed("kept", "_now")
+        state = written(state.join(settled, "id", "left").select("id", F.coalesce("kept", "_now").alias("kept")), "state")
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("id")
+    taken: set = set()
+    kept = []
+    for own, looks in zip(rows.own, rows.looks, strict=True):
+        keep = taken.isdisjoint(looks)
+        if keep:
+            taken.update(own)
+        kept.append(keep)
+    return pd.DataFrame({"id": rows.id, "kept": kept})
+
+
+def duplicate_groups(findings: DataFrame, least: float = 0.9, substantive: int = 24, most: int = 100_000) -> DataFrame:
     """``id, duplicate_of``: in the order of ids, a finding is a duplicate of the first kept one that it agrees with, else it is kept (null).
 
     ``findings``: id, requirement, category, evidence (array of struct(document, locator, quote)), defect_key, suggestion, issue. Two agree when requirement, category and the set of
     (document, locator) are equal and so is the defect key, or the suggestion while issues are similar (1 - edit distance / longer length >= ``least``); failing
     that, when requirement, quoted evidence and a suggestion of more than ``substantive`` characters are equal. Similarity isn't taken transitively: only kept ones count.
 
-    Agreement is membership in shared keys, and different issues meet only where all else is equal, so no block is gathered. The order is settled in rounds of joins: a finding is a
-    duplicate once a kept earlier one shares a key, and kept once no earlier one that shares a key is open. Findings that are equal in all keys are one node. Null texts count as empty.
+    Agreement is membership in shared keys, and different issues meet only where all else is equal and they share a rare gram, so no block is gathered. ``first_kept`` settles the order. Findings
+    that are equal in all keys are one node. Null texts count as empty.
     """
     sha = lambda *parts: F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
     listed = lambda f: F.array_join(F.array_sort(F.array_distinct(F.transform("evidence", f))), "\x1e")
@@ -42,25 +107,13 @@ def duplicate_groups(findings: DataFrame, least: float = 0.9, substantive: int =
     keys = written(keys, "findings")
     nodes = written(keys.groupBy("same", "defect", "cited").agg(F.min("id").alias("id"), F.any_value("text").alias("text"), F.any_value("issue").alias("issue")), "nodes")
     own = nodes.select("id", F.explode(F.array_compact(F.array("same", "defect", "cited"))).alias("key"))
-    texts = nodes.groupBy("text", "same").agg(F.any_value("issue").alias("issue"))
-    other = texts.select("text", F.col("same").alias("near"), F.col("issue").alias("_i"))
-    like = 1 - F.levenshtein("issue", "_i") / F.greatest(F.length("issue"), F.length("_i"), F.lit(1)) >= least
-    near = texts.join(other, "text").where((F.col("same") != F.col("near")) & like).select("same", "near")
+    near = similar_texts(nodes.groupBy("text", "same").agg(F.any_value("issue").alias("issue")), "text", "same", "issue", least).withColumnsRenamed({"a": "same", "b": "near"})
     first = nodes.select("id", F.explode(F.array_compact(F.array("same", "defect"))).alias("key")).unionByName(nodes.join(near, "same").select("id", F.col("near").alias("key"))).withColumn("rule", F.lit(1))
     looks = written(first.unionByName(nodes.where("cited is not null").select("id", F.col("cited").alias("key"), F.lit(2).alias("rule"))), "keys")
-    state = nodes.select("id", F.lit(None).cast("boolean").alias("kept"))
-    for _ in range(rounds):
-        mins = own.join(state, "id").groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("_kept"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("_open"))
-        seen = looks.join(mins, "key").groupBy("id").agg(F.min("_kept").alias("_kept"), F.min("_open").alias("_open"))
-        decided = F.when(F.col("_kept") < F.col("id"), False).when(F.coalesce(F.col("_open") >= F.col("id"), F.lit(True)), True)
-        state = written(state.join(seen, "id").select("id", F.coalesce("kept", decided).alias("kept")), "state")
-        if state.where("kept is null").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"duplicates did not settle in {rounds} rounds")
+    state = first_kept(own, looks.select("id", "key"), most=most)
     kept = own.join(state.where("kept"), "id").groupBy("key").agg(F.min("id").alias("_kept"))
     best = looks.join(kept, "key").groupBy(F.col("id").alias("_node")).agg(F.min(F.when(F.col("rule") == 1, F.col("_kept"))).alias("_first"), F.min(F.when(F.col("rule") == 2, F.col("_kept"))).alias("_second"))
-    names = nodes.select("same", F.coalesce("defect", F.lit("")).alias("_d"), F.coalesce("cited", F.lit("")).alias("_c"), F.col("id").alias("_node")).join(best, "_node")
+    names = nodes.select("same", F.coalesce("defect", F.lit("")).alias("_d"), F.coalesce("cited", F.lit("")).alias("_c"), F.col("id").alias("_node")).join(best, "_node", "left")
     rows = keys.select("id", "same", F.coalesce("defect", F.lit("")).alias("_d"), F.coalesce("cited", F.lit("")).alias("_c")).join(names, ["same", "_d", "_c"])
     match = F.when(F.col("_first") < F.col("id"), F.col("_first")).when(F.col("_second") < F.col("id"), F.col("_second"))
     return rows.select("id", match.alias("duplicate_of"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausework.operators.intervals import overlapping_pairs
+
 
 def contradictions(facts: DataFrame, keys: list[str]) -> DataFrame:
     """``facts``: keys, operator, value (decimal), id, advisory -> keys whose highest lower bound is above their lowest upper bound, with the ids of both.
@@ -192,11 +194,14 @@ def trace_results(decisions: DataFrame) -> DataFrame:
 
 
 def touching_periods(periods: DataFrame, key: str) -> DataFrame:
-    """``periods``: key, id, start, end (dates) -> pairs of neighbours in order of start that overlap (conflict) or only touch (no conflict)."""
-    w = Window.partitionBy(key).orderBy("start", "end", "id")
-    j = periods.withColumn("_id", F.lag("id").over(w)).withColumn("_end", F.lag("end").over(w))
-    kind = F.when(F.col("start") == F.col("_end"), "touching").when(F.col("start") < F.col("_end"), "conflict")
-    return j.withColumn("kind", kind).where("kind is not null").select(key, F.col("_id").alias("a"), F.col("id").alias("b"), "kind")
+    """``periods``: key, id, start, end (dates) -> ``key, a, b, kind``: all pairs that share a day, each once: ``touching`` if the later start is the earlier end, else ``conflict``.
+
+    Periods without a start or end, reversed ones and null keys have no pairs; ``a`` starts first, of equal starts the smaller id.
+    """
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    met = overlapping_pairs(periods.select(key, "id", "start", "end"), [key], "id", day("start"), day("end"))
+    touching = F.greatest("l.start", "r.start") == F.least("l.end", "r.end")
+    return met.select(key, F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.when(touching, "touching").otherwise("conflict").alias("kind"))
 
 
 def consistent_terms(tokens: DataFrame, headings: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:

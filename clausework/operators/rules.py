@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.sources.scratch import written
+from clausework.operators.graphs import paths
 
 DEPTH, OPERANDS = 12, 100
 
@@ -63,21 +63,25 @@ def fact_predicate(values: Column, complete: Column, evidence: Column, wanted: l
     return F.when(F.coalesce(evidence, F.lit(0)) == 0, None).when(hit, True).when(complete, False)
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = DEPTH) -> DataFrame:
-    """``node, ancestor, distance, cycle``: every node with itself and all its ancestors. A step joins the frontier with the edges; paths carry their nodes, so a
-    cycle ends where it closes and is marked. Deeper chains than ``depth`` are an error of the caller's data and end there."""
-    e = written(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")), "edges")
-    nodes = e.select("_c").union(e.select("_p")).distinct().where("_c is not null")
-    level = nodes.select(F.col("_c").alias("node"), F.col("_c").alias("ancestor"), F.lit(0).alias("distance"), F.array("_c").alias("path"), F.lit(False).alias("cycle"))
-    out = level
-    for k in range(1, depth + 1):
-        nxt = level.where("not cycle").join(e, F.col("ancestor") == F.col("_c")).where("_p is not null")
-        nxt = nxt.select("node", F.col("_p").alias("ancestor"), F.lit(k).alias("distance"), F.array_append("path", F.col("_p")).alias("path"), F.array_contains("path", F.col("_p")).alias("cycle"))
-        level = written(nxt, "level")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"), F.bool_or("cycle").alias("cycle"))
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """``node, ancestor, distance, cycle``: every node with itself (distance 0) and all its ancestors at any depth, by path doubling; ``cycle``: the ancestor reaches itself, so the pair
+    should not be relied on. ``rejected`` names the nodes whose inheritance is wrong."""
+    up = paths(edges, child, parent)
+    nodes = edges.select(F.col(child).alias("node")).union(edges.select(F.col(parent))).where("node is not null").distinct()
+    itself = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    every = itself.unionByName(up).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+    loops = up.where("node = ancestor").select(F.col("node").alias("_loop"))
+    return every.join(loops, F.col("ancestor") == F.col("_loop"), "left").select("node", "ancestor", "distance", F.col("_loop").isNotNull().alias("cycle"))
+
+
+def rejected(nodes: DataFrame, edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = DEPTH) -> DataFrame:
+    """``node, problems``: nodes that must not inherit, with the sorted reasons: ``cycle`` (it reaches a cycle), ``depth`` (an ancestor more than ``depth`` steps away) and ``unknown`` (it or an
+    ancestor names a parent that isn't in ``nodes``, column node). A node whose parent is rejected for a cycle or an unknown name is rejected too, as its rules would be incomplete."""
+    known = nodes.select(F.col("node").alias("_known")).distinct()
+    up = closure(edges, child, parent)
+    j = up.join(known, F.col("ancestor") == F.col("_known"), "left").join(nodes.select("node").distinct(), "node", "left_semi")
+    found = F.array_compact(F.array(F.when(F.bool_or("cycle"), "cycle"), F.when(F.max("distance") > depth, "depth"), F.when(F.bool_or(F.col("_known").isNull()), "unknown")))
+    return j.groupBy("node").agg(found.alias("problems")).where(F.size("problems") > 0)
 
 
 def any_applies(rows: DataFrame, keys: list[str], state: str) -> DataFrame:

@@ -67,7 +67,7 @@ TREE_SQL = """e AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS pare
   UNION ALL SELECT 'r' || r_regionkey, 'r' || (1 - r_regionkey) FROM region WHERE r_regionkey IN (0, 1)),
 w(node, ancestor, distance, path, cycle) AS (SELECT k, k, 0, [k], false FROM (SELECT child AS k FROM e UNION SELECT parent FROM e)
   UNION ALL SELECT node, parent, distance + 1, list_append(path, parent), list_contains(path, parent) FROM w JOIN e ON ancestor = child WHERE NOT cycle),
-closure AS (SELECT node, ancestor, min(distance) AS distance, bool_or(cycle) AS cycle FROM w GROUP BY ALL)"""
+closure AS (SELECT node, ancestor, min(distance) AS distance, ancestor IN (SELECT node FROM w WHERE distance > 0 AND node = ancestor) AS cycle FROM w GROUP BY ALL)"""
 
 
 @query("app4_inheritance_closure", f"WITH RECURSIVE {TREE_SQL} SELECT * FROM closure")
@@ -75,6 +75,24 @@ def app4(spark, sf):
     return R.closure(tree(spark, sf))
 
 
+@query(
+    "app4_rejected_profiles",
+    """WITH RECURSIVE e AS (SELECT s_suppkey AS child, CASE WHEN s_suppkey % 29 = 0 THEN s_suppkey + 1 WHEN s_suppkey % 41 = 0 THEN -s_suppkey ELSE s_suppkey - 1 - s_suppkey % 3 END AS parent FROM supplier WHERE s_suppkey % 17 > 1),
+w(node, ancestor, distance, path, cycle) AS (SELECT s_suppkey, s_suppkey, 0, [s_suppkey], false FROM supplier
+  UNION ALL SELECT node, parent, distance + 1, list_append(path, parent), list_contains(path, parent) FROM w JOIN e ON ancestor = child WHERE NOT cycle),
+c AS (SELECT node, ancestor, min(distance) AS distance FROM w GROUP BY ALL), l AS (SELECT DISTINCT node FROM w WHERE distance > 0 AND node = ancestor),
+r AS (SELECT node, list_filter([CASE WHEN bool_or(ancestor IN (SELECT node FROM l)) THEN 'cycle' END, CASE WHEN max(distance) > 5 THEN 'depth' END, CASE WHEN bool_or(ancestor NOT IN (SELECT s_suppkey FROM supplier)) THEN 'unknown' END], lambda x: x IS NOT NULL) AS problems FROM c GROUP BY node)
+SELECT node, array_to_string(problems, ',') AS problems FROM r WHERE len(problems) > 0""",
+)
+def app4_rejected(spark, sf):
+    """Suppliers in chains of inheritance, some of which loop, name unknown parents or run deeper than five steps."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("node"))
+    k = F.col("node")
+    parent = F.when(k % 29 == 0, k + 1).when(k % 41 == 0, -k).otherwise(k - 1 - k % 3)
+    edges = s.where(k % 17 > 1).select(k.alias("child"), parent.alias("parent"))
+    return R.rejected(s, edges, depth=5).select("node", F.array_join("problems", ",").alias("problems"))
+
+
 @query(
     "app5_any_facet",
     """WITH p AS (SELECT s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_acctbal > 5000 AND s_suppkey % 3 <> 0 END AS state FROM supplier)

@@ -256,8 +256,8 @@ def jn16(spark, sf):
 @query(
     "jn17_touching_periods",
     """WITH p AS (SELECT o_custkey, o_orderkey AS id, o_orderdate::DATE AS s, o_orderdate::DATE + (o_orderkey % 300)::INT AS e FROM orders),
-w AS (SELECT *, lag(id) OVER k AS i0, lag(e) OVER k AS e0 FROM p WINDOW k AS (PARTITION BY o_custkey ORDER BY s, e, id))
-SELECT o_custkey, i0 AS a, id AS b, CASE WHEN s = e0 THEN 'touching' ELSE 'conflict' END AS kind FROM w WHERE s <= e0""",
+SELECT o_custkey, a.id AS a, b.id AS b, CASE WHEN greatest(a.s, b.s) = least(a.e, b.e) THEN 'touching' ELSE 'conflict' END AS kind
+FROM p a JOIN p b USING (o_custkey) WHERE a.s <= b.e AND b.s <= a.e AND (a.s < b.s OR a.s = b.s AND a.id < b.id)""",
 )
 def jn17(spark, sf):
     start = F.to_date("o_orderdate")

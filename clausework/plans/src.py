@@ -202,6 +202,32 @@ def src13(spark, sf):
     return B.grid_audit(cells.withColumn("rows", F.lit(7)).withColumn("cols", F.lit(4)), ["l_orderkey"])
 
 
+@query(
+    "src13_header_bindings",
+    """WITH c AS (SELECT l_orderkey, l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS id, l_linenumber AS r, 1 + l_suppkey % 2 AS rs, l_partkey % 9 = 0 AS whole, l_partkey % 40 AS p, 4 + l_suppkey % 30 AS n,
+  l_linenumber <= 2 AS header, l_orderkey % 3 = 0 AS rep FROM lineitem),
+d AS (SELECT *, CASE WHEN whole THEN 0 ELSE p END AS lo, CASE WHEN whole THEN 70 ELSE p + n END AS hi FROM c),
+m AS (SELECT a.l_orderkey, a.id, b.id AS h, b.r, b.lo, round((least(a.hi, b.hi) - greatest(a.lo, b.lo)) / (a.hi - a.lo), 5) AS share FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND b.header AND b.r < a.r AND a.lo < b.hi AND b.lo < a.hi
+  AND (NOT a.rep OR b.r = (SELECT max(x.r) FROM d x WHERE x.l_orderkey = a.l_orderkey AND x.header AND x.r < a.r))),
+g AS (SELECT l_orderkey, id, list(h ORDER BY r, lo, h) FILTER (share >= 0.15) AS hs, list(h ORDER BY r, lo, h) FILTER (share < 0.15) AS ss FROM m GROUP BY ALL),
+f AS (SELECT a.l_orderkey, a.id, max({'r': b.r, 'id': b.id}).id AS grp FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND b.lo = 0 AND b.hi = 70 AND NOT b.header AND b.r < a.r GROUP BY ALL),
+k AS (SELECT a.l_orderkey, a.id, list(b.id ORDER BY b.r, b.lo, b.id) AS ls FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND NOT b.header AND b.r <= a.r AND a.r < b.r + b.rs AND b.lo < a.lo GROUP BY ALL)
+SELECT d.l_orderkey, d.id, coalesce(array_to_string(hs, ','), '') AS headers, coalesce(array_to_string(ss, ','), '') AS slivers, grp AS "group", coalesce(array_to_string(ls, ','), '') AS labels
+FROM d LEFT JOIN g USING (l_orderkey, id) LEFT JOIN f USING (l_orderkey, id) LEFT JOIN k USING (l_orderkey, id)""",
+)
+def src13_bindings(spark, sf):
+    """Lines as cells of uneven width: the first two rows are headers, every ninth part is a cell of full width, every third table repeats its headers."""
+    whole = F.col("l_partkey") % 9 == 0
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
+    cells = table(spark, sf, "lineitem").select(
+        "l_orderkey", (F.col("l_linenumber") * 100 + place).cast("long").alias("id"), F.col("l_linenumber").cast("long").alias("row"), (1 + F.col("l_suppkey") % 2).alias("rowspan"), F.when(whole, 0).otherwise(F.col("l_partkey") % 40).alias("left"),
+        F.when(whole, 70).otherwise(F.col("l_partkey") % 40 + 4 + F.col("l_suppkey") % 30).alias("right"), (F.col("l_linenumber") <= 2).alias("header"), F.lit(70).alias("width"), (F.col("l_orderkey") % 3 == 0).alias("repeats"),
+    )
+    bound = B.header_bindings(cells, ["l_orderkey"], repeated="repeats")
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return bound.select("l_orderkey", "id", text("headers"), text("slivers"), "group", text("labels"))
+
+
 @query(
     "src14_table_diff",
     """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag || ' ' || CAST(l_quantity::BIGINT AS VARCHAR)) AS v, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
