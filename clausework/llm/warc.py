@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", id_col: s
 
 
 class _Stream:
-    """Bytes of archives, asked for piece by piece; each piece was followed by blank lines."""
+    """Bytes of archives, asked for piece by piece; each piece was followed by blank lines, but for some last ones of a file."""
 
     def __init__(self, pieces: Iterator[bytes]):
         self.pieces, self.held, self.at = pieces, bytearray(), 0
@@ -98,12 +98,16 @@ class _Stream:
         return True
 
     def head(self) -> bytes | None:
-        """Up to the next blank lines."""
+        """Up to the next blank lines. Blank lines before it are skipped: the reader doesn't tell whether the last piece of a file was followed by any, so a
+        file whose last record ends in a line end leaves four bytes that it doesn't have, and no header begins with them."""
         seen = self.at
-        while (k := self.held.find(b"\r\n\r\n", seen)) < 0:
-            seen = max(0, len(self.held) - self.at - 4)
-            if not self._more():
-                return None
+        while (k := self.held.find(b"\r\n\r\n", seen)) <= self.at:
+            if k == self.at:
+                self.at = seen = k + 4
+            else:
+                seen = max(0, len(self.held) - self.at - 4)
+                if not self._more():
+                    return None
         out = bytes(self.held[self.at : k])
         self.at = k + 4
         return out

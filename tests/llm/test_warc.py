@@ -84,3 +84,18 @@ def test_query_takes_its_rows_from_the_restored_records(spark, monkeypatch):
 
     monkeypatch.setattr(warc, "restore", spoiled)
     assert sorted((r.page_id, r.payload_bytes) for r in op4_rows(spark, df)) == [(1, 201), (2, 201), (3, None)]
+
+
+def test_line_ends_of_payloads(spark, monkeypatch):
+    """Payloads of any line ends come back, in the middle and in the last place of a file: the four ends, null, empty, and all strings of up to five of CR, LF and a letter."""
+    from itertools import product
+
+    ends = ["abc\r", "abc\n", "abc\r\n", "abc\r\n\r\n", "abc\r\n\r", None, "", "\r\n", "\r\n\r\n"]
+    every = ["".join(p) for n in range(6) for p in product("\r\na", repeat=n)]
+    for per_file, texts in ((1, ends), (2, ends), (1, every[::7]), (1000, every)):
+        monkeypatch.setattr(warc, "RECORDS_PER_FILE", per_file)
+        rows = [(i, "u", t) for i, t in enumerate(texts)]
+        path = new_path(spark, "test")
+        write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+        got = {int(r.id): bytes(r.payload).decode() for r in restore(*store(read_archives(spark, path))).collect()}
+        assert got == {i: t or "" for i, _, t in rows}
