@@ -114,7 +114,7 @@ def test_weights(spark):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base), " ".join(base + base[:30] * 6)]
     doc, value, count, at = nd.shingles(pa.array(texts, pa.large_string()))
-    weight = 1 + np.log(count)
+    weight = 1.5 - 0.5 / count
     assert weight.max() > 1
     r = nd.registers(doc, value, weight, 2, 8192)
     sides = [(value[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]) for i in (0, 1)]
@@ -144,3 +144,39 @@ def test_whole_table(spark):
     got = {r.doc_id: r.class_id for r in nd.op2_near_dedup(spark, sf).collect()}
     assert [got[r.doc_id] for r in rows] == [rows[i].doc_id for i in want]
     assert docs.select(nd.word_digest(F.col("text"))).distinct().count() == nd.sketch(docs).select("digest").distinct().count()
+
+
+@pytest.mark.parametrize("times", [1, 3, 10, 100])
+def test_recall_where_repeats_differ(times):
+    """Texts of set similarity just above 0.8, of which one repeats a part of itself: their share of common bands at every part and number of repeats."""
+    rng = np.random.default_rng(times)
+    found, pairs = 0, 0
+    for part in (0.1, 0.3, 0.4, 0.5, 0.7):
+        for size in (60, 400):
+            for _ in range(15):
+                value = np.unique(rng.integers(1, 1 << 62, 3 * size, dtype=np.uint64))[: size + size // 4]
+                rng.shuffle(value)
+                lost = (len(value) - size) // 2
+                a, b = np.sort(value[lost:]), np.sort(value[: len(value) - lost])
+                shared = np.intersect1d(a, b)
+                assert len(shared) / len(np.union1d(a, b)) >= 0.8 - 0.01
+                count = np.where(np.isin(a, rng.choice(a, int(part * len(a)), replace=False)), times, 1)
+                doc = np.repeat([0, 1], [len(a), len(b)])
+                weight = 1.5 - 0.5 / np.concatenate([count, np.ones(len(b))])
+                r = nd.registers(doc, np.concatenate([a, b]), weight, 2, nd.BANDS * nd.ROWS).reshape(2, nd.BANDS, nd.ROWS)
+                found += bool((r[0] == r[1]).all(axis=1).any())
+                pairs += 1
+    print(f"{times} repeats: {found} of {pairs} pairs share a band")
+    assert found >= 0.95 * pairs
+
+
+def test_null_ids_cost_no_more(spark):
+    """Near copies without ids meet their own text only: as many rows as with distinct ids."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:100], f"x{i}", *base[100:]]) for i in range(300)]
+    by_id = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    same = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string")
+    for df in (by_id, none, same):
+        rows = nd.near_duplicates(df).collect()
+        assert len(rows) == 300 and {r.class_texts for r in rows} == {300} and sum(r.kept for r in rows) == 1
