@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausework.llm.util import materialise, only_columns
+from clausework.llm.util import materialise, only_columns, ranked
 
 #: Fixed values of the query: weights by rank of the source, share of all words, most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -85,7 +85,7 @@ def position(demand: Column, target: Column, tilt: Column) -> Column:
 
 
 def training_plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", tilts=TILTS, **how) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, tilt, start, copies, taken``.
+    """One row per row of ``docs``: ``doc_id, h, source, size, source_size, target, tilt, start, copies, taken`` (``h``: its place in the order of its source).
 
     ``start``: words of the source before the document, in the order of md5 of its id (of its text, if the id is null), then size. ``copies``: array of struct(``pass``,
     ``position``, ``words``) of the passes that reach it: the training position of its first word, and the words it has before the run ends, which is
@@ -103,7 +103,7 @@ def training_plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", s
     facts = known.select(F.col("source").alias("_s"), "source_size", "target", "tilt", "_words", "_rows")
 
     often = materialise(sized.groupBy("source", "h", "size").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_BUCKET), "often")
-    kept = ["doc_id", "source", "size", "source_size", "target", "tilt", "_words", "start"]
+    kept = ["doc_id", "h", "source", "size", "source_size", "target", "tilt", "_words", "start"]
     n_often = often.count()
     if not n_often:
         placed = _starts(sized.withColumn("n", F.lit(1)), facts).select(*kept)
@@ -130,24 +130,37 @@ def training_plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", s
     copy = lambda p: F.struct(p.alias("pass"), position(begin(p), F.col("target"), F.col("tilt")).alias("position"), words(p).alias("words"))
     placed = placed.withColumn("copies", F.filter(F.transform(rounds, copy), lambda c: c.words > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c.words)
-    return placed.select("doc_id", "source", "size", "source_size", "target", "tilt", "start", "copies", taken.alias("taken"))
+    return placed.select("doc_id", "h", "source", "size", "source_size", "target", "tilt", "start", "copies", taken.alias("taken"))
 
 
 def training_order(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """The mixed corpus: ``docs`` repeated as often as taken, range-sorted by training position; columns as they came, whatever their names.
 
     A copy that the target cuts is kept whole when at least half of its words are taken and left out otherwise, so that every
-    document stays whole. Rows with equal ids (null counts as one) and equal sizes count as one document here and are repeated alike. Null
-    texts have no words and are never taken. An empty table gives no rows.
+    document stays whole. Each row gets its own copies, also where ids repeat or are null: rows of one id, source and size (of one text, where the id is null) are
+    numbered and meet the places that the plan gave them in turn. Null texts have no words and are never taken. An empty table gives no rows.
     """
     names = only_columns(docs.columns)
     numbered = docs.toDF(*names)
     text, id_col, source = (names[docs.columns.index(c)] for c in (text, id_col, source))
-    plan = training_plan(numbered, text, id_col, source, **how)
-    plan = plan.select("doc_id", "source", "size", F.filter("copies", lambda c: 2 * c.words >= F.col("size")).alias("copies")).where(F.size("copies") > 0)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max_by("copies", F.size("copies")).alias("copies"))
-    same = F.col(id_col).eqNullSafe(F.col("doc_id")) & F.col(source).eqNullSafe(F.col("source")) & (F.col("_words_of_row") == F.col("size"))
-    taken = numbered.withColumn("_words_of_row", word_count(F.col(text))).join(plan, same)
+    plan = materialise(training_plan(numbered, text, id_col, source, **how).select("h", "source", "size", "start", F.filter("copies", lambda c: 2 * c.words >= F.col("size")).alias("copies")), "plan")
+    key = ["h", "source", "size"]
+    often = materialise(plan.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in key]), "repeated")
+    keyed = numbered.withColumns({"_h_of_row": _order(F.col(id_col), F.col(text)), "_words_of_row": word_count(F.col(text))})
+    mine = {"h": "_h_of_row", "source": source, "size": "_words_of_row"}
+
+    def met(row: dict, other: dict) -> Column:
+        return (F.col(row["h"]) == F.col(other["h"])) & F.col(row["source"]).eqNullSafe(F.col(other["source"])) & (F.col(row["size"]) == F.col(other["size"]))
+
+    repeated, plain = {c: f"_{c}" for c in key}, {c: c for c in key}
+    if often.isEmpty():
+        taken = keyed.join(plan.where(F.size("copies") > 0), met(mine, plain)).select(*names, "copies")
+    else:
+        once = plan.join(often, met(plain, repeated), "left_anti").where(F.size("copies") > 0)
+        taken = keyed.join(once, met(mine, plain)).select(*names, "copies")
+        places = ranked(plan.join(often, met(plain, repeated), "left_semi"), key, ["start"]).where(F.size("copies") > 0).select(*key, F.col("pos").alias("_place"), "copies")
+        rows = ranked(keyed.join(often, met(mine, repeated), "left_semi"), list(mine.values()), [id_col])
+        taken = taken.unionByName(rows.join(places, met(mine, plain) & (F.col("pos") == F.col("_place"))).select(*names, "copies"))
     taken = taken.withColumn("_position", F.explode("copies.position"))
     return taken.repartitionByRange(F.col("_position"), F.col(id_col)).sortWithinPartitions("_position", id_col).select(*names).toDF(*docs.columns)
 

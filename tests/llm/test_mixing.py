@@ -86,3 +86,18 @@ def test_one_id_in_a_third_of_the_rows(spark, monkeypatch, broadcast):
     want = sorted((str(r[0]), r[1], r[4], r[5] or 0) for r in con.execute(M.OP9_SQL).fetchall())
     got = sorted((str(r.doc_id), r.size, r.taken, r.copies[0].position if r.copies else 0) for r in M.training_plan(sf).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("rows", [2000, 3])
+def test_repeated_and_null_ids_meet_their_targets(spark, monkeypatch, rows):
+    """Words of the mixed corpus by source come to their targets within a document, whether ids are distinct, all null, or all one."""
+    monkeypatch.setattr(M, "ROWS_PER_BUCKET", rows)
+    for make in (lambda i: i, lambda i: None, lambda i: 7, lambda i: None if i % 3 else i % 5):
+        data = [(make(i), " ".join(["w"] * (15 if i % 2 else 5)) + f" {i % 9}", "a" if i % 4 else "b") for i in range(400)]
+        df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+        words, out = {}, M.training_order(df).collect()
+        for r in out:
+            words[r.source] = words.get(r.source, 0) + len(r.text.split())
+        target = {r.source: r.target for r in M.training_plan(df).select("source", "target").distinct().collect()}
+        assert {s: abs(words[s] - t) <= 17 for s, t in target.items()} == dict.fromkeys(target, True)
+        assert {(r.doc_id, r.text, r.source) for r in out} <= set(data)
