@@ -31,9 +31,9 @@ from clausework.llm.util import materialise, only_columns, table
 from clausework.llm.words import batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK = 2_000_000  # bytes of text of a batch
+CHUNK = 1_000_000  # bytes of text of a batch
 #: Distinct words that a task counts before it hands them on; bytes of words and ids that are broadcast; bytes of words of a shard's replay; encoded words kept by a worker.
-COUNTED, WORD_BYTES, REPLAY_BYTES, KEPT_WORDS = 300_000, 24_000_000, 4_000_000, 100_000
+COUNTED, WORD_BYTES, REPLAY_BYTES, KEPT_WORDS = 150_000, 12_000_000, 1_000_000, 50_000
 #: A word counts as so many bytes more than its own and those of its ids.
 PER_WORD = 16
 _loaded: dict[tuple[str, str], Ranks] = {}
