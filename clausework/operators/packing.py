@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from clausework.operators.blocks import greedy_groups
+from clausework.sources.scratch import written
 
 
 def count_words(text: str) -> int:
@@ -56,9 +61,82 @@ def lossless_chunks(docs: DataFrame, doc: str, text: str, limit: int = 400, coun
     return source.mapInPandas(run, "doc_id long, start int, end int, n_tokens int, chunk string")
 
 
-def context_ranges(owned: DataFrame, doc: str, order: str, group: str, reach: int) -> DataFrame:
-    """``doc, group, first, last, blocks, from, to``: each packet's owned range and its context of ``reach`` neighbours on either side."""
-    g = owned.groupBy(doc, group).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("blocks"))
-    bounds = owned.groupBy(F.col(doc).alias("_doc")).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    out = g.join(bounds, F.col(doc) == F.col("_doc"))
-    return out.select(doc, group, "first", "last", "blocks", F.greatest("_lo", F.col("first") - reach).alias("from"), F.least("_hi", F.col("last") + reach).alias("to"))
+def reference_closure(seeds: DataFrame, refs: DataFrame, known: DataFrame, doc: str, group: str, order: str) -> DataFrame:
+    """``doc, group, order``: the seeds and all blocks that they reach over references of any kind, from all groups at once. A round follows the references of what the last one found and
+    drops what its group holds already, so loops end; the rounds are as many as the longest shortest way. References to blocks that aren't in ``known`` are left out.
+
+    ``refs``: doc, order, ref; ``known``: doc, order.
+    """
+    r = written(refs.join(known.select(F.col(doc), F.col(order).alias("ref")).distinct(), [doc, "ref"], "left_semi").select(F.col(doc).alias("_d"), F.col(order).alias("_o"), F.col("ref")).distinct(), "refs")
+    held = written(seeds.select(doc, group, order).distinct(), "held")
+    new = held
+    while True:
+        reached = new.join(r, (F.col(doc) == F.col("_d")) & (F.col(order) == F.col("_o"))).select(doc, group, F.col("ref").alias(order)).distinct()
+        new = written(reached.join(held, [doc, group, order], "left_anti"), "reached")
+        if new.isEmpty():
+            return held
+        held = written(held.unionByName(new), "held")
+
+
+def packets(blocks: DataFrame, refs: DataFrame, doc: str, order: str, size: str, limit: int = 7000, most: int = 12, reach: int = 2) -> DataFrame:
+    """``doc, group, order, role``: each packet's own blocks (``owned``, every block in one packet) and its ``context``: the blocks of the table rows that it owns a part of, ``reach`` neighbours
+    on either side, and all that these and its own blocks refer to, directly or not.
+
+    ``blocks``: doc, order, size, table and row (null outside of tables); ``refs``: doc, order, ref (the order of a heading, note, header or row label). A packet takes blocks in order, up to ``most`` and
+    while their sizes stay within ``limit``; a larger block stands alone. A null size counts as 0.
+    """
+    b = blocks.withColumn(size, F.coalesce(size, F.lit(0))).withColumn("_pos", F.row_number().over(Window.partitionBy(doc).orderBy(order)))
+    owned = written(greedy_groups(b, [doc], order, size, limit, most=most).select(doc, "group", order, "_pos", "table", "row"), "owned")
+    rows = owned.where("table is not null").select(doc, "group", "table", "row").distinct()
+    mates = rows.withColumnsRenamed({"table": "_t", "row": "_r"}).join(b.select(doc, order, "table", "row").withColumnRenamed(doc, "_doc"), (F.col(doc) == F.col("_doc")) & (F.col("table") == F.col("_t")) & F.col("row").eqNullSafe(F.col("_r")))
+    ends = owned.groupBy(doc, "group").agg(F.min("_pos").alias("_a"), F.max("_pos").alias("_z"))
+    beside = ends.select(doc, "group", F.explode(F.concat(F.sequence(F.col("_a") - reach, F.col("_a") - 1), F.sequence(F.col("_z") + 1, F.col("_z") + reach))).alias("_pos")).join(b.select(doc, "_pos", order), [doc, "_pos"])
+    pick = [doc, "group", order]
+    every = reference_closure(owned.select(*pick).unionByName(mates.select(*pick)).unionByName(beside.select(*pick)), refs, b, doc, "group", order)
+    mine = owned.select(*pick, F.lit("owned").alias("role"))
+    return every.join(mine, pick, "left").select(*pick, F.coalesce("role", F.lit("context")).alias("role"))
+
+
+def section_packs(blocks: DataFrame, doc: str, order: str, limit: int = 12_000, extra: int = 90, least: int = 128, reach: int = 200) -> DataFrame:
+    """``doc, pack, order, offset, text``: whole sections packed up to ``limit`` characters (``extra`` more for each block); short neighbours under one ancestor share a pack, packs that are too large
+    are halved.
+
+    ``blocks``: doc, order, text, section, path (titles of the open headings) and row (of a table, null outside). A section is a run of blocks of one section; its ancestor is the first two
+    titles of a path of three or more, else the first one. Halving takes the place next to the middle where a table row ends or no table is (the earlier of two), without one the middle itself; a lone block
+    is cut after the last blank within ``reach`` of its middle, or there, unless it is shorter than ``least``: that one stays over the limit. ``offset`` is the place of a cut text in its block; the
+    texts of a block's parts join to the block. All packs of all documents are halved in the same rounds, as many as the logarithm of the largest.
+    """
+    w = Window.partitionBy(doc).orderBy(order)
+    b = blocks.withColumn("_new", F.coalesce((~F.lag("section").over(w).eqNullSafe(F.col("section"))).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    b = b.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_cost", F.length("text") + extra)
+    title = F.array_join(F.when(F.size("path") > 2, F.slice("path", 1, 2)).otherwise(F.slice("path", 1, 1)), "\x1f")
+    runs = b.groupBy(doc, "_run").agg(F.sum("_cost").alias("_cost"), F.min_by(title, order).alias("_key"))
+    packed = greedy_groups(runs, [doc], "_run", "_cost", limit, change=F.col("_key")).select(doc, "_run", F.col("group").cast("string").alias("_pack"))
+    todo = b.join(packed, [doc, "_run"]).select(doc, "_pack", order, F.lit(0).alias("offset"), "text", F.col("row").cast("string").alias("_row"))
+    done, part = [], Window.partitionBy(doc, "_pack")
+    inside = part.orderBy(order, "offset")
+    while True:
+        todo = todo.withColumn("_cost", F.sum(F.length("text") + extra).over(part)).withColumn("_n", F.count("*").over(part)).withColumn("_i", F.row_number().over(inside) - 1)
+        todo = written(todo.withColumn("_over", (F.col("_cost") > limit) & ((F.col("_n") > 1) | (F.length("text") >= least))).withColumn("_before", F.lag("_row").over(inside)), "packs")
+        keep = [doc, "_pack", order, "offset", "text"]
+        done.append(todo.where("not _over").select(*keep))
+        left = todo.where("_over")
+        if left.isEmpty():
+            break
+        middle = F.expr("_n div 2")
+        free = (F.col("_i") > 0) & (F.col("_row").isNull() | ~F.col("_row").eqNullSafe(F.col("_before")))
+        many = left.where("_n > 1").withColumn("_at", F.coalesce(F.min(F.when(free, F.struct(F.abs(F.col("_i") - middle).alias("d"), F.col("_i").alias("i")))).over(part).getField("i"), middle))
+        many = many.withColumn("_pack", F.concat("_pack", F.when(F.col("_i") < F.col("_at"), "a").otherwise("b"))).select(*keep, "_row")
+        half = F.expr("length(text) div 2")
+        low = F.greatest(F.lit(1), half - reach)
+        near = F.substring(F.col("text"), low + 1, half + reach - low)
+        blank = F.instr(F.reverse(near), " ")
+        cut = F.when(blank > 0, low + F.length(near) - blank).otherwise(half)
+        one = left.where("_n = 1").withColumn("_cut", cut)
+        sides = F.array(F.struct(F.lit("a").alias("s"), F.col("offset").alias("o"), F.substring(F.col("text"), F.lit(1), F.col("_cut")).alias("t")), F.struct(F.lit("b").alias("s"), (F.col("offset") + F.col("_cut")).alias("o"), F.substring(F.col("text"), F.col("_cut") + 1, F.length("text")).alias("t")))
+        one = one.select(doc, "_pack", order, "_row", F.explode(sides).alias("x")).select(doc, F.concat("_pack", "x.s").alias("_pack"), order, F.col("x.o").alias("offset"), F.col("x.t").alias("text"), "_row")
+        todo = many.unionByName(one)
+    every = reduce(DataFrame.unionByName, done)
+    first = every.groupBy(doc, "_pack").agg(F.min(F.struct(order, "offset")).alias("_first"))
+    numbered = first.select(doc, "_pack", (F.row_number().over(Window.partitionBy(doc).orderBy("_first")) - 1).alias("pack"))
+    return every.join(numbered, [doc, "_pack"]).select(doc, "pack", order, "offset", "text")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from clausework.functions.text import content_id
 from clausework.operators import blocks as B
-from clausework.operators.packing import context_ranges, lossless_chunks
+from clausework.operators.packing import lossless_chunks, packets, section_packs
 from clausework.plans.registry import query
 from clausework.sources.tables import table
 
@@ -156,28 +156,45 @@ def src9(spark, sf):
 
 @query(
     "src10_section_packing",
-    f"""WITH RECURSIVE {BLOCKS_SQL}, c AS (SELECT doc_id, ord // 8 AS section, sum(length(text) + 90)::BIGINT AS n FROM blocks GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS seq FROM c),
-{greedy_sql("SELECT doc_id AS key, seq, n, 0 AS chg FROM s", 3000)} SELECT b.doc_id, b.ord, s.section, g AS "group" FROM blocks b JOIN s ON b.doc_id = s.doc_id AND b.ord // 8 = s.section JOIN w ON s.doc_id = key AND s.seq = w.seq""",
+    f"""WITH RECURSIVE {BLOCKS_SQL}, b AS (SELECT doc_id, ord, text, ord // 4 AS section, CASE WHEN ord // 4 % 3 = 0 THEN (ord // 32)::VARCHAR ELSE ord // 32 || '/' || ord // 8 END AS chg, CASE WHEN doc_id % 2 = 0 THEN ord // 3 END AS r FROM blocks),
+c AS (SELECT doc_id, section, any_value(chg) AS chg, sum(length(text) + 90)::BIGINT AS n FROM b GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS seq FROM c),
+{greedy_sql("SELECT doc_id AS key, seq, n, chg FROM s", 1500)},
+p AS (SELECT b.doc_id, list({{'o': ord, 'f': 0, 't': text, 'r': r}} ORDER BY ord) AS l FROM b JOIN s ON b.doc_id = s.doc_id AND b.section = s.section JOIN w ON s.doc_id = key AND s.seq = w.seq GROUP BY b.doc_id, g),
+h AS (SELECT doc_id, l, list_sum(list_transform(l, lambda x: length(x.t) + 90)) > 1500 AND (len(l) > 1 OR length(l[1].t) >= 128) AS big FROM p
+  UNION ALL SELECT doc_id, l, list_sum(list_transform(l, lambda x: length(x.t) + 90)) > 1500 AND (len(l) > 1 OR length(l[1].t) >= 128) FROM (SELECT doc_id, unnest(CASE WHEN len(l) > 1 THEN [l[1:m], l[m + 1:]]
+      ELSE [[{{'o': l[1].o, 'f': l[1].f, 't': substr(l[1].t, 1, cut), 'r': l[1].r}}], [{{'o': l[1].o, 'f': (l[1].f + cut)::INT, 't': substr(l[1].t, cut + 1), 'r': l[1].r}}]] END) AS l
+    FROM (SELECT *, CASE WHEN strpos(reverse(near), ' ') > 0 THEN low + length(near) - strpos(reverse(near), ' ') ELSE length(l[1].t) // 2 END AS cut
+      FROM (SELECT *, substr(l[1].t, low + 1, length(l[1].t) // 2 + 200 - low) AS near FROM (SELECT *, greatest(1, length(l[1].t) // 2 - 200) AS low,
+          coalesce(list_sort(list_transform(list_filter(range(1, len(l)), lambda i: l[i + 1].r IS NULL OR l[i + 1].r IS DISTINCT FROM l[i].r), lambda i: {{'d': abs(i - len(l) // 2), 'i': i}}))[1].i, len(l) // 2) AS m FROM h WHERE big))))),
+n AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY l[1].o, l[1].f) - 1 AS pack FROM h WHERE NOT big)
+SELECT doc_id, pack, x.o AS ord, x.f AS "offset", sha256(x.t) AS sha FROM (SELECT doc_id, pack, unnest(l) AS x FROM n)""",
 )
 def src10(spark, sf):
-    sized = blocks(spark, sf).withColumn("cost", F.length("text") + 90)
-    section = F.floor(F.col("ord") / 8)  # sections of eight lines stand in for headings, which the table has not
-    sized = sized.withColumn("section", section)
-    merged = sized.groupBy("doc_id", "section").agg(F.sum("cost").alias("cost"))
-    packed = B.greedy_groups(merged, ["doc_id"], "section", "cost", 3000)
-    return sized.join(packed.select("doc_id", "section", "group"), ["doc_id", "section"]).select("doc_id", "ord", "section", "group")
+    """Lines with sections of four lines below headings of 8 and 32, which the table has not; every second document is a table of rows of three lines."""
+    b = blocks(spark, sf)
+    at = lambda n: F.floor(F.col("ord") / n).cast("string")
+    b = b.withColumns({"section": F.floor(F.col("ord") / 4), "path": F.when(F.floor(F.col("ord") / 4) % 3 == 0, F.array(at(32))).otherwise(F.array(at(32), at(8), at(4))), "row": F.when(F.col("doc_id") % 2 == 0, F.floor(F.col("ord") / 3))})
+    return section_packs(b, "doc_id", "ord", limit=1500).select("doc_id", "pack", "ord", "offset", F.sha2("text", 256).alias("sha"))
 
 
 @query(
     "src11_context_packets",
-    f"""WITH RECURSIVE {BLOCKS_SQL}, s AS (SELECT doc_id, ord, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS seq FROM blocks),
-{greedy_sql("SELECT doc_id AS key, seq, n, 0 AS chg FROM s", 7000, 12)}, b AS (SELECT doc_id, min(ord) AS lo, max(ord) AS hi FROM s GROUP BY doc_id)
-SELECT s.doc_id, g AS "group", min(ord) AS first, max(ord) AS last, count(*) AS blocks, greatest(any_value(lo), min(ord) - 2) AS "from", least(any_value(hi), max(ord) + 2) AS "to" FROM s JOIN w ON s.doc_id = key AND s.seq = w.seq JOIN b ON b.doc_id = s.doc_id GROUP BY s.doc_id, g""",
+    f"""WITH RECURSIVE {BLOCKS_SQL}, s AS (SELECT doc_id, ord, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS seq, CASE WHEN doc_id % 3 = 0 THEN ord // 16 END AS tab, ord // 4 AS r FROM blocks),
+{greedy_sql("SELECT doc_id AS key, seq, n, 0 AS chg FROM s", 7000, 12)}, owned AS (SELECT s.doc_id, s.ord, s.seq, s.tab, s.r, g FROM s JOIN w ON s.doc_id = key AND s.seq = w.seq),
+refs AS (SELECT doc_id, ord, unnest(list_filter([CASE WHEN ord % 8 <> 0 THEN ord - ord % 8 WHEN ord % 64 <> 0 THEN ord - ord % 64 END, CASE WHEN ord % 16 = 5 THEN ord + 9 END, CASE WHEN doc_id % 3 = 0 AND ord % 16 > 1 THEN ord - ord % 16 + 1 END], lambda x: x IS NOT NULL)) AS ref FROM s),
+e AS (SELECT doc_id, g, min(seq) AS a, max(seq) AS z FROM owned GROUP BY ALL),
+v AS (SELECT doc_id, g, ord FROM owned UNION SELECT o.doc_id, o.g, s.ord FROM owned o JOIN s ON s.doc_id = o.doc_id AND s.tab = o.tab AND s.r = o.r
+  UNION SELECT e.doc_id, e.g, s.ord FROM e JOIN s ON s.doc_id = e.doc_id AND s.seq BETWEEN a - 2 AND z + 2),
+x AS (SELECT * FROM v UNION SELECT x.doc_id, x.g, s.ord FROM x JOIN refs f ON f.doc_id = x.doc_id AND f.ord = x.ord JOIN s ON s.doc_id = f.doc_id AND s.ord = f.ref)
+SELECT x.doc_id, x.g AS "group", x.ord, CASE WHEN o.ord IS NULL THEN 'context' ELSE 'owned' END AS role FROM x LEFT JOIN owned o ON o.doc_id = x.doc_id AND o.g = x.g AND o.ord = x.ord""",
 )
 def src11(spark, sf):
-    b = blocks(spark, sf).withColumn("n", F.length("text"))
-    owned = B.greedy_groups(b.select("doc_id", "ord", "n"), ["doc_id"], "ord", "n", 7000, most=12)
-    return context_ranges(owned, "doc_id", "ord", "group", 2)
+    """Lines refer to the headings of their 8 and 64, some to a note; every third document is a table of rows of four lines under a header line in each 16."""
+    b, o = blocks(spark, sf), F.col("ord")
+    b = b.withColumns({"n": F.length("text"), "table": F.when(F.col("doc_id") % 3 == 0, F.floor(o / 16)), "row": F.floor(o / 4)}).select("doc_id", "ord", "n", "table", "row")
+    heading = F.when(o % 8 != 0, o - o % 8).when(o % 64 != 0, o - o % 64)
+    refs = b.select("doc_id", "ord", F.explode(F.array_compact(F.array(heading, F.when(o % 16 == 5, o + 9), F.when((F.col("doc_id") % 3 == 0) & (o % 16 > 1), o - o % 16 + 1)))).alias("ref"))
+    return packets(b, refs, "doc_id", "ord", "n")
 
 
 @query(
