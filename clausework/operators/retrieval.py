@@ -199,7 +199,8 @@ def neighbours(hits: DataFrame, blocks: DataFrame, doc: str, order: str, reach:
 def dense_top(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, allowed: list[str] | None = None, salts: int = 64) -> DataFrame:
     """``query, key, score, rank``: the k nearest by cosine of each query, exact, ties by key. Columns ``allowed`` must be equal on both sides and are checked before ranking (null equals nothing).
 
-    Rows with a null key or vector, and vectors of length zero or with a null or infinite number, are near to none and left out on both sides. Query vectors are broadcast when
+    Rows with a null key or vector, and vectors of length zero or with a null or infinite number, are near to none and left out on both sides; vectors of different dimensions are never
+    compared, so a query ranks vectors of its own dimension only. Query vectors are broadcast when
     they are counted to be at most ``BROADCAST_NUMBERS`` numbers; else blocks of them meet blocks of the corpus on (block, salt), so that no
     block of queries gathers the corpus in one task. Each matrix product passes on its k best a query.
     """
@@ -217,6 +218,17 @@ def dense_top(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: i
             return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def product(table_q, table_c) -> pa.RecordBatch:
+        """The best of each query among the vectors of its dimension."""
+        of_q, of_c = (pc.list_value_length(t["v"]).to_numpy(zero_copy_only=False) for t in (table_q, table_c))
+        found = []
+        for d in np.setdiff1d(np.intersect1d(of_q, of_c), [0]):
+            same = [{n: t[n].filter(pa.array(sizes == d)) for n in names} for t, sizes in ((table_q, of_q), (table_c, of_c))]
+            found += product_of_equal(*same).to_pylist() if len(np.unique(of_q)) > 1 else [product_of_equal(*same)]
+        if len(found) == 1 and isinstance(found[0], pa.RecordBatch):
+            return found[0]
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], t) for n, t in (("query", arrow), ("key", table_c["key"].type), ("score", pa.float64()))], ["query", "key", "score"])
+
+    def product_of_equal(table_q, table_c) -> pa.RecordBatch:
         with np.errstate(all="ignore"):
             s = unit(table_c["v"]) @ unit(table_q["v"]).T
         s[~np.isfinite(s)] = -np.inf

@@ -238,6 +238,17 @@ def test_dense_top_leaves_null_and_zero_vectors_out(spark, monkeypatch):
         assert R.dense_top(e.where("false"), e, "id", "v", 5).count() == 0 == R.dense_top(e, e.where("false"), "id", "v", 5).count()
 
 
+def test_dense_top_compares_equal_dimensions_only(spark, monkeypatch):
+    rows = [(1, [1.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 1.0]), (5, []), (6, [0.0, 2.0, 0.0])]
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    for numbers in (R.BROADCAST_NUMBERS, -1):
+        monkeypatch.setattr(R, "BROADCAST_NUMBERS", numbers)
+        got = {(r.query, r.key) for r in R.dense_top(e, e.coalesce(1), "id", "v", 5).collect()}
+        assert got == {(1, 1), (2, 2), (2, 6), (6, 6), (6, 2), (3, 3), (3, 4), (4, 4), (4, 3)}
+        assert {(r.query, r.key, r.score) for r in R.dense_top(e.where("id = 3"), e, "id", "v", 1).collect()} == {(3, 3, 1.0)}
+        assert R.dense_top(spark.createDataFrame([(9, [1.0] * 7)], "id long, v array<double>"), e, "id", "v", 5).count() == 0
+
+
 @pytest.mark.parametrize("most", [R.BROADCAST_TERMS, -1])
 def test_ranked_terms_with_ties_and_nulls(spark, monkeypatch, most):
     """Both ways of ranking agree: blocks of products, and joins for large sets of queries."""
