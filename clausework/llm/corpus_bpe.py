@@ -4,7 +4,7 @@ The words of all texts (matches of the pattern) are counted by Spark, each task
 holds its words as one array of symbols, an inverted index from each mergeable pair to the positions where it stands, and applies the merges in order of rank, each
 at all its positions from left to right; only pairs with the two neighbours of a merged place enter the index anew. The table of encoded words then
 encodes and decodes the texts. It is broadcast as the ``WORD_BYTES`` most frequent bytes of it: a word beyond that bound is rarer than every broadcast one, and the task that
-meets it replays it with the other new words of its batch, in the same way.
+meets it replays it with the other new words of its batch, in the same way. So is a word that the counts show to stand once in the corpus, as no second text could take it from the table.
 
 In a rank file a pair merges if its joined bytes are a token, in the order of the tokens' ranks, so several pairs may make one token, and a merge can open a pair of a lower
 rank. That one comes first in its word: the places of the higher rank that are left in that word are put off.
@@ -33,7 +33,7 @@ from clausework.llm.words import batches
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 1_000_000  # bytes of text of a batch
 #: Distinct words that a task counts before it hands them on; bytes of words and ids that are broadcast; bytes of words of a shard's replay; encoded words kept by a worker.
-COUNTED, WORD_BYTES, REPLAY_BYTES, KEPT_WORDS = 150_000, 12_000_000, 1_000_000, 50_000
+COUNTED, WORD_BYTES, REPLAY_BYTES, KEPT_WORDS = 150_000, 16_000_000, 1_000_000, 50_000
 #: A word counts as so many bytes more than its own and those of its ids.
 PER_WORD = 16
 _loaded: dict[tuple[str, str], Ranks] = {}
@@ -85,17 +85,14 @@ class Ranks:
         return (self.wide if self.narrow is None or _SLOW.search(text) else self.narrow).findall(text)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as little-endian unsigned 32-bit integers."""
-        whole, rank = {}, self.rank.get
-        parts = []
-        for k, w in enumerate(words):
-            r = rank(w)
-            if r is not None:  # a word that is a token is that token, whatever its merges make
-                whole[k] = r
-            else:
-                parts.append(w)
-        rest = iter(_replay(self, parts) if parts else ())
-        return [np.array([whole[k]] if k in whole else next(rest), "<u4").tobytes() for k in range(len(words))]
+        """Ids of each word, as little-endian unsigned 32-bit integers. A word that is a token is that token, whatever its merges make."""
+        rank = self.rank.get
+        out = [None if (r := rank(w)) is None else r.to_bytes(4, "little") for w in words]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        if rest:
+            for k, ids in zip(rest, _replay(self, [words[k] for k in rest]), strict=True):
+                out[k] = ids
+        return out
 
     def encode(self, texts: list[str], given: dict[str, bytes]) -> list[bytes]:
         """Ids of each text, packed. Words outside of the ``given`` table are replayed together."""
@@ -118,8 +115,8 @@ class Ranks:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _replay(v: Ranks, words: list[bytes]) -> list[list[int]]:
-    """Ids of each word, by one inverted index from pairs (by the token they merge into) to positions."""
+def _replay(v: Ranks, words: list[bytes]) -> list[bytes]:
+    """Packed ids of each word, by one inverted index from pairs (by the token they merge into) to positions."""
     width, get = v.width, v.merged.get
     data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -133,53 +130,54 @@ def _replay(v: Ranks, words: list[bytes]) -> list[list[int]]:
     index = {r: part.tolist() for r, part in zip(found.tolist(), np.split(order, at[1:]), strict=True)} if len(found) else {}
     active = found.tolist()  # ascending, so a heap
     symbols, after, before = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-    word_of = np.repeat(np.arange(len(words)), np.diff(ends, prepend=-1)).tolist()
-
-    def enter(left: int, right: int, place: int) -> int:
-        q = get(left * width + right, -1)
-        if q >= 0:
-            if q in index:
-                index[q].append(place)
-            else:
-                index[q] = [place]
-                heappush(active, q)
-        return q
-
     while active:
         r = heappop(active)
-        places = sorted(index.pop(r))
-        held, left_over = -1, []
+        places = index.pop(r)
+        places.sort()
+        held, left_over, as_left = -1, [], r * width
         for i in places:
-            if word_of[i] == held:
+            if i < held:
                 left_over.append(i)
                 continue
             s = symbols[i]
             j = after[i]
-            if s < 0 or symbols[j] < 0 or get(s * width + symbols[j], -1) != r:
+            t = symbols[j]
+            if s < 0 or t < 0 or get(s * width + t) != r:
                 continue
-            k, h = after[j], before[i]
+            k = after[j]
             symbols[i], symbols[j] = r, -2  # -2: merged away
             after[i] = k
             before[k] = i
-            lowest = r
-            if symbols[k] >= 0:
-                q = enter(r, symbols[k], i)
-                if 0 <= q < lowest:
-                    lowest = q
-            if h >= 0 and symbols[h] >= 0:
-                q = enter(symbols[h], r, h)
-                if 0 <= q < lowest:
-                    lowest = q
-            if lowest < r:
-                held = word_of[i]
+            lower = False
+            t = symbols[k]
+            if t >= 0 and (q := get(as_left + t)) is not None:
+                if q in index:
+                    index[q].append(i)
+                else:
+                    index[q] = [i]
+                    heappush(active, q)
+                lower = q < r
+            h = before[i]  # -1 before the first word: symbols[-1] is a word's end
+            s = symbols[h]
+            if s >= 0 and (q := get(s * width + r)) is not None:
+                if q in index:
+                    index[q].append(h)
+                else:
+                    index[q] = [h]
+                    heappush(active, q)
+                lower = lower or q < r
+            if lower:
+                held = ends[np.searchsorted(ends, i)]  # the rest of this word waits for the lower rank
         if left_over:
             if r in index:
                 index[r] += left_over
             else:
                 index[r] = left_over
                 heappush(active, r)
-    stop = ends.tolist()
-    return [[s for s in symbols[a:b] if s >= 0] for a, b in zip([0, *[e + 1 for e in stop]], stop, strict=False)]
+    final = np.array(symbols, np.int64)
+    live = final >= 0
+    packed, stop = final[live].astype("<u4").tobytes(), (4 * np.cumsum(live)[ends]).tolist()
+    return [packed[a:b] for a, b in zip([0, *stop], stop, strict=False)]
 
 
 def _ranks(path: str, pattern: str) -> Ranks:
@@ -235,10 +233,11 @@ def encoded_words(counts: DataFrame, path: str, pattern: str) -> DataFrame:
     return counts.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
-def word_table(docs: DataFrame, text: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``word, n, ids`` of all distinct words of the corpus; written to the shared folder. Null and empty texts have no words."""
+def word_table(docs: DataFrame, text: str = "text", ranks: str | None = None, pattern: str | None = None, least: int = 1) -> DataFrame:
+    """``word, n, ids`` of all distinct words of the corpus that stand there at least ``least`` times; written to the shared folder. Null and empty texts have no words."""
     path, pattern = ranks or default_ranks(), pattern or default_pattern()
-    return materialise(encoded_words(word_counts(docs, text, path, pattern), path, pattern), "bpe-words")
+    counts = word_counts(docs, text, path, pattern)
+    return materialise(encoded_words(counts.where(F.col("n") >= least), path, pattern), "bpe-words")
 
 
 def frequent(words: DataFrame, most: int = WORD_BYTES) -> DataFrame:
@@ -280,7 +279,7 @@ def _passed(docs: DataFrame, text: str, words: DataFrame | None, ranks: str | No
     """``docs`` with the columns that ``make(ranks, packed ids)`` gives for each batch."""
     path, pattern = ranks or default_ranks(), pattern or default_pattern()
     spark = docs.sparkSession
-    words = word_table(docs, text, path, pattern) if words is None else words
+    words = word_table(docs, text, path, pattern, least=2) if words is None else words
     sent = _broadcast(spark, words, most)
     key, stand = uuid.uuid4().hex, only_columns(docs.columns)
     new = [c.strip().split(" ")[0] for c in columns.split(",")]
