@@ -1,11 +1,13 @@
-"""Batch queries of the stream-shaped operators (STR); tests hold the streams against them."""
+"""Queries of the stream-shaped operators (STR): batch forms, and streams that run to the end of what they read."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausework.plans.registry import query
+from clausework.plans.registry import SQL, query
+from clausework.sources.scratch import new_folder
 from clausework.sources.tables import table
+from clausework.streaming import stateful as W
 from clausework.streaming import streams as S
 
 
@@ -29,6 +31,16 @@ def str1(spark, sf):
     return S.reassembled(log_parts(spark, sf), "conv_id")
 
 
+@query("str1_log_stream", SQL["str1_log_reassembly"])
+def str1_stream(spark, sf):
+    """The same rows from a stream: the parts of a log come in four micro-batches, out of order, and a marker three days later brings the end of all waits."""
+    parts = log_parts(spark, sf).withColumn("ts", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, part, 0)"))
+    batch = F.pmod(F.xxhash64("conv_id", "part"), F.lit(4))
+    last = spark.range(1).select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).alias("part"), F.lit(1).alias("total"), F.lit("").alias("text"), F.sha2(F.lit(""), 256).alias("sha"), F.expr("timestamp '2024-01-04 00:00:00'").alias("ts"))
+    stream = W.files_of([*[parts.where(batch == k) for k in range(4)], last, last])
+    return W.run_to_end(W.reassemble(stream, "conv_id", "1 day")).where("conv_id is not null")
+
+
 @query(
     "str2_idempotent_delivery",
     """WITH e AS (SELECT event_id, user_id, event_id % 40 AS seq, event_type AS digest FROM events), w AS (SELECT *, row_number() OVER k AS n, first_value(digest) OVER k AS d FROM e WINDOW k AS (PARTITION BY user_id, seq ORDER BY event_id))
@@ -39,12 +51,27 @@ def str2(spark, sf):
     return S.deliveries(e, ["user_id", "seq"], "digest", ["event_id"]).select("event_id", "state")
 
 
+@query("str2_delivery_sink", SQL["str2_idempotent_delivery"])
+def str2_sink(spark, sf):
+    """The same states from a stream of three micro-batches into a sink that keeps a ledger of them."""
+    e = table(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 40).alias("seq"), F.col("event_type").alias("digest"))
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    stream = W.files_of([e.where((F.col("event_id") > k * last / 3 - (k == 0)) & (F.col("event_id") <= (k + 1) * last / 3)) for k in range(3)])
+    folder = new_folder(spark, "deliveries")
+    sink = W.delivery_sink(folder, ["user_id", "seq"], "digest", ["event_id"])
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return W.stored_deliveries(spark, folder, e.schema).select("event_id", "state")
+
+
 @query(
     "str3_rate_limit",
-    "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w >= 3 AS blocked FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 360 MINUTES PRECEDING AND CURRENT ROW)",
+    """WITH e AS (SELECT *, event_id % 97 AS ip FROM events) SELECT event_id, count(*) OVER u AS recent, count(*) OVER u >= 3 OR count(*) OVER i >= 12 AS blocked, CASE WHEN count(*) OVER u >= 3 THEN 'user_id' WHEN count(*) OVER i >= 12 THEN 'ip' END AS by
+FROM e WINDOW u AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 360 MINUTES PRECEDING AND CURRENT ROW), i AS (PARTITION BY ip ORDER BY ts RANGE BETWEEN INTERVAL 360 MINUTES PRECEDING AND CURRENT ROW)""",
 )
 def str3(spark, sf):
-    return S.rate_limited(table(spark, sf, "events"), "user_id", 3, 360).select("event_id", "recent", "blocked")
+    """A limit for each user and a wider one for each address."""
+    e = table(spark, sf, "events").withColumn("ip", F.col("event_id") % 97)
+    return S.rate_limited(e, {"user_id": 3, "ip": 12}, 360).select("event_id", "recent", "blocked", "by")
 
 
 def samples(df):
@@ -69,6 +96,18 @@ def str4(spark, sf):
     return S.degradations(samples(table(spark, sf, "events")), "stage", ["ended", "id"])
 
 
+@query("str4_throughput_stream", SQL["str4_throughput_degradation"])
+def str4_stream(spark, sf):
+    """The same alarms from a stream: samples come in three micro-batches, out of order within ten minutes, and a marker a year later brings the last of them to their turn."""
+    e = samples(table(spark, sf, "events")).withColumn("ended", F.col("ended").cast("timestamp"))
+    least, most = e.agg(F.min("ended"), F.max("ended")).first()
+    at = (F.unix_micros("ended") - F.unix_micros(F.lit(least))) / F.greatest(F.lit(1), F.unix_micros(F.lit(most)) - F.unix_micros(F.lit(least)))
+    moved = F.least(F.lit(2), F.floor(3 * at + F.pmod(F.col("id"), F.lit(7)) / 1e5))
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("end").alias("stage"), F.lit(1e3).alias("prompt"), F.lit(1e3).alias("predicted"), F.lit(1.0).alias("prefill"), F.lit(1.0).alias("generation"), (F.lit(most) + F.expr("INTERVAL 365 DAYS")).alias("ended"))
+    stream = W.files_of([*[e.where(moved == k) for k in range(3)], last.select(*e.columns), last.select(*e.columns)])
+    return W.run_to_end(W.degradation_alarms(stream, "stage", "1 day")).where("stage <> 'end'")
+
+
 @query("str5_liveness", "WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, last, last >= (SELECT max(ts) FROM events) - INTERVAL 7200 SECONDS AS alive FROM l")
 def str5(spark, sf):
     return S.alive(table(spark, sf, "events"), "user_id", 7200)

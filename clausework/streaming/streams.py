@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import TimestampType
 from pyspark.sql.window import Window
 
 FIRST, LAST, DROP, COOLDOWN = 5, 4, 0.85, 3600
@@ -30,40 +28,6 @@ def reassembled(parts: DataFrame, key: str) -> DataFrame:
     return g.select(key, "parts", state.alias("state"), F.sha2(F.array_join(F.transform("_l", lambda x: x.text), ""), 256).alias("digest"))
 
 
-def reassemble_stream(parts: DataFrame, key: str, wait: str = "1 hour") -> DataFrame:
-    """The same as a stream: ``parts`` also has ``ts``. A key is put out when its last part is there or an error shows; after ``wait`` without it, as incomplete."""
-    kind = parts.schema[key].dataType.simpleString()
-    minutes = int(wait.split()[0]) * {"minute": 1, "minutes": 1, "hour": 60, "hours": 60}[wait.split()[1]]
-
-    def fold(k, frames, state):
-        held = {int(p): (t, ok) for p, t, ok in zip(*state.get, strict=True)} if state.exists else {}
-        total, broken, seen = None, False, None
-        if state.hasTimedOut:
-            state.remove()
-            yield row(k[0], held, "incomplete")
-            return
-        for pdf in frames:
-            for r in pdf.itertuples():
-                ok = hashlib.sha256(r.text.encode()).hexdigest() == r.sha
-                broken |= r.part in held or not ok or r.part >= r.total or (total is not None and total != r.total)
-                held[int(r.part)], total = (r.text, ok), r.total
-                seen = r.ts
-        if broken or len(held) == total:
-            if state.exists:
-                state.remove()
-            yield row(k[0], held, "error" if broken else "complete")
-        else:
-            parts_ = sorted(held)
-            state.update(([int(p) for p in parts_], [held[p][0] for p in parts_], [held[p][1] for p in parts_]))
-            state.setTimeoutTimestamp(int(pd.Timestamp(seen).timestamp() * 1000) + minutes * 60_000)
-
-    def row(k, held, name):
-        text = "".join(held[p][0] for p in sorted(held))
-        return pd.DataFrame({key: [k], "parts": [len(held)], "state": [name], "digest": [hashlib.sha256(text.encode()).hexdigest()]})
-
-    return parts.withWatermark("ts", wait).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, parts long, state string, digest string", "part array<int>, text array<string>, ok array<boolean>", "append", "EventTimeTimeout")
-
-
 def deliveries(rows: DataFrame, keys: list[str], digest: str, order: list[str]) -> DataFrame:
     """Adds ``state``: accepted (first of its key), repeated (same digest again) or conflict (another digest)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -71,23 +35,15 @@ def deliveries(rows: DataFrame, keys: list[str], digest: str, order: list[str])
     return rows.withColumn("state", F.when(F.row_number().over(w) == 1, "accepted").when(F.col(digest) == first, "repeated").otherwise("conflict"))
 
 
-def deliveries_stream(rows: DataFrame, keys: list[str], wait: str = "1 hour") -> DataFrame:
-    """Each key once within the watermark; conflicts are found in the batch that stores the rows (``store_deliveries``)."""
-    return rows.withWatermark("ts", wait).dropDuplicatesWithinWatermark(keys)
-
+def rate_limited(rows: DataFrame, limits: dict[str, int], minutes: int = 15, ts: str = "ts") -> DataFrame:
+    """Adds ``recent`` (attempts of the first limit's identity in the last minutes, this one included), ``blocked`` (any limit is reached) and ``by`` (the first such limit's column, else null).
 
-def store_deliveries(batch: DataFrame, stored: DataFrame, keys: list[str], digest: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, conflicts) of one micro-batch against the stored rows, for ``foreachBatch``."""
-    old = stored.select(*keys, F.col(digest).alias("_old"))
-    j = deliveries(batch, keys, digest, order).join(old, keys, "left")
-    return j.where("_old is null and state = 'accepted'").drop("_old", "state"), j.where(F.coalesce(F.col("_old") != F.col(digest), F.col("state") == "conflict")).drop("_old", "state")
-
-
-def rate_limited(rows: DataFrame, identity: str, most: int, minutes: int = 15, ts: str = "ts") -> DataFrame:
-    """Adds ``recent`` (attempts of the identity in the last minutes, this one included) and ``blocked``."""
+    ``limits``: how many attempts each identity column bears, in the order of their weight. Null identities share one count.
+    """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(identity).orderBy(at).rangeBetween(-minutes * 60 * 1_000_000, 0)
-    return rows.withColumn("recent", F.count("*").over(w)).withColumn("blocked", F.col("recent") >= most)
+    count = {c: F.count("*").over(Window.partitionBy(c).orderBy(at).rangeBetween(-minutes * 60 * 1_000_000, 0)) for c in limits}
+    by = F.coalesce(*[F.when(count[c] >= most, F.lit(c)) for c, most in limits.items()])
+    return rows.withColumns({"recent": count[next(iter(limits))], "by": by}).withColumn("blocked", F.col("by").isNotNull())
 
 
 def rate_stream(rows: DataFrame, identity: str, most: int, window: str = "15 minutes", slide: str = "1 minute", wait: str = "24 hours") -> DataFrame:
@@ -134,34 +90,6 @@ def degradations(samples: DataFrame, stage: str, order: list[str], slice_seconds
     return low.join(alarms, [*key, "n"]).select(*key, "n", "ended")
 
 
-def degradation_stream(samples: DataFrame, stage: str) -> DataFrame:
-    """The same as a stream, which keeps the first five and last four samples of a bucket. Samples arrive in order within a bucket's micro-batches."""
-
-    def median(x):
-        x = sorted(x)
-        return (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
-
-    def fold(k, frames, state):
-        n, first, last, alarm = state.get if state.exists else (0, [], [], None)
-        first, last, out = [list(x) for x in first], [list(x) for x in last], []
-        for r in pd.concat(list(frames)).sort_values(["ended", "id"]).itertuples():
-            n += 1
-            if n <= FIRST:
-                first.append([r.prefill, r.generation])
-            last = [*last, [r.prefill, r.generation]][-LAST:]
-            at = int(pd.Timestamp(r.ended).timestamp())
-            if n >= FIRST + LAST and all(median([x[i] for x in last]) / median([x[i] for x in first]) < DROP for i in (0, 1)) and (alarm is None or at - alarm >= COOLDOWN):
-                alarm = at
-                out.append((k[0], k[1], n, r.ended))
-        state.update((n, first, last, alarm))
-        yield pd.DataFrame(out, columns=[stage, "bucket", "n", "ended"])
-
-    s = samples.where((F.col("prompt") >= LEAST_PROMPT) & (F.col("predicted") >= LEAST_PREDICTED)).withColumn("bucket", bucket_of(F.col("prompt")))
-    out = T.StructType([T.StructField(stage, samples.schema[stage].dataType), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ended", samples.schema["ended"].dataType)])
-    held = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("first", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("last", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("alarm", T.LongType())])
-    return s.groupBy(stage, "bucket").applyInPandasWithState(fold, out, held, "append", "NoTimeout")
-
-
 def alive(rows: DataFrame, identity: str, seconds: int = 120, now: Column | None = None) -> DataFrame:
     """``identity, last, alive``: the latest heartbeat lies within the seconds before ``now`` (default: the latest of all, one row of aggregates)."""
     last = rows.groupBy(identity).agg(F.max("ts").alias("last"))
@@ -172,6 +100,7 @@ def alive(rows: DataFrame, identity: str, seconds: int = 120, now: Column | None
 
 def sessions(rows: DataFrame, identity: str, started: Column, ended: Column, gap: str = "6 hours") -> DataFrame:
     """``identity, start, events, state`` per session of events less than ``gap`` apart. Works on tables and, with a watermark, on streams."""
-    g = rows.withColumn("_at", F.col("ts").cast("timestamp")).groupBy(identity, F.session_window("_at", gap).alias("w")).agg(F.count("*").alias("events"), F.bool_or(started).alias("_s"), F.bool_or(ended).alias("_e"))
+    rows = rows if isinstance(rows.schema["ts"].dataType, TimestampType) else rows.withColumn("ts", F.col("ts").cast("timestamp"))  # a cast would lose the watermark
+    g = rows.groupBy(identity, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.bool_or(started).alias("_s"), F.bool_or(ended).alias("_e"))
     state = F.when(F.col("_s") & F.col("_e"), "complete").when(F.col("_s"), "incomplete").otherwise("stray")
     return g.select(identity, F.col("w.start").alias("start"), "events", state.alias("state"))

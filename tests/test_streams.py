@@ -1,61 +1,91 @@
-import tempfile
-import uuid
+import datetime
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
 from clausework.plans import stream as P
+from clausework.sources.scratch import new_folder
+from clausework.streaming import stateful as W
 from clausework.streaming import streams as S
 
+PART = "k string, part int, total int, text string, sha string, ts timestamp"
+DAY = datetime.datetime(2024, 1, 1)
 
-def run(df, mode="append"):
-    name = f"out_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    return df.sparkSession.sql(f"select * from {name}")
 
-
-def as_stream(df, name):
-    path = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}"
-    df.coalesce(1).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+def part(k, i, total, text="t", sha=None, minute=0):
+    return (k, i, total, text, sha or sha256(text.encode()).hexdigest(), DAY + datetime.timedelta(minutes=minute))
 
 
 def same(a, b, columns):
     assert sorted(map(str, a.select(*columns).collect())) == sorted(map(str, b.select(*columns).collect()))
 
 
-def test_reassembly(spark, sf):
-    batch = P.str1(spark, sf)
-    parts = P.log_parts(spark, sf).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    got = run(S.reassemble_stream(as_stream(parts, "parts"), "conv_id"))
-    same(got.where("state = 'complete'"), batch.where("state = 'complete'"), ["conv_id", "parts", "state", "digest"])
-    assert batch.where("state = 'error'").count() and batch.where("state = 'incomplete'").count()
-
-
-def test_degradation(spark, sf):
-    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
-    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = S.degradations(P.samples(e), "stage", ["ended", "id"])
-    got = run(S.degradation_stream(as_stream(P.samples(e), "samples"), "stage"))
-    assert batch.count() > 0
-    same(got, batch, ["stage", "bucket", "n", "ended"])
-
-
-def test_deliveries(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", (F.col("event_id") % 40).alias("seq"), F.col("event_type").alias("digest"), F.col("ts").cast("timestamp").alias("ts"))
-    got = run(S.deliveries_stream(as_stream(e, "e"), ["user_id", "seq"], "1000 hours"))
-    assert got.count() == e.select("user_id", "seq").distinct().count()
-    half = e.where("event_id % 2 = 0")
-    add, bad = S.store_deliveries(e.where("event_id % 2 = 1"), half.dropDuplicates(["user_id", "seq"]), ["user_id", "seq"], "digest", ["event_id"])
-    assert add.join(half, ["user_id", "seq"], "left_semi").count() == 0 and bad.count() > 0
+def test_reassembly_over_micro_batches(spark):
+    """Parts of a log in several micro-batches, also two totals, a repeated part, a wrong digest and a part out of range that only show across them: as the batch form says."""
+    first = [part("whole", 1, 3, "b"), part("totals", 0, 2), part("again", 0, 3, "x"), part("digest", 0, 1, sha="bad"), part("range", 0, 2), part("gap", 0, 3), part("short", 0, 3), part("one", 0, 1, "")]
+    second = [part("whole", 0, 3, "a", minute=3), part("totals", 1, 3, minute=3), part("again", 0, 3, "x", minute=5), part("range", 5, 2, minute=3), part("gap", 2, 3, minute=3), part("short", 1, 3, minute=2)]
+    third = [part("whole", 2, 3, "c", minute=9)]
+    end = [part("end", 0, 1, minute=60 * 24 * 3)]
+    frames = [spark.createDataFrame(x, PART) for x in (first, second, third)]
+    last = spark.createDataFrame(end, PART)
+    got = W.run_to_end(W.reassemble(W.files_of([*frames, last, last]), "k", "6 hours")).where("k <> 'end'")
+    batch = S.reassembled(frames[0].unionByName(frames[1]).unionByName(frames[2]), "k")
+    same(got, batch, ["k", "parts", "state", "digest"])
+    assert {r.k: r.state for r in got.collect()} == {"whole": "complete", "one": "complete", "short": "incomplete", **dict.fromkeys(["totals", "again", "digest", "range", "gap"], "error")}
+
+
+def test_reassembly_after_a_restart(spark):
+    """A second run of the same query goes on with the state of the first one."""
+    source, folder = new_folder(spark, "source"), new_folder(spark, "stream")
+    run = lambda rows: W.run_to_end(W.reassemble(W.files_of([spark.createDataFrame(rows, PART)], source), "k", "6 hours"), folder)
+    assert run([part("a", 0, 2, "x"), part("b", 0, 2)]).count() == 0
+    got = run([part("a", 1, 2, "y", minute=4)]).collect()
+    assert [(r.k, r.parts, r.state, r.digest) for r in got] == [("a", 2, "complete", sha256(b"xy").hexdigest())]
+    run([part("end", 0, 1, minute=60 * 24 * 3)])
+    got = run([part("end", 0, 1, minute=60 * 24 * 3)]).where("k <> 'end'").collect()
+    assert sorted((r.k, r.state) for r in got) == [("a", "complete"), ("b", "incomplete")]
+
+
+def test_registered_streams(spark, sf):
+    same(P.str1_stream(spark, sf), P.str1(spark, sf), ["conv_id", "parts", "state", "digest"])
+    assert {r.state for r in P.str1(spark, sf).select("state").distinct().collect()} == {"complete", "incomplete", "error"}
+    same(P.str2_sink(spark, sf), P.str2(spark, sf), ["event_id", "state"])
+    same(P.str4_stream(spark, sf), P.str4(spark, sf).withColumn("ended", F.col("ended").cast("timestamp")), ["stage", "bucket", "n", "ended"])
+    assert P.str4(spark, sf).count() > 0
+
+
+def test_replayed_batches_add_nothing(spark):
+    """A batch that comes again, after its ledger entry or after a crash before it, changes nothing; conflicts are found within a batch and across batches."""
+    folder = new_folder(spark, "sink")
+    shape = "id int, job string, seq int, digest string"
+    sink = W.delivery_sink(folder, ["job", "seq"], "digest", ["id"])
+    zero = spark.createDataFrame([(1, "a", 0, "x"), (2, "a", 0, "x"), (3, "a", 0, "y"), (4, None, 1, "n")], shape)
+    one = spark.createDataFrame([(5, "a", 0, "x"), (6, "a", 0, "z"), (7, "b", 0, "q")], shape)
+    assert W.stored_deliveries(spark, folder, zero.schema) is None
+    sink(zero, 0)
+    state = lambda: {r.id: r.state for r in W.stored_deliveries(spark, folder, zero.schema).collect()}
+    assert state() == {1: "accepted", 2: "repeated", 3: "conflict", 4: "accepted"}
+    sink(zero, 0)
+    S.deliveries(one, ["job", "seq"], "digest", ["id"]).write.parquet(f"{folder}/rows/batch=1")  # a crash before the entry
+    assert set(state()) == {1, 2, 3, 4}
+    for _ in range(2):
+        sink(one, 1)
+        assert state() == {1: "accepted", 2: "repeated", 3: "conflict", 4: "accepted", 5: "repeated", 6: "conflict", 7: "accepted"}
+
+
+def test_two_limits(spark):
+    rows = [(i, "u" if i < 5 else f"v{i}", "ip", DAY + datetime.timedelta(minutes=i)) for i in range(12)] + [(20, "u", "other", DAY + datetime.timedelta(minutes=40))]
+    got = {r.id: (r.recent, r.blocked, r.by) for r in S.rate_limited(spark.createDataFrame(rows, "id int, who string, ip string, ts timestamp"), {"who": 4, "ip": 9}).collect()}
+    assert [got[i] for i in (2, 3, 4, 7, 8, 20)] == [(3, False, None), (4, True, "who"), (5, True, "who"), (1, False, None), (1, True, "ip"), (1, False, None)]
 
 
 def test_sessions_and_rates(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = as_stream(e, "e")
-    got = run(S.sessions(stream.withWatermark("ts", "1 hour"), "user_id", F.col("event_type") == "signup", F.col("event_type") == "purchase"), "complete")
-    same(got, S.sessions(e, "user_id", F.col("event_type") == "signup", F.col("event_type") == "purchase"), ["user_id", "start", "events", "state"])
-    counts = run(S.rate_stream(stream, "user_id", 2, "360 minutes", "60 minutes"), "complete")
-    assert counts.where("recent < 2").count() == 0
-    assert S.rate_limited(e, "user_id", 3, 360).where("blocked and recent < 3").count() == 0
+    batch = S.sessions(e, "user_id", F.col("event_type") == "signup", F.col("event_type") == "purchase")
+    assert batch.agg(F.sum("events")).first()[0] == e.count()
+    last = e.limit(1).withColumns({"user_id": F.lit(-1).cast(e.schema["user_id"].dataType), "ts": F.expr("timestamp '2200-01-01 00:00:00'")})
+    stream = lambda: W.files_of([e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), last, last])
+    got = W.run_to_end(S.sessions(stream().withWatermark("ts", "60 days"), "user_id", F.col("event_type") == "signup", F.col("event_type") == "purchase")).where("user_id >= 0")
+    same(got, batch, ["user_id", "start", "events", "state"])
+    counts = W.run_to_end(S.rate_stream(stream(), "user_id", 2, "360 minutes", "60 minutes", "60 days"))
+    assert counts.where("recent < 2").count() == 0 and counts.count() > 0
