@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +56,49 @@ def implies(op_a: Column, a: Column, op_b: Column, b: Column) -> Column:
     return F.when(op_a.isin(*known) & op_b.isin(*known), case.otherwise((op_b == "=") & (a == b)))
 
 
+def bound_groups(bounds: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of the bounds of each scope: ``scope, a, b, ok, a_implies_b, b_implies_a`` for all pairs of different bounds, and ``id, representative``.
+
+    ``bounds``: scope, id, operator, value. Equal bounds of a scope are one group, for which its least id stands, so pairs are as many as those of a scope's different bounds and every pair of rows is told by
+    its representatives; rows of one group agree. ``ok``: whether both can hold (null: an operator says nothing). Rows with a null in the scope belong to none.
+    """
+    known = bounds.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in scope]))
+    groups = known.groupBy(*scope, "operator", "value").agg(F.min("id").alias("rep"))
+    side = lambda t: groups.select(*scope, F.col("rep").alias(t), F.col("operator").alias(f"_o{t}"), F.col("value").alias(f"_v{t}"))
+    p = side("a").join(side("b"), scope).where("a < b")
+    sides = [F.col(c) for c in ("_oa", "_va", "_ob", "_vb")]
+    pairs = p.select(*scope, "a", "b", compatible(*sides).alias("ok"), implies(*sides[2:], *sides[:2]).alias("a_implies_b"), implies(*sides).alias("b_implies_a"))
+    same = reduce(lambda x, y: x & y, [F.col(f"k.{c}") == F.col(f"g.{c}") for c in scope]) & F.col("k.operator").eqNullSafe(F.col("g.operator")) & F.col("k.value").eqNullSafe(F.col("g.value"))
+    return pairs, known.alias("k").join(groups.alias("g"), same).select(F.col("k.id").alias("id"), F.col("g.rep").alias("representative"))
+
+
+def bound_of(text: Column) -> Column:
+    """``struct<operator, value>`` in seconds of the only time bound of a text (at most / at least, a number, a unit); null if it has none or several."""
+    pattern = r"(?i)(at most|at least)\s*([0-9]+(?:[.,][0-9]+)?)\s*(hours?|h\b|minutes?|min\b|seconds?|s\b)"
+    part = lambda n: F.lower(F.regexp_extract(text, pattern, n))
+    factor = F.when(part(3).startswith("h"), 3600).when(part(3).startswith("m"), 60).otherwise(1)
+    value = (F.replace(part(2), F.lit(","), F.lit(".")).cast("decimal(18,4)") * factor).cast("decimal(24,4)")
+    return F.when(F.regexp_count(text, F.lit(pattern)) == 1, F.struct(F.when(part(1) == "at most", "<=").otherwise(">=").alias("operator"), value.alias("value")))
+
+
+def parameter_pairs(blocks: DataFrame, doc: str, text: str, stop: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of texts of different documents that bound the same named parameter: ``label, a, b, ok, b_implies_a`` and ``label, doc, text, representative``.
+
+    A parameter is a word in capitals of up to ``stop`` letters, digits and underscores beside a bound phrase with a number and unit. Equal texts of a label are one group, for which the digest of the text
+    stands; groups that one document alone holds on both sides aren't paired. ``ok``: whether both bounds can hold, null where a text has not exactly one (ambiguous).
+    """
+    pattern = rf"\b[A-Z][A-Z0-9_]{{1,{stop - 1}}}\b"
+    bounded = F.rlike(F.lower(text), F.lit("at most|at least|maxim|minim")) & F.rlike(F.lower(text), F.lit(r"[0-9]+\s*(hour|second|minute|day|ms|gb|mb|%)"))
+    found = blocks.where(bounded).select(doc, F.col(text).alias("text"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("label")).distinct()
+    named = found.withColumn("representative", F.substring(F.sha2("text", 256), 1, 16))
+    groups = named.groupBy("label", "representative").agg(F.any_value("text").alias("_t"), F.min(doc).alias("_least"), F.max(doc).alias("_most")).withColumn("_b", bound_of(F.col("_t")))
+    side = lambda t: groups.select("label", F.col("representative").alias(t), F.col("_b").alias(f"_{t}"), F.col("_least").alias(f"_least_{t}"), F.col("_most").alias(f"_most_{t}"))
+    alone = (F.col("_least_a") == F.col("_most_a")) & (F.col("_least_b") == F.col("_most_b")) & (F.col("_least_a") == F.col("_least_b"))
+    p = side("a").join(side("b"), "label").where("a < b").where(~alone)
+    sides = [F.col(c) for c in ("_a.operator", "_a.value", "_b.operator", "_b.value")]
+    return p.select("label", "a", "b", compatible(*sides).alias("ok"), implies(*sides).alias("b_implies_a")), named.select("label", doc, "text", "representative")
+
+
 def amount_mismatches(cells: DataFrame, keys: list[str], tolerance: str = "0.01") -> DataFrame:
     """``cells``: keys, role (quantity, price, amount), value (decimal), factor -> rows where quantity x price differs from amount by more than the tolerance.
 
@@ -107,24 +152,51 @@ def missing_columns(expected: DataFrame, headers: DataFrame, table: str, name: s
 
 
 def outline_differences(template: DataFrame, document: DataFrame, key: str) -> DataFrame:
-    """``template``/``document``: key, name, number, pos, mandatory -> key, name, state: same, renumbered, moved, missing (mandatory), absent (optional), extra.
+    """``key, element, heading, state, notes``: the elements of a template against the headings of a document.
 
-    Names meet only if they are unique on their side. An element is moved if a later element of the template stands before it in the document.
+    ``template``: key, pos, name, number, conditional; ``document``: key, pos, name, number, parent (name of the heading above it, null or empty at the top). First equal names meet: of several headings of a
+    name the one with the element's number, if it is the only one, or the one that earlier elements of that name left over. Then an element without a heading takes the only heading left over whose
+    first word is its own (note ``renamed``), the earlier element first. ``order``: an earlier element stands after its heading; ``number``: both have one and they differ; ``parent``: the element above it, by
+    its dotted number, isn't the heading above its heading. State: ``matched``, ``difference`` (with notes), ``conditional`` (absent, but it may be) or ``question`` (absent); headings that
+    no element took are ``extra``. ``element`` and ``heading`` are positions. Names are compared in lower case with single blanks; null names meet nothing, null numbers count as empty.
     """
-    def unique(df, tag):
-        w = Window.partitionBy(key, "name")
-        d = df.withColumn("_n", F.count("*").over(w)).where("_n = 1")
-        return d.select(key, "name", F.col("number").alias(f"number_{tag}"), F.col("pos").alias(f"pos_{tag}"), *(["mandatory"] if tag == "t" else []))
-
-    j = unique(template, "t").join(unique(document, "d"), [key, "name"], "full")
-    highest = F.max("pos_d").over(Window.partitionBy(key).orderBy("pos_t").rowsBetween(Window.unboundedPreceding, -1))
-    placed = j.where("pos_t is not null").withColumn("_high", highest)
-    extra = j.where("pos_t is null").withColumn("_high", F.lit(None).cast("int"))
-    state = (
-        F.when(F.col("pos_t").isNull(), "extra").when(F.col("pos_d").isNull() & F.col("mandatory"), "missing").when(F.col("pos_d").isNull(), "absent")
-        .when(F.col("_high") > F.col("pos_d"), "moved").when(F.col("number_t") != F.col("number_d"), "renumbered").otherwise("same")
-    )
-    return placed.unionByName(extra).select(key, "name", state.alias("state"))
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    t = template.select(F.col(key).alias("_k"), F.col("pos").alias("element"), flat("name").alias("_name"), F.coalesce("number", F.lit("")).alias("_number"), "conditional")
+    d = document.select(F.col(key).alias("_k"), F.col("pos").alias("heading"), flat("name").alias("_name"), F.coalesce("number", F.lit("")).alias("_number"), flat(F.coalesce("parent", F.lit(""))).alias("_parent"))
+    place, other = t.schema["element"].dataType.simpleString(), d.schema["heading"].dataType.simpleString()
+    asked = t.groupBy("_k", "_name").agg(F.array_sort(F.collect_list(F.struct(F.col("element").alias("at"), F.col("_number").alias("n")))).alias("_t"))
+    offered = d.groupBy("_k", "_name").agg(F.array_sort(F.collect_list(F.struct(F.col("heading").alias("at"), F.col("_number").alias("n")))).alias("_d"))
+
+    def take(a, x):  # elements of one name in order, each taking from the headings that are left
+        same = F.filter(a.left, lambda h: h.n == x.n)
+        pick = F.when(F.size(a.left) == 1, F.get(a.left, F.lit(0))).when((x.n != "") & (F.size(same) == 1), F.get(same, F.lit(0)))
+        pair = F.struct(x["at"].alias("element"), pick["at"].alias("heading"))
+        return F.struct(F.filter(a.left, lambda h: ~F.coalesce(h["at"] == pick["at"], F.lit(False))).alias("left"), F.array_append(a.out, pair).alias("out"))
+
+    start = F.struct(F.col("_d").alias("left"), F.array().cast(f"array<struct<element:{place},heading:{other}>>").alias("out"))
+    exact = asked.join(offered, ["_k", "_name"]).select("_k", F.inline(F.aggregate("_t", start, take, lambda a: a.out))).where("heading is not null")
+    first = F.split_part(F.col("_name"), F.lit(" "), F.lit(1)).alias("_first")
+    free_t = t.join(exact, ["_k", "element"], "left_anti").groupBy("_k", first).agg(F.min("element").alias("element"))
+    free_d = d.join(exact, ["_k", "heading"], "left_anti").groupBy("_k", first).agg(F.min("heading").alias("heading"), F.count("*").alias("_n")).where("_n = 1")
+    renamed = free_t.join(free_d, ["_k", "_first"]).select("_k", "element", "heading")
+    pairs = exact.select("_k", "element", "heading", F.lit(False).alias("_renamed")).unionByName(renamed.withColumn("_renamed", F.lit(True)))
+    heads = d.select("_k", "heading", F.col("_number").alias("_its"), "_parent")
+    above = F.regexp_extract("_number", r"^(.*)\.[^.]*$", 1)
+    names = t.where("_number <> ''").groupBy("_k", F.col("_number").alias("_up")).agg(F.min_by("_name", "element").alias("_wanted"))
+    j = t.join(pairs, ["_k", "element"], "left").join(heads, ["_k", "heading"], "left").withColumn("_up", above).join(names, ["_k", "_up"], "left")
+    before = F.max("heading").over(Window.partitionBy("_k").orderBy("element").rowsBetween(Window.unboundedPreceding, -1))
+    j = j.withColumn("_before", before)
+    there, yes = F.col("heading").isNotNull(), lambda c: F.coalesce(c, F.lit(False))
+    notes = F.array_compact(F.array(
+        F.when(yes(F.col("_renamed")), "renamed"), F.when(yes(F.col("heading") < F.col("_before")), "order"),
+        F.when(there & (F.col("_number") != "") & yes(F.col("_its") != "") & (F.col("_number") != F.col("_its")), "number"),
+        F.when(there & yes(F.col("_parent") != "") & yes(F.col("_wanted") != F.col("_parent")), "parent"),
+    ))
+    j = j.withColumn("notes", notes)
+    state = F.when(there & (F.size("notes") > 0), "difference").when(there, "matched").when(F.col("conditional"), "conditional").otherwise("question")
+    found = j.select(F.col("_k").alias(key), "element", "heading", state.alias("state"), "notes")
+    extra = d.join(pairs, ["_k", "heading"], "left_anti").select(F.col("_k").alias(key), F.lit(None).cast(place).alias("element"), "heading", F.lit("extra").alias("state"), F.array().cast("array<string>").alias("notes"))
+    return found.unionByName(extra)
 
 
 def section_inventory(expected: DataFrame, headings: DataFrame, bodies: DataFrame, least: float = 0.58) -> DataFrame:

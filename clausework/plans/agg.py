@@ -133,12 +133,12 @@ def agg12(spark, sf):
 
 @query(
     "agg13_template_state",
-    "SELECT k, CASE WHEN bool_or(state IN ('missing', 'moved')) THEN 'violated' WHEN bool_and(state IN ('same', 'absent')) THEN 'checked' ELSE 'unknown' END AS verdict, count(*) AS elements FROM (" + SQL["jn9_outline_differences"] + ") GROUP BY k",
+    "SELECT k, CASE WHEN bool_or(state = 'question' OR contains(notes, 'order')) THEN 'violated' WHEN bool_and(state IN ('matched', 'conditional')) THEN 'checked' ELSE 'unknown' END AS verdict, count(*) AS elements FROM (" + SQL["jn9_outline_differences"] + ") GROUP BY k",
 )
 def agg13(spark, sf):
     """State of a template from its elements: violated if any is, checked if all are, else unknown."""
     s = jn9(spark, sf)
-    bad, good = F.bool_or(F.col("state").isin("missing", "moved")), F.bool_and(F.col("state").isin("same", "absent"))
+    bad, good = F.bool_or((F.col("state") == "question") | F.contains("notes", F.lit("order"))), F.bool_and(F.col("state").isin("matched", "conditional"))
     return s.groupBy("k").agg(F.when(bad, "violated").when(good, "checked").otherwise("unknown").alias("verdict"), F.count("*").alias("elements"))
 
 

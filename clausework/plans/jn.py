@@ -28,26 +28,34 @@ def jn1(spark, sf):
     return J.contradictions(bounds(spark, sf), ["l_partkey", "env"]).select("l_partkey", "env", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
 
 
+JN2_SQL = """b AS (SELECT o_custkey, o_orderkey AS id, ['>=', '<=', '=', '<', '>', '~'][(o_orderkey % 6 + 1)::INT] AS op, floor(o_totalprice / 20000)::DECIMAL(18,2) AS v FROM orders),
+g AS (SELECT o_custkey, op, v, min(id) AS rep FROM b GROUP BY ALL)"""
+IMPLIED_SQL = """CASE WHEN {0}.op = '~' OR {1}.op = '~' THEN NULL WHEN {0}.op = '=' THEN {1}.op = '=' AND {0}.v = {1}.v WHEN {0}.op IN ('>', '>=') THEN {1}.op IN ('=', '>', '>=') AND ({1}.v > {0}.v OR {1}.v = {0}.v AND NOT ({0}.op = '>' AND {1}.op <> '>'))
+ ELSE {1}.op IN ('=', '<', '<=') AND ({1}.v < {0}.v OR {1}.v = {0}.v AND NOT ({0}.op = '<' AND {1}.op <> '<')) END"""
+
+
+def order_bounds(spark, sf):
+    op = F.element_at(F.array(*map(F.lit, (">=", "<=", "=", "<", ">", "~"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), op.alias("operator"), F.floor(F.col("o_totalprice") / 20000).cast("decimal(18,2)").alias("value"))
+
+
 @query(
     "jn2_bound_pairs",
-    """WITH b AS (SELECT o_custkey, o_orderkey, ['>=', '<=', '=', '<', '>', '~'][(o_orderkey % 6 + 1)::INT] AS op, floor(o_totalprice / 20000)::DECIMAL(18,2) AS v, o_orderdate FROM orders),
-p AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, op AS oa, lead(op) OVER w AS ob, v AS va, lead(v) OVER w AS vb FROM b WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-c AS (SELECT *, CASE WHEN oa = '~' OR ob = '~' THEN NULL WHEN oa = '=' AND ob = '=' THEN va = vb
- WHEN oa IN ('>', '>=') AND ob IN ('>', '>=') OR oa IN ('<', '<=') AND ob IN ('<', '<=') THEN true
- WHEN oa IN ('=', '>', '>=') AND ob IN ('=', '<', '<=') AND NOT (oa = '=' AND ob IN ('>', '>=')) THEN CASE WHEN oa = '>' OR ob = '<' THEN va < vb ELSE va <= vb END
- ELSE CASE WHEN oa = '<' OR ob = '>' THEN vb < va ELSE vb <= va END END AS ok,
- CASE WHEN oa = '~' OR ob = '~' THEN NULL WHEN oa = '=' THEN ob = '=' AND va = vb WHEN oa IN ('>', '>=') THEN ob IN ('=', '>', '>=') AND (vb > va OR vb = va AND NOT (oa = '>' AND ob <> '>'))
- ELSE ob IN ('=', '<', '<=') AND (vb < va OR vb = va AND NOT (oa = '<' AND ob <> '<')) END AS implied FROM p WHERE b IS NOT NULL)
-SELECT a, b, ok, implied FROM c""",
+    f"""WITH {JN2_SQL} SELECT o_custkey, x.rep AS a, y.rep AS b, CASE WHEN x.op = '~' OR y.op = '~' THEN NULL WHEN x.op = '=' AND y.op = '=' THEN x.v = y.v
+ WHEN x.op IN ('>', '>=') AND y.op IN ('>', '>=') OR x.op IN ('<', '<=') AND y.op IN ('<', '<=') THEN true
+ WHEN x.op IN ('=', '>', '>=') AND y.op IN ('=', '<', '<=') AND NOT (x.op = '=' AND y.op IN ('>', '>=')) THEN CASE WHEN x.op = '>' OR y.op = '<' THEN x.v < y.v ELSE x.v <= y.v END
+ ELSE CASE WHEN x.op = '<' OR y.op = '>' THEN y.v < x.v ELSE y.v <= x.v END END AS ok, {IMPLIED_SQL.format("y", "x")} AS a_implies_b, {IMPLIED_SQL.format("x", "y")} AS b_implies_a
+FROM g x JOIN g y USING (o_custkey) WHERE x.rep < y.rep""",
 )
 def jn2(spark, sf):
-    """Each order's bound against that of the customer's next order: whether both can hold, and whether the second implies the first."""
-    op = F.element_at(F.array(*map(F.lit, (">=", "<=", "=", "<", ">", "~"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    b = table(spark, sf, "orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("a"), op.alias("oa"), F.floor(F.col("o_totalprice") / 20000).cast("decimal(18,2)").alias("va"))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "a")
-    p = b.select("a", "oa", "va", *[F.lead(c).over(w).alias(d) for c, d in (("a", "b"), ("oa", "ob"), ("va", "vb"))]).where("b is not null")
-    sides = [F.col(c) for c in ("oa", "va", "ob", "vb")]
-    return p.select("a", "b", J.compatible(*sides).alias("ok"), J.implies(*sides).alias("implied"))
+    """All pairs of different bounds of a customer: whether both can hold, and which implies which."""
+    return J.bound_groups(order_bounds(spark, sf), ["o_custkey"])[0]
+
+
+@query("jn2_bound_members", f"WITH {JN2_SQL} SELECT id, rep AS representative FROM b JOIN g ON b.o_custkey = g.o_custkey AND b.op = g.op AND b.v = g.v")
+def jn2_members(spark, sf):
+    """The bounds for which the representatives of jn2_bound_pairs stand."""
+    return J.bound_groups(order_bounds(spark, sf), ["o_custkey"])[1]
 
 
 @query(
@@ -97,17 +105,32 @@ def jn5_members(spark, sf):
     return J.row_difference_members(table(spark, sf, "lineitem"), ["l_suppkey", "l_partkey"], "l_orderkey", ["l_returnflag", "l_linestatus"])
 
 
+JN6_SQL = """t AS (SELECT DISTINCT l_orderkey, 'P' || l_partkey || ' takes ' || CASE WHEN l_returnflag = 'N' THEN 'at most ' || floor(l_quantity / 10)::INT || ' hours' WHEN l_returnflag = 'A' THEN 'at least ' || (floor(l_quantity / 10)::INT * 30) || ' minutes' ELSE 'at most 9 minutes or at least 9 seconds' END AS text,
+  'P' || l_partkey AS label, CASE l_returnflag WHEN 'N' THEN '<=' WHEN 'A' THEN '>=' END AS op, CASE l_returnflag WHEN 'N' THEN floor(l_quantity / 10)::INT * 3600 WHEN 'A' THEN (floor(l_quantity / 10)::INT * 30) * 60 END AS v FROM lineitem),
+g AS (SELECT label, left(sha256(text), 16) AS rep, any_value(op) AS op, any_value(v) AS v, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM t GROUP BY label, text)"""
+
+
+def bounded_texts(spark, sf):
+    tens = F.floor(F.col("l_quantity") / 10).cast("int")
+    phrase = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("at most "), tens.cast("string"), F.lit(" hours"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("at least "), (tens * 30).cast("string"), F.lit(" minutes"))).otherwise("at most 9 minutes or at least 9 seconds")
+    return table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit(" takes "), phrase).alias("text"))
+
+
 @query(
     "jn6_parameter_pairs",
-    f"""WITH {BLOCKS_SQL}, l AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_matches(w, '^[A-Z]{{6,}}$'))) AS label FROM blocks),
-g AS (SELECT label, min(doc_id) AS first, count(*) AS documents FROM l GROUP BY label HAVING count(*) > 1)
-SELECT label, first, doc_id AS other, documents FROM g JOIN l USING (label) WHERE doc_id <> first""",
+    f"""WITH {JN6_SQL} SELECT label, x.rep AS a, y.rep AS b, CASE WHEN x.op = y.op THEN true WHEN x.op = '<=' THEN y.v <= x.v WHEN x.op = '>=' THEN x.v <= y.v END AS ok,
+  CASE WHEN x.op = '<=' AND y.op IS NOT NULL THEN y.op = '<=' AND y.v <= x.v WHEN x.op = '>=' AND y.op IS NOT NULL THEN y.op = '>=' AND y.v >= x.v END AS b_implies_a
+FROM (SELECT * FROM g) x JOIN g y USING (label) WHERE x.rep < y.rep AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)""".replace("CASE WHEN x.op = y.op THEN true", "CASE WHEN x.op IS NULL OR y.op IS NULL THEN NULL WHEN x.op = y.op THEN true"),
 )
 def jn6(spark, sf):
-    """Documents that share an upper-case label, as links to the label's first document."""
-    labels = blocks(spark, sf).select("doc_id", F.explode(F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: w.rlike("^[A-Z]{6,}$"))).alias("label")).distinct()
-    groups, _ = J.relationship_groups(labels, "doc_id", "label")
-    return groups.join(labels, "label").where("doc_id <> first").select("label", "first", F.col("doc_id").alias("other"), "documents")
+    """Sentences of order lines that bound a part's time."""
+    return J.parameter_pairs(bounded_texts(spark, sf), "l_orderkey", "text")[0]
+
+
+@query("jn6_parameter_members", f"WITH {JN6_SQL} SELECT label, l_orderkey, text, left(sha256(text), 16) AS representative FROM t")
+def jn6_members(spark, sf):
+    """The sentences for which the representatives of jn6_parameter_pairs stand."""
+    return J.parameter_pairs(bounded_texts(spark, sf), "l_orderkey", "text")[1]
 
 
 @query(
@@ -136,17 +159,30 @@ def jn8(spark, sf):
 
 @query(
     "jn9_outline_differences",
-    """WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority || '/' || (o_orderkey % 40) AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders),
-a AS (SELECT o_custkey // 2 AS k, name, pos AS number, pos, o_orderkey % 2 = 0 AS mandatory, count(*) OVER (PARTITION BY o_custkey // 2, name) AS n FROM o WHERE o_custkey % 2 = 0),
-b AS (SELECT o_custkey // 2 AS k, name, pos AS number, pos, count(*) OVER (PARTITION BY o_custkey // 2, name) AS n FROM o WHERE o_custkey % 2 = 1),
-j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.name, b.name) AS name, a.pos AS pt, b.pos AS pd, mandatory FROM (SELECT * FROM a WHERE n = 1) a FULL JOIN (SELECT * FROM b WHERE n = 1) b ON a.k = b.k AND a.name = b.name),
-w AS (SELECT *, max(pd) OVER (PARTITION BY k, pt IS NULL ORDER BY pt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM j)
-SELECT k, name, CASE WHEN pt IS NULL THEN 'extra' WHEN pd IS NULL AND mandatory THEN 'missing' WHEN pd IS NULL THEN 'absent' WHEN hi > pd THEN 'moved' WHEN pt <> pd THEN 'renumbered' ELSE 'same' END AS state FROM w""",
+    """WITH RECURSIVE o AS (SELECT o_custkey % 2 = 0 AS tmpl, o_custkey // 2 AS k, lower(o_orderpriority) || ' ' || (o_orderkey % 9) AS name, o_orderkey % 2 = 0 AS conditional, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders),
+n AS (SELECT *, CASE WHEN pos % 3 = 1 THEN '' || (pos // 3 + 1) ELSE ((pos - 1) // 3 + 1) || '.' || ((pos - 1) % 3) END AS number, CASE WHEN pos % 3 <> 1 THEN first_value(name) OVER (PARTITION BY tmpl, k, (pos - 1) // 3 ORDER BY pos) END AS parent FROM o),
+t AS (SELECT *, row_number() OVER (PARTITION BY k, name ORDER BY pos) AS seq FROM n WHERE tmpl), d AS (SELECT * FROM n WHERE NOT tmpl), h AS (SELECT k, name, list({'at': pos, 'n': number} ORDER BY pos) AS l FROM d GROUP BY ALL),
+f(k, name, seq, element, heading, l) AS (SELECT k, name, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, l FROM h
+  UNION ALL SELECT k, name, seq, element, p, list_filter(l, lambda x: p IS NULL OR x.at <> p) FROM (SELECT f.k, f.name, t.seq, t.pos AS element, f.l, CASE WHEN len(f.l) = 1 THEN f.l[1].at WHEN len(list_filter(f.l, lambda x: x.n = t.number)) = 1 THEN list_filter(f.l, lambda x: x.n = t.number)[1].at END AS p
+    FROM f JOIN t ON t.k = f.k AND t.name = f.name AND t.seq = f.seq + 1)),
+e AS (SELECT k, element, heading FROM f WHERE heading IS NOT NULL),
+ft AS (SELECT k, split_part(name, ' ', 1) AS w, min(pos) AS element FROM t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.k = t.k AND e.element = t.pos) GROUP BY ALL),
+fd AS (SELECT k, split_part(name, ' ', 1) AS w, min(pos) AS heading FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.k = d.k AND e.heading = d.pos) GROUP BY ALL HAVING count(*) = 1),
+p AS (SELECT *, false AS renamed FROM e UNION ALL SELECT ft.k, element, heading, true FROM ft JOIN fd ON ft.k = fd.k AND ft.w = fd.w),
+j AS (SELECT t.k, t.pos AS element, p.heading, t.conditional, coalesce(renamed, false) AS renamed, t.number, d.number AS its, d.parent, u.name AS wanted, max(p.heading) OVER (PARTITION BY t.k ORDER BY t.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi
+  FROM t LEFT JOIN p ON p.k = t.k AND p.element = t.pos LEFT JOIN d ON d.k = t.k AND d.pos = p.heading LEFT JOIN t u ON u.k = t.k AND contains(t.number, '.') AND u.number = split_part(t.number, '.', 1)),
+s AS (SELECT k, element, heading, conditional, list_filter([CASE WHEN renamed THEN 'renamed' END, CASE WHEN heading < hi THEN 'order' END, CASE WHEN heading IS NOT NULL AND number <> its THEN 'number' END, CASE WHEN parent IS NOT NULL AND wanted <> parent THEN 'parent' END], lambda x: x IS NOT NULL) AS notes FROM j)
+SELECT k, element, heading, CASE WHEN heading IS NOT NULL AND len(notes) > 0 THEN 'difference' WHEN heading IS NOT NULL THEN 'matched' WHEN conditional THEN 'conditional' ELSE 'question' END AS state, array_to_string(notes, ',') AS notes FROM s
+UNION ALL SELECT k, NULL, pos, 'extra', '' FROM d WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = d.k AND p.heading = d.pos)""",
 )
 def jn9(spark, sf):
+    """Outlines of orders, every third one a heading of the two after it: those of even customers are templates for those of their odd neighbours."""
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    o = table(spark, sf, "orders").select("o_custkey", F.expr("o_custkey div 2").alias("k"), F.concat_ws("/", "o_orderpriority", (F.col("o_orderkey") % 40).cast("string")).alias("name"), pos.alias("pos"), pos.alias("number"), (F.col("o_orderkey") % 2 == 0).alias("mandatory"))
-    return J.outline_differences(o.where("o_custkey % 2 = 0"), o.where("o_custkey % 2 = 1"), "k")
+    o = table(spark, sf, "orders").select("o_custkey", F.expr("o_custkey div 2").alias("k"), F.concat_ws(" ", F.lower("o_orderpriority"), (F.col("o_orderkey") % 9).cast("string")).alias("name"), pos.cast("long").alias("pos"), (F.col("o_orderkey") % 2 == 0).alias("conditional"))
+    group, top = F.expr("(pos - 1) div 3"), F.col("pos") % 3 == 1
+    number = F.when(top, (group + 1).cast("string")).otherwise(F.concat_ws(".", (group + 1).cast("string"), ((F.col("pos") - 1) % 3).cast("string")))
+    o = o.withColumn("number", number).withColumn("parent", F.when(~top, F.first("name").over(Window.partitionBy("o_custkey", group).orderBy("pos"))))
+    return J.outline_differences(o.where("o_custkey % 2 = 0"), o.where("o_custkey % 2 = 1"), "k").withColumn("notes", F.array_join("notes", ","))
 
 
 @query(
