@@ -293,6 +293,19 @@ def verified_links(members: DataFrame, pairs: DataFrame, weights: str = "damped"
     return links.unionByName(compare(block_tasks(_met(rest, whole, ["cluster", "root"], "left")), weights, least))
 
 
+def _texts_of(docs: DataFrame, chosen: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of the chosen nodes, met on their ids. Ids that several rows share (null is one) are met on the words too, so that a node has the rows of its own words only."""
+    columns = ["_node", "cluster", "shingles", "bands", "_text_of"]
+    repeated = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    if repeated.isEmpty():
+        return docs.join(chosen, F.col("_doc") == F.col("_id")).select(*columns)
+    again = lambda name: F.col(name).eqNullSafe(F.col("_again"))
+    once = docs.join(chosen.join(repeated, again("_id"), "left_anti"), F.col("_doc") == F.col("_id")).select(*columns)
+    shared = docs.join(repeated, again("_doc"), "left_semi").withColumn("_words", F.unhex(word_digest(F.col("_text_of"))))
+    met = shared.join(chosen.join(repeated, again("_id"), "left_semi"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_node")))
+    return once.unionByName(met.select(*columns))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", weights: str = "damped", least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, class_size, class_texts, kept, digest``.
 
@@ -311,9 +324,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     chosen = clusters.join(nodes.select(F.col("digest").alias("node"), "first", "shingles", "bands"), "node")
     chosen = chosen.select(F.col("node").alias("_node"), F.col("root").alias("cluster"), "shingles", "bands", F.col("first.doc_id").alias("_id"))
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text_of"), F.unhex(word_digest(F.col(text))).alias("_words"))
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_node"))  # ids may repeat or be null
-    texts = texts.join(chosen, same).select("_node", "cluster", "shingles", "bands", "_text_of")
+    texts = _texts_of(docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text_of")), chosen, rows)
     sets = shingle_sets(texts, "_text_of", ["_node", "cluster", "shingles", "bands"]).where(F.col("digest") == F.col("_node")).drop("_node")
     members = materialise(sets.dropDuplicates(["digest"]), "members")
 
