@@ -17,6 +17,34 @@ def finding_key(*parts: Column, evidence: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts, F.array_join(F.array_sort(evidence), ",")), 256)
 
 
+def finding_identity(findings: DataFrame, arithmetic: str, alphabet_cue: str, reference_cue: str, number_cue: str) -> DataFrame:
+    """``id, key``: rows of one key are one finding, whatever words they use for it.
+
+    ``findings``: id, job, requirement, category, evidence (array of struct(document, locator, quote)), suggestion, issue, explanation. The key is a digest of job, category, sorted evidence and what is proposed (the
+    suggestion, or the issue where there is none, in lower case with single blanks). Three kinds are told by less: findings of the ``arithmetic`` category by their evidence alone; without a requirement, those whose
+    issue or explanation matches ``alphabet_cue`` and whose quotes hold one word at one place that mixes Latin and Cyrillic letters, by that word and place; and those of two or more pieces of evidence whose
+    issue matches ``reference_cue`` and ``number_cue`` and whose quotes hold two or more different numbers, by these and the places. Null texts count as empty, null evidence as none.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    e = F.coalesce("evidence", F.array().cast(findings.schema["evidence"].dataType))
+    place = lambda x: F.concat_ws("\x1f", x.document, x.locator)
+    sorted_ = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), "\x1e")
+    words = F.flatten(F.transform(e, lambda x: F.transform(F.filter(F.regexp_extract_all(F.coalesce(x.quote, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("[A-Za-z]") & w.rlike("[А-Яа-я]")), lambda w: F.concat_ws("\x1f", place(x), w))))
+    mixed = F.array_distinct(words)
+    numbers = F.array_distinct(F.flatten(F.transform(e, lambda x: F.regexp_extract_all(F.coalesce(x.quote, F.lit("")), F.lit(r"[0-9]+(?:\.[0-9]+)*"), F.lit(0)))))
+    free = F.coalesce(F.col("requirement") == "", F.lit(True))
+    is_mixed = free & F.concat_ws(" ", text("issue"), text("explanation")).rlike(alphabet_cue) & (F.size(mixed) == 1)
+    is_numbered = free & (F.size(e) >= 2) & text("issue").rlike(reference_cue) & text("issue").rlike(number_cue) & (F.size(numbers) >= 2)
+    proposed = F.trim(F.regexp_replace(F.lower(F.coalesce("suggestion", "issue", F.lit(""))), r"\s+", " "))
+    quoted = sorted_(F.transform(e, lambda x: F.concat_ws("\x1f", x.document, x.locator, F.coalesce(x.quote, F.lit("")))))
+    places = sorted_(F.transform(e, place))
+    by_numbers = F.concat_ws("\x1d", F.lit("numbered_reference"), F.lit("reference"), sorted_(numbers), places)
+    by_word = F.concat_ws("\x1d", F.lit("mixed_alphabet"), F.lit("identifier"), F.element_at(mixed, 1))
+    plain = F.concat_ws("\x1d", F.when(text("category") == arithmetic, "arithmetic").otherwise(proposed), text("category"), quoted)
+    what = F.when(is_numbered, by_numbers).when(is_mixed, by_word).otherwise(plain)
+    return findings.select("id", F.substring(F.sha2(F.concat_ws("\x1c", F.coalesce(F.col("job").cast("string"), F.lit("")), what), 256), 1, 24).alias("key"))
+
+
 def first_of(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The first row of each key. Each task keeps its own first before the shuffle."""
     w = Window.partitionBy("_key").orderBy(*order)
@@ -135,9 +163,9 @@ def context_digest(items: DataFrame, members: DataFrame, key: str, digest: str)
 
 
 def release_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``old``/``new``: id, lineage, meaning, locator, context, trust -> per pair or single row its kind.
+    """``old``/``new``: id, family, lineage, meaning, locator, context, trust -> per pair or single row its kind.
 
-    Rows match by lineage, then by a meaning that is unique on both sides, then by a locator that is; each round takes what is left of the one before.
+    Rows match by lineage, then by a meaning that is unique inside its source family on both sides, then by a locator that is; each round takes what is left of the one before.
     """
     o, n = old.select(*[F.col(c).alias(f"o_{c}") for c in old.columns]), new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
     out = None
@@ -145,9 +173,10 @@ def release_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         if by == "lineage":
             a, b = o, n
         else:
-            a = o.withColumn("_n", F.count("*").over(Window.partitionBy(f"o_{by}"))).where("_n = 1").drop("_n")
-            b = n.withColumn("_n", F.count("*").over(Window.partitionBy(f"n_{by}"))).where("_n = 1").drop("_n")
-        m = a.join(b, F.col(f"o_{by}") == F.col(f"n_{by}"))
+            a = o.withColumn("_n", F.count("*").over(Window.partitionBy("o_family", f"o_{by}"))).where("_n = 1").drop("_n")
+            b = n.withColumn("_n", F.count("*").over(Window.partitionBy("n_family", f"n_{by}"))).where("_n = 1").drop("_n")
+        same = F.col(f"o_{by}") == F.col(f"n_{by}")
+        m = a.join(b, same if by == "lineage" else same & (F.col("o_family") == F.col("n_family")))
         out = m if out is None else out.unionByName(m)
         o, n = o.join(m.select("o_id"), "o_id", "left_anti"), n.join(m.select("n_id"), "n_id", "left_anti")
     kind = (

@@ -32,6 +32,18 @@ def versioned_update(history: DataFrame, updates: DataFrame, key: str) -> DataFr
     return j.withColumn("state", F.when(fits & (F.row_number().over(w) == 1), "accepted").otherwise("conflict")).select(key, "update", "state")
 
 
+def active_lessons(asked: DataFrame, stored: DataFrame, most: int = 4) -> DataFrame:
+    """``owner, type, id, place``: the newest ``most`` active lessons of an owner for a document type, those for ``general`` included; ties by the larger id.
+
+    ``asked``: owner, type; ``stored``: id, owner, type, created, active. Lessons are cut to the newest of each owner and type in each task before they meet the asked types. Null owners and types have none.
+    """
+    newest = [F.col("created").desc(), F.col("id").desc()]
+    kept = stored.where("active").select("id", "owner", F.col("type").alias("_type"), "created").withColumn("_n", F.row_number().over(Window.partitionBy("owner", "_type").orderBy(*newest))).where(F.col("_n") <= most)
+    wanted = asked.select("owner", "type").distinct().where("type is not null").withColumn("_type", F.explode(F.array_distinct(F.array(F.col("type"), F.lit("general")))))
+    ranked = wanted.join(kept, ["owner", "_type"]).withColumn("place", F.row_number().over(Window.partitionBy("owner", "type").orderBy(*newest)))
+    return ranked.where(F.col("place") <= most).select("owner", "type", "id", "place")
+
+
 def lessons(feedback: DataFrame, key: str, kind: str) -> DataFrame:
     """Confirmed feedback as lessons: of one document type if all its evidence has that type, else general."""
     g = feedback.groupBy(key).agg(F.count_distinct(kind).alias("_k"), F.min(kind).alias("_one"), F.count("*").alias("evidence"))

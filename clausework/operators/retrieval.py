@@ -430,3 +430,12 @@ def greedy_selection(rows: DataFrame, key: str, order: list[str], size: str, bud
 def checked_labels(answers: DataFrame, key: list[str], labels: str, sources: str) -> DataFrame:
     """``key, used, unknown``: labels of an answer that are in its list of sources, and those that aren't."""
     return answers.select(*key, F.array_sort(F.array_intersect(labels, sources)).alias("used"), F.array_sort(F.array_except(labels, sources)).alias("unknown"))
+
+
+def confirmed_answers(answers: DataFrame, text: str, sources: str, label: str = r"\[(S[0-9]+)\]", instead: str = "[source not confirmed]") -> DataFrame:
+    """Adds ``answer`` (labels in brackets that aren't in the list ``sources`` are replaced, confirmed ones stay) and ``used`` (the confirmed ones, sorted). ``label`` has one group, the label's name, within
+    square brackets. A null text gives a null answer, a null list confirms nothing."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(label), F.lit(1)))
+    known = F.coalesce(sources, F.array().cast("array<string>"))
+    swap = lambda a, x: F.replace(a, F.concat(F.lit("["), x, F.lit("]")), F.lit(instead))
+    return answers.withColumns({"answer": F.aggregate(F.array_except(found, known), F.col(text), swap), "used": F.array_sort(F.array_intersect(found, known))})

@@ -56,18 +56,27 @@ def agg4(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("tasks"), F.count_if(F.col("user_id") % 4 == 0).alias("cached"), F.round(F.sum("value"), 4).alias("seconds"), F.sum(F.col("event_id") % 100).alias("prompt"), F.sum(F.greatest(F.lit(0), F.col("user_id") % 3 - 1)).alias("retries"))
 
 
+LOG_FIELDS = "kind string, name string, status string, session long, seconds double, exclusive_seconds double, value double"
+
+
 @query(
     "agg5_span_profile",
-    """WITH s AS (SELECT user_id, bool_or(event_type = 'signup') AS started, bool_or(event_type = 'purchase') AS ended FROM events GROUP BY user_id, date_trunc('day', ts))
-SELECT 'span' AS kind, event_type AS name, count(*) AS calls, count(*) FILTER (value > 100) AS errors, round(sum(value), 4) AS seconds FROM events GROUP BY event_type
-UNION ALL SELECT 'session', CASE WHEN started AND ended THEN 'complete' WHEN started THEN 'incomplete' ELSE 'stray' END, count(*), 0, 0.0 FROM s WHERE started OR ended GROUP BY 2""",
+    """WITH l AS (SELECT event_id % 8 AS k, event_type AS name, user_id * 10 + event_id % 10 AS session, round(value, 2) AS v FROM events),
+f AS (SELECT CASE WHEN k < 5 THEN 'phase' WHEN k = 5 THEN 'observation' WHEN k = 7 THEN 'malformed' END AS kind, CASE WHEN k < 6 THEN name END AS name, v, k FROM l WHERE k <> 6),
+s AS (SELECT session, bool_or(k = 1) AS a, bool_or(k = 2) AS b, sum(v) FILTER (k = 2) AS w FROM (SELECT session, session % 3 AS k, v FROM l WHERE k = 6) GROUP BY session)
+SELECT kind, name, count(*) AS n, count(*) FILTER (kind = 'phase' AND v > 100) AS errors, round(CASE WHEN kind <> 'malformed' THEN sum(v) END, 3) AS total, round(CASE WHEN kind = 'phase' THEN sum(v / 2) END, 3) AS exclusive FROM f GROUP BY kind, name
+UNION ALL SELECT 'sessions', CASE WHEN a AND b THEN 'complete' WHEN a THEN 'incomplete' ELSE 'stray' END, count(*), 0, round(sum(w), 3), NULL FROM s WHERE a OR b GROUP BY 2""",
 )
 def agg5(spark, sf):
-    e = table(spark, sf, "events")
-    spans = e.groupBy(F.lit("span").alias("kind"), F.col("event_type").alias("name")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 100).alias("errors"), F.round(F.sum("value"), 4).alias("seconds"))
-    s = e.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.bool_or(F.col("event_type") == "signup").alias("a"), F.bool_or(F.col("event_type") == "purchase").alias("b")).where("a or b")
-    name = F.when(F.col("a") & F.col("b"), "complete").when(F.col("a"), "incomplete").otherwise("stray")
-    return spans.unionByName(s.groupBy(F.lit("session").alias("kind"), name.alias("name")).agg(F.count("*").alias("calls"), F.lit(0).cast("long").alias("errors"), F.lit(0.0).alias("seconds")))
+    """Events as lines of a log: spans, observations, session marks, and lines that are cut or of no kind."""
+    e, k = table(spark, sf, "events"), F.col("event_id") % 8
+    v, session = F.round("value", 2), F.col("user_id") * 10 + F.col("event_id") % 10
+    span = F.to_json(F.struct(F.lit("span").alias("kind"), F.col("event_type").alias("name"), F.when(v > 100, "failed").otherwise("ok").alias("status"), v.alias("seconds"), (v / 2).alias("exclusive_seconds")))
+    seen = F.to_json(F.struct(F.lit("observation").alias("kind"), F.col("event_type").alias("name"), v.alias("value")))
+    mark = F.when(session % 3 == 1, F.to_json(F.struct(F.lit("start").alias("kind"), session.alias("session")))).when(session % 3 == 2, F.to_json(F.struct(F.lit("end").alias("kind"), session.alias("session"), v.alias("seconds"))))
+    lines = e.select(F.when(k < 5, span).when(k == 5, seen).when(k == 6, mark).otherwise(F.when(F.col("event_id") % 16 == 7, '{"kind": "span", "name": ').otherwise('{"kind": "span"}')).alias("line")).where("line is not null")
+    got = R.span_profile(lines, "line", LOG_FIELDS)
+    return got.withColumns({c: F.round(c, 3) for c in ("total", "exclusive")})
 
 
 @query(
@@ -116,6 +125,42 @@ def agg10(spark, sf):
     return R.evaluation(j, ["source"], F.coalesce(F.col("toxic") == 1, F.lit(False)), F.when(F.col("toxic").isNotNull(), hit))
 
 
+@query(
+    "agg10_evaluation_summary",
+    """WITH r AS (SELECT d.doc_id AS id, coalesce(lang, 'unspecified') AS category, coalesce(CASE WHEN length(text) > 3000 THEN 'high' WHEN length(text) > 500 THEN 'low' END, 'unspecified') AS severity, contains(text, 'idiot') OR contains(text, 'moron') AS found FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 1),
+i AS (SELECT doc_id AS id, doc_id % 50 AS place, CASE WHEN quality = 1 THEN 'correct' WHEN quality = 0 THEN 'incorrect' END AS verdict, CASE WHEN doc_id % 9 = 0 THEN doc_id - 1 END AS dup FROM labels), c AS (SELECT s_suppkey AS id, s_suppkey % 120 AS place, s_acctbal > 0 AS triggered FROM supplier),
+g AS (SELECT category, severity, count(*) AS n, count(*) FILTER (found) AS hits, grouping(category, severity) AS w FROM r GROUP BY GROUPING SETS ((category), (severity), ()))
+SELECT CASE w WHEN 1 THEN 'category' WHEN 2 THEN 'severity' ELSE 'all' END AS dimension, coalesce(category, severity) AS value, n, hits, CASE WHEN n > 0 THEN round(hits / n, 6) END AS rate FROM g
+UNION ALL SELECT 'precision', NULL, count(verdict), count(*) FILTER (verdict = 'correct'), round(count(*) FILTER (verdict = 'correct') / count(verdict), 6) FROM i
+UNION ALL SELECT 'duplicates', NULL, count(*), count(dup), round(count(dup) / count(*), 6) FROM i
+UNION ALL SELECT 'controls', NULL, count(*), count(*) FILTER (place IN (SELECT place FROM i)), round(count(*) FILTER (triggered) / count(*), 6) FROM c""",
+)
+def agg10_summary(spark, sf):
+    """Toxic documents as reference items, labels as findings, suppliers as negative controls."""
+    l, d = table(spark, sf, "labels"), table(spark, sf, "documents")
+    hit = F.contains("text", F.lit("idiot")) | F.contains("text", F.lit("moron"))
+    severity = F.when(F.length("text") > 3000, "high").when(F.length("text") > 500, "low")
+    reference = d.join(l, "doc_id").where("toxic = 1").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), severity.alias("severity"), hit.alias("found"))
+    verdict = F.when(F.col("quality") == 1, "correct").when(F.col("quality") == 0, "incorrect")
+    issued = l.select(F.col("doc_id").alias("id"), F.array(F.col("doc_id") % 50).alias("locators"), verdict.alias("verdict"), F.when(F.col("doc_id") % 9 == 0, F.col("doc_id") - 1).alias("duplicate_of"))
+    controls = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.array((F.col("s_suppkey") % 120).cast("long")).alias("locators"), (F.col("s_acctbal") > 0).alias("triggered"))
+    return R.evaluation_summary(reference, issued, controls, ["category", "severity"]).withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    "agg11_coverage_samples",
+    """WITH r AS (SELECT l_suppkey, l_returnflag, CASE WHEN l_linestatus = 'O' THEN 'measured' ELSE 'unverified' END AS state, l_orderkey * 8 + l_linenumber AS o, CASE WHEN l_partkey % 3 > 0 THEN l_partkey END AS loc, CASE WHEN l_partkey % 5 = 0 THEN l_shipdate::DATE::VARCHAR END AS sec FROM lineitem WHERE l_quantity > 5),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, state, loc IS NULL ORDER BY o, loc) AS a, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, state, sec IS NULL ORDER BY o, sec) AS b FROM r)
+SELECT l_suppkey, l_returnflag, state, count(*) AS occurrences, coalesce(string_agg(loc, ',' ORDER BY a) FILTER (loc IS NOT NULL AND a <= 20), '') AS locators, coalesce(string_agg(sec, ',' ORDER BY b) FILTER (sec IS NOT NULL AND b <= 20), '') AS sections FROM n GROUP BY ALL""",
+)
+def agg11_samples(spark, sf):
+    l = table(spark, sf, "lineitem")
+    state = F.when(F.col("l_quantity") <= 5, "confirmed").when(F.col("l_linestatus") == "O", "measured").otherwise("unverified")
+    r = l.select("l_suppkey", "l_returnflag", state.alias("state"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("o"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey")).alias("loc"), F.when(F.col("l_partkey") % 5 == 0, F.to_date("l_shipdate").cast("string")).alias("sec"))
+    got = R.compact_coverage(r, ["l_suppkey", "l_returnflag"], "state", "o", "loc", "sec")
+    return got.withColumn("locators", F.array_join(F.col("locators").cast("array<string>"), ",")).withColumn("sections", F.array_join("sections", ","))
+
+
 @query(
     "agg11_occurrence_compaction",
     """WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)
@@ -142,13 +187,45 @@ def agg13(spark, sf):
     return s.groupBy("k").agg(F.when(bad, "violated").when(good, "checked").otherwise("unknown").alias("verdict"), F.count("*").alias("elements"))
 
 
+OUTPUTS = {"language": 800, "logic": 1800, "sto": 700, "cross": 1100, "inter": 1100, "verify": 500}
+
+
 @query(
     "agg14_remaining_time",
-    "WITH m AS (SELECT event_type, median(value) AS median FROM events WHERE user_id % 2 = 0 GROUP BY event_type) SELECT event_type, count(*) AS pending, round(any_value(median), 4) AS median, round(count(*) * any_value(median), 4) AS remaining FROM events LEFT JOIN m USING (event_type) WHERE user_id % 2 = 1 GROUP BY event_type",
+    """WITH t AS (SELECT user_id % 20 AS job, event_id AS id, CASE event_type WHEN 'click' THEN 'language' WHEN 'view' THEN 'logic' WHEN 'purchase' THEN 'sto' WHEN 'signup' THEN 'verify' ELSE 'cross' END AS stage, CASE event_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'split' ELSE 'done' END AS state,
+  floor(epoch(ts))::BIGINT::DOUBLE AS started, CASE WHEN event_id % 5 > 1 THEN floor(epoch(ts))::BIGINT + round(value, 2) END AS ended, event_id % 7 = 0 AS cached, event_id % 11 = 0 AS known, CASE WHEN event_id % 3 = 0 THEN event_id % 500 END AS input, event_id % 900 AS prompt, event_id % 400 AS completion,
+  CASE WHEN user_id % 4 > 0 THEN 100.0 + event_id % 50 END AS pr, CASE WHEN user_id % 4 > 0 THEN 20.0 + event_id % 9 END AS gr FROM events),
+j AS (SELECT job, max(started) + 100 AS now, job % 3 = 0 AS no_cross, job % 3 = 1 AS no_inter, job % 6 AS related, job % 7 <> 0 AS check_logic FROM t GROUP BY job),
+m AS (SELECT job, stage, median(ended - started) AS s, median(prompt) FILTER (prompt > 0) AS i, median(completion) FILTER (completion > 0) AS o FROM t WHERE NOT cached GROUP BY ALL), r AS (SELECT job, median(pr) AS rate_in, median(gr) AS rate_out FROM t WHERE NOT cached GROUP BY job),
+c AS (SELECT job, count(*) FILTER (stage = 'logic') AS logic, count(*) FILTER (stage = 'logic' AND state IN ('done', 'split')) AS fin, count(*) FILTER (state = 'done' AND stage <> 'verify') AS ana, count(*) FILTER (state IN ('pending', 'running') AND stage <> 'verify') AS ahead FROM t GROUP BY job),
+g AS (SELECT job, sum(ceil(n / 8)) AS groups FROM (SELECT job, id % 37 AS topic, count(*) AS n, count(DISTINCT id % 5) AS p FROM t WHERE stage = 'logic' AND state = 'done' GROUP BY ALL) WHERE p >= 2 GROUP BY job),
+l AS (SELECT doc_id % 20 AS job, sum(ceil((length(text) // 100) / 12)) AS links FROM documents GROUP BY 1), f AS (SELECT job, count(*) FILTER (id % 4 = 0) AS cand, count(*) FILTER (id % 4 > 1) AS rev FROM t WHERE stage = 'cross' GROUP BY job),
+x AS (SELECT j.*, c.*, coalesce(cand, 0) AS cand, coalesce(rev, 0) AS rev, CASE WHEN NOT no_cross AND check_logic THEN CASE WHEN fin > 0 THEN ceil(coalesce(groups, 0) * logic / fin) ELSE ceil(logic / 3) END + coalesce(links, 0) END AS cross_, CASE WHEN NOT no_inter THEN 12 * related END AS inter_
+  FROM j JOIN c USING (job) LEFT JOIN g USING (job) LEFT JOIN l USING (job) LEFT JOIN f USING (job)),
+y AS (SELECT *, ceil((cand + (coalesce(cross_, 0) + coalesce(inter_, 0) + ahead) * CASE WHEN ana > 0 THEN rev / greatest(ana, 1) ELSE 0.3 END) / 3) AS verify_ FROM x),
+w AS (SELECT job, 'cross' AS stage, cross_ AS future FROM y WHERE cross_ IS NOT NULL UNION ALL SELECT job, 'inter', inter_ FROM y WHERE inter_ IS NOT NULL UNION ALL SELECT job, 'verify', verify_ FROM y),
+d AS (SELECT unnest(['language', 'logic', 'sto', 'cross', 'inter', 'verify']) AS stage, unnest([800, 1800, 700, 1100, 1100, 500]) AS d),
+o AS (SELECT t.job, t.stage, 1 AS open, 0 AS future, state, started, known, now, coalesce(coalesce(nullif(input, 0), i, 4000) / rate_in + coalesce(o, d, 1000) / rate_out + 1, s, 35) AS sec FROM t JOIN j USING (job) LEFT JOIN m USING (job, stage) LEFT JOIN r USING (job) LEFT JOIN d USING (stage) WHERE state IN ('pending', 'running')),
+e AS (SELECT job, stage, 1 AS open, 0 AS future, CASE WHEN state = 'running' THEN greatest(3, sec - (now - started)) WHEN known THEN 1 ELSE sec END AS sec FROM o
+  UNION ALL SELECT w.job, w.stage, 0, future, future * coalesce(coalesce(i, 4000) / rate_in + coalesce(o, d, 1000) / rate_out + 1, s, 35) FROM w LEFT JOIN m USING (job, stage) LEFT JOIN r USING (job) LEFT JOIN d USING (stage))
+SELECT job, stage, sum(open)::BIGINT AS open, sum(future)::BIGINT AS future, round(sum(sec), 2) AS seconds FROM e GROUP BY job, stage""",
 )
 def agg14(spark, sf):
-    e = table(spark, sf, "events")
-    return R.remaining_seconds(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1"), "event_type", "value").withColumn("median", F.round("median", 4))
+    """Events as tasks of twenty jobs; findings from the tasks of one stage, referring blocks from the documents."""
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    stage = F.when(F.col("event_type") == "click", "language").when(F.col("event_type") == "view", "logic").when(F.col("event_type") == "purchase", "sto").when(F.col("event_type") == "signup", "verify").otherwise("cross")
+    began = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("double")
+    timed = F.col("user_id") % 4 > 0
+    tasks = e.select(
+        (F.col("user_id") % 20).alias("job"), k.alias("id"), stage.alias("stage"), F.when(k % 5 == 0, "pending").when(k % 5 == 1, "running").when(k % 5 == 2, "split").otherwise("done").alias("state"), began.alias("started"), F.when(k % 5 > 1, began + F.round("value", 2)).alias("ended"),
+        (k % 7 == 0).alias("cached"), (k % 11 == 0).alias("known"), F.when(k % 3 == 0, k % 500).alias("input"), (k % 900).alias("prompt"), (k % 400).alias("completion"), F.when(timed, 100.0 + k % 50).alias("prompt_rate"), F.when(timed, 20.0 + k % 9).alias("generation_rate"),
+    )
+    job = F.col("job")
+    jobs = tasks.groupBy("job").agg((F.max("started") + 100).alias("now")).withColumns({"derived": F.when(job % 3 == 0, F.array(F.lit("cross"))).when(job % 3 == 1, F.array(F.lit("inter"))), "related": job % 6, "check_logic": job % 7 != 0})
+    facts = tasks.where("stage = 'logic' and state = 'done'").select("job", (F.col("id") % 37).alias("topic"), (F.col("id") % 5).alias("place"))
+    references = table(spark, sf, "documents").select((F.col("doc_id") % 20).alias("job"), F.col("doc_id").alias("document"), F.expr("length(text) div 100").alias("n"))
+    findings = tasks.where("stage = 'cross'").select("job", F.element_at(F.array(*map(F.lit, ("candidate", "style", "confirmed", "rejected"))), (F.col("id") % 4 + 1).cast("int")).alias("status"))
+    return R.forecast(jobs, tasks, R.derived_work(jobs, tasks, facts, references, findings), OUTPUTS).withColumn("seconds", F.round("seconds", 2))
 
 
 @query("agg15_queue_statistics", "SELECT o_orderpriority, o_orderstatus, count(*) AS n, min(o_orderdate) AS oldest FROM orders GROUP BY ALL")

@@ -24,6 +24,31 @@ def dup1(spark, sf):
     return D.first_of(k, F.col("key"), ["id"]).join(n, "key")
 
 
+@query(
+    "dup1_special_keys",
+    r"""WITH f AS (SELECT event_id AS id, user_id % 30 AS job, CASE WHEN event_id % 4 = 0 THEN 'r' || event_id % 3 END AS req, CASE WHEN event_id % 6 = 0 THEN 'arithmetic' ELSE event_type END AS cat, event_id % 3 AS k, floor(value / 40)::INT AS p,
+  ['Mixed alphabet', 'Wrong number of the table', 'Other'][(event_id % 3 + 1)::INT] AS issue, CASE WHEN event_id % 5 > 0 THEN 'Write   ' || ['it', 'IT', 'that'][(event_id % 7 % 3 + 1)::INT] END AS sug FROM events),
+q AS (SELECT *, CASE k WHEN 0 THEN 'the word AБ' || p || ' here' WHEN 1 THEN 'table ' || p || '.1 and ' || p % 3 ELSE 'quote ' || p END AS quote FROM f),
+w AS (SELECT *, CASE WHEN req IS NULL AND k = 1 THEN concat_ws(chr(29), 'numbered_reference', 'reference', array_to_string(list_sort(list_distinct([p || '.1', (p % 3)::VARCHAR, '7'])), chr(30)), array_to_string(list_sort(['d' || chr(31) || p, 'd' || chr(31) || 'x']), chr(30)))
+  WHEN req IS NULL AND k = 0 THEN concat_ws(chr(29), 'mixed_alphabet', 'identifier', 'd' || chr(31) || p || chr(31) || 'AБ' || p)
+  ELSE concat_ws(chr(29), CASE WHEN cat = 'arithmetic' THEN 'arithmetic' ELSE trim(regexp_replace(lower(coalesce(sug, issue)), '\s+', ' ', 'g')) END, cat, array_to_string(list_sort(['d' || chr(31) || p || chr(31) || quote, 'd' || chr(31) || 'x' || chr(31) || 'page 7']), chr(30))) END AS what FROM q)
+SELECT id, left(sha256(job || chr(28) || what), 24) AS key FROM w""",
+)
+def dup1_special(spark, sf):
+    """Findings from events: mixed alphabets, numbers of references, sums, and plain proposals; each with two pieces of evidence."""
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    p = F.floor(F.col("value") / 40).cast("int")
+    quote = F.when(k % 3 == 0, F.concat(F.lit("the word AБ"), p.cast("string"), F.lit(" here"))).when(k % 3 == 1, F.concat(F.lit("table "), p.cast("string"), F.lit(".1 and "), (p % 3).cast("string"))).otherwise(F.concat(F.lit("quote "), p.cast("string")))
+    piece = lambda loc, q: F.struct(F.lit("d").alias("document"), loc.alias("locator"), q.alias("quote"))
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (n + 1).cast("int"))
+    f = e.select(
+        k.alias("id"), (F.col("user_id") % 30).alias("job"), F.when(k % 4 == 0, F.concat(F.lit("r"), (k % 3).cast("string"))).alias("requirement"), F.when(k % 6 == 0, "arithmetic").otherwise(F.col("event_type")).alias("category"),
+        F.array(piece(p.cast("string"), quote), piece(F.lit("x"), F.lit("page 7"))).alias("evidence"), F.when(k % 5 > 0, F.concat(F.lit("Write   "), pick(k % 7 % 3, "it", "IT", "that"))).alias("suggestion"),
+        pick(k % 3, "Mixed alphabet", "Wrong number of the table", "Other").alias("issue"), F.lit(None).cast("string").alias("explanation"),
+    )
+    return D.finding_identity(f, "arithmetic", "(?i)mixed alphabet", "(?i)table|figure|appendix", "(?i)number|reference")
+
+
 @query(
     "dup2_duplicate_groups",
     """WITH RECURSIVE f AS (SELECT event_id AS id, event_type AS req, event_id % 2 AS cat, user_id AS doc, CAST(floor(value / 60) AS BIGINT) AS place, CAST(floor(value / 20) AS BIGINT) AS quote, CASE WHEN event_id % 5 = 0 THEN event_id % 3 END AS dk,
@@ -84,11 +109,11 @@ def dup6(spark, sf):
 
 @query(
     "dup7_release_diff",
-    """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey END AS lineage, sha256(o_custkey || '|' || o_totalprice::DECIMAL(18,2)) AS meaning, o_custkey || '/' || o_orderdate::DATE AS locator, o_orderpriority AS context, o_orderstatus AS trust FROM orders),
-o AS (SELECT * FROM r WHERE id % 13 <> 0), n AS (SELECT -id AS id, lineage, CASE WHEN id % 5 = 0 THEN 'new' || id ELSE meaning END AS meaning, CASE WHEN id % 7 = 0 THEN 'moved' || id ELSE locator END AS locator, CASE WHEN id % 3 = 0 THEN 'x' ELSE context END AS context, trust FROM r WHERE id % 17 <> 0),
+    """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey END AS lineage, sha256(o_custkey || '|' || o_totalprice::DECIMAL(18,2)) AS meaning, o_custkey || '/' || o_orderdate::DATE AS locator, o_orderpriority AS context, o_orderstatus AS trust, o_custkey % 3 AS family FROM orders),
+o AS (SELECT * FROM r WHERE id % 13 <> 0), n AS (SELECT -id AS id, lineage, CASE WHEN id % 5 = 0 THEN 'new' || id ELSE meaning END AS meaning, CASE WHEN id % 7 = 0 THEN 'moved' || id ELSE locator END AS locator, CASE WHEN id % 3 = 0 THEN 'x' ELSE context END AS context, trust, CASE WHEN id % 19 = 0 THEN family + 1 ELSE family END AS family FROM r WHERE id % 17 <> 0),
 m1 AS (SELECT o.id AS a, n.id AS b FROM o JOIN n USING (lineage)), o2 AS (SELECT * FROM o WHERE id NOT IN (SELECT a FROM m1)), n2 AS (SELECT * FROM n WHERE id NOT IN (SELECT b FROM m1)),
-m2 AS (SELECT min(o2.id) AS a, min(n2.id) AS b FROM o2 JOIN n2 USING (meaning) GROUP BY meaning HAVING count(*) = 1), o3 AS (SELECT * FROM o2 WHERE id NOT IN (SELECT a FROM m2)), n3 AS (SELECT * FROM n2 WHERE id NOT IN (SELECT b FROM m2)),
-m3 AS (SELECT min(o3.id) AS a, min(n3.id) AS b FROM o3 JOIN n3 USING (locator) GROUP BY locator HAVING count(*) = 1), m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)
+m2 AS (SELECT min(o2.id) AS a, min(n2.id) AS b FROM o2 JOIN n2 USING (family, meaning) GROUP BY family, meaning HAVING count(*) = 1), o3 AS (SELECT * FROM o2 WHERE id NOT IN (SELECT a FROM m2)), n3 AS (SELECT * FROM n2 WHERE id NOT IN (SELECT b FROM m2)),
+m3 AS (SELECT min(o3.id) AS a, min(n3.id) AS b FROM o3 JOIN n3 USING (family, locator) GROUP BY family, locator HAVING count(*) = 1), m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)
 SELECT o.id AS o_id, n.id AS n_id, CASE WHEN o.meaning <> n.meaning THEN 'meaning_changed' WHEN o.locator <> n.locator THEN 'renumbered' WHEN o.context <> n.context THEN 'context_changed' WHEN o.trust <> n.trust THEN 'trust_changed' ELSE 'same' END AS kind FROM m JOIN o ON o.id = a JOIN n ON n.id = b
 UNION ALL SELECT id, NULL, 'removed' FROM o3 WHERE id NOT IN (SELECT a FROM m3) UNION ALL SELECT NULL, id, 'added' FROM n3 WHERE id NOT IN (SELECT b FROM m3)""",
 )
@@ -96,11 +121,11 @@ def dup7(spark, sf):
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     meaning = F.sha2(F.concat_ws("|", F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")), 256)
-    r = o.select(k.alias("id"), F.when(k % 4 != 0, k).alias("lineage"), meaning.alias("meaning"), F.concat_ws("/", F.col("o_custkey").cast("string"), F.to_date("o_orderdate").cast("string")).alias("locator"), F.col("o_orderpriority").alias("context"), F.col("o_orderstatus").alias("trust"))
+    r = o.select(k.alias("id"), F.when(k % 4 != 0, k).alias("lineage"), meaning.alias("meaning"), F.concat_ws("/", F.col("o_custkey").cast("string"), F.to_date("o_orderdate").cast("string")).alias("locator"), F.col("o_orderpriority").alias("context"), F.col("o_orderstatus").alias("trust"), (F.col("o_custkey") % 3).alias("family"))
     i = F.col("id")
     n = r.where("id % 17 <> 0").select(
         (-i).alias("id"), "lineage", F.when(i % 5 == 0, F.concat(F.lit("new"), i.cast("string"))).otherwise(F.col("meaning")).alias("meaning"),
-        F.when(i % 7 == 0, F.concat(F.lit("moved"), i.cast("string"))).otherwise(F.col("locator")).alias("locator"), F.when(i % 3 == 0, "x").otherwise(F.col("context")).alias("context"), "trust",
+        F.when(i % 7 == 0, F.concat(F.lit("moved"), i.cast("string"))).otherwise(F.col("locator")).alias("locator"), F.when(i % 3 == 0, "x").otherwise(F.col("context")).alias("context"), "trust", F.when(i % 19 == 0, F.col("family") + 1).otherwise(F.col("family")).alias("family"),
     )
     return D.release_diff(r.where("id % 13 <> 0"), n)
 

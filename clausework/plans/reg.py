@@ -59,6 +59,17 @@ def reg6(spark, sf):
     return R.versioned_update(h, u, "user_id")
 
 
+@query(
+    "reg6_active_lessons",
+    """WITH l AS (SELECT event_id AS id, user_id AS owner, CASE WHEN event_id % 4 = 0 THEN 'general' ELSE event_type END AS type, ts AS created FROM events WHERE event_id % 3 > 0), a AS (SELECT DISTINCT user_id AS owner, event_type AS type FROM events),
+r AS (SELECT a.owner, a.type, l.id, row_number() OVER (PARTITION BY a.owner, a.type ORDER BY created DESC, l.id DESC) AS place FROM a JOIN l ON l.owner = a.owner AND l.type IN (a.type, 'general')) SELECT owner, type, id, place FROM r WHERE place <= 4""",
+)
+def reg6_lessons(spark, sf):
+    e = table(spark, sf, "events")
+    stored = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("owner"), F.when(F.col("event_id") % 4 == 0, "general").otherwise(F.col("event_type")).alias("type"), F.col("ts").alias("created"), (F.col("event_id") % 3 > 0).alias("active"))
+    return R.active_lessons(e.select(F.col("user_id").alias("owner"), F.col("event_type").alias("type")), stored)
+
+
 @query("reg7_rule_batches", "SELECT p_partkey, p_brand, p_type, ((row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1) // 6)::BIGINT AS page FROM part")
 def reg7(spark, sf):
     return R.page_numbers(table(spark, sf, "part"), ["p_partkey"], 6, ["p_brand", "p_type"]).select("p_partkey", "p_brand", "p_type", "page")

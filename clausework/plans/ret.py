@@ -288,6 +288,20 @@ def ret13(spark, sf):
     return R.checked_labels(c, ["conv_id", "turn"], "l", "s").select("conv_id", "turn", F.array_join("used", ",").alias("used"), F.array_join("unknown", ",").alias("unknown"))
 
 
+@query(
+    "ret13_confirmed_answers",
+    r"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '(^|\s)([A-Z][a-z]+)', '\1[\2]', 'g') AS t, list_distinct(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS w FROM conversations), p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM c),
+l AS (SELECT conv_id, turn, t, list_distinct(regexp_extract_all(t, '\[([A-Z][a-z]+)\]', 1)) AS l, coalesce(s, []) AS s FROM p WHERE role = 'assistant')
+SELECT conv_id, turn, sha256(list_reduce(list_prepend(t, list_filter(l, lambda x: NOT list_contains(s, x))), lambda a, x: replace(a, '[' || x || ']', '[source not confirmed]'))) AS answer_sha, array_to_string(list_sort(list_filter(l, lambda x: list_contains(s, x))), ',') AS used FROM l""",
+)
+def ret13_answers(spark, sf):
+    """Turns of the assistant whose capitalised words are labels; those that the turn before holds are confirmed."""
+    w = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    c = table(spark, sf, "conversations").withColumn("s", F.lag(w).over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'")
+    c = c.withColumn("t", F.regexp_replace("text", r"(^|\s)([A-Z][a-z]+)", "$1[$2]"))
+    return R.confirmed_answers(c, "t", "s", r"\[([A-Z][a-z]+)\]").select("conv_id", "turn", F.sha2("answer", 256).alias("answer_sha"), F.array_join("used", ",").alias("used"))
+
+
 @query(
     "ret14_rule_routing",
     f"""WITH {BLOCKS_SQL}, b AS (SELECT doc_id AS doc, ord, ord // 8 AS section, text, regexp_extract_all(lower(text), {W}) AS t FROM blocks),
