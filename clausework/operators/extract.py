@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from clausework.operators.blocks import sentence_spans
 from clausework.operators.register import ordered_folds
 
 #: Short quotes up to this many are broadcast.
@@ -141,6 +142,51 @@ def inherited_modality(rows: DataFrame, key: str, order: list[str], kind: str, m
     return rows.withColumn("_last", last).withColumn("inherited", F.when((F.col(kind) == "item") & (F.col("_last.k") == "parent"), F.col("_last.m")).when(F.col(kind) == "parent", F.col(modality))).drop("_last")
 
 
+def modal_scopes(blocks: DataFrame, doc: str, order: str, text: str, cues: list[tuple[str, str]], item: str, condition: str, exception: str, fields: str) -> DataFrame:
+    """``doc, order, start, end, subject, action, object, modality, conditions, exceptions, parent, group``: atomic obligations of a document's blocks, each with its span in its block.
+
+    ``cues``: (modality, pattern) in order of precedence. A sentence is cut before each cue; a scope runs from its cue (the first from the sentence's start) to the next one, and cues of one modality that only white space
+    parts are one. ``subject`` is the sentence before the cue (``document_author`` if nothing is), ``action`` the cue, ``object`` what follows it (the sentence if nothing does). A block with a scope that ends with a
+    colon opens a list: blocks that match ``item`` after it inherit its modality (``mixed`` if its scopes differ), conditions and exceptions, until a block that doesn't; an item without a scope is
+    an obligation to include it. ``conditions`` and ``exceptions`` are the orders of the blocks that match these patterns, its own and its parent's. A scope whose object matches ``fields`` and quotes two or more
+    names in « » becomes one row a name, of the ``group`` required_fields. Null texts have no scope; blocks without one and outside of lists have no row.
+    """
+    any_ = "|".join(f"(?:{p})" for _, p in cues)
+    said = lambda c, p: F.coalesce(F.rlike(c, F.lit(p)), F.lit(False))
+    b = blocks.select(F.struct(F.col(doc).alias("d"), F.col(order).alias("o")).alias("_key"), F.coalesce(text, F.lit("")).alias("_t"))
+    sentences = sentence_spans(b, "_key", "_t").select(F.col("doc_id").alias("_key"), "n", F.col("start").alias("_from"), F.col("end").alias("_to"), "sentence")
+    marked = F.split(F.regexp_replace("sentence", f"(?i)({any_})", "\x01$1"), "\x01")
+    pieces = sentences.withColumn("_p", marked).where(F.size("_p") > 1).select("_key", "n", "_from", "_to", "sentence", F.posexplode("_p").alias("i", "piece"))
+    inside = Window.partitionBy("_key", "n").orderBy("i")
+    cut = pieces.withColumn("_at", F.sum(F.length("piece")).over(inside) - F.length("piece")).where("i > 0")
+    action = F.regexp_extract("piece", f"(?i)^({any_})", 1)
+    kind = F.coalesce(*[F.when(F.rlike(action, F.lit(f"(?i)^(?:{p})$")), name) for name, p in cues])
+    cut = cut.withColumns({"action": action, "modality": kind}).withColumn("_rest", F.substring(F.col("piece"), F.length("action") + 1, F.length("piece")))
+    joins = (F.lag("modality").over(inside) == F.col("modality")) & (F.trim(F.lag("_rest").over(inside)) == "")
+    cut = cut.withColumn("_scope", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(inside))
+    scopes = cut.groupBy("_key", "n", "_from", "_to", "sentence", "_scope").agg(F.min("_at").alias("_at"), F.min_by("action", "i").alias("action"), F.min_by("modality", "i").alias("modality"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x.piece), "").alias("_whole"))
+    stripped = lambda c: F.regexp_replace(c, r"^[\s,:]+|[\s,:]+$", "")
+    blank = lambda c, other: F.when(c == "", other).otherwise(c)
+    begin = F.col("_from") + F.when(F.col("_scope") == 1, 0).otherwise(F.col("_at"))
+    end = F.coalesce(F.col("_from") + F.lead("_at").over(Window.partitionBy("_key", "n").orderBy("_scope")), F.col("_to"))
+    rest = F.trim(F.regexp_replace(F.substring(F.col("_whole"), F.length("action") + 1, F.length("_whole")), r"^\s+|\s+$", ""))
+    own = scopes.select("_key", begin.cast("int").alias("start"), end.cast("int").alias("end"), blank(stripped(F.substring(F.col("sentence"), F.lit(1), F.col("_at"))), F.lit("document_author")).alias("subject"), "action", blank(rest, F.col("sentence")).alias("object"), "modality")
+    of_block = own.groupBy("_key").agg(F.when(F.count_distinct("modality") == 1, F.min("modality")).otherwise("mixed").alias("_m"))
+    at = F.col("_key.o")
+    facts = b.join(of_block, "_key", "left").select("_key", "_t", said("_t", item).alias("_item"), (F.col("_m").isNotNull() & said("_t", r":\s*$")).alias("_opens"), "_m", F.when(said("_t", condition), F.array(at)).otherwise(F.array().cast(f"array<{blocks.schema[order].dataType.simpleString()}>")).alias("_c"), F.when(said("_t", exception), F.array(at)).otherwise(F.array().cast(f"array<{blocks.schema[order].dataType.simpleString()}>")).alias("_x"))
+    before = Window.partitionBy("_key.d").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(~F.col("_item"), F.struct("_opens", at.alias("o"), "_m", "_c", "_x")), ignorenulls=True).over(before)
+    facts = facts.withColumn("_p", F.when(F.col("_item"), last)).withColumn("_p", F.when(F.col("_p._opens"), F.col("_p")))
+    context = [F.array_distinct(F.concat(F.col(c), F.coalesce(F.col(f"_p.{c}"), F.array().cast(facts.schema[c].dataType)))).alias(n) for c, n in (("_c", "conditions"), ("_x", "exceptions"))]
+    context = facts.select("_key", *context, F.col("_p.o").alias("parent"))
+    included = facts.where(F.col("_p").isNotNull() & F.col("_m").isNull() & (F.trim("_t") != "")).select("_key", F.lit(0).alias("start"), F.length("_t").alias("end"), F.lit("document_author").alias("subject"), F.lit("include_item").alias("action"), F.col("_t").alias("object"), F.col("_p._m").alias("modality"))
+    names = F.regexp_extract_all("object", F.lit("«([^»]+)»"), F.lit(1))
+    each = own.unionByName(included).withColumn("_names", F.when(said("object", fields) & (F.size(names) > 1), names))
+    row = F.when(F.col("_names").isNotNull(), F.transform("_names", lambda x: F.struct(F.lit("include_field").alias("action"), x.alias("object"), F.lit("required_fields").alias("group")))).otherwise(F.array(F.struct("action", "object", F.lit(None).cast("string").alias("group"))))
+    flat = each.select("_key", "start", "end", "subject", "modality", F.inline(row)).join(context, "_key")
+    return flat.select(F.col("_key.d").alias(doc), at.alias(order), "start", "end", "subject", "action", "object", "modality", "conditions", "exceptions", "parent", "group")
+
+
 def split_members(rules: DataFrame, key: str, text: str, mark: str = ":", between: str = ";") -> DataFrame:
     """``key, n, unit, unit_id``: members of a list keep the introduction; a rule of one member stays whole."""
     lead, rest = F.substring_index(text, mark, 1), F.expr(f"substring({text}, length(substring_index({text}, '{mark}', 1)) + 2)")
@@ -192,6 +238,60 @@ def uncovered(cues: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return events.withColumn("_reach", F.max("_end").over(w)).where("_cue = 1 and (_reach is null or _reach <= _at)").select(key, F.col("_at").alias("pos"))
 
 
+def completeness_screen(cards: DataFrame, cues: DataFrame, spans: DataFrame, dependencies: DataFrame, syntax: str) -> DataFrame:
+    """``id, structural, semantic, uncovered, reasons``: whether a card's obligations cover its text, and the sorted reasons why it can't be accepted by itself.
+
+    ``cards``: id, text, obligations (number), explicit, modality, example, definition, unknown_condition, ambiguities (array); ``cues``: id, pos of normative words; ``spans``: id, start, end of obligations; ``dependencies``: id,
+    required, unresolved. ``structural`` is complete if every cue is covered and no required dependency is unresolved; ``semantic`` is ``verified_simple`` only for one explicit obligation of a
+    known modality without any reason, else ``unknown``. A text that matches ``syntax`` needs more than words. Nulls count as false, none and empty.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    missing = uncovered(cues, spans, "id").groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("_missing"))
+    open_ = dependencies.groupBy("id").agg(F.bool_or(yes("required") & yes("unresolved")).alias("_open"))
+    j = cards.join(missing, "id", "left").join(open_, "id", "left")
+    none, n = F.coalesce(F.col("obligations"), F.lit(0)) == 0, F.coalesce("_missing", F.array().cast("array<bigint>"))
+    own = [
+        ("uncovered_normative_cues", F.size(n) > 0), ("no_obligations", none), ("unresolved_dependency", yes("_open")), ("complex_syntax_needs_semantic_validation", F.coalesce(F.rlike("text", F.lit(syntax)), F.lit(False))),
+        ("example_not_a_general_rule", yes("example")), ("definition_not_an_obligation", yes("definition")), ("condition_needs_interpretation", yes("unknown_condition")),
+    ]
+    reasons = F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*[F.when(c, name) for name, c in own])), F.coalesce("ambiguities", F.array().cast("array<string>")))))
+    simple = (F.size(reasons) == 0) & (F.col("obligations") == 1) & yes("explicit") & F.coalesce(F.col("modality").isin("mandatory", "prohibited", "recommended", "permitted"), F.lit(False))
+    whole = (F.size(n) == 0) & ~yes("_open")
+    return j.select("id", F.when(whole, "complete").otherwise("incomplete").alias("structural"), F.when(simple, "verified_simple").otherwise("unknown").alias("semantic"), n.alias("uncovered"), reasons.alias("reasons"))
+
+
+def quality_reasons(cards: DataFrame, citations: DataFrame, dependencies: DataFrame, gaps: DataFrame, administrative: str, implicit: str, statement: str, least: float = 0.9) -> DataFrame:
+    """``id, status, reasons``: a card is ``ready`` without a reason, ``reference`` material if it states no duty, else a ``candidate``.
+
+    ``cards``: id, locator, entity (definition, permission, recommendation and assumption are reference), provenance (verified), profile, approved, semantic, structural, ambiguous, condition_open, resolved (its questions are
+    answered by an expert), applies_known, modality, obligations, conditions (number), operator (of its composition: atom, all_of, any_of) and operands, confidence; ``citations``: id, locator, n, quote; ``dependencies``: id, required,
+    unresolved, target; ``gaps``: locators that the source lacks. Reasons come in their fixed order. The three patterns are held against the quotes of the card's own locator. Nulls count as false, none
+    and empty; a null confidence is too low.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    cited = citations.select("id", "locator").unionByName(cards.select("id", "locator")).where("locator is not null").distinct()
+    met = dependencies.join(cited.select(F.col("id").alias("_i"), F.col("locator").alias("_l")), (F.col("id") == F.col("_i")) & (F.col("target") == F.col("_l")), "left")
+    by_card = met.groupBy("id").agg(
+        F.bool_or(yes("unresolved")).alias("_open"), F.bool_or(yes("required") & ~yes("unresolved") & F.col("_l").isNull()).alias("_apart"), F.bool_or(yes("required") & ~yes("unresolved")).alias("_held"))
+    gap = cited.join(gaps.select("locator").distinct(), "locator", "left_semi").select("id").distinct().withColumn("_gap", F.lit(True))
+    own = citations.join(cards.select("id", "locator"), ["id", "locator"]).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim(F.coalesce("quote", F.lit(""))).alias("q")))), lambda x: x.q), " ").alias("_quoted"))
+    j = cards.join(by_card, "id", "left").join(gap, "id", "left").join(own, "id", "left").withColumn("_quoted", F.coalesce("_quoted", F.lit("")))
+    says = lambda p: F.rlike("_quoted", F.lit(p))
+    duty = ~F.coalesce(F.col("entity").isin("definition", "permission", "recommendation", "assumption"), F.lit(False))
+    few = F.coalesce("operator", F.lit("unknown"))
+    composed = (few == "atom") | (few.isin("all_of", "any_of") & (F.coalesce("operands", F.lit(0)) >= 2))
+    complete = F.coalesce(F.col("semantic").isin("verified", "verified_simple", "model_reviewed"), F.lit(False)) & (F.coalesce("structural", F.lit("")) != "incomplete")
+    cases = [
+        ("provenance", ~yes("provenance")), ("incomplete", ~complete), ("ambiguity", yes("ambiguous") & ~yes("resolved")), ("condition", yes("condition_open") & ~yes("resolved")), ("dependency", yes("_open")), ("dependency_context", yes("_apart")),
+        ("source_gap", yes("_gap") & ~yes("approved")), ("profile", ~yes("profile")), ("administrative_action", duty & says(administrative)), ("implicit_context", duty & says(implicit) & (F.coalesce("conditions", F.lit(0)) == 0) & ~yes("_held")), ("context_statement", duty & says(statement)),
+        ("applicability", duty & ~yes("applies_known")), ("modality", duty & ~F.coalesce(F.col("modality").isin("mandatory", "prohibited"), F.lit(False))), ("no_obligation", duty & (F.coalesce("obligations", F.lit(0)) == 0)), ("composition", duty & ~composed),
+        ("confidence", ~yes("approved") & ~F.coalesce((F.col("confidence") >= least) & ~F.isnan("confidence") & (F.col("confidence") < float("inf")), F.lit(False))),
+    ]
+    found = F.array_compact(F.array(*[F.when(c, name) for name, c in cases]))
+    ready = F.when(duty, F.array().cast("array<string>")).otherwise(F.array(F.lit("reference")))
+    return j.select("id", F.when(F.size(found) > 0, "candidate").when(duty, "ready").otherwise("reference").alias("status"), F.when(F.size(found) > 0, found).otherwise(ready).alias("reasons"))
+
+
 def coverage_audit(fragments: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, problem``: fragments without a row of the ledger, rows without a fragment, fragments with more than one row."""
     f = fragments.select(*keys).withColumn("_f", F.lit(1))

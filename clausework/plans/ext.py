@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausework.operators import extract as X
 from clausework.operators.rules import issues
@@ -28,6 +29,54 @@ def ext1(spark, sf):
     return X.inherited_modality(o, "o_custkey", ["o_orderdate", "o_orderkey"], "kind", "o_orderstatus").select("o_orderkey", "inherited")
 
 
+#: Fixed patterns of the query.
+CUES = [("prohibited", r"\b(?:must not|shall not|may not)\b"), ("mandatory", r"\b(?:must|shall)\b"), ("recommended", r"\bshould\b"), ("permitted", r"\bmay\b")]
+ITEM, CONDITION, EXCEPTION, FIELDS = r"^\s*[-–•]", r"(?i)\bif\b", r"(?i)\bunless\b", r"(?i)(?:column|field|parameter)[^:]*:"
+ANY_CUE = "|".join(f"(?:{p})" for _, p in CUES)
+
+
+def sentences_of_lines(spark, sf):
+    """Order lines as blocks: lead-ins of lists, list items with and without a cue, sentences of several scopes, plain text."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    p, n, k = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_partkey") % 6
+    text = (
+        F.when(k == 0, F.concat(F.lit("The supplier "), n, F.lit(" must list, if asked:"))).when(k == 1, F.concat(F.lit("- part "), p))
+        .when(k == 2, F.concat(F.lit("If late, the carrier shall must wait "), n, F.lit(" days. It may ask; Part "), p, F.lit(" must not leave, unless paid, but should be seen.")))
+        .when(k == 3, F.concat(F.lit("- the form must have columns: «A"), p, F.lit("», «B»"))).when(k == 4, F.concat(F.lit("Part "), p, F.lit(" is here.")))
+        .otherwise(F.concat(F.lit("  The clerk should sign. The clerk may, and must pay "), n, F.lit(" :")))
+    )
+    return table(spark, sf, "lineitem").select("l_orderkey", place.alias("ord"), text.alias("text"))
+
+
+LINES_SQL = """b AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, CASE l_partkey % 6 WHEN 0 THEN 'The supplier ' || l_suppkey || ' must list, if asked:' WHEN 1 THEN '- part ' || l_partkey
+  WHEN 2 THEN 'If late, the carrier shall must wait ' || l_suppkey || ' days. It may ask; Part ' || l_partkey || ' must not leave, unless paid, but should be seen.' WHEN 3 THEN '- the form must have columns: «A' || l_partkey || '», «B»' WHEN 4 THEN 'Part ' || l_partkey || ' is here.'
+  ELSE '  The clerk should sign. The clerk may, and must pay ' || l_suppkey || ' :' END AS t FROM lineitem)"""
+SCOPES_SQL = rf"""p AS (SELECT doc, ord, string_split(regexp_replace(t, '([.;!?])(\s+[\p{{Lu}}–—-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM b), u AS (SELECT doc, ord, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS n FROM p),
+e AS (SELECT *, sum(length(raw)) OVER (PARTITION BY doc, ord ORDER BY n ROWS UNBOUNDED PRECEDING)::INT AS z, regexp_replace(raw, '^\s+', '') AS s FROM u),
+m AS (SELECT doc, ord, n, z - length(s) AS f, z, s, string_split(regexp_replace(s, '(?i)({ANY_CUE})', chr(1) || '\1', 'g'), chr(1)) AS q FROM e), v AS (SELECT * EXCLUDE (q), unnest(q) AS piece, generate_subscripts(q, 1) - 1 AS i FROM m),
+w AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc, ord, n ORDER BY i ROWS UNBOUNDED PRECEDING) - length(piece) AS off, regexp_extract(piece, '(?i)^({ANY_CUE})', 1) AS act FROM v),
+k AS (SELECT *, substr(piece, length(act) + 1) AS rest, CASE {" ".join(f"WHEN regexp_matches(act, '(?i)^(?:{p})$') THEN '{name}'" for name, p in CUES)} END AS modality FROM w WHERE i > 0),
+g AS (SELECT *, CASE WHEN lag(modality) OVER x = modality AND trim(lag(rest) OVER x) = '' THEN 0 ELSE 1 END AS fresh FROM k WINDOW x AS (PARTITION BY doc, ord, n ORDER BY i)), h AS (SELECT *, sum(fresh) OVER (PARTITION BY doc, ord, n ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM g),
+sc AS (SELECT doc, ord, n, f, z, s, c, min(off) AS off, arg_min(act, i) AS act, arg_min(modality, i) AS modality, string_agg(piece, '' ORDER BY i) AS whole FROM h GROUP BY ALL),
+own AS (SELECT doc, ord, (f + CASE WHEN c = 1 THEN 0 ELSE off END)::INT AS start, coalesce(f + lead(off) OVER (PARTITION BY doc, ord, n ORDER BY c), z)::INT AS "end", coalesce(nullif(regexp_replace(substr(s, 1, off::INT), '^[\s,:]+|[\s,:]+$', '', 'g'), ''), 'document_author') AS subject, act AS action,
+  coalesce(nullif(regexp_replace(substr(whole, length(act) + 1), '^\s+|\s+$', '', 'g'), ''), s) AS object, modality FROM sc),
+bm AS (SELECT doc, ord, CASE WHEN count(DISTINCT modality) = 1 THEN min(modality) ELSE 'mixed' END AS m FROM own GROUP BY ALL),
+fa AS (SELECT b.doc, b.ord, t, regexp_matches(t, '{ITEM}') AS item, m, m IS NOT NULL AND regexp_matches(t, ':\s*$') AS opens, regexp_matches(t, '{CONDITION}') AS cond, regexp_matches(t, '{EXCEPTION}') AS exc FROM b LEFT JOIN bm USING (doc, ord)),
+la AS (SELECT *, max(ord) FILTER (NOT item) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM fa),
+cx AS (SELECT l.doc, l.ord, l.t, l.m, p.ord AS parent, p.m AS pm, list_filter([CASE WHEN l.cond THEN l.ord END, CASE WHEN p.cond THEN p.ord END], lambda x: x IS NOT NULL) AS conditions, list_filter([CASE WHEN l.exc THEN l.ord END, CASE WHEN p.exc THEN p.ord END], lambda x: x IS NOT NULL) AS exceptions
+  FROM la l LEFT JOIN fa p ON l.item AND p.doc = l.doc AND p.ord = l.prev AND p.opens),
+ev AS (SELECT * FROM own UNION ALL SELECT doc, ord, 0, length(t)::INT, 'document_author', 'include_item', t, pm FROM cx WHERE parent IS NOT NULL AND m IS NULL),
+nm AS (SELECT *, CASE WHEN regexp_matches(object, '{FIELDS}') AND len(regexp_extract_all(object, '«([^»]+)»', 1)) > 1 THEN regexp_extract_all(object, '«([^»]+)»', 1) END AS names FROM ev),
+ro AS (SELECT doc, ord, start, "end", subject, CASE WHEN names IS NULL THEN action ELSE 'include_field' END AS action, unnest(coalesce(names, [object])) AS object, modality, CASE WHEN names IS NOT NULL THEN 'required_fields' END AS "group" FROM nm)
+SELECT ro.doc AS l_orderkey, ro.ord, start, "end", subject, action, object, modality, array_to_string(conditions, ',') AS conditions, array_to_string(exceptions, ',') AS exceptions, parent, "group" FROM ro JOIN cx USING (doc, ord)"""
+
+
+@query("ext1_modal_scopes", f"WITH {LINES_SQL}, {SCOPES_SQL}")
+def ext1_scopes(spark, sf):
+    s = X.modal_scopes(sentences_of_lines(spark, sf), "l_orderkey", "ord", "text", CUES, ITEM, CONDITION, EXCEPTION, FIELDS)
+    return s.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("conditions", "exceptions")})
+
+
 @query(
     "ext2_list_members",
     """WITH r AS (SELECT l_orderkey, 'Order ' || l_orderkey || ' must hold: ' || string_agg('part ' || l_partkey, '; ' ORDER BY l_partkey, l_suppkey) AS t, list('part ' || l_partkey ORDER BY l_partkey, l_suppkey) AS m FROM lineitem GROUP BY l_orderkey),
@@ -111,6 +160,31 @@ def ext7(spark, sf):
     return X.uncovered(cues, spans, "l_orderkey")
 
 
+@query(
+    "ext7_completeness_verdicts",
+    """WITH c AS (SELECT l_orderkey AS id, l_partkey % 200 AS pos FROM lineitem WHERE l_returnflag <> 'N' AND l_partkey % 5 = 0), s AS (SELECT l_orderkey AS id, l_suppkey % 200 AS s, l_suppkey % 200 + 90 AS e FROM lineitem WHERE l_returnflag = 'N'),
+u AS (SELECT id, list(pos ORDER BY pos) AS miss FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = c.id AND pos >= s AND pos < e) GROUP BY id), d AS (SELECT l_orderkey AS id, bool_or(l_discount = 0 AND l_tax < 0.02) AS open FROM lineitem GROUP BY l_orderkey), n AS (SELECT l_orderkey AS id, count(*) FILTER (l_linenumber = 1) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_orderkey),
+r AS (SELECT o_orderkey AS id, coalesce(miss, []) AS miss, coalesce(open, false) AS open, coalesce(n, 0) AS n, o_custkey % 4 > 0 AS explicit, ['mandatory', 'permitted', 'mixed'][(o_custkey % 3 + 1)::INT] AS modality, list_sort(list_filter([CASE WHEN coalesce(len(miss), 0) > 0 THEN 'uncovered_normative_cues' END, CASE WHEN coalesce(n, 0) = 0 THEN 'no_obligations' END,
+  CASE WHEN open THEN 'unresolved_dependency' END, CASE WHEN o_orderkey % 7 = 0 THEN 'complex_syntax_needs_semantic_validation' END, CASE WHEN o_orderstatus = 'P' THEN 'example_not_a_general_rule' END, CASE WHEN o_orderkey % 23 = 0 THEN 'definition_not_an_obligation' END, CASE WHEN o_orderkey % 19 = 0 THEN 'condition_needs_interpretation' END,
+  CASE WHEN o_orderkey % 29 = 0 THEN 'two_readings' END], lambda x: x IS NOT NULL)) AS reasons FROM orders LEFT JOIN u ON u.id = o_orderkey LEFT JOIN d ON d.id = o_orderkey LEFT JOIN n ON n.id = o_orderkey)
+SELECT id, CASE WHEN len(miss) = 0 AND NOT open THEN 'complete' ELSE 'incomplete' END AS structural, CASE WHEN len(reasons) = 0 AND n = 1 AND explicit AND modality <> 'mixed' THEN 'verified_simple' ELSE 'unknown' END AS semantic, array_to_string(miss, ',') AS uncovered, array_to_string(reasons, ',') AS reasons FROM r""",
+)
+def ext7_verdicts(spark, sf):
+    """Orders as cards, their lines as cues, obligations and dependencies."""
+    l, o, k = table(spark, sf, "lineitem"), table(spark, sf, "orders"), F.col("o_orderkey")
+    spans = l.where("l_returnflag = 'N'")
+    held = spans.groupBy(F.col("l_orderkey").alias("_id")).agg(F.count_if(F.col("l_linenumber") == 1).alias("obligations"))
+    cards = o.join(held, k == F.col("_id"), "left").select(
+        k.alias("id"), F.when(k % 7 == 0, "this, and that").otherwise("this").alias("text"), "obligations", (F.col("o_custkey") % 4 > 0).alias("explicit"), F.element_at(F.array(*map(F.lit, ("mandatory", "permitted", "mixed"))), (F.col("o_custkey") % 3 + 1).cast("int")).alias("modality"),
+        (F.col("o_orderstatus") == "P").alias("example"), (k % 23 == 0).alias("definition"), (k % 19 == 0).alias("unknown_condition"), F.when(k % 29 == 0, F.array(F.lit("two_readings"))).alias("ambiguities"),
+    )
+    cues = l.where("l_returnflag <> 'N' and l_partkey % 5 = 0").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 200).alias("pos"))
+    covered = spans.select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 200).alias("start"), (F.col("l_suppkey") % 200 + 90).alias("end"))
+    needs = l.select(F.col("l_orderkey").alias("id"), (F.col("l_discount") == 0).alias("required"), (F.col("l_tax") < 0.02).alias("unresolved"))
+    got = X.completeness_screen(cards, cues, covered, needs, "[,;]")
+    return got.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("uncovered", "reasons")})
+
+
 LEDGER_SQL = "g AS (SELECT CASE WHEN doc_id % 90 = 0 AND ord = 0 THEN -1 ELSE doc_id END AS doc_id, ord FROM blocks WHERE (doc_id + ord) % 50 <> 0 UNION ALL SELECT doc_id, ord FROM blocks WHERE (doc_id + ord) % 77 = 0)"
 
 
@@ -155,6 +229,36 @@ def ext9(spark, sf):
     return assessed(spark, sf).select("doc_id", F.array_join("reasons", ",").alias("reasons"), status().alias("status"))
 
 
+@query(
+    "ext9_card_assessment",
+    """WITH c AS (SELECT o_orderkey AS id, o_custkey AS loc, CASE WHEN o_orderkey % 10 < 2 THEN ['definition', 'permission'][(o_orderkey % 2 + 1)::INT] ELSE 'requirement' END AS entity, o_orderkey % 31 > 0 AS prov, o_orderkey % 37 > 0 AS prof, o_orderkey % 3 = 0 AS approved, CASE WHEN o_orderkey % 17 > 0 THEN 'verified' ELSE 'unknown' END AS semantic,
+  CASE WHEN o_orderkey % 41 = 0 THEN 'incomplete' ELSE 'complete' END AS structural, o_orderkey % 13 = 0 AS amb, o_orderkey % 14 = 0 AS cond, o_orderkey % 26 = 0 AS resolved, o_orderkey % 43 > 0 AS known, ['mandatory', 'prohibited', 'mandatory', 'mixed'][(o_custkey % 4 + 1)::INT] AS modality, o_custkey % 11 AS obl, o_custkey % 5 AS cnd,
+  ['atom', 'all_of', 'any_of', 'not'][(o_orderkey % 4 + 1)::INT] AS op, o_custkey % 9 AS operands, CASE WHEN o_orderkey % 8 > 0 THEN o_totalprice / 300000 + 0.6 END AS confidence, CASE o_orderkey % 6 WHEN 0 THEN 'Approve the plan' WHEN 1 THEN 'If late, pay' WHEN 2 THEN 'Duties are set out in the annex' ELSE 'The clerk must pay' END AS quote FROM orders),
+q AS (SELECT l_orderkey AS id, l_suppkey AS loc FROM lineitem UNION SELECT id, loc FROM c), d AS (SELECT l_orderkey AS id, l_discount < 0.05 AS req, l_tax = 0 AND l_linenumber = 2 AS unres, CASE WHEN l_linenumber = 3 THEN l_partkey ELSE l_suppkey END AS target FROM lineitem),
+m AS (SELECT d.id, bool_or(unres) AS open, bool_or(req AND NOT unres AND q.id IS NULL) AS apart, bool_or(req AND NOT unres) AS held FROM d LEFT JOIN q ON q.id = d.id AND q.loc = d.target GROUP BY d.id), g AS (SELECT DISTINCT q.id FROM q WHERE loc % 71 = 0),
+j AS (SELECT c.*, coalesce(open, false) AS open, coalesce(apart, false) AS apart, coalesce(held, false) AS held, g.id IS NOT NULL AS gap, entity = 'requirement' AS duty FROM c LEFT JOIN m USING (id) LEFT JOIN g USING (id)),
+r AS (SELECT id, duty, list_filter([CASE WHEN NOT prov THEN 'provenance' END, CASE WHEN semantic <> 'verified' OR structural = 'incomplete' THEN 'incomplete' END, CASE WHEN amb AND NOT resolved THEN 'ambiguity' END, CASE WHEN cond AND NOT resolved THEN 'condition' END, CASE WHEN open THEN 'dependency' END, CASE WHEN apart THEN 'dependency_context' END,
+  CASE WHEN gap AND NOT approved THEN 'source_gap' END, CASE WHEN NOT prof THEN 'profile' END, CASE WHEN duty AND starts_with(quote, 'Approve') THEN 'administrative_action' END, CASE WHEN duty AND starts_with(quote, 'If') AND cnd = 0 AND NOT held THEN 'implicit_context' END, CASE WHEN duty AND contains(quote, 'set out in the annex') THEN 'context_statement' END,
+  CASE WHEN duty AND NOT known THEN 'applicability' END, CASE WHEN duty AND modality = 'mixed' THEN 'modality' END, CASE WHEN duty AND obl = 0 THEN 'no_obligation' END, CASE WHEN duty AND NOT (op = 'atom' OR op IN ('all_of', 'any_of') AND operands >= 2) THEN 'composition' END, CASE WHEN NOT approved AND NOT coalesce(confidence >= 0.9, false) THEN 'confidence' END], lambda x: x IS NOT NULL) AS reasons FROM j)
+SELECT id, CASE WHEN len(reasons) > 0 THEN 'candidate' WHEN duty THEN 'ready' ELSE 'reference' END AS status, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ',') WHEN duty THEN '' ELSE 'reference' END AS reasons FROM r""",
+)
+def ext9_cards(spark, sf):
+    """Orders as cards, their lines as citations and dependencies, some customers' and suppliers' places as gaps of the source."""
+    o, l, k, c = table(spark, sf, "orders"), table(spark, sf, "lineitem"), F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (n + 1).cast("int"))
+    cards = o.select(
+        k.alias("id"), c.alias("locator"), F.when(k % 10 < 2, pick(k % 2, "definition", "permission")).otherwise("requirement").alias("entity"), (k % 31 > 0).alias("provenance"), (k % 37 > 0).alias("profile"), (k % 3 == 0).alias("approved"), F.when(k % 17 > 0, "verified").otherwise("unknown").alias("semantic"),
+        F.when(k % 41 == 0, "incomplete").otherwise("complete").alias("structural"), (k % 13 == 0).alias("ambiguous"), (k % 14 == 0).alias("condition_open"), (k % 26 == 0).alias("resolved"), (k % 43 > 0).alias("applies_known"), pick(c % 4, "mandatory", "prohibited", "mandatory", "mixed").alias("modality"),
+        (c % 11).alias("obligations"), (c % 5).alias("conditions"), pick(k % 4, "atom", "all_of", "any_of", "not").alias("operator"), (c % 9).alias("operands"), F.when(k % 8 > 0, F.col("o_totalprice") / 300000 + 0.6).alias("confidence"),
+    )
+    quote = F.when(k % 6 == 0, "Approve the plan").when(k % 6 == 1, "If late, pay").when(k % 6 == 2, "Duties are set out in the annex").otherwise("The clerk must pay")
+    citations = o.select(k.alias("id"), c.alias("locator"), F.lit(0).alias("n"), quote.alias("quote")).unionByName(l.where("l_suppkey is not null").join(o.select(k.alias("_k"), c.alias("_c")), F.col("l_orderkey") == F.col("_k"), "left").where("_c is null or l_suppkey <> _c").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("locator"), F.lit(1).alias("n"), F.lit("seen").alias("quote")))
+    needs = l.select(F.col("l_orderkey").alias("id"), (F.col("l_discount") < 0.05).alias("required"), ((F.col("l_tax") == 0) & (F.col("l_linenumber") == 2)).alias("unresolved"), F.when(F.col("l_linenumber") == 3, F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("target"))
+    gaps = citations.where("locator % 71 = 0").select("locator")
+    got = X.quality_reasons(cards, citations, needs, gaps, "^Approve", "^If ", "set out in the annex")
+    return got.withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query(
     "ext10_duplicate_screen",
     f"""WITH a AS ({QUALITY_SQL}), s AS (SELECT doc_id, sha256(text) AS sha, {STATUS_SQL} AS status FROM a), f AS (SELECT *, status <> 'candidate' AS c, min(doc_id) OVER (PARTITION BY sha, status <> 'candidate') AS first FROM s)
