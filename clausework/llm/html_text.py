@@ -48,6 +48,8 @@ NAMES = re.compile(
     r"breadcrumbs?|footer|masthead|site-header|page-header|topbar|related|recommended|share|sharing|social|newsletter|subscribe|signup|popup|modal|overlay|pagination|pager|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: The names that make an article element no article: those of reader comments.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>")  # of a tag; quotes count after an equals sign
@@ -162,7 +164,7 @@ def parse(source: str) -> tuple[list[Block], list[tuple[int, int]]]:
                     elif k == "hidden" and v.lower() != "false" or k == "aria-hidden" and v.lower() == "true":
                         hidden = True
             top = stack[-1]
-            outside = top.outside or hidden or tag in REGIONS or role in ROLES or tag not in ("body", "html", "main") and bool(names and NAMES.search(names)) or tag == "header" and not top.article
+            outside = top.outside or hidden or tag in REGIONS or role in ROLES or tag not in ("body", "html", "main") and bool(names and (COMMENTS if tag == "article" else NAMES).search(names)) or tag == "header" and not top.article
             deep = top.article + (tag in ("article", "main") or role in ("article", "main"))
             path = _hash(top.path, tag, names)
             place += 1

@@ -129,3 +129,11 @@ def test_template_decides_on_pages_without_telling_elements(spark):
     for i, _, page in rows:
         assert got[i] == " ".join(t for t in texts[i] if found[i // 100][t] < 16)
         assert got[i] != main_text(page, set())  # every page changes without the template
+
+
+def test_names_of_articles(spark):
+    """An article element is one whatever it is called, unless it is a reader's comment; the same names still mark other elements."""
+    page = "<p>before</p><article {0}><p>The text.</p><div class='share'>share it</div></article>"
+    rows = [(i, "http://a/", page.format(n)) for i, n in enumerate(['class="post ad-free"', 'id="social-history"', 'class="notice widget"', ""])] + [(9, "http://a/", "<article>Text.</article><article class='comment even'>I like it</article>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys(range(4), "The text."), 9: "Text."}
