@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from clausework.functions.text import normalised, stemmed_terms, words
 from clausework.operators import retrieval as R
+from clausework.operators import vector_index as V
 from clausework.operators.rules import compile_rule
 from clausework.plans.app import FACTS_SQL, facts, plain_fact
 from clausework.plans.registry import query
@@ -110,6 +111,17 @@ def ret6(spark, sf):
     return got.select("query", "key", "rank", F.round("score", 5).alias("score"))
 
 
+@query("ret6_indexed_top")
+def ret6_indexed(spark, sf):
+    """The nearest of all vectors by an index fitted on a bounded sample; tests hold its recall against ``ret6_dense_top``'s exact way."""
+    e = table(spark, sf, "embeddings")
+    index = V.fit(e, "vec_id", "embedding")
+    if index is None:
+        return R.dense_top(e, e, "vec_id", "embedding", 10).select("query", "key", "rank", "score")
+    got = V.search(e.where("vec_id % 100 = 0"), V.indexed(e, "vec_id", "embedding", index), "vec_id", "embedding", index, 10)
+    return got.select("query", "key", "rank", F.round("score", 5).alias("score"))
+
+
 @query(
     "ret7_rank_fusion",
     f"""WITH {bm25_sql(DOCS, BENCH)}, ds AS (SELECT q.vec_id AS query, c.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
