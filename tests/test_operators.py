@@ -78,8 +78,8 @@ def test_packets_own_each_block_once(spark, sf):
     blocks = by(B.build_blocks(spark.read.parquet(f"{sf}/documents.parquet")).collect(), "doc_id")
     for k, own in blocks.items():
         ords = sorted(b.ord for b in own)
-        assert sum(p.blocks for p in owned[k]) == len(ords)
-        assert all(p["from"] <= p.first <= p.last <= p.to for p in owned[k])
+        assert sorted(p.ord for p in owned[k] if p.role == "owned") == ords
+        assert len({(p.group, p.ord) for p in owned[k]}) == len(owned[k]) and {p.ord for p in owned[k]} == set(ords)
 
 
 def test_budgeted_batches(spark, sf):
