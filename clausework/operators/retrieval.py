@@ -341,12 +341,17 @@ def context_bundle(hits: DataFrame, lines: DataFrame, doc: str, order: str, list
 
 
 def row_context(hits: DataFrame, cells: DataFrame, table: str, most: int = 24) -> DataFrame:
-    """``table, row, column, peers, complete``: of each hit cell the other cells of its row and the header cell of its column, at most ``most`` in the order of the table. ``cells``: table, row, column."""
-    h = hits.select(table, F.col("row").alias("r"), F.col("column").alias("c"))
-    peers = h.join(cells, table).where((F.col("row") == F.col("r")) | (F.col("row") == 1) & (F.col("column") == F.col("c"))).where("not (row = r and column = c)")
-    numbered = peers.distinct().withColumn("_n", F.row_number().over(Window.partitionBy(table, "r", "c").orderBy("row", "column")))
-    g = numbered.groupBy(table, "r", "c").agg(F.count_if(F.col("_n") <= most).alias("peers"), (F.count("*") <= most).alias("complete"))
-    return h.join(g, [table, "r", "c"], "left").select(table, F.col("r").alias("row"), F.col("c").alias("column"), F.coalesce("peers", F.lit(0)).alias("peers"), F.coalesce("complete", F.lit(True)).alias("complete"))
+    """``table, row, column, peers, complete``: of each hit cell the other cells of its row and the header cell of its column, at most ``most`` in the order of the table. ``cells``: table, row, column.
+
+    Peers are counted from the columns of a row and of the header row, so cells never meet each other and rows are shuffled, not pairs. Null places have none."""
+    h = hits.groupBy(table, "row").agg(F.collect_list(F.struct("column")).alias("_hits"))
+    rows = cells.where(F.col("row").isNotNull() & F.col("column").isNotNull()).groupBy(table, "row").agg(F.collect_set("column").alias("_cells"))
+    heads = rows.where("row = 1").select(table, F.col("_cells").alias("_heads"))
+    j = h.join(rows, [table, "row"], "left").join(heads, table, "left").select(table, "row", "_cells", "_heads", F.inline("_hits"))
+    held = lambda c: F.coalesce(F.array_contains(c, F.col("column")).cast("int"), F.lit(0))
+    beside = F.coalesce(F.array_size("_cells"), F.lit(0)) - held("_cells") + F.when(F.col("row") != 1, held("_heads")).otherwise(0)
+    n = F.when(F.col("column").isNotNull(), beside).otherwise(0)
+    return j.select(table, "row", "column", F.least(n, F.lit(most)).cast("long").alias("peers"), (n <= most).alias("complete"))
 
 
 def route_rules(rules: DataFrame, blocks: DataFrame, front: str, stop: str, definitions: str, acronym: str, quoted: Column, least: float = 0.7, first: int = 120, k: int = 8, reach: int = 1) -> DataFrame:
