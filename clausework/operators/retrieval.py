@@ -313,31 +313,49 @@ def context_bundle(hits: DataFrame, lines: DataFrame, doc: str, order: str, list
     query or begin with a cue. A hit that is a list item or ends with a colon brings its list: back over up to 13 list items to a lead-in that ends with a
     colon, from there on up to 18 lines, as long as they are list items or begin with a cue; a longer list makes the bundle incomplete. At most ``most`` lines
     and ``size`` characters in the order of the text; a bundle that passes either is truncated.
+
+    A hit's line finds its stop, its break and the lines around it in windows over its document, so a line is shuffled once or twice and not once for each of the 32 places around it.
     """
     item = lambda c: F.coalesce(F.rlike(c, F.lit(list_item)), F.lit(False))
     cued = lambda c: F.coalesce(F.rlike(c, F.lit(cue)), F.lit(False))
     colon = lambda c: F.coalesce(F.rlike(c, F.lit(r":\s*$")), F.lit(False))
-    own = hits.join(lines.select(doc, F.col(order).alias("hit"), F.col("heading").alias("_heading"), F.col("text").alias("_text")), [doc, "hit"])
-    near = own.withColumn(order, F.explode(F.sequence(F.col("hit") - 13, F.col("hit") + 18))).join(lines, [doc, order], "left")
-    w = Window.partitionBy(doc, "hit")
-    n = F.col(order) - F.col("hit")
-    near = near.withColumn("_stop", F.coalesce(F.min(F.when((n < 0) & ~(item("text") & ~colon("text")), -n)).over(w), F.lit(14)))
-    near = near.withColumn("_lead", F.coalesce(F.max(F.when((n == -F.col("_stop")) & colon("text"), F.col(order))).over(w), F.col("hit") - F.col("_stop") + 1))
-    after = F.col(order) > F.col("_lead")
-    near = near.withColumn("_break", F.min(F.when(after & ~(item("text") | cued("text")), F.col(order))).over(w))
-    walks = item("_text") | colon("_text")
+    asked = hits.select(doc, F.col("hit").alias(order), "roots", F.lit(True).alias("_hit"))
+    near = lines.join(asked, [doc, order], "left")
+    listed, broken = item("text") & ~colon("text"), ~(item("text") | cued("text"))
+    near = near.select(doc, order, "heading", "terms", "roots", "_hit", F.length("text").alias("_size"), cued("text").alias("_cued"), colon("text").alias("_colon"), listed.alias("_listed"), broken.alias("_broken"), (item("text") | colon("text")).alias("_walks"))
+    at, w = F.col(order), Window.partitionBy(doc).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    gap, hole = at - F.lag(order).over(w) != 1, F.lead(order).over(w) - at != 1  # lines that are missing stop and break as others do
+    near = near.withColumn("_gap", F.when(F.coalesce(gap, F.lit(True)), at - 1)).withColumn("_hole", F.when(F.coalesce(hole, F.lit(True)), at + 1))
+    stop = F.max(F.when(~F.col("_listed"), F.struct(at.alias("at"), F.col("_colon").alias("colon")))).over(before)
+    near = near.withColumn("_stop", stop).withColumn("_missing", F.max("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    later = F.least(F.min(F.when(F.col("_broken"), at)).over(w.rangeBetween(1, 18)), F.min("_hole").over(w.rangeBetween(0, 18)))
+    near = near.withColumn("_next", F.coalesce(later, at + 19))
+    item_of = lambda *c: F.collect_list(F.struct(at.alias("at"), F.col("_size").alias("size"), *c))
+    beside = item_of(F.col("heading").alias("heading"), F.col("_cued").alias("cued"), F.col("terms").alias("terms")).over(w.rangeBetween(-2, 2))
+    near = near.withColumn("_beside", beside).withColumn("_around", item_of().over(w.rangeBetween(-13, 18))).where("_hit")
+    last_stop = F.greatest(F.col("_stop.at"), F.col("_missing"))
+    far = at - last_stop > 13
+    leads = ~far & F.coalesce((F.col("_stop.at") == last_stop) & F.col("_stop.colon"), F.lit(False))
+    near = near.withColumn("_lead", F.when(far, at - 13).when(leads, last_stop).otherwise(last_stop + 1))
+    near = near.withColumn("_break", F.when((F.col("_lead") < at) & F.col("_broken"), at).otherwise(F.col("_next")))
     last = F.col("_lead") + 18
-    near = near.withColumn("_cut", walks & (F.coalesce("_break", last + 1) > last))
-    end = F.least(F.coalesce("_break", last), last)
-    listed = walks & (F.col(order) >= F.col("_lead")) & (F.col(order) < end)
-    beside = (F.abs(n) <= 2) & (F.col("heading") == F.col("_heading")) & (F.arrays_overlap("roots", "terms") | cued("text"))
-    near = near.withColumn("_in", F.coalesce(F.col("text").isNotNull() & (n != 0) & (listed | beside), F.lit(False)))
-    running = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_k", F.count_if("_in").over(running)).withColumn("_run", F.sum(F.when(F.col("_in"), F.length("text")).otherwise(0)).over(running))
-    kept = F.col("_in") & (F.col("_k") <= most) & (F.col("_run") <= size)
-    places = F.array_join(F.array_sort(F.collect_list(F.when(kept, F.col(order)))), ",")
-    out = near.groupBy(doc, "hit").agg(F.count_if(kept).alias("items"), F.coalesce(F.sum(F.when(kept, F.length("text"))), F.lit(0)).alias("chars"), (F.count_if("_in") > F.count_if(kept)).alias("truncated"), F.bool_or("_cut").alias("_cut"), places.alias("lines"))
-    return out.select(doc, "hit", "items", "chars", "truncated", (~F.col("_cut") & ~F.col("truncated")).alias("complete"), "lines")
+    near = near.withColumns({"_cut": F.col("_walks") & (F.col("_break") > last), "_end": F.when(F.col("_walks"), F.least("_break", last)).otherwise(F.col("_lead"))})
+    belongs = lambda x: (x["at"] != at) & x["size"].isNotNull()
+    by_list = F.filter("_around", lambda x: belongs(x) & (x["at"] >= F.col("_lead")) & (x["at"] < F.col("_end")))
+    by_place = F.filter("_beside", lambda x: F.coalesce(belongs(x) & (x["heading"] == F.col("heading")) & (x["cued"] | F.arrays_overlap("roots", x["terms"])), F.lit(False)))
+    members = F.array_sort(F.array_union(by_list, F.transform(by_place, lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size")))))
+    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<string>").alias("out"))
+
+    def take(a, x):  # the running size counts those that don't fit, too
+        run = a.run + x["size"]
+        fits = (run <= size) & (F.size(a.out) < most)
+        return F.struct(run.alias("run"), F.when(fits, run).otherwise(a.chars).alias("chars"), F.when(fits, F.array_append(a.out, x["at"].cast("string"))).otherwise(a.out).alias("out"))
+
+    near = near.withColumn("_members", members).withColumn("_kept", F.aggregate("_members", start, take))
+    items = F.size("_kept.out").cast("long")
+    truncated = F.size("_members") > items
+    return near.select(doc, at.alias("hit"), items.alias("items"), F.col("_kept.chars").alias("chars"), truncated.alias("truncated"), (~F.col("_cut") & ~truncated).alias("complete"), F.array_join("_kept.out", ",").alias("lines"))
 
 
 def row_context(hits: DataFrame, cells: DataFrame, table: str, most: int = 24) -> DataFrame:
