@@ -115,31 +115,48 @@ class _Throughput(StatefulProcessor):
         self.base = handle.getListState("base", "prefill double, generation double")
         self.recent = handle.getListState("recent", "prefill double, generation double")
         self.place = handle.getValueState("place", "n int, alarm long")
+        self.next = handle.getValueState("next", "timer long")
 
     def handleInputRows(self, key, rows, timerValues):
         added = [(int(r.at), int(r.id), float(r.prefill), float(r.generation)) for pdf in rows for r in pdf.itertuples()]
         self.waiting.appendList(added)
-        for t in {a // 1000 // self.every_ms for a, *_ in added}:
-            self.handle.registerTimer((t + 1) * self.every_ms)
+        self._wake(min(a for a, *_ in added))
         yield from ()
 
+    def _wake(self, at):
+        """One timer a bucket, for the earliest sample that waits: each timer that expires reads all that wait."""
+        timer = (at // 1000 // self.every_ms + 1) * self.every_ms
+        now = self.next.get()[0] if self.next.exists() else None
+        if now is not None and now <= timer:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(timer)
+        self.next.update((timer,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         until = timerValues.getCurrentWatermarkInMs() * 1000
+        self.next.clear()
         held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
         ready, rest = sorted(x for x in held if x[0] <= until), [x for x in held if x[0] > until]
+        if rest:
+            self._wake(max(min(x[0] for x in rest), until))
         if not ready:
             return
         n, alarm = self.place.get() if self.place.exists() else (0, None)
         base = [tuple(x) for x in self.base.get()] if self.base.exists() else []
         recent = [tuple(x) for x in self.recent.get()] if self.recent.exists() else []
-        out = []
+        out, normal = [], None
         for at, _, *rates in ready:
             n += 1
             if n <= FIRST:
                 base.append(tuple(rates))
             recent = [*recent, tuple(rates)][-LAST:]
             seconds = at // 1_000_000
-            if n >= FIRST + LAST and all(_median(recent, i) / _median(base, i) < DROP for i in (0, 1)) and (alarm is None or seconds - alarm >= COOLDOWN):
+            if n < FIRST + LAST or (alarm is not None and seconds - alarm < COOLDOWN):
+                continue
+            normal = normal or [_median(base, i) for i in (0, 1)]
+            if all(_median(recent, i) / normal[i] < DROP for i in (0, 1)):
                 alarm = seconds
                 out.append((key[0], key[1], n, at))
         self.place.update((n, alarm))
