@@ -120,9 +120,24 @@ def split_oversized(blocks: DataFrame, size: int = 2000, overlap: int = 200) ->
     return cut.withColumn("part", F.substring(F.col("text"), F.col("part_offset") + 1, F.lit(size)))
 
 
+_SENTENCE_ENDS = r"(?<=[.;!?])(?=\s+[\p{Lu}–—-])"
+
+
+def sentence_array(text: Column) -> Column:
+    """``array<struct<start, end, sentence>>``: the rows of ``sentence_spans`` as a column, for what stays within its text."""
+
+    def placed(parts):
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x)))
+        own = lambda end: lambda s: F.struct((end - F.length(s)).alias("start"), end.alias("end"), s.alias("sentence"))
+        cut = lambda e: F.transform(parts, lambda x, i: F.transform(F.array(F.regexp_replace(x, r"^\s+", "")), own(F.get(e, i + 1)))[0])
+        return F.transform(F.array(ends), cut)[0]
+
+    return F.transform(F.array(F.split(text, _SENTENCE_ENDS)), placed)[0]
+
+
 def sentence_spans(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc_id, n, start, end, sentence``: split after ``.;!?`` before white space and a capital or dash; decimals stay whole."""
-    parts = docs.select(F.col(doc).alias("doc_id"), F.split(F.col(text), r"(?<=[.;!?])(?=\s+[\p{Lu}–—-])").alias("p"))
+    parts = docs.select(F.col(doc).alias("doc_id"), F.split(F.col(text), _SENTENCE_ENDS).alias("p"))
     ends = F.aggregate("p", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x)))
     spans = parts.withColumn("e", ends).select("doc_id", "e", F.posexplode("p").alias("n", "raw"))
     lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))

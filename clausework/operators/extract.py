@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from clausework.operators.blocks import sentence_spans
+from clausework.operators.blocks import sentence_array
 from clausework.operators.register import ordered_folds
 
 #: Short quotes up to this many are broadcast.
@@ -149,42 +149,63 @@ def modal_scopes(blocks: DataFrame, doc: str, order: str, text: str, cues: list[
     parts are one. ``subject`` is the sentence before the cue (``document_author`` if nothing is), ``action`` the cue, ``object`` what follows it (the sentence if nothing does). A block with a scope that ends with a
     colon opens a list: blocks that match ``item`` after it inherit its modality (``mixed`` if its scopes differ), conditions and exceptions, until a block that doesn't; an item without a scope is
     an obligation to include it. ``conditions`` and ``exceptions`` are the orders of the blocks that match these patterns, its own and its parent's. A scope whose object matches ``fields`` and quotes two or more
-    names in « » becomes one row a name, of the ``group`` required_fields. Null texts have no scope; blocks without one and outside of lists have no row.
+    names in « » becomes one row a name, of the ``group`` required_fields. Null texts have no scope; blocks without one and outside of lists have no row. Scopes are found within their block's row;
+    only the window over a document's blocks shuffles.
     """
     any_ = "|".join(f"(?:{p})" for _, p in cues)
     said = lambda c, p: F.coalesce(F.rlike(c, F.lit(p)), F.lit(False))
-    b = blocks.select(F.struct(F.col(doc).alias("d"), F.col(order).alias("o")).alias("_key"), F.coalesce(text, F.lit("")).alias("_t"))
-    sentences = sentence_spans(b, "_key", "_t").select(F.col("doc_id").alias("_key"), "n", F.col("start").alias("_from"), F.col("end").alias("_to"), "sentence")
-    marked = F.split(F.regexp_replace("sentence", f"(?i)({any_})", "\x01$1"), "\x01")
-    pieces = sentences.withColumn("_p", marked).where(F.size("_p") > 1).select("_key", "n", "_from", "_to", "sentence", F.posexplode("_p").alias("i", "piece"))
-    inside = Window.partitionBy("_key", "n").orderBy("i")
-    cut = pieces.withColumn("_at", F.sum(F.length("piece")).over(inside) - F.length("piece")).where("i > 0")
-    action = F.regexp_extract("piece", f"(?i)^({any_})", 1)
-    kind = F.coalesce(*[F.when(F.rlike(action, F.lit(f"(?i)^(?:{p})$")), name) for name, p in cues])
-    cut = cut.withColumns({"action": action, "modality": kind}).withColumn("_rest", F.substring(F.col("piece"), F.length("action") + 1, F.length("piece")))
-    joins = (F.lag("modality").over(inside) == F.col("modality")) & (F.trim(F.lag("_rest").over(inside)) == "")
-    cut = cut.withColumn("_scope", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(inside))
-    scopes = cut.groupBy("_key", "n", "_from", "_to", "sentence", "_scope").agg(F.min("_at").alias("_at"), F.min_by("action", "i").alias("action"), F.min_by("modality", "i").alias("modality"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x.piece), "").alias("_whole"))
+    let = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  binds a value, so that it is made once a row
     stripped = lambda c: F.regexp_replace(c, r"^[\s,:]+|[\s,:]+$", "")
-    blank = lambda c, other: F.when(c == "", other).otherwise(c)
-    begin = F.col("_from") + F.when(F.col("_scope") == 1, 0).otherwise(F.col("_at"))
-    end = F.coalesce(F.col("_from") + F.lead("_at").over(Window.partitionBy("_key", "n").orderBy("_scope")), F.col("_to"))
-    rest = F.trim(F.regexp_replace(F.substring(F.col("_whole"), F.length("action") + 1, F.length("_whole")), r"^\s+|\s+$", ""))
-    own = scopes.select("_key", begin.cast("int").alias("start"), end.cast("int").alias("end"), blank(stripped(F.substring(F.col("sentence"), F.lit(1), F.col("_at"))), F.lit("document_author")).alias("subject"), "action", blank(rest, F.col("sentence")).alias("object"), "modality")
-    of_block = own.groupBy("_key").agg(F.when(F.count_distinct("modality") == 1, F.min("modality")).otherwise("mixed").alias("_m"))
-    at = F.col("_key.o")
-    facts = b.join(of_block, "_key", "left").select("_key", "_t", said("_t", item).alias("_item"), (F.col("_m").isNotNull() & said("_t", r":\s*$")).alias("_opens"), "_m", F.when(said("_t", condition), F.array(at)).otherwise(F.array().cast(f"array<{blocks.schema[order].dataType.simpleString()}>")).alias("_c"), F.when(said("_t", exception), F.array(at)).otherwise(F.array().cast(f"array<{blocks.schema[order].dataType.simpleString()}>")).alias("_x"))
-    before = Window.partitionBy("_key.d").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    blank = lambda c, other: let(c, lambda x: F.when(x == "", other).otherwise(x))
+    kind = lambda action: F.coalesce(*[F.when(F.rlike(action, F.lit(f"(?i)^(?:{p})$")), name) for name, p in cues])
+    after = lambda c, action: F.substring(c, F.length(action) + 1, F.length(c))
+
+    def piece(x):
+        return let(F.regexp_extract(x, f"(?i)^({any_})", 1), lambda action: F.struct(x.alias("piece"), action.alias("action"), kind(action).alias("modality"), after(x, action).alias("rest")))
+
+    def grow(a, x):  # a piece opens a scope, or is added to the last one
+        joins = F.coalesce((a.modality == x.modality) & (F.trim(a.rest) == ""), F.lit(False))
+        last = F.get(a.out, F.size(a.out) - 1)
+        longer = F.concat(F.slice(a.out, F.lit(1), F.size(a.out) - 1), F.array(F.struct(last.at.alias("at"), last.action.alias("action"), last.modality.alias("modality"), F.concat(last.whole, x.piece).alias("whole"))))
+        out = F.when(joins, longer).otherwise(F.array_append(a.out, F.struct(a.at.alias("at"), x.action.alias("action"), x.modality.alias("modality"), x.piece.alias("whole"))))
+        return F.struct((a.at + F.length(x.piece)).alias("at"), x.modality.alias("modality"), x.rest.alias("rest"), out.alias("out"))
+
+    def scopes(s):
+        def placed(out):
+            def one(x, i):
+                rest = F.trim(F.regexp_replace(after(x.whole, x.action), r"^\s+|\s+$", ""))
+                end = F.coalesce(s.start + F.get(out, i + 1).at, s.end)
+                return F.struct((s.start + F.when(i == 0, 0).otherwise(x.at)).alias("start"), end.alias("end"), blank(stripped(F.substring(s.sentence, F.lit(1), x.at)), F.lit("document_author")).alias("subject"), x.action.alias("action"), blank(rest, s.sentence).alias("object"), x.modality.alias("modality"))
+
+            return F.transform(out, one)
+
+        def found(m):
+            begin = F.struct(F.length(m[0]).alias("at"), F.lit(None).cast("string").alias("modality"), F.lit(None).cast("string").alias("rest"), F.array().cast("array<struct<at:int,action:string,modality:string,whole:string>>").alias("out"))
+            return let(F.aggregate(F.transform(F.slice(m, F.lit(2), F.size(m)), piece), begin, grow, lambda a: a.out), placed)
+
+        return let(F.split(F.regexp_replace(s.sentence, f"(?i)({any_})", "\x01$1"), "\x01"), found)
+
+    at, none = F.col(order), F.array().cast(f"array<{blocks.schema[order].dataType.simpleString()}>")
+    b = blocks.select(doc, order, F.coalesce(text, F.lit("")).alias("_t"))
+    b = b.withColumn("_own", F.flatten(F.transform(sentence_array(F.col("_t")), scopes)))
+    told = F.array_distinct(F.filter(F.transform("_own", lambda x: x.modality), lambda m: m.isNotNull()))
+    b = b.withColumn("_m", F.when(F.size("_own") > 0, let(told, lambda m: F.when(F.size(m) == 1, m[0]).otherwise("mixed"))))
+    facts = b.withColumns({"_item": said("_t", item), "_opens": F.col("_m").isNotNull() & said("_t", r":\s*$"), "_c": F.when(said("_t", condition), F.array(at)).otherwise(none), "_x": F.when(said("_t", exception), F.array(at)).otherwise(none)})
+    before = Window.partitionBy(doc).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(~F.col("_item"), F.struct("_opens", at.alias("o"), "_m", "_c", "_x")), ignorenulls=True).over(before)
-    facts = facts.withColumn("_p", F.when(F.col("_item"), last)).withColumn("_p", F.when(F.col("_p._opens"), F.col("_p")))
-    context = [F.array_distinct(F.concat(F.col(c), F.coalesce(F.col(f"_p.{c}"), F.array().cast(facts.schema[c].dataType)))).alias(n) for c, n in (("_c", "conditions"), ("_x", "exceptions"))]
-    context = facts.select("_key", *context, F.col("_p.o").alias("parent"))
-    included = facts.where(F.col("_p").isNotNull() & F.col("_m").isNull() & (F.trim("_t") != "")).select("_key", F.lit(0).alias("start"), F.length("_t").alias("end"), F.lit("document_author").alias("subject"), F.lit("include_item").alias("action"), F.col("_t").alias("object"), F.col("_p._m").alias("modality"))
-    names = F.regexp_extract_all("object", F.lit("«([^»]+)»"), F.lit(1))
-    each = own.unionByName(included).withColumn("_names", F.when(said("object", fields) & (F.size(names) > 1), names))
-    row = F.when(F.col("_names").isNotNull(), F.transform("_names", lambda x: F.struct(F.lit("include_field").alias("action"), x.alias("object"), F.lit("required_fields").alias("group")))).otherwise(F.array(F.struct("action", "object", F.lit(None).cast("string").alias("group"))))
-    flat = each.select("_key", "start", "end", "subject", "modality", F.inline(row)).join(context, "_key")
-    return flat.select(F.col("_key.d").alias(doc), at.alias(order), "start", "end", "subject", "action", "object", "modality", "conditions", "exceptions", "parent", "group")
+    facts = facts.withColumn("_p", last).withColumn("_p", F.when(F.col("_item") & F.col("_p._opens"), F.col("_p")))
+    context = [F.array_distinct(F.concat(F.col(c), F.coalesce(F.col(f"_p.{c}"), none))).alias(n) for c, n in (("_c", "conditions"), ("_x", "exceptions"))]
+    include = F.struct(F.lit(0).alias("start"), F.length("_t").alias("end"), F.lit("document_author").alias("subject"), F.lit("include_item").alias("action"), F.col("_t").alias("object"), F.col("_p._m").alias("modality"))
+    each = F.when(F.col("_p").isNotNull() & F.col("_m").isNull() & (F.trim("_t") != ""), F.array(include)).otherwise(F.col("_own"))
+
+    def rows(x):
+        row = lambda action, what, group: F.struct(x.start.alias("start"), x.end.alias("end"), x.subject.alias("subject"), action.alias("action"), what.alias("object"), x.modality.alias("modality"), group.cast("string").alias("group"))
+        names = F.when(said(x.object, fields), F.regexp_extract_all(x.object, F.lit("«([^»]+)»"), F.lit(1)))
+        return let(names, lambda n: F.when(F.size(n) > 1, F.transform(n, lambda name: row(F.lit("include_field"), name, F.lit("required_fields")))).otherwise(F.array(row(x.action, x.object, F.lit(None)))))
+
+    # An outer generator: for an inner one Spark would make the array a second time, to leave out empty ones beforehand.
+    flat = facts.select(doc, order, *context, F.col("_p.o").alias("parent"), F.flatten(F.transform(each, rows)).alias("_rows")).select("*", F.inline_outer("_rows")).where("action is not null")
+    return flat.select(doc, order, "start", "end", "subject", "action", "object", "modality", "conditions", "exceptions", "parent", "group")
 
 
 def split_members(rules: DataFrame, key: str, text: str, mark: str = ":", between: str = ";") -> DataFrame:

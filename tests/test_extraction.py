@@ -31,6 +31,8 @@ def test_cues_of_one_modality_are_one(spark):
     df = spark.createDataFrame([(1, 0, "Staff shall must sign and must pay")], "doc int, ord int, text string")
     got = X.modal_scopes(df, "doc", "ord", "text", P.CUES, P.ITEM, P.CONDITION, P.EXCEPTION, P.FIELDS).orderBy("start").collect()
     assert [(r.start, r.end, r.action, r.object) for r in got] == [(0, 26, "shall", "must sign and"), (26, 34, "must", "pay")]
+    plan = X.modal_scopes(df, "doc", "ord", "text", P.CUES, P.ITEM, P.CONDITION, P.EXCEPTION, P.FIELDS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # scopes stay within their rows; only the window over a document shuffles
     assert X.modal_scopes(df.where("false"), "doc", "ord", "text", P.CUES, P.ITEM, P.CONDITION, P.EXCEPTION, P.FIELDS).count() == 0
 
 
