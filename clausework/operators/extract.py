@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from clausework.functions.arrow import bounded_slices
 from clausework.operators.blocks import sentence_array
 from clausework.operators.register import ordered_folds
 
@@ -19,6 +20,8 @@ from clausework.operators.register import ordered_folds
 BROADCAST_QUOTES = 100_000
 #: Quotes whose runs of words are broadcast at most (about 100 bytes each); more meet the documents in a join on hashes of runs.
 BROADCAST_RUNS = 500_000
+#: Words of documents that a task looks through at once; a longer document is looked through as a whole.
+SLICE_WORDS = 200_000
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,7 +77,7 @@ def _run_candidates(runs: DataFrame, docs: DataFrame, item: str, doc: str, text:
     def run(frames):
         names, asked = known.value
         vocabulary = pa.array(names, pa.string())
-        for batch in frames:
+        for batch in (part for whole in frames for part in bounded_slices(whole, "_w", SLICE_WORDS)):
             lists = batch.column("_w")
             ids = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy().astype(np.int64)
             of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
