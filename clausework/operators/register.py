@@ -159,10 +159,14 @@ def budgeted_batches(rules: DataFrame, blocks: DataFrame, document: str, budget:
 
 
 def topic_clusters(facts: DataFrame, terms: Column, source: str, item: str, most: int = 8, least_sources: int = 2) -> DataFrame:
-    """``topic, item, page``: facts by the SHA-256 of their sorted distinct terms, from at least ``least_sources`` sources, in pages of ``most``."""
-    t = facts.withColumn("topic", F.sha2(F.array_join(F.array_sort(F.array_distinct(terms)), " "), 256))
-    wide = t.groupBy("topic").agg(F.count_distinct(source).alias("_s")).where(F.col("_s") >= least_sources).select("topic")
-    return page_numbers(t.join(wide, "topic").select("topic", item), [item], most, ["topic"])
+    """``topic, item, page``: facts by the SHA-256 of their sorted distinct terms, from at least ``least_sources`` sources, in pages of ``most``.
+
+    Texts are read and their terms made once: sources are counted in windows on the topic, which share one shuffle of digests."""
+    digest = F.sha2(F.array_join(F.array_sort(F.array_distinct(terms)), " "), 256)
+    t = facts.select(digest.alias("topic"), F.col(source).alias("_source"), item).where("topic is not null").repartition("topic")
+    nth = F.when(F.col("_source").isNotNull(), F.dense_rank().over(Window.partitionBy("topic").orderBy(F.col("_source").asc_nulls_last())))
+    wide = t.withColumn("_nth", nth).withColumn("_of", F.max("_nth").over(Window.partitionBy("topic"))).where(F.col("_of") >= least_sources)
+    return page_numbers(wide.select("topic", item), [item], most, ["topic"])
 
 
 def reuse(requests: DataFrame, cache: DataFrame, digest: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
