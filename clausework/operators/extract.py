@@ -341,15 +341,15 @@ def matrix_problems(expected: DataFrame, got: DataFrame, keys: list[str]) -> Dat
 
 
 def span_runs(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``key, first, last``: contiguous runs of numbers; repeated numbers count once."""
+    """``key, first, last``: contiguous runs of numbers; repeated numbers count once. One shuffle by key and one sort: repeated numbers share their rank, so none is dropped beforehand."""
     w = Window.partitionBy(key).orderBy(order)
-    r = rows.select(key, order).distinct().withColumn("_g", F.col(order) - F.row_number().over(w))
+    r = rows.select(key, order).withColumn("_g", F.col(order) - F.dense_rank().over(w))
     return r.groupBy(key, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_g")
 
 
 def expand_runs(runs: DataFrame, key: str) -> DataFrame:
-    """The numbers of runs again."""
-    return runs.select(key, F.explode(F.sequence("first", "last")).alias("n"))
+    """The numbers of runs again, each beside its run: ``key, first, last, n``."""
+    return runs.select(key, "first", "last", F.explode(F.sequence("first", "last")).alias("n"))
 
 
 def fingerprint(rows: DataFrame, keys: list[str], order: str, digest: str) -> DataFrame:
