@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausework.functions.text import INK, content_id
-from clausework.operators.intervals import overlapping
 
 
 def build_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,29 +165,37 @@ def header_bindings(cells: DataFrame, table: list[str], least: float = 0.15, rep
     ``cells``: table columns, id, row, rowspan, left and right edge (whole numbers, in any unit of width; right is exclusive), header (its row is a header row) and width (of the table). ``repeated`` names a
     column of tables that repeat their header: there only the last header row above a cell counts. A header of any level binds by its own width, so merged headers bind to all cells below
     them. A cell that no header overlaps has an empty array: it is an orphan. Header cells bind to the headers above them. Null edges, or none to the right of the left one, bind nothing.
+
+    One shuffle by the table; labels come from a window over each row, headers and groups from one over the rows above. Of tables that repeat their header, a cell holds the last header row only.
     """
-    rows = cells.select(*table, "row", "header").groupBy(*table, "row").agg(F.bool_or("header").alias("_is"))
-    before = F.max(F.when(F.col("_is"), F.col("row"))).over(Window.partitionBy(*table).orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    c = cells.join(rows.select(*table, "row", before.alias("_last")), [*table, "row"])
-    bounds = (F.col("left"), F.col("right") - 1)
-    heads = cells.where("header").select(*table, "id", "row", "left", "right")
-    met = overlapping(c.select(*table, "id", "row", "left", "right", "_last", *([repeated] if repeated else [])), heads, table, bounds, bounds)
-    above = met.where(F.col("r.row") < F.col("l.row"))
-    if repeated:
-        above = above.where(~F.coalesce(F.col(f"l.{repeated}"), F.lit(False)) | (F.col("r.row") == F.col("l._last")))
-    shared = F.least("l.right", "r.right") - F.greatest("l.left", "r.left")
-    share = F.round(shared / F.greatest(F.lit(1), F.col("l.right") - F.col("l.left")), 5)
-    place = F.struct("r.row", "r.left", "r.id")
-    ids = lambda found: F.transform(F.array_sort(found), lambda x: x.id)
-    bound = above.groupBy(*table, F.col("l.id").alias("id")).agg(ids(F.collect_list(F.when(share >= least, place))).alias("headers"), ids(F.collect_list(F.when(share < least, place))).alias("slivers"))
-    full = (F.col("left") == 0) & (F.col("right") == F.col("width")) & ~F.col("header")
-    span = Window.partitionBy(*table).orderBy("row").rangeBetween(Window.unboundedPreceding, -1)
-    groups = cells.select(*table, "id", F.max(F.when(full, F.struct("row", F.col("id").alias("_g")))).over(span).getField("_g").alias("group"))
-    taken = cells.where(~F.col("header")).select(*table, "id", "row", "left", F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1)).alias("_at"))
-    left = c.select(*table, F.col("id").alias("_id"), F.col("row").alias("_at"), F.col("left").alias("_left")).join(taken, [*table, "_at"]).where("left < _left")
-    labels = left.groupBy(*table, F.col("_id").alias("id")).agg(ids(F.collect_list(F.struct("row", "left", "id"))).alias("labels"))
-    none = lambda name: F.coalesce(name, F.array().cast(bound.schema["headers"].dataType)).alias(name)
-    return cells.select(*table, "id").join(bound, [*table, "id"], "left").join(groups, [*table, "id"]).join(labels, [*table, "id"], "left").select(*table, "id", none("headers"), none("slivers"), "group", none("labels"))
+    kind, real = cells.schema["id"].dataType.simpleString(), reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in [*table, "row"]])
+    held = F.coalesce(F.col(repeated), F.lit(False)) if repeated else F.lit(False)
+    c = cells.select(*table, "id", "row", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "width", F.col("header"), held.alias("_rep"), real.alias("_real"), F.when(F.col("rowspan") > 0, F.col("rowspan")).otherwise(0).alias("_span"))
+    at = F.explode(F.when((F.col("_span") > 1) & F.col("row").isNotNull(), F.sequence("row", F.col("row") + F.col("_span") - 1)).otherwise(F.array("row")))
+    spread = c.repartition(*table).select("*", at.alias("_at"), F.struct("row", "left", "id").alias("_place"))
+    own, is_head = F.col("_at").eqNullSafe(F.col("row")), F.col("_real") & F.col("header")
+    line = Window.partitionBy(*table, "_at").orderBy("left")
+    gives = F.col("_real") & ~F.col("header") & F.col("left").isNotNull() & (F.col("_span") > 0)
+    placed = F.struct("row", "left", "id", "right")
+    whole_row = F.collect_list(F.when(own & is_head & F.col("_rep"), placed)).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    lined = spread.withColumns({"_labels": F.collect_list(F.when(gives, F.col("_place"))).over(line.rangeBetween(Window.unboundedPreceding, -1)), "_row_heads": whole_row}).where(own)
+    above = Window.partitionBy(*table).orderBy("row").rangeBetween(Window.unboundedPreceding, -1)
+    full = F.col("_real") & (F.col("left") == 0) & (F.col("right") == F.col("width")) & ~F.col("header")
+    last = F.max(F.when(is_head & F.col("_rep"), F.struct("row", F.size("_row_heads").alias("n"), F.col("_row_heads").alias("h")))).over(above)
+    seen = lined.withColumns({"_last": last, "_every": F.collect_list(F.when(is_head & ~F.col("_rep"), placed)).over(above), "_group": F.max(F.when(full, F.struct("row", "id"))).over(above)})
+    width = F.greatest(F.lit(1), F.col("right") - F.col("left"))
+    share = lambda h: F.round((F.least("right", h.right) - F.greatest("left", h.left)) / width, 5)
+    heads = F.when(F.col("_rep"), F.coalesce("_last.h", F.array().cast(lined.schema["_row_heads"].dataType))).otherwise(F.col("_every"))
+    met = F.filter(heads, lambda h: (h.left < F.col("right")) & (F.col("left") < h.right) & (h.left < h.right) & (F.col("left") < F.col("right")))
+    shared = F.array_sort(F.transform(met, lambda h: F.struct(h.row.alias("row"), h.left.alias("left"), h.id.alias("id"), (share(h) >= least).alias("binds"))))
+    ids = lambda found: F.transform(found, lambda x: x.id)
+    known = seen.select("*", shared.alias("_met"))
+    none = F.array().cast(f"array<{kind}>")
+    return known.select(
+        *table, "id",
+        F.when(F.col("_real"), ids(F.filter("_met", lambda x: x.binds))).otherwise(none).alias("headers"), F.when(F.col("_real"), ids(F.filter("_met", lambda x: ~x.binds))).otherwise(none).alias("slivers"),
+        F.when(F.col("_real"), F.col("_group.id")).alias("group"), F.when(F.col("_real") & F.col("left").isNotNull(), ids(F.array_sort("_labels"))).otherwise(none).alias("labels"),
+    )
 
 
 def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
