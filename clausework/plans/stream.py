@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausework.plans.registry import SQL, query
-from clausework.sources.scratch import new_folder
+from clausework.sources.scratch import new_folder, written
 from clausework.sources.tables import table
 from clausework.streaming import stateful as W
 from clausework.streaming import streams as S
@@ -35,9 +35,9 @@ def str1(spark, sf):
 def str1_stream(spark, sf):
     """The same rows from a stream: the parts of a log come in four micro-batches, out of order, and a marker three days later brings the end of all waits."""
     parts = log_parts(spark, sf).withColumn("ts", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, part, 0)"))
-    batch = F.pmod(F.xxhash64("conv_id", "part"), F.lit(4))
+    parts = written(parts.withColumn("_batch", F.pmod(F.xxhash64("conv_id", "part"), F.lit(4))), "parts")
     last = spark.range(1).select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).alias("part"), F.lit(1).alias("total"), F.lit("").alias("text"), F.sha2(F.lit(""), 256).alias("sha"), F.expr("timestamp '2024-01-04 00:00:00'").alias("ts"))
-    stream = W.files_of([*[parts.where(batch == k) for k in range(4)], last, last])
+    stream = W.files_of([*[parts.where(F.col("_batch") == k).drop("_batch") for k in range(4)], last, last])
     return W.run_to_end(W.reassemble(stream, "conv_id", "1 day")).where("conv_id is not null")
 
 

@@ -1,6 +1,6 @@
 """Streams with state of their own: log reassembly and throughput alarms on ``transformWithStateInPandas``, and an idempotent sink.
 
-State lives in RocksDB under the query's checkpoint: values, maps and lists that grow by appending, so a key's past is not rewritten with each micro-batch, and event-time timers.
+State lives in RocksDB under the query's checkpoint: values and lists that grow by appending, so a key's past is not rewritten with each micro-batch, and event-time timers.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ def run_to_end(out: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def files_of(parts: list[DataFrame], folder: str | None = None) -> DataFrame:
-    """A stream of the rows of ``parts``, one micro-batch or more for each, in their order: they are written to the shared folder one after another and read a file at a time."""
+    """A stream of the rows of ``parts``, one micro-batch or more for each, in their order: they are written to the shared folder one after another and read a file at a time.
+    A part is one file and so copied by one task: what is costly to compute belongs in a table before."""
     spark, folder = parts[0].sparkSession, folder or new_folder(parts[0].sparkSession, "source")
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(folder)
@@ -50,53 +51,56 @@ class _Reassembly(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.facts = handle.getValueState("facts", "parts long, low int, high int, top int, bad boolean, done boolean")
-        self.seen = handle.getMapState("seen", "part int", "times int")
+        self.facts = handle.getValueState("facts", "parts long, low int, high int, top int, bad boolean, done boolean, timer long")
         self.texts = handle.getListState("texts", "part int, text string")
 
     def handleInputRows(self, key, rows, timerValues):
-        parts, low, high, top, bad, done = self.facts.get() if self.facts.exists() else (0, None, None, -1, False, False)
+        """Each call on the state is a round trip: a micro-batch of a key reads and writes its facts once and appends its texts once."""
+        parts, low, high, top, bad, done, timer = self.facts.get() or (0, None, None, -1, False, False, None)
         latest, added = 0, []
         for pdf in rows:
-            for r in pdf.itertuples():
-                again = self.seen.containsKey((r.part,))
-                self.seen.updateValue((r.part,), (self.seen.getValue((r.part,))[0] + 1 if again else 1,))
-                bad = bad or again or hashlib.sha256(r.text.encode()).hexdigest() != r.sha
-                low, high, top, parts = r.total if low is None else min(low, r.total), r.total if high is None else max(high, r.total), max(top, r.part), parts + 1
-                latest = max(latest, int(pd.Timestamp(r.ts).timestamp() * 1000))
-                added.append((int(r.part), r.text))
+            latest = max(latest, int(pdf.ts.max().value // 1_000_000))
+            for part, total, text, sha in zip(pdf.part.tolist(), pdf.total.tolist(), pdf.text, pdf.sha, strict=True):
+                bad = bad or hashlib.sha256(text.encode()).hexdigest() != sha
+                low, high, top, parts = total if low is None else min(low, total), total if high is None else max(high, total), max(top, part), parts + 1
+                added.append((part, text))
         self.texts.appendList(added)
         bad = bad or low != high or top + 1 > high
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest + self.wait_ms)
+        if latest + self.wait_ms != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = latest + self.wait_ms
+            self.handle.registerTimer(timer)
         if not bad and parts == high and not done:
-            done = True
-            yield self._row(key, parts, "complete")
-        self.facts.update((parts, low, high, top, bad, done))
+            again, row = self._joined(key, parts, "complete")
+            if not again:
+                done = True
+                yield row
+        self.facts.update((parts, low, high, top, bad, done, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        parts, _, high, top, bad, done = self.facts.get()
+        parts, _, high, top, bad, done, _ = self.facts.get()
         if bad or top + 1 != parts:
-            yield self._row(key, parts, "error")
+            yield self._joined(key, parts, "error")[1]
         elif not done:
-            yield self._row(key, parts, "incomplete" if parts < high else "complete")
-        for state in (self.facts, self.seen, self.texts):
+            again, row = self._joined(key, parts, "incomplete" if parts < high else "complete")
+            yield row if not again else row.assign(state="error")
+        for state in (self.facts, self.texts):
             state.clear()
 
-    def _row(self, key, parts, name):
-        text = "".join(t for _, t in sorted(tuple(x) for x in self.texts.get()))
-        return pd.DataFrame({"key": [key[0]], "parts": [parts], "state": [name], "digest": [hashlib.sha256(text.encode()).hexdigest()]})
+    def _joined(self, key, parts, name):
+        """(whether a part came twice, the row): both from the texts, as parts are counted."""
+        texts = sorted(tuple(x) for x in self.texts.get())
+        digest = hashlib.sha256("".join(t for _, t in texts).encode()).hexdigest()
+        return len({p for p, _ in texts}) < len(texts), pd.DataFrame({"key": [key[0]], "parts": [parts], "state": [name], "digest": [digest]})
 
-    def close(self) -> None:
-        pass
 
 
 def reassemble(parts: DataFrame, key: str, wait: str = "1 hour") -> DataFrame:
     """Stream form of ``reassembled``: ``parts`` also has ``ts``. A log is put out as complete with its last part; ``wait`` after its newest part, by a timer, as an error (a gap, a repeated part, two totals or a
     wrong digest, wherever they arrived) or as incomplete. A part that comes between its log's completion and the timer makes an error row of its own. Later than ``wait``, rows are dropped as late.
 
-    A key's texts are a list to which a micro-batch appends; its counts and totals are a value, its part numbers a map.
+    A key's texts are a list to which a micro-batch appends; its counts and totals are a value. Whether a part came twice is told from the list, when a row is put out.
     """
     kind, (n, unit) = parts.schema[key].dataType.simpleString(), wait.split()
     ms = int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000
