@@ -30,3 +30,14 @@ def text_slices(column: pa.Array, most: int) -> Iterator[pa.Array]:
     texts = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64) if texts else np.full(len(column), max(1, most // 1000))
     return (column.slice(at, n) for at, n in part_bounds(sizes, most))
+
+
+def python_values(column: pa.Array) -> list:
+    """``column.to_pylist()``, by way of numpy where that gives the same: whole numbers, floats, booleans and lists of them, without nulls."""
+    kind = column.type
+    if column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if column.null_count == 0 and pa.types.is_list(kind):
+        flat, ends = python_values(column.flatten()), np.cumsum(pc.list_value_length(column).to_numpy()).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+    return column.to_pylist()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from clausework.functions.arrow import python_values
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
@@ -61,25 +63,28 @@ def ordered_folds(df: DataFrame, key: str, order: str, columns: list[str], fold:
         held: list[tuple] = []
         out: list[tuple] = []
 
+        def table_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
         def flush():
             out.extend(fold(held))
             held.clear()
 
         for batch in frames:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(python_values(c) for c in batch.columns), strict=True):
                 if held and held[0][0] != row[0]:
                     flush()
                 held.append(row)
             if len(out) > 5000:
-                yield pa.RecordBatch.from_pylist([dict(zip(fields, r, strict=True)) for r in out], schema=kinds)
+                yield table_of(out)
                 out.clear()
         if held:
             flush()
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(fields, r, strict=True)) for r in out], schema=kinds)
+            yield table_of(out)
 
     shape = df.sparkSession.createDataFrame([], schema).schema
-    fields, kinds = shape.names, to_arrow_schema(shape)
+    kinds = to_arrow_schema(shape)
     return placed.mapInArrow(run, shape)
 
 
@@ -87,24 +92,28 @@ def pack_by_overlap(rules: DataFrame, document: str, rule: str, blocks: str, mos
     """``document, rule, pack``: greedy packs of rules that reuse the same evidence blocks. ``blocks``: array of struct(id, n)."""
 
     def fold(rows: list[tuple]) -> list[tuple]:
-        packs: list[tuple[list, dict]] = []
-        for _, name, listed in rows:
-            own = {b["id"]: b["n"] for b in listed}
-            best, saved = None, 0
-            for p in packs:
-                shared = sum(n for b, n in own.items() if b in p[1])
-                size = sum(p[1].values()) + sum(n for b, n in own.items() if b not in p[1])
-                if shared > saved and len(p[0]) < most and size <= limit:
-                    best, saved = p, shared
+        packs: list[tuple[list, dict, int]] = []  # names, blocks, their size
+        for _, name, ids, sizes in rows:
+            own = dict(zip(ids, sizes, strict=True))
+            best, saved, whole = None, 0, sum(own.values())
+            for i, (names, held, size) in enumerate(packs):
+                if len(names) < most:
+                    both = own.keys() & held.keys()
+                    shared = sum(own[b] for b in both)
+                    if shared > saved and size + whole - shared <= limit:
+                        best, saved = i, shared
             if best is None:
-                packs.append(([name], dict(own)))
+                packs.append(([name], own, whole))
             else:
-                best[0].append(name)
-                best[1].update(own)
-        return [(rows[0][0], name, i) for i, (names, _) in enumerate(packs) for name in names]
+                names, held, _ = packs[best]
+                names.append(name)
+                held.update(own)
+                packs[best] = names, held, sum(held.values())
+        return [(rows[0][0], name, i) for i, (names, *_) in enumerate(packs) for name in names]
 
     kind = lambda c: rules.schema[c].dataType.simpleString()
-    return ordered_folds(rules, document, rule, [blocks], fold, f"{document} {kind(document)}, {rule} {kind(rule)}, pack int")
+    columns = rules.select(document, rule, F.col(f"{blocks}.id").alias("_ids"), F.col(f"{blocks}.n").alias("_sizes"))
+    return ordered_folds(columns, document, rule, ["_ids", "_sizes"], fold, f"{document} {kind(document)}, {rule} {kind(rule)}, pack int")
 
 
 def budgeted_batches(rules: DataFrame, blocks: DataFrame, document: str, budget: int, most: int = 16) -> DataFrame:
