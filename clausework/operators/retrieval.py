@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from clausework.functions.text import words
 from clausework.sources.scratch import written
 
 #: Query terms are broadcast up to this count; more are joined by a shuffle on the term.
@@ -375,39 +376,46 @@ def row_context(hits: DataFrame, cells: DataFrame, table: str, most: int = 24) -
 def route_rules(rules: DataFrame, blocks: DataFrame, front: str, stop: str, definitions: str, acronym: str, quoted: Column, least: float = 0.7, first: int = 120, k: int = 8, reach: int = 1) -> DataFrame:
     """``doc, rule, ord, via``: the blocks of its document that a rule is checked on, and the sorted ways that led there.
 
-    ``rules``: doc, rule, number (null: none), expected (text), terms (distinct, of the expected text); ``blocks``: doc, ord, section, text, terms. A section's first block is its title, its
+    ``rules``: doc, rule, number (null: none), expected (text), terms (distinct words of the expected text); ``blocks``: doc, ord, section, text. A section's first block is its title, its
     number the section's place from 1. ``section``: all blocks of sections of the rule's number or whose title holds at least ``least`` of its terms. ``front``: the first ``first`` blocks up to one
     that matches ``stop``, for rules without a number whose text matches ``front``. ``definition``: blocks of sections titled like ``definitions`` that hold an acronym of a ``quoted`` block.
     ``index``: the k best blocks of the document by TF-IDF, with neighbours within ``reach`` in their section.
+
+    Texts are shuffled once, by document, to meet the rules; what each block shows of a rule is taken there, and the rest are windows over those narrow rows, dealt as they are.
     """
     tokens = lambda c: F.filter(F.regexp_extract_all(c, F.lit("[A-Za-z0-9_-]+"), F.lit(0)), lambda x: x.rlike(acronym))
-    b = blocks.withColumn("_quoted", quoted)
-    titles = b.groupBy("doc", "section").agg(F.min_by("text", "ord").alias("title"), F.min_by("terms", "ord").alias("title_terms"))
-    cover = F.size(F.array_intersect("terms", "title_terms")) / F.greatest(F.size("terms"), F.lit(1))
-    same = (F.col("section") + 1 == F.col("number")) | (cover >= least)
-    chosen = rules.join(titles, "doc").where(same).select("doc", "rule", "section").distinct()
-    by_section = chosen.join(b, ["doc", "section"]).select("doc", "rule", "ord", F.lit("section").alias("via"))
-
-    ends = b.where((F.col("ord") < first) & F.rlike("text", F.lit(stop))).groupBy("doc").agg(F.min("ord").alias("_end"))
-    early = rules.where(F.col("number").isNull() & F.rlike("expected", F.lit(front))).select("doc", "rule").join(b.where(F.col("ord") < first).select("doc", "ord"), "doc")
-    by_front = early.join(ends, "doc", "left").where(F.col("ord") < F.coalesce("_end", F.lit(first))).select("doc", "rule", "ord", F.lit("front").alias("via"))
-
-    asked = b.where("_quoted").select("doc", F.explode(tokens("text")).alias("token")).distinct()
-    named = titles.where(F.rlike("title", F.lit(definitions))).select("doc", "section")
-    held = b.where("not _quoted").join(named, ["doc", "section"]).select("doc", "ord", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    by_definition = held.join(asked, ["doc", "token"]).select("doc", "ord").distinct().join(rules.select("doc", "rule"), "doc").select("doc", "rule", "ord", F.lit("definition").alias("via"))
-
-    sizes = b.groupBy("doc").agg(F.count("*").alias("_blocks"))
-    hit = b.join(rules.select("doc", "rule", F.col("terms").alias("_asked")), "doc").select("doc", "rule", "ord", F.size("terms").alias("_len"), F.explode(F.filter("terms", lambda x: F.array_contains("_asked", x))).alias("term"))
-    tf = hit.groupBy("doc", "rule", "ord", "_len", "term").agg(F.count("*").alias("tf"))
-    df = F.count("*").over(Window.partitionBy("doc", "rule", "term"))
-    part = F.log(1 + F.col("_blocks") / (1 + F.col("df"))) * F.col("tf") / (1 + F.col("_len") / 60)
-    scored = tf.withColumn("df", df).join(sizes, "doc").groupBy("doc", "rule", "ord").agg(F.sum(part).alias("score"))
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("doc", "rule").orderBy(F.round("score", 6).desc(), "ord"))).where(F.col("_n") <= k)
-    around = best.join(b.select("doc", "ord", F.col("section").alias("_section")), ["doc", "ord"]).select("doc", "rule", "_section", F.explode(F.sequence(F.col("ord") - reach, F.col("ord") + reach)).alias("ord"))
-    by_index = around.join(b.select("doc", "ord", "section"), ["doc", "ord"]).where("section = _section").select("doc", "rule", "ord", F.lit("index").alias("via"))
-    every = by_section.unionByName(by_front).unionByName(by_definition).unionByName(by_index)
-    return every.groupBy("doc", "rule", "ord").agg(F.array_join(F.array_sort(F.collect_set("via")), ",").alias("via"))
+    of_quoted = blocks.withColumn("_quoted", quoted).where("_quoted").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list(tokens("text")))).alias("_quotes"))  # an explode would cut tokens before the filter
+    is_front = F.coalesce(F.col("number").isNull() & F.rlike("expected", F.lit(front)), F.lit(False))
+    r = rules.select("doc", "rule", "number", F.col("terms").alias("_asked"), is_front.alias("_front")).join(of_quoted, "doc", "left")
+    read = blocks.withColumn("_quoted", quoted).join(r.hint("merge"), "doc").withColumn("_terms", words("text"))
+    met = read.withColumn("_met", F.array_intersect("_asked", "_terms"))
+    cover = F.size("_met") / F.greatest(F.size("_asked"), F.lit(1))
+    held = F.when(F.col("_quotes").isNotNull() & ~F.col("_quoted"), F.arrays_overlap(tokens("text"), "_quotes"))
+    shown = met.select(
+        "doc", "rule", "ord", "section", "_front", F.size("_terms").alias("_len"),
+        F.coalesce((F.col("section") + 1 == F.col("number")) | (cover >= least), F.lit(False)).alias("_same"),
+        F.coalesce(F.when(F.col("_front") & (F.col("ord") < first), F.rlike("text", F.lit(stop))), F.lit(False)).alias("_stop"),
+        F.coalesce(F.when(F.col("_quotes").isNotNull(), F.rlike("text", F.lit(definitions))), F.lit(False)).alias("_defines"),
+        F.coalesce(held, F.lit(False)).alias("_held"),
+        F.transform("_met", lambda x: F.struct(x.alias("term"), (F.size("_terms") - F.size(F.array_remove("_terms", x))).alias("tf"))).alias("_met"),
+    )
+
+    whole, flags = Window.partitionBy("doc", "rule"), ["_front", "_same", "_stop", "_defines", "_held"]
+    hit = shown.select("doc", "rule", "ord", "section", "_len", *flags, F.posexplode_outer("_met").alias("_i", "_m")).withColumns({"term": F.col("_m.term"), "tf": F.col("_m.tf")})
+    counted = hit.withColumns({"_df": F.count("term").over(Window.partitionBy("doc", "rule", "term")), "_blocks": F.count(F.when(F.coalesce("_i", F.lit(0)) == 0, 1)).over(whole)})
+    part = F.log(1 + F.col("_blocks") / (1 + F.col("_df"))) * F.col("tf") / (1 + F.col("_len") / 60)
+    scored = counted.groupBy("doc", "rule", "ord", "section").agg(F.sum(part).alias("score"), *[F.bool_or(f).alias(f) for f in flags])
+    place = F.row_number().over(whole.orderBy(F.round("score", 6).desc_nulls_last(), "ord"))
+    best = scored.select("*", (F.col("score").isNotNull() & (place <= k)).alias("_best"), F.min(F.when(F.col("_stop"), F.col("ord"))).over(whole).alias("_end"))
+    section = Window.partitionBy("doc", "rule", "section").orderBy("ord")
+    ways = {
+        "definition": F.col("_held") & F.first("_defines").over(section),
+        "front": F.col("_front") & (F.col("ord") < F.coalesce("_end", F.lit(first))),
+        "index": F.max("_best").over(section.rangeBetween(-reach, reach)),
+        "section": F.first("_same").over(section),
+    }
+    found = best.select("doc", "rule", "ord", F.array_compact(F.array(*[F.when(way, F.lit(name)) for name, way in ways.items()])).alias("via"))
+    return found.where(F.size("via") > 0).select("doc", "rule", "ord", F.array_join("via", ",").alias("via"))
 
 
 def covering_titles(rules: DataFrame, sections: DataFrame, least: float = 0.7) -> DataFrame:

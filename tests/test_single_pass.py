@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from clausework.operators import extract as X
 from clausework.operators import register as R
+from clausework.operators import retrieval
 
 
 def plan(df) -> str:
@@ -26,3 +27,14 @@ def test_runs_are_counted_without_a_join(spark):
     got = back.groupBy("k", "first", "last").count()
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 3, 3), (1, 7, 8, 2), (1, 10, 10, 1), (2, 5, 5, 1)]
     assert plan(got).count("Exchange") == 1 and "Join" not in plan(got)
+
+
+def test_texts_meet_rules_once(spark, tmp_path):
+    lines = [(1, 0, 0, "the terms here"), (1, 1, 0, "AB holds"), (1, 3, 1, "cause of delay"), (1, 4, 1, "!! AB CD"), (1, 5, 2, "a | b"), (1, 6, 2, "tail cause"), (2, 0, 0, "a | b"), (2, 1, 0, "AB"), (3, 0, 0, "cause of delay")]
+    spark.createDataFrame([(*x, x[3].lower().split()) for x in lines], "doc int, ord int, section int, text string, terms array<string>").write.parquet(str(tmp_path / "blocks"))
+    rules = spark.createDataFrame([(1, 7, None, "cause of delay", ["cause", "of", "delay"]), (1, 8, 2, "x", ["x"]), (2, 7, None, "cause of delay", ["cause", "of", "delay"])], "doc int, rule int, number int, expected string, terms array<string>")
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    got = retrieval.route_rules(rules, blocks, " of ", r" \| ", "^the ", "^[A-Z]{2}$", F.contains("text", F.lit("!!")))
+    seven = {0: "front", 1: "definition,front", 3: "front,index,section", 4: "front,index,section", 5: "index", 6: "index"}
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 7, o, via) for o, via in seven.items()] + [(1, 8, 1, "definition"), (1, 8, 3, "section"), (1, 8, 4, "section")]
+    assert plan(got).count("Scan parquet") == 2 and plan(got).count("Exchange") <= 4
