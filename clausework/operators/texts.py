@@ -71,14 +71,20 @@ def query_plan(queries: DataFrame, key: str, text: str, most: int = 24) -> DataF
 def typo_candidates(blocks: DataFrame, doc: str, text: str, known_count: int = 3) -> DataFrame:
     """``doc, word, suggestion``: a word that is rare in its document with exactly one frequent neighbour there: same first three letters, length within one, one edit.
 
-    Words meet within (document, first three letters), never across a document.
+    Words meet within (document, first three letters), never across a document. Texts are shuffled once, by document; of its sorted words only frequent ones, and rare ones that begin like
+    one of them, become rows.
     """
-    w = blocks.select(F.col(doc).alias("doc"), F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])\p{Ll}{4,}(?![\p{L}\p{N}])"), F.lit(0))).alias("word"))
-    counts = w.groupBy("doc", "word").agg(F.count("*").alias("n")).withColumn("block", F.substring("word", 1, 3))
-    rare, known = counts.where("n = 1").alias("r"), counts.where(F.col("n") >= known_count).alias("k")
-    pairs = rare.join(known, (F.col("r.doc") == F.col("k.doc")) & (F.col("r.block") == F.col("k.block")) & (F.abs(F.length("r.word") - F.length("k.word")) <= 1))
-    near = pairs.where(F.levenshtein("r.word", "k.word", 1) == 1).groupBy(F.col("r.doc").alias("doc"), F.col("r.word").alias("word"))
-    return near.agg(F.count("*").alias("n"), F.min("k.word").alias("suggestion")).where("n = 1").drop("n")
+    every = blocks.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc")).agg(F.array_join(F.collect_list(text), "\n").alias("text"))
+    own = every.select("doc", F.sort_array(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}])\p{Ll}{4,}(?![\p{L}\p{N}])"), F.lit(0))).alias("w"))
+    differs = lambda x, i: ~x.eqNullSafe(F.get("w", i))
+    known = own.withColumn("known", F.filter("w", lambda x, i: (x == F.get("w", i + (known_count - 1))) & differs(x, i - 1)))
+    begun = known.withColumn("begins", F.array_distinct(F.transform("known", lambda x: F.substring(x, 1, 3))))
+    rare = F.when(F.size("begins") > 0, F.filter("w", lambda x, i: differs(x, i - 1) & differs(x, i + 1) & F.array_contains("begins", F.substring(x, 1, 3))))
+    tagged = lambda words, frequent: F.transform(words, lambda x: F.struct(F.substring(x, 1, 3).alias("block"), x.alias("word"), F.lit(frequent).alias("frequent")))
+    rows = begun.select("doc", F.inline_outer(F.concat(tagged("known", True), tagged(rare, False))))  # not inline: Spark would infer a filter that cuts the words again for each of them
+    met = rows.withColumn("known", F.collect_list(F.when(F.col("frequent"), F.col("word"))).over(Window.partitionBy("doc", "block"))).where("not frequent")
+    near = F.filter("known", lambda x: (F.abs(F.length("word") - F.length(x)) <= 1) & (F.levenshtein("word", x, 1) == 1))
+    return met.select("doc", "word", near.alias("near")).where(F.size("near") == 1).select("doc", "word", F.col("near")[0].alias("suggestion"))
 
 
 def look_alike_names(rows: DataFrame, key: list[str], name: str, siblings: list[str]) -> DataFrame:

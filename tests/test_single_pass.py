@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clausework.operators import extract as X
 from clausework.operators import register as R
 from clausework.operators import retrieval
+from clausework.operators import texts
 
 
 def plan(df) -> str:
@@ -38,3 +39,16 @@ def test_texts_meet_rules_once(spark, tmp_path):
     seven = {0: "front", 1: "definition,front", 3: "front,index,section", 4: "front,index,section", 5: "index", 6: "index"}
     assert sorted(tuple(r) for r in got.collect()) == [(1, 7, o, via) for o, via in seven.items()] + [(1, 8, 1, "definition"), (1, 8, 3, "section"), (1, 8, 4, "section")]
     assert plan(got).count("Scan parquet") == 2 and plan(got).count("Exchange") <= 4
+
+
+def test_typos_are_found_in_one_pass(spark, tmp_path):
+    rows = [
+        (1, "valve valve motor, motor valv x"), (1, "valve valved motor motr Motor motob"), (1, None),
+        (2, "valve valv"), (None, "valve valve valve valv"), (3, None),
+        (4, "motor motor motor motok motok motor1 _motoz_ vent vents"), (5, "able able able abld abld abld abll vent"),
+    ]
+    spark.createDataFrame(rows, "id int, body string").write.parquet(str(tmp_path / "texts"))
+    got = texts.typo_candidates(spark.read.parquet(str(tmp_path / "texts")), "id", "body")
+    want = [(1, "motob", "motor"), (1, "motr", "motor"), (1, "valv", "valve"), (1, "valved", "valve"), (4, "motoz", "motor")]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert plan(got).count("Scan parquet") == 1 and plan(got).count("Exchange") == 1 and "Join" not in plan(got)
