@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+ROWS_OF_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is executed inside hands Python workers at most ``rows`` rows at a time, or fewer where the session says so."""
+    before = spark.conf.get(ROWS_OF_BATCH)
+    spark.conf.set(ROWS_OF_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_OF_BATCH, before)
 
 
 def part_bounds(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from clausework.functions.arrow import small_batches
 from clausework.functions.text import words
 from clausework.sources.scratch import written
 
@@ -25,6 +26,8 @@ BROADCAST_TERMS = 200_000
 BROADCAST_NUMBERS = 8_000_000
 #: Documents and queries of one matrix product.
 DOCS, QUERIES = 512, 128
+#: Numbers of a dense matrix of documents by terms at most (8 bytes each); wider ones are made some rows at a time.
+NUMBERS = 1_000_000
 
 
 def top(rows: DataFrame, key: str, score: str, tie: list[str], k: int) -> DataFrame:
@@ -127,7 +130,8 @@ def _scored_top(q: DataFrame, docs: DataFrame, doc: str, terms: str, k: int, idf
         asked.setdefault(r.query, []).append((r.term, r.qtf))
     vocabulary = sorted({t for own in asked.values() for t, _ in own if t is not None})
     place = {t: i for i, t in enumerate(vocabulary)}
-    found = written(postings(docs, doc, terms, vocabulary), "postings")
+    with small_batches(docs.sparkSession, DOCS):  # rows are as long as their texts
+        found = written(postings(docs, doc, terms, vocabulary), "postings")
     n, mean = found.agg(F.count("*"), F.avg("len")).head()
     df = np.zeros(len(vocabulary))
     for r in found.select(F.explode("ids").alias("i")).groupBy("i").count().collect():  # at most one row a term
@@ -156,10 +160,13 @@ def _scored_top(q: DataFrame, docs: DataFrame, doc: str, terms: str, k: int, idf
             for part_of, own, w in held.value:
                 column = np.searchsorted(own, ids)
                 hit = (column < len(own)) & (own[np.minimum(column, max(0, len(own) - 1))] == ids) if len(own) else np.zeros(len(ids), bool)
-                counts = np.zeros((len(length), len(own)))
-                counts[at[hit], column[hit]] = value[hit]
-                scores = counts @ w
-                scores[(counts != 0).astype(float) @ (w != 0) == 0] = -np.inf  # shares no term
+                scores, held_by, of_hit, step = np.empty((len(length), len(part_of))), (w != 0).astype(np.float32), at[hit], max(1, NUMBERS // max(1, len(own)))
+                for i in range(0, len(length), step):
+                    a, z = np.searchsorted(of_hit, [i, i + step])
+                    counts = np.zeros((min(step, len(length) - i), len(own)))
+                    counts[of_hit[a:z] - i, column[hit][a:z]] = value[hit][a:z]
+                    scores[i : i + step] = counts @ w
+                    scores[i : i + step][(counts != 0).astype(np.float32) @ held_by == 0] = -np.inf  # shares no term
                 rows, of = _best(scores, ranks, k)
                 yield pa.RecordBatch.from_arrays([pa.array([part_of[j] for j in of], to_arrow_type(kinds[0])), keys.take(pa.array(rows)), pa.array(scores[rows, of])], ["query", "doc", "score"])
 

@@ -44,3 +44,21 @@ def test_python_values_equal_to_pylist():
     for c in (pa.array([3, 1], pa.int32()), pa.array([1.5, 2.0]), pa.array([True, False]), lists, lists.slice(1), pa.array([[1], None, [2, None]]), pa.array([1, None]), pa.array(["a", None]), pa.array([[["x"]], []]), pa.array([], pa.int64()), pa.array([{"id": 1}])):
         got = python_values(c)
         assert got == c.to_pylist() and [type(x) for x in got] == [type(x) for x in c.to_pylist()]
+
+
+def test_postings_see_small_batches(spark, monkeypatch):
+    from clausework.functions.arrow import ROWS_OF_BATCH
+    from clausework.operators import retrieval as R
+
+    before, seen, written = spark.conf.get(ROWS_OF_BATCH), [], R.written
+    monkeypatch.setattr(R, "written", lambda df, tag: seen.append(int(spark.conf.get(ROWS_OF_BATCH))) or written(df, tag))
+    docs = spark.range(1200).selectExpr("id", "if(id % 2 = 0, array('a', 'b'), array('c')) AS terms")
+    queries = spark.createDataFrame([(1, ["a", "b"])], "q int, terms array<string>")
+    assert [(r.query, r.doc, r["rank"]) for r in R.bm25_top(queries, docs, "q", "id", 3).orderBy("rank").collect()] == [(1, 0, 1), (1, 2, 2), (1, 4, 3)]
+    assert seen == [R.DOCS] and spark.conf.get(ROWS_OF_BATCH) == before
+    try:
+        spark.conf.set(ROWS_OF_BATCH, "100")
+        R.bm25_top(queries, docs, "q", "id", 3).collect()
+        assert seen == [R.DOCS, 100] and spark.conf.get(ROWS_OF_BATCH) == "100"
+    finally:
+        spark.conf.set(ROWS_OF_BATCH, before)
